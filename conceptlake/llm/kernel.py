@@ -105,6 +105,20 @@ def words(raw: np.ndarray, offsets: np.ndarray, of: np.ndarray = NOT_SPACE, lowe
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), starts, ends, np.searchsorted(starts, offsets)
 
 
+def beginnings(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
+    """Hashes of each word's first ``size`` bytes (A-Z lowered), words by sizes; 0 where the word is not longer."""
+    out = np.zeros((len(starts), len(sizes)), np.uint64)
+    if not len(starts):
+        return out
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((LOWER[raw].astype(np.uint64) + np.uint64(1)) * _powers_of(BASE, len(raw)), out=sums[1:])
+    base, back = sums[starts], _powers_of(INVERSE, len(raw))[starts]
+    for k, size in enumerate(sizes):
+        h = (sums[np.minimum(starts + size, len(raw))] - base) * back
+        out[:, k] = np.where(ends - starts > size, mix(h ^ np.uint64(size * 0x51ED2701)), np.uint64(0))
+    return out
+
+
 def shingles(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every run of ``n`` words within a row, and each row's first run.
 
