@@ -70,11 +70,16 @@ def distinct_lines(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return keyed.groupBy("h").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.first("index").alias("index"), F.first("probe").alias("probe"))
 
 
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h, line of the wanted hashes."""
+    wanted = materialize(wanted.distinct())
+    texts = rows.select("h", "line").join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "h", "left_semi")
+    return materialize(texts.dropDuplicates(["h"]))
+
+
 def _verified(rows: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) of line hashes within the threshold, as (u, v)."""
-    wanted = materialize(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
-    texts = rows.select("h", "line").join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "h", "left_semi").dropDuplicates(["h"])
-    texts = materialize(texts)
+    texts = _texts(rows, pairs.select(F.col("a").alias("h")).union(pairs.select("b")))
     left, right = texts.select(F.col("h").alias("a"), F.col("line").alias("x")), texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
     near = pairs.join(left, "a").join(right, "b").where(F.levenshtein("x", "y", threshold) >= 0)
     return near.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -91,10 +96,13 @@ def line_links(rows: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD)
     rooted = shared.join(components(first).select(F.col("id").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     split = rooted.groupBy("k").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("k")
     rooted = materialize(rooted.join(split, "k"))
-    left, right = rooted.where("indexed").select("k", F.col("h").alias("i"), F.col("root").alias("ri")), rooted.where("not indexed").select("k", F.col("h").alias("j"), F.col("root").alias("rj"))
-    pairs = left.join(right, "k").where("ri <> rj").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
-    rest = materialize(pairs.join(star, ["a", "b"], "left_anti"))
-    return materialize(first.union(_verified(rows, rest, threshold)))
+    # the lines come along, so that the join itself verifies and makes no row for pairs that are no links
+    rooted = rooted.join(_texts(rows, rooted.select("h")), "h")
+    left = rooted.where("indexed").select("k", F.col("h").alias("u"), F.col("root").alias("ru"), F.col("line").alias("x"))
+    right = rooted.where("not indexed").select("k", F.col("h").alias("v"), F.col("root").alias("rv"), F.col("line").alias("y"))
+    near = (F.col("left.ru") != F.col("right.rv")) & (F.levenshtein("left.x", "right.y", threshold) >= 0)
+    rest = left.alias("left").join(right.alias("right"), (F.col("left.k") == F.col("right.k")) & near).select("u", "v")
+    return materialize(first.union(rest.distinct()))
 
 
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
