@@ -1,0 +1,100 @@
+"""Keyword entities, fusion by precedence, pattern and co-occurrence relations."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Relation types and their phrases, in order of precedence.
+PHRASES = {
+    "DEFINES_CONCEPT": [" defines ", " is defined as ", " refers to ", " means "],
+    "IS_A": [" is a ", " is an ", " is type of ", " is kind of "],
+    "HAS_PART": [" has ", " contains ", " includes ", " consists of "],
+    "USED_FOR": [" is used for ", " is used to ", " enables ", " allows "],
+    "IMPLEMENTS_METHOD": [" implements ", " uses ", " employs ", " utilizes "],
+    "HAS_ATTRIBUTE": [" has attribute ", " has property ", " is characterized by "],
+    "EXAMPLE_OF": [" is example of ", " illustrates ", " demonstrates "],
+    "REQUIRES_INPUT": [" requires ", " needs ", " depends on "],
+    "STEP_IN_PROCESS": [" follows ", " precedes ", " comes after ", " comes before "],
+    "COMPARES_WITH": [" compared to ", " versus ", " as opposed to ", " in contrast to "],
+}
+# Keywords and their abbreviations by domain; other lexicons are a parameter.
+KEYWORDS = {
+    "AI": {"prompt engineering": "PE", "chain of thought": "COT", "few-shot learning": "FSL", "zero-shot learning": "ZSL", "multimodal": "MM", "text-to-image": "T2I", "diffusion model": "DM", "stable diffusion": "SD", "gpt": "GPT", "bert": "BERT"},
+    "Programming": {"python": "PY", "javascript": "JS", "java": "JAVA", "rust": "RUST", "go": "GO", "docker": "DOCKER", "api": "API", "rest": "REST", "database": "DB", "sql": "SQL", "git": "GIT"},
+}
+#: Most keywords that are searched by one projection; larger lexicons are joined.
+INLINE = 500
+#: Least keywords first: metadata overrides, then model, lexicon, keyword.
+PRECEDENCE = {"metadata": 0, "llm": 1, "prompt": 2, "keyword": 3}
+
+
+def concept_id(name: Column) -> Column:
+    """The same id for a name in any document."""
+    return F.concat(F.lit("concept-"), F.left(F.sha2(F.lower(F.trim(name)), 256), F.lit(16)))
+
+
+def keyword_entities(docs: DataFrame, keywords: list[str], source: str = "keyword", word_boundary: bool = False) -> DataFrame:
+    """doc_id, keyword, pos of each keyword in the lower-case text (substring test, or whole words)."""
+    low = F.lower("text")
+    hit = (lambda k: F.when(low.rlike(rf"(?<![\p{{L}}\p{{N}}]){_quoted(k)}(?![\p{{L}}\p{{N}}])"), F.lit(k))) if word_boundary else (lambda k: F.when(low.contains(k), F.lit(k)))
+    if len(keywords) <= INLINE:
+        found = docs.select("doc_id", F.explode(F.array_compact(F.array(*map(hit, keywords)))).alias("keyword"), low.alias("_t"))
+    else:
+        lexicon = docs.sparkSession.createDataFrame([(k,) for k in keywords], "keyword string")
+        found = docs.select("doc_id", low.alias("_t")).join(F.broadcast(lexicon), F.col("_t").contains(F.col("keyword")))
+    return found.select("doc_id", "keyword", concept_id(F.col("keyword")).alias("concept_id"), F.lit(source).alias("source"), F.expr("locate(keyword, _t)").alias("pos"))
+
+
+def _quoted(k: str) -> str:
+    return r"\Q" + k + r"\E"
+
+
+def metadata_entities(docs: DataFrame, column: str = "concepts") -> DataFrame:
+    """doc_id, name from a comma-separated column."""
+    return docs.select("doc_id", F.explode(F.split(column, ",")).alias("name")).select("doc_id", F.trim("name").alias("name"), F.lit("metadata").alias("source")).where("name <> ''")
+
+
+def fuse(mentions: list[DataFrame]) -> DataFrame:
+    """One entity for each document and lower-case name: that of the source with precedence."""
+    rank = F.create_map(*[F.lit(x) for kv in PRECEDENCE.items() for x in kv])
+    rows = reduce(DataFrame.unionByName, [m.select("doc_id", "name", "source") for m in mentions])
+    best = rows.groupBy("doc_id", F.lower("name").alias("key")).agg(F.min_by(F.struct("name", "source"), F.struct(F.coalesce(rank[F.col("source")], F.lit(9)), F.col("name"))).alias("b"))
+    return best.select("doc_id", F.col("b.name").alias("name"), F.col("b.source").alias("source"), concept_id(F.col("b.name")).alias("concept_id"))
+
+
+def pattern_relations(docs: DataFrame, mentions: DataFrame, strength: float = 0.8) -> DataFrame:
+    """doc_id, src, dst, type: ordered pairs of a document's names whose text has "src phrase dst"; the first phrase decides."""
+    pairs = mentions.alias("a").join(mentions.alias("b"), F.expr("a.doc_id = b.doc_id and a.name <> b.name")).select("a.doc_id", F.col("a.name").alias("src"), F.col("b.name").alias("dst"))
+    rows = pairs.join(docs.select("doc_id", F.lower("text").alias("_t")), "doc_id")
+    said = F.coalesce(*(F.when(F.expr("contains(_t, concat(lower(src), :p, lower(dst)))".replace(":p", repr(p))), kind) for kind, ps in PHRASES.items() for p in ps))
+    return rows.select("doc_id", "src", "dst", said.alias("type")).where("type is not null").withColumns({"strength": F.lit(strength), "method": F.lit("pattern_based")})
+
+
+def cooccurrence(mentions: DataFrame, group: str = "doc_id", item: str = "name", strength: float = 0.3) -> DataFrame:
+    """group, src < dst: pairs that occur together; strength and the basic method."""
+    m = mentions.select(group, item).distinct()
+    pairs = m.alias("a").join(m.alias("b"), F.expr(f"a.{group} = b.{group} and a.{item} < b.{item}"))
+    return pairs.select(f"a.{group}", F.col(f"a.{item}").alias("src"), F.col(f"b.{item}").alias("dst"), F.lit("RELATED_TO").alias("type"), F.lit(strength).alias("strength"), F.lit("basic").alias("method"))
+
+
+def fuse_relations(strong: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Co-occurrence only for documents without other relations; one row for each (src, dst, type) by method, then strength."""
+    rows = strong.unionByName(fallback.join(strong.select("doc_id").distinct(), "doc_id", "left_anti"))
+    rank = F.when(F.col("method") == "llm_based", 3).when(F.col("method") == "pattern_based", 2).otherwise(1)
+    best = rows.groupBy("doc_id", "src", "dst", "type").agg(F.max_by(F.struct("strength", "method"), F.struct(rank, "strength")).alias("b"))
+    return best.select("doc_id", "src", "dst", "type", "b.strength", "b.method")
+
+
+def map_relations(relations: DataFrame, entities: DataFrame, strength: float = 0.6) -> DataFrame:
+    """Relations by name to ids; unknown names and self loops go, missing strengths are set."""
+    ids = entities.select("name", "concept_id").distinct()
+    out = relations.join(ids.withColumnsRenamed({"name": "source", "concept_id": "src"}), "source").join(ids.withColumnsRenamed({"name": "target", "concept_id": "dst"}), "target")
+    return out.where("src <> dst").withColumn("strength", F.coalesce("strength", F.lit(strength)))
+
+
+def concept_stats(mentions: DataFrame, top: int = 20) -> DataFrame:
+    """name, n of the most frequent concepts."""
+    return mentions.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(top)
