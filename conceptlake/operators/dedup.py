@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from conceptlake.functions import text as X
 
@@ -27,7 +28,7 @@ def title_ratio(a: str, b: str) -> int:
     return round(200 * (len(a) - row.bit_count()) / (len(a) + len(b)))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([title_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
 

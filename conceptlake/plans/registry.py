@@ -1,4 +1,334 @@
-"""Queries over the driver's tables and the SQL that must return the same rows."""
+"""Queries over the driver's tables and the SQL that must return the same rows.
 
+The graph is read from the order tables: a document is an order, a concept a part,
+MENTIONS a line item; RELATED_TO joins parts of one order; regions contain nations,
+which contain customers and suppliers.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from conceptlake.functions import chunks as C
+from conceptlake.functions import text as X
+from conceptlake.operators import concepts as K
+from conceptlake.operators import dedup as D
+from conceptlake.operators import entities as E
+from conceptlake.operators import graph as G
+from conceptlake.operators import jobs as J
+from conceptlake.operators import vector as V
+
+WORDS = ["the", "go", "rest", "thing", "idiot", "license", "token"]
 QUERIES = {}
 SQL = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def count(c: str = "*"):
+    return F.count(c).cast("long")
+
+
+@query("SELECT doc_id, sha256(trim(lower(regexp_replace(text, '\\s+', ' ', 'g')))) AS hash FROM documents")
+def content_hash(s, d):
+    return read(s, d, "documents").select("doc_id", X.content_hash(F.col("text")).alias("hash"))
+
+
+@query("SELECT doc_id, sha256(lower(regexp_replace(text, '\\s+', '', 'g'))) AS hash FROM documents")
+def compact_hash(s, d):
+    return read(s, d, "documents").select("doc_id", X.compact_hash(F.col("text")).alias("hash"))
+
+
+@query("SELECT doc_id, sha256('author:' || lower(trim(source)) || '|file_path:' || doc_id::VARCHAR || '|title:' || lower(trim(lang))) AS hash FROM documents")
+def metadata_hash(s, d):
+    return read(s, d, "documents").select("doc_id", X.metadata_hash(F.col("lang"), F.col("source"), F.lit(None).cast("string"), F.col("doc_id").cast("string")).alias("hash"))
+
+
+@query("SELECT sha256(lower(regexp_replace(text, '\\s+', '', 'g'))) AS hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_sets(s, d):
+    return D.duplicate_sets(read(s, d, "documents")).select("hash", F.col("n").cast("long"), "first")
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(regexp_replace(text, '\\s+', '', 'g'))")
+def dedup_keep_first(s, d):
+    return D.keep_first(read(s, d, "documents"))
+
+
+@query("SELECT sum(n)::BIGINT AS total_documents, count(*) AS unique_documents, count(*) FILTER (WHERE n > 1) AS duplicate_sets FROM (SELECT count(*) AS n FROM documents GROUP BY lower(regexp_replace(text, '\\s+', '', 'g')))")
+def duplicate_report(s, d):
+    return D.report(read(s, d, "documents"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '\\S+'))::INT AS words, length(text)::INT AS chars FROM documents")
+def doc_metrics(s, d):
+    return read(s, d, "documents").select("doc_id", X.word_count(F.col("text")).alias("words"), F.length("text").alias("chars"))
+
+
+@query("SELECT doc_id, (len(regexp_extract_all(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[.!?] ')) + 1)::INT AS n FROM documents")
+def sentence_count(s, d):
+    return read(s, d, "documents").select("doc_id", F.size(C.sentences(F.col("text"))).alias("n"))
+
+
+@query(r"""SELECT doc_id, greatest(250, least(2000, trunc((CASE WHEN length(text) > 1000000 THEN 500.0::DOUBLE WHEN length(text) > 500000 THEN 750.0::DOUBLE ELSE 1000.0::DOUBLE END)
+  * (CASE WHEN regexp_matches(text, '\|\s*-+\s*\|') THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN regexp_matches(text, '(?s)```.*?```') THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END)
+  * (CASE WHEN regexp_matches(text, '(?m)^\s*[-*+]\s|^\s*\d+\.\s') THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END))::INT))::INT AS size FROM documents""")
+def adaptive_chunk_size(s, d):
+    return read(s, d, "documents").select("doc_id", X.adaptive_chunk_size(F.col("text")).alias("size"))
+
+
+@query("""SELECT doc_id, i::INT AS chunk_index, substr(text, i * 800 + 1, 1000) AS text FROM (
+  SELECT doc_id, text, unnest(range(greatest(0, ceil((length(text) - 1000) / 800.0))::BIGINT + 1)) AS i FROM documents WHERE length(text) > 0)""")
+def fixed_window_chunks(s, d):
+    return C.window_rows(read(s, d, "documents"), C.fixed_windows(F.col("text")))
+
+
+@query("""SELECT doc_id, i::INT AS chunk_index, substr(text, i * 2500 + 1, 3000) AS text FROM (
+  SELECT doc_id, text, unnest(range((length(text) - 1) // 2500 + 1)) AS i FROM documents WHERE length(text) > 0)""")
+def sliding_window_chunks(s, d):
+    return C.window_rows(read(s, d, "documents"), C.sliding_windows(F.col("text")))
+
+
+@query()
+def semantic_chunks(s, d):
+    return C.chunk_rows(read(s, d, "documents"), C.semantic_chunks)
+
+
+@query()
+def sentence_chunks(s, d):
+    return C.chunk_rows(read(s, d, "documents"), C.pack_sentences)
+
+
+@query()
+def break_chunks(s, d):
+    return C.chunk_rows(read(s, d, "documents"), C.break_chunks)
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS snippet FROM documents")
+def snippets(s, d):
+    return read(s, d, "documents").select("doc_id", X.snippet(F.col("text")).alias("snippet"))
+
+
+LEXICON = "(SELECT unnest([" + ", ".join(f"'{w}'" for w in WORDS) + "]) AS keyword)"
+MENTIONS = f"(SELECT doc_id, keyword AS name FROM documents, {LEXICON} WHERE contains(lower(text), keyword))"
+
+
+@query(f"SELECT doc_id, keyword, 'concept-' || left(sha256(keyword), 16) AS concept_id, 'keyword' AS source, instr(lower(text), keyword)::INT AS pos FROM documents, {LEXICON} WHERE contains(lower(text), keyword)")
+def keyword_entities(s, d):
+    return E.keyword_entities(read(s, d, "documents"), WORDS)
+
+
+def mentions(s, d):
+    return E.keyword_entities(read(s, d, "documents"), WORDS).select("doc_id", F.col("keyword").alias("name"), "source")
+
+
+@query(f"SELECT doc_id, name, CASE WHEN name IN ('go', 'rest') THEN 'metadata' ELSE 'keyword' END AS source, 'concept-' || left(sha256(name), 16) AS concept_id FROM {MENTIONS}")
+def entity_fusion(s, d):
+    m = mentions(s, d)
+    return E.fuse([m, m.where(F.col("name").isin("go", "rest")).withColumn("source", F.lit("metadata"))])
+
+
+@query(f"SELECT a.doc_id, a.name AS src, b.name AS dst, 'RELATED_TO' AS type, 0.3::DOUBLE AS strength, 'basic' AS method FROM {MENTIONS} a JOIN {MENTIONS} b ON a.doc_id = b.doc_id AND a.name < b.name")
+def cooccurrence_relations(s, d):
+    return E.cooccurrence(mentions(s, d))
+
+
+@query("SELECT doc_id, src, dst, type, 0.8::DOUBLE AS strength, 'pattern_based' AS method FROM (SELECT doc_id, a.n AS src, b.n AS dst, CASE WHEN contains(lower(text), a.n || ' is a ' || b.n) OR contains(lower(text), a.n || ' is an ' || b.n) THEN 'IS_A' WHEN contains(lower(text), a.n || ' has ' || b.n) THEN 'HAS_PART' END AS type FROM documents, (SELECT unnest(['the', 'of', 'on']) AS n) a, (SELECT unnest(['the', 'of', 'on']) AS n) b WHERE a.n <> b.n AND contains(lower(text), a.n) AND contains(lower(text), b.n)) WHERE type IS NOT NULL")
+def pattern_relations(s, d):
+    docs = read(s, d, "documents")
+    return E.pattern_relations(docs, E.keyword_entities(docs, ["the", "of", "on"]).select("doc_id", F.col("keyword").alias("name")))
+
+
+@query(f"SELECT name, count(*) AS n FROM {MENTIONS} GROUP BY 1 ORDER BY n DESC, name LIMIT 20")
+def concept_stats(s, d):
+    return E.concept_stats(mentions(s, d))
+
+
+@query("SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '\\b([A-Z]{2,})\\b', 1)))::VARCHAR AS terms FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\\x00-\\x7f]*')")
+def acronyms(s, d):
+    rows = read(s, d, "documents").where("lang = 'en'").where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
+    return rows.select("doc_id", F.concat(F.lit("["), F.array_join(K.acronyms(F.col("text")), ", "), F.lit("]")).alias("terms"))
+
+
+@query("SELECT doc_id, len(list_distinct(regexp_extract_all(text, '([a-zA-Z]+-[a-zA-Z]+)', 1)))::INT AS n FROM documents")
+def hyphen_terms(s, d):
+    return read(s, d, "documents").select("doc_id", F.size(K.hyphen_terms(F.col("text"))).alias("n"))
+
+
+@query()
+def rule_concepts(s, d):
+    return read(s, d, "documents").select("doc_id", K.rule_concepts(F.col("text")).alias("concepts"))
+
+
+@query("""SELECT doc_id, name, round(least(1.0::DOUBLE, (CASE WHEN f > 1 THEN least(1.0::DOUBLE, 0.5::DOUBLE + 0.05::DOUBLE * f) ELSE 0.5::DOUBLE END) + CASE WHEN at1 - 1 < n * 0.2::DOUBLE THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END), 6) AS weight
+  FROM (SELECT doc_id, name, length(text) AS n, instr(lower(text), name) AS at1, (length(lower(text)) - length(replace(lower(text), name, '')))::DOUBLE / length(name) AS f FROM documents, (SELECT unnest(['thing', 'rest', 'idiot']) AS name))""")
+def concept_weight(s, d):
+    rows = read(s, d, "documents").select("doc_id", "text", F.explode(F.array(*map(F.lit, ["thing", "rest", "idiot"]))).alias("name"))
+    return rows.select("doc_id", "name", F.round(K.weight(F.col("text"), F.col("name")), 6).alias("weight"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '\"') AS text FROM pages")
+def html_to_text(s, d):
+    return read(s, d, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
+
+
+NODES = "(SELECT 'Document' AS label, o_orderkey AS id, o_orderpriority AS name FROM orders UNION ALL SELECT 'Concept', p_partkey, p_name FROM part)"
+EDGES = "(SELECT src, dst, n, least(1.0::DOUBLE, 0.3::DOUBLE * n) AS strength FROM (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2))"
+SYM = f"(SELECT src, dst, strength FROM {EDGES} UNION ALL SELECT dst, src, strength FROM {EDGES})"
+
+
+def nodes(s, d):
+    a = read(s, d, "orders").select(F.lit("Document").alias("label"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"))
+    return a.union(read(s, d, "part").select(F.lit("Concept"), "p_partkey", "p_name"))
+
+
+def line_mentions(s, d):
+    return read(s, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+
+
+def edges(s, d):
+    pairs = line_mentions(s, d).distinct().alias("a").join(line_mentions(s, d).distinct().alias("b"), F.expr("a.src = b.src and a.dst < b.dst")).select(F.col("a.dst").alias("src"), F.col("b.dst").alias("dst"))
+    rows = pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return rows.select((F.col("src") * 1_000_003 + F.col("dst")).alias("edge_id"), "src", "dst", F.lit("RELATED_TO").alias("type"), F.least(F.lit(1.0), 0.3 * F.col("n")).alias("strength"))
+
+
+@query(f"SELECT label, count(*) AS n FROM {NODES} GROUP BY 1")
+def node_counts(s, d):
+    return G.label_counts(nodes(s, d))
+
+
+@query(f"SELECT 'RELATED_TO' AS type, count(*) AS n FROM {EDGES} UNION ALL SELECT 'MENTIONS', count(*) FROM lineitem")
+def edge_type_counts(s, d):
+    m = line_mentions(s, d).select("src", "dst", F.lit("MENTIONS").alias("type"))
+    return G.type_counts(edges(s, d).select("src", "dst", "type").union(m))
+
+
+@query(f"SELECT CASE WHEN strength <= 0.3::DOUBLE THEN 'Low' WHEN strength <= 0.6::DOUBLE THEN 'Medium' WHEN strength <= 0.9::DOUBLE THEN 'High' ELSE 'Very High' END AS bucket, count(*) AS n FROM {EDGES} GROUP BY 1")
+def strength_histogram(s, d):
+    return G.strength_histogram(edges(s, d))
+
+
+@query(f"SELECT dst AS id, round(max(strength), 6) AS strength FROM {SYM} WHERE src = 1 GROUP BY 1")
+def related_concepts(s, d):
+    return G.neighbours(edges(s, d), 1).select("id", F.round("strength", 6).alias("strength"))
+
+
+@query("SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_partkey = 7")
+def docs_by_concept(s, d):
+    return G.documents_of(line_mentions(s, d), 7)
+
+
+@query("SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_orderkey = 5")
+def concepts_of_document(s, d):
+    return G.concepts_of(line_mentions(s, d), 5)
+
+
+@query("SELECT l_partkey AS concept, count(DISTINCT l_orderkey) - 1 AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) > 1 ORDER BY n DESC, concept LIMIT 10")
+def shared_concepts(s, d):
+    return G.shared_concepts(line_mentions(s, d))
+
+
+@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), '1') ORDER BY length(p_name), p_name, p_partkey LIMIT 10")
+def concept_search(s, d):
+    return G.search(read(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "1")
+
+
+@query(f"""SELECT target, round(max(total), 6) AS relevance, min(hops)::INT AS hops, (min(hops) - 1)::INT AS distance FROM (
+  SELECT dst AS target, strength AS total, 1 AS hops FROM {SYM} WHERE src IN (1, 2)
+  UNION ALL SELECT b.dst, a.strength + b.strength, 2 FROM {SYM} a JOIN {SYM} b ON a.dst = b.src AND NOT (b.dst = a.src) WHERE a.src IN (1, 2)) GROUP BY 1""")
+def two_hop_reach(s, d):
+    seeds = s.createDataFrame([(1,), (2,)], "id long")
+    return G.reach(edges(s, d), seeds).select("target", F.round("relevance", 6).alias("relevance"), "hops", "distance")
+
+
+@query("SELECT 'n' || n_nationkey AS id FROM nation WHERE n_regionkey = 1 UNION SELECT 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1")
+def containment(s, d):
+    a = read(s, d, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
+    b = read(s, d, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst"))
+    return G.contained(a.union(b), "r1")
+
+
+@query(f"SELECT p_partkey AS id, p_name AS name, coalesce(n, 0)::INT AS n FROM part LEFT JOIN (SELECT src, count(*) AS n FROM {SYM} GROUP BY 1) ON src = p_partkey")
+def concept_detail_left(s, d):
+    part = read(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return G.detail(part, edges(s, d)).select("id", "name", F.size("related").alias("n"))
+
+
+DIST = "1 - list_sum(list_transform(range(1, 65), lambda i: v.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))))"
+
+
+def vectors(s, d):
+    return read(s, d, "embeddings").withColumn("id", F.col("vec_id"))
+
+
+def first_query(s, d):
+    return list(read(s, d, "embeddings").where("vec_id = 0").first().embedding)
+
+
+@query(f"SELECT v.vec_id AS id, round({DIST}, 6) AS distance FROM embeddings v, embeddings q WHERE q.vec_id = 0 ORDER BY {DIST}, v.vec_id LIMIT 10")
+def knn(s, d):
+    return V.knn(vectors(s, d), first_query(s, d), 10).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"SELECT v.vec_id AS id, round({DIST}, 6) AS distance FROM embeddings v, embeddings q WHERE q.vec_id = 0 AND v.label = 3 ORDER BY {DIST}, v.vec_id LIMIT 10")
+def knn_filtered(s, d):
+    return V.knn(vectors(s, d), first_query(s, d), 10, F.col("label") == 3).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"SELECT query_id, rank, id FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, (row_number() OVER (PARTITION BY q.vec_id ORDER BY {DIST}, v.vec_id))::INT AS rank FROM embeddings v, embeddings q WHERE q.vec_id < 5) WHERE rank <= 5")
+def knn_multi(s, d):
+    q = vectors(s, d).where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return V.knn_many(vectors(s, d), q).select("query_id", "rank", "id")
+
+
+@query(f"SELECT id FROM (SELECT v.vec_id AS id, v.label AS label, {DIST} AS dist FROM embeddings v, embeddings q WHERE q.vec_id = 0 ORDER BY dist, id LIMIT 15) ORDER BY label DESC, dist, id LIMIT 5")
+def rerank(s, d):
+    return V.search(vectors(s, d), first_query(s, d), F.col("label").cast("double")).select("id")
+
+
+@query(f"""WITH seeds AS (SELECT v.vec_id + 1 AS id FROM embeddings v, embeddings q WHERE q.vec_id = 0 ORDER BY {DIST}, v.vec_id LIMIT 5)
+SELECT id, round(max(total), 6) AS relevance FROM (
+  SELECT dst AS id, strength AS total FROM {SYM} WHERE src IN (SELECT id FROM seeds)
+  UNION ALL SELECT b.dst, a.strength + b.strength FROM {SYM} a JOIN {SYM} b ON a.dst = b.src AND NOT (b.dst = a.src) WHERE a.src IN (SELECT id FROM seeds)) GROUP BY 1""")
+def hybrid_search(s, d):
+    v = vectors(s, d).withColumn("concept_id", F.col("vec_id") + 1)
+    return V.hybrid(v, first_query(s, d), edges(s, d)).select("id", F.round("relevance", 6).alias("relevance"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_props(s, d):
+    return read(s, d, "events").select("event_id", F.get(X.json_in_text(F.col("props"), "struct<k:string>"), F.lit(0))["k"].alias("k"))
+
+
+JOBS = "(SELECT user_id AS job_id, event_type AS status, event_id AS seq FROM events)"
+
+
+def job_log(s, d):
+    return read(s, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.col("event_id").alias("seq"))
+
+
+@query(f"SELECT job_id, arg_max(status, seq) AS status FROM {JOBS} GROUP BY 1")
+def job_latest_status(s, d):
+    return J.latest(job_log(s, d))
+
+
+@query(f"SELECT job_id FROM (SELECT job_id, arg_max(status, seq) AS status FROM {JOBS} GROUP BY 1) WHERE status IN ('click', 'view')")
+def job_filter(s, d):
+    return J.filtered(J.latest(job_log(s, d)), ["click", "view"]).select("job_id")
+
+
+@query(f"SELECT status, count(*) AS n FROM {JOBS} GROUP BY 1")
+def job_status_counts(s, d):
+    return J.status_counts(job_log(s, d))
