@@ -27,11 +27,13 @@ from .shared import crc_bucket, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: About so many texts of each language are learned from.
-SAMPLE = 400
+SAMPLE = 300
 CHUNK, LONGEST = 31, 14
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 SLICE = 6 << 20
+#: Words whose segmentations the learner sums at a time.
+BLOCK = 8000
 
 
 def pieces(path: str = VOCABULARY) -> list[bytes]:
@@ -143,21 +145,27 @@ def learn(texts: list[str], langs: list[str], vocabulary: list[bytes], rounds: i
     counts = counts[order]
     lattice, v, n = Lattice(vocabulary), len(vocabulary), len(names)
     p = np.full((v, n), 1.0 / v)
-    places = list(lattice.places(matrix, lengths)) if len(unique) else []
-    u, width = matrix.shape if len(unique) else (0, 1)
+    u = len(unique)
+    blocks = []  # of words, so that the lattice's sums never cover all words at once
+    for a in range(0, u, BLOCK):
+        m, size = matrix[a : a + BLOCK, : int(lengths[a])], lengths[a : a + BLOCK]
+        blocks.append((counts[a : a + BLOCK], size, list(lattice.places(m, size))))
     for _ in range(rounds if u else 0):
-        alpha, beta, expected = np.zeros((width + 1, u, n)), np.zeros((width + 1, u, n)), np.zeros((v, n))
-        alpha[0] = 1
-        for start, end, w, piece in places:
-            alpha[end, w] += alpha[start, w] * p[piece]
-        beta[lengths, np.arange(u)] = 1
-        for start, end, w, piece in sorted(places, key=lambda x: -x[0]):
-            beta[start, w] += beta[end, w] * p[piece]
-        scale = counts / (alpha[lengths, np.arange(u)] + 1e-300)
-        for start, end, w, piece in places:
-            share = alpha[start, w] * p[piece] * beta[end, w] * scale[w]
-            for k in range(n):
-                expected[:, k] += np.bincount(piece, share[:, k], v)
+        expected = np.zeros((v, n))
+        for count, size, places in blocks:
+            m, width = len(size), int(size[0])
+            alpha, beta = np.zeros((width + 1, m, n)), np.zeros((width + 1, m, n))
+            alpha[0] = 1
+            for start, end, w, piece in places:
+                alpha[end, w] += alpha[start, w] * p[piece]
+            beta[size, np.arange(m)] = 1
+            for start, end, w, piece in sorted(places, key=lambda x: -x[0]):
+                beta[start, w] += beta[end, w] * p[piece]
+            scale = count / (alpha[size, np.arange(m)] + 1e-300)
+            for start, end, w, piece in places:
+                share = alpha[start, w] * p[piece] * beta[end, w] * scale[w]
+                for k in range(n):
+                    expected[:, k] += np.bincount(piece, share[:, k], v)
         p = (expected + smooth) / (expected.sum(0) + smooth * v)
     share = np.bincount(of, minlength=n).astype(float)
     return names, p, np.log(share / share.sum())

@@ -30,6 +30,8 @@ FEATURES = 1 << 18
 #: Besides the word itself, its first so many bytes (if it is longer) are features: stems with any ending.
 BEGINNINGS = (4, 5, 6, 7, 8)
 PER_WORD = 1 + len(BEGINNINGS)
+#: Texts whose words the learner holds at a time.
+BLOCK = 200
 ENDS = np.zeros(256, bool)
 ENDS[[10, 33, 46, 63]] = True
 
@@ -55,21 +57,34 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def learn(texts: list[str], toxic: np.ndarray, rounds: int = 50, rate: float = 0.3, decay: float = 5e-4) -> tuple[np.ndarray, float]:
     """Weights of the features and the bias, by full-batch AdaGrad from smoothed log-odds."""
     y = np.asarray(toxic, float)
-    raw, offsets = kernel.utf8(pa.array(texts, pa.large_string()))
-    feature, sentences, rows, _, _ = bags(raw, offsets)
-    row = np.repeat(np.arange(len(texts)), np.diff(sentences[rows]))
-    pairs = np.unique(row * FEATURES + feature)
-    of = pairs % FEATURES
-    label = y[pairs // FEATURES]
-    pos, neg = np.bincount(of, label, FEATURES), np.bincount(of, 1 - label, FEATURES)
+    pos, neg = np.zeros(FEATURES), np.zeros(FEATURES)
+
+    def parts():
+        """Bags of a few hundred texts at a time: the driver never holds all words."""
+        for k in range(0, len(texts), BLOCK):
+            raw, offsets = kernel.utf8(pa.array(texts[k : k + BLOCK], pa.large_string()))
+            feature, sentences, rows, _, _ = bags(raw, offsets)
+            yield y[k : k + BLOCK], feature, sentences, rows
+
+    for label, feature, sentences, rows in parts():
+        row = np.repeat(np.arange(len(label)), np.diff(sentences[rows]))
+        pairs = np.unique(row * FEATURES + feature)
+        of, label = pairs % FEATURES, label[pairs // FEATURES]
+        pos += np.bincount(of, label, FEATURES)
+        neg += np.bincount(of, 1 - label, FEATURES)
     n1, n0 = y.sum(), len(y) - y.sum()
     odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))
     used = pos + neg >= 8
     used[0] = False  # stands for no beginning
     w = np.where(used & (odds > 2), odds, 0.0)
-    kept = used[feature]  # the others stay at weight 0
-    sentences = np.concatenate([[0], np.cumsum(kept)])[sentences]
-    feature = feature[kept]
+    features, sizes, counts = [], [], []
+    for _, feature, sentences, rows in parts():
+        kept = used[feature]  # the others stay at weight 0
+        sizes.append(np.diff(np.concatenate([[0], np.cumsum(kept)])[sentences]))
+        features.append(feature[kept].astype(np.int32))
+        counts.append(np.diff(rows))
+    feature = np.concatenate(features)
+    sentences, rows = (np.concatenate([[0], np.cumsum(np.concatenate(x))]) for x in (sizes, counts))
     b = -4.0
     g2, b2 = np.full(FEATURES, 1e-2), 1e-2
     for _ in range(rounds):
