@@ -27,7 +27,7 @@ from .shared import crc_bucket, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: About so many texts of each language are learned from.
-SAMPLE = 300
+SAMPLE = 120
 CHUNK, LONGEST = 31, 14
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
