@@ -15,6 +15,7 @@ letter get ``und`` and score 0. With no labelled text at all, every text gets
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -182,6 +183,20 @@ def sample(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     return known.where(u < F.element_at(share, F.col("lang"))).select("text", "lang")
 
 
+def learned(docs: DataFrame, vocabulary_path: str = VOCABULARY, per_language: int = SAMPLE) -> tuple[list[str], np.ndarray | None, np.ndarray | None]:
+    """What ``learn`` gives for the sample. One task learns from it, so that the driver holds the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if b.num_rows]
+        if found:
+            rows = pa.Table.from_batches(found)
+            model = learn(rows.column("text").to_pylist(), rows.column("lang").to_pylist(), pieces(vocabulary_path))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = sample(docs, per_language).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else ([], None, None)
+
+
 def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     alpha = np.zeros(256, bool)
     alpha[65:91] = alpha[97:123] = True
@@ -194,9 +209,8 @@ def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def identify(docs: DataFrame, vocabulary_path: str = VOCABULARY, per_language: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score (the posterior of the prediction)."""
-    found = sample(docs, per_language).toPandas()
+    names, p, prior = learned(docs, vocabulary_path, per_language)
     vocabulary = pieces(vocabulary_path)
-    names, p, prior = learn(list(found["text"]), list(found["lang"]), vocabulary) if len(found) else ([], None, None)
     model = docs.sparkSession.sparkContext.broadcast((vocabulary, names, p, prior))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
