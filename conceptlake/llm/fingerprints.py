@@ -81,16 +81,20 @@ def edited(docs: DataFrame, near: DataFrame) -> DataFrame:
     """doc_id, text and its edited text: the last quarter replaced by the beginning of the next document."""
     docs = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     asked = near.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev"), "need")
-    heads = docs.join(asked, "doc_id").select("prev", F.substring("text", F.lit(1), F.col("need")).alias("head"))
+    # both joins take the same rows by the same key, so that the texts are shuffled once
+    known, rest = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    heads = known.join(asked, "doc_id").select("prev", F.substring("text", F.lit(1), F.col("need")).alias("head"))
     heads = heads.groupBy("prev").agg(F.min("head").alias("head")).withColumnRenamed("prev", "doc_id")
     cut = F.floor(F.length("text") / 4).cast("int")
     keep = F.substring("text", F.lit(1), F.length("text") - cut)
-    return docs.join(heads, "doc_id", "left").select("doc_id", "text", F.concat(keep, F.substring(F.coalesce("head", F.lit("")), F.lit(1), cut)).alias("edited"))
+    both = known.join(heads, "doc_id", "left").unionByName(rest.withColumn("head", F.lit(None).cast("string")))
+    return both.select("doc_id", "text", F.concat(keep, F.substring(F.coalesce("head", F.lit("")), F.lit(1), cut)).alias("edited"))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    # an id that is long already gets no cast: an alias on one side alone would keep the joins from sharing their shuffle
+    docs = docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long"), "text")
     near = neighbours(docs)
     rows = edited(docs, near).select("doc_id", "text", "edited", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"))
     rows = _steps(rows, "text", "a").drop("text")
