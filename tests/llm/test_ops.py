@@ -96,6 +96,21 @@ def test_html(spark):
     assert got == {1: "A & B one two three", 2: "first story is long enough to be more than half", 3: "another story that is also long enough for this", 4: ""}
 
 
+def texts_of(spark, rows):
+    return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_differences_marked_articles(spark):
+    page = "<body><article><p>All rights reserved by us</p><p>{}</p>{}</article></body>"
+    story = [f"story {k} " + " ".join(f"w{k}x{j}" for j in range(20)) for k in range(4)]
+    quote = "<p>a passage that two articles quote</p>"
+    rows = [(k, f"http://a/{k}", page.format(story[k], quote if k < 2 else "")) for k in range(4)]
+    two = [(k + 10, f"http://b/{k}", page.format(story[k], quote)) for k in range(2)]
+    got = texts_of(spark, rows + two)
+    assert [got[k] for k in range(4)] == [story[k] + (" a passage that two articles quote" if k < 2 else "") for k in range(4)]
+    assert got[10] == f"All rights reserved by us {story[0]} a passage that two articles quote"
+
+
 def test_lines_brute_force(spark):
     base = "this line is long enough to be compared with other lines of the corpus"
     rows = spark.createDataFrame([(1, base), (2, base.replace("long", "lung") + "\nshort"), (3, base[3:]), (4, base + "!!")], "doc_id long, text string")
