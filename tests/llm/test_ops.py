@@ -111,6 +111,13 @@ def test_html_differences_marked_articles(spark):
     assert got[10] == f"All rights reserved by us {story[0]} a passage that two articles quote"
 
 
+def test_html_steps_over_copies(spark):
+    page = "<body><p>Site menu line with many entries of the site</p><p>{}</p></body>"
+    copy = page.format("one story that stands at four neighbouring URLs")
+    rows = [(k, f"http://a/{k}", copy) for k in range(4)] + [(4, "http://a/4", page.format("short"))]
+    assert texts_of(spark, rows) == {**{k: "one story that stands at four neighbouring URLs" for k in range(4)}, 4: "short"}
+
+
 def test_lines_brute_force(spark):
     base = "this line is long enough to be compared with other lines of the corpus"
     rows = spark.createDataFrame([(1, base), (2, base.replace("long", "lung") + "\nshort"), (3, base[3:]), (4, base + "!!")], "doc_id long, text string")
