@@ -2,13 +2,17 @@
 
 A seed is a fixed mask over token positions; positions it ignores may differ. The
 masks' hashes of the benchmark's items are joined with those of all texts. Around a
-hit, item and text are laid on the hit's diagonal and the best stretch (a match
-counts 1, a substitution -3) decides: it is a leak from ``least`` matching tokens on,
-or from four fifths of a shorter item's.
+hit, item and text are laid on the hit's diagonal: it is a leak from ``least`` equal
+tokens on, or from four fifths of a shorter item's, counted over the whole item.
+Reported is the best stretch (a match counts 1, a substitution -3) if it has as many,
+else all from the first to the last equal token.
+
+Items of up to LOSSLESS tokens have masks of their own besides: the item is cut into
+two parts more than a fifth of its tokens, and a mask holds two of the parts, so that
+some mask fits wherever a fifth of the tokens differ or lie beyond the text's end.
 
 Tokens are runs of ASCII letters, digits and bytes above 127, A-Z lowered. Items of
-5 to 10 tokens, which no mask fits, are sought as a whole; items of fewer tokens are
-no evidence and never reported. The benchmark is taken in blocks of a bounded number of
+fewer than 5 tokens are no evidence and never reported. The benchmark is taken in blocks of a bounded number of
 items, each sent to all tasks, so it may be of any size. Null and empty texts have no leak; null ids are
 carried; repeated rows each have their leaks; other columns are ignored.
 """
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +33,7 @@ from .shared import table
 
 #: Of 11 positions, 7 count.
 MASKS = ("11101100101", "11010110011", "10111001011")
-SPAN, SHORTEST = 11, 5
+SPAN, SHORTEST, LOSSLESS = 11, 5, 19
 BLOCK = 20_000
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, matched long, share double"
 
@@ -45,8 +50,17 @@ def seeds(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return kernel.mix(out)
 
 
-def masks_of(n: int) -> list[tuple[int, str]]:
-    return list(enumerate(MASKS)) if n >= SPAN else [(n + 100, "1" * n)] if n >= SHORTEST else []
+def masks_of(n: int) -> list[tuple[int, str, range]]:
+    """Salt and mask of every seed of an item of ``n`` tokens, and the item's tokens that it begins at."""
+    found = [(k, m, range(n - SPAN + 1)) for k, m in enumerate(MASKS)] if n >= SPAN else []
+    if SHORTEST <= n <= LOSSLESS:
+        parts = n // 5 + 2
+        cuts = [k * n // parts for k in range(parts + 1)]
+        for i, j in combinations(range(parts), 2):
+            size, gap = cuts[i + 1] - cuts[i], cuts[j] - cuts[i + 1]
+            mask = "1" * size + "0" * gap + "1" * (cuts[j + 1] - cuts[j])
+            found.append((len(MASKS), mask, range(cuts[i], cuts[i] + 1)))
+    return found
 
 
 class Index:
@@ -60,8 +74,8 @@ class Index:
         found: dict[tuple[int, str], list] = {}
         for r, tokens in enumerate(self.tokens):
             for m in masks_of(len(tokens)):
-                s = seeds(tokens, m[1], m[0])
-                found.setdefault(m, []).append((s, np.full(len(s), r), np.arange(len(s))))
+                at = np.asarray(m[2])
+                found.setdefault(m[:2], []).append((seeds(tokens, m[1], m[0])[at], np.full(len(at), r), at))
         self.tables = {}
         for m, parts in found.items():
             s, r, p = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -69,7 +83,7 @@ class Index:
             self.tables[m] = (s[order], r[order], p[order])
 
     def leaks(self, hashes: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(row, item, first token, tokens, matches): the best stretch of each row and item."""
+        """(row, item, first token, tokens, matches): the leak with the most matches of each row and item."""
         hits = set()
         for (salt, mask), (codes, items, places) in self.tables.items():
             s = seeds(hashes, mask, salt)
@@ -82,16 +96,22 @@ class Index:
             k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             hits.update(zip(np.repeat(row, n).tolist(), items[k].tolist(), (np.repeat(at, n) - places[k]).tolist(), strict=True))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for row, item, shift in hits:
+        for row, item, shift in sorted(hits):
             tokens = self.tokens[item]
             a, b = max(int(rows[row]), shift), min(int(rows[row + 1]), shift + len(tokens))
             same = hashes[a:b] == tokens[a - shift : b - shift]
+            least = min(self.least, -(-4 * len(tokens) // 5))
+            if same.sum() < least:
+                continue
             score = np.cumsum(np.where(same, 1, -3))
             low = np.minimum.accumulate(np.concatenate([[0], score[:-1]]))
             end = int((score - low).argmax())
             start = int(np.flatnonzero(np.concatenate([[0], score[:end]]) == low[end])[-1])
             matched = int(same[start : end + 1].sum())
-            if matched >= min(self.least, -(-4 * len(tokens) // 5)) and matched > best.get((row, item), (0,))[0]:
+            if matched < least:
+                start, end = (int(x) for x in np.flatnonzero(same)[[0, -1]])
+                matched = int(same.sum())
+            if matched > best.get((row, item), (0,))[0]:
                 best[row, item] = (matched, a + start - int(rows[row]), end + 1 - start)
         return [(row, item, start, n, matched) for (row, item), (matched, start, n) in sorted(best.items())]
 

@@ -1,5 +1,7 @@
 """Brute force, held-out accuracy and edge cases of the subpackage's operators."""
 
+import itertools
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -88,6 +90,25 @@ def test_leaks_against_brute_force(spark, docs):
     assert [(r.start_word, r.n_words, r.matched) for r in decontamination.find_leaks(swapped, item).collect()] == [(2, 20, 19)]
 
 
+@pytest.mark.parametrize("n", range(5, 20))
+def test_leaks_at_all_placings(n):
+    """Every placing of substitutions that leaves four fifths or 13 of the item's tokens (up to a fifth substituted), and texts that end within it."""
+    item = [f"w{k}" for k in range(n)]
+    index = decontamination.Index([(1, " ".join(item))], 13)
+    placings = [set(x) for r in range(n // 5 + 1) for x in itertools.combinations(range(n), r)]
+    texts = ["x " + " ".join("zz" if k in p else w for k, w in enumerate(item)) + " q" for p in placings]
+    texts += ["x " + " ".join(item[: n - r]) for r in range(1, n // 5 + 1)] + [" ".join(item[r:]) + " q" for r in range(1, n // 5 + 1)]
+    raw, offsets = kernel.utf8(pa.array(texts))
+    h, _, _, rows = kernel.words(raw, offsets, kernel.WORD_BYTE)
+    found = index.leaks(h, rows)
+    assert [r for r, *_ in found] == list(range(len(texts)))
+    assert all(m >= min(13, -(-4 * n // 5)) for *_, m in found)
+    few = [" ".join("zz" if k <= max(n // 5, n - 13) else w for k, w in enumerate(item))]
+    raw, offsets = kernel.utf8(pa.array(few))
+    h, _, _, rows = kernel.words(raw, offsets, kernel.WORD_BYTE)
+    assert index.leaks(h, rows) == []
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><script>x='</p>'</script></head><body><nav><a>menu</a></nav><article><h1>A &amp; B</h1><p>one <b>two</b>\n three<div class='comments'><p>reader</p></div><aside>s</aside></article><footer>f</footer></body></html>"
     bare = "<body><p>Site menu line</p><p>{}</p><p>Contact us</p></body>"
