@@ -1,8 +1,10 @@
 """Line dedup by a segment-partition edit join, in DataFrame expressions only.
 
-Lines (split at \\n, trimmed of blanks) of ``min_chars`` code points or more are compared;
-shorter ones repeat by nature and always stay. Equal lines are one (64-bit hash and
-length). A line is cut into threshold + 1 even segments; of two lines within
+Lines (split at \\n, trimmed of blanks) of ``min_chars`` code points or more are compared,
+in the pipeline every line that isn't blank. Equal lines are one (64-bit hash and
+length). Two lines match within one edit for every EACH code points of the shorter, at
+most ``threshold``; those shorter than EACH match only if equal. A line is cut into
+threshold + 1 even segments; of two lines within
 ``threshold`` edits, one segment of the shorter is in the longer, near its place. The
 index holds every line's segments by length, number and hash; a line probes it with
 the substrings that the multi-match-aware rule leaves for each length. Lines that
@@ -29,6 +31,8 @@ from pyspark.sql.window import Window
 from .shared import components, materialize, table
 
 THRESHOLD, MIN_CHARS = 2, 48
+#: Code points of the shorter line for every edit.
+EACH = 24
 #: Hashes or document ids (8 bytes each) that are sent to every task.
 SENT = 1_000_000
 
@@ -65,7 +69,7 @@ def keys(line: Column, length: Column, threshold: int = THRESHOLD) -> tuple[Colu
 
 def distinct_lines(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """h, n, first (doc_id, line_no), index and probe keys of each distinct line."""
-    index, probe = keys(F.col("line"), F.length("line"), threshold)
+    index, probe = (F.when(F.length("line") >= EACH, k).otherwise(F.array().cast("array<long>")) for k in keys(F.col("line"), F.length("line"), threshold))
     keyed = rows.select("h", F.struct("doc_id", "line_no").alias("at"), index.alias("index"), probe.alias("probe"))
     return keyed.groupBy("h").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.first("index").alias("index"), F.first("probe").alias("probe"))
 
@@ -77,11 +81,16 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialize(texts.dropDuplicates(["h"]))
 
 
+def _near(x: str, y: str, threshold: int) -> Column:
+    """Whether the lines of two columns match."""
+    return F.levenshtein(x, y, threshold).between(0, F.floor(F.least(F.length(x), F.length(y)) / EACH))
+
+
 def _verified(rows: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) of line hashes within the threshold, as (u, v)."""
     texts = _texts(rows, pairs.select(F.col("a").alias("h")).union(pairs.select("b")))
     left, right = texts.select(F.col("h").alias("a"), F.col("line").alias("x")), texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
-    near = pairs.join(left, "a").join(right, "b").where(F.levenshtein("x", "y", threshold) >= 0)
+    near = pairs.join(left, "a").join(right, "b").where(_near("x", "y", threshold))
     return near.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
@@ -100,7 +109,7 @@ def line_links(rows: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD)
     rooted = rooted.join(_texts(rows, rooted.select("h")), "h")
     left = rooted.where("indexed").select("k", F.col("h").alias("u"), F.col("root").alias("ru"), F.col("line").alias("x"))
     right = rooted.where("not indexed").select("k", F.col("h").alias("v"), F.col("root").alias("rv"), F.col("line").alias("y"))
-    near = (F.col("left.ru") != F.col("right.rv")) & (F.levenshtein("left.x", "right.y", threshold) >= 0)
+    near = (F.col("left.ru") != F.col("right.rv")) & _near("left.x", "right.y", threshold)
     rest = left.alias("left").join(right.alias("right"), (F.col("left.k") == F.col("right.k")) & near).select("u", "v")
     return materialize(first.union(rest.distinct()))
 
@@ -119,12 +128,12 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     return found.where("doc_id <> kept.doc_id or line_no <> kept.line_no").select("doc_id", "line_no", F.col("kept.doc_id").alias("class_doc_id"), F.col("kept.line_no").alias("class_line_no"), "n_texts").distinct()
 
 
-def removals(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def removals(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = 1) -> DataFrame:
     """doc_id and the ascending numbers of its lines that go."""
     return line_classes(docs, threshold, min_chars).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
 
 
-def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = 1) -> DataFrame:
     """``docs`` with the lines that go removed from the text; a text of which nothing remains goes with its row."""
     gone = materialize(removals(docs, threshold, min_chars)).withColumnRenamed("doc_id", "_id").withColumnRenamed("gone", "_gone")
     rest = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(_gone, i)), '\\n')")

@@ -145,6 +145,42 @@ def test_lines_brute_force(spark):
     assert [(r.doc_id, r.gone) for r in line_dedup.removals(rows).orderBy("doc_id").collect()] == [(2, [0]), (4, [0])]
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def dedup_by_hand(docs):
+    """The texts (by doc_id) without lines that repeat an earlier one, over all pairs of lines."""
+    at = [(i, k, x.strip(" ")) for i, t in sorted(docs.items()) for k, x in enumerate(t.split("\n")) if x.strip(" ")]
+    texts = sorted({x for *_, x in at})
+    root = {x: x for x in texts}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in itertools.combinations(texts, 2):
+        most = min(2, min(len(a), len(b)) // 24)
+        if abs(len(a) - len(b)) <= most and find(a) != find(b) and edits(a, b) <= most:
+            root[find(a)] = find(b)
+    seen, gone = set(), set()
+    for i, k, x in at:
+        (gone.add((i, k)) if find(x) in seen else seen.add(find(x)))
+    kept = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in docs.items()}
+    return {i: t for i, t in kept.items() if t.strip(" ") or not any(g == i for g, _ in gone)}
+
+
+def test_short_lines_brute_force(spark):
+    base, mid = "this line is long enough to be compared with other lines of the corpus", "a line of thirty characters, so"
+    docs = {1: f"{base}\nshort\n{mid}\n\nYes.", 2: f"short\n{base.replace('long', 'lung')}\n\nnew here", 3: "short", 4: f"{mid}x\nshirt\n  Yes. ", 5: f"{mid}xyz\n{base[:46]}\n{base[:44]}", 6: "ab\nab\nac"}
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == dedup_by_hand(docs) and 3 not in got and got[6] == "ab\nac"
+
+
 def test_licence_lines(spark):
     rows = spark.createDataFrame([(1, "Text.\nReleased under the MIT License."), (2, "Licensed under the Apache License, Version 2.0."), (3, "He lost the license of his car.")], "doc_id long, text string")
     assert {(r.doc_id, r.paragraph, r.family) for r in licences.scan(rows).collect()} == {(1, 1, "mit"), (2, 0, "apache")}
