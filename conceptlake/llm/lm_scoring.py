@@ -1,14 +1,17 @@
 """LM scoring by masked pseudo-likelihood.
 
 A small network predicts every token from the two tokens before and the two after
-it: one embedding table per place, a tanh layer, a softmax over the vocabulary. The
-sum of the conditional log-probabilities scores a text.
-
-The vocabulary comes from the counts of all words in all texts: the most frequent
-words, and for all others 64 classes by hash, within which a word has its share of
-the corpus (by 2**18 hashed slots). The network is trained in numpy on all
-partitions: each task steps through its own texts from the same start, and the
-parameters are averaged by tokens, in two rounds; no text leaves its task.
+it: one embedding a word, scaled by place, a tanh layer, and a hierarchical softmax
+over all words of the corpus. The sum of the conditional log-probabilities scores a
+text; over the vocabulary the probabilities of a place sum to 1.
+
+The vocabulary is every distinct word of all texts with its count, so it grows with
+the corpus; it and 34 parameters a word come to the driver and go to every task. The
+softmax is a Huffman tree of the counts: a word's probability is the product of the
+turns on its path, each a logistic unit that starts at the counts' own odds. The
+network is trained in numpy on all partitions: each task steps through its own texts
+from the same start, and each row of parameters is averaged over the tasks by its
+examples, in ROUNDS rounds; no text leaves its task.
 
 Words are runs of ASCII letters, digits and bytes above 127, A-Z lowered; beyond a
 text's ends stands a boundary token. Null and empty texts have no token, a log
@@ -28,7 +31,6 @@ from pyspark.sql import functions as F
 from . import kernel
 from .shared import table
 
-VOCABULARY, CLASSES, SLOTS = 128, 32, 1 << 18
 PLACES, HIDDEN = (-2, -1, 1, 2), 16
 #: One token of STRIDE is a training example in a round; a round's examples differ from the next's.
 STRIDE, ROUNDS, STEP, BATCH = 16, 2, 0.15, 2048
@@ -37,98 +39,127 @@ GROUPS = 16
 
 
 class Vocabulary:
-    """Token of every word by its hash; token 0 is the boundary."""
-
-    def __init__(self, slots: np.ndarray, counts: np.ndarray, words: np.ndarray, tops: np.ndarray):
-        """Used slots, their counts, and each slot's most frequent word and its count."""
-        most = np.lexsort((words, -tops))[: VOCABULARY - CLASSES - 1]
-        self.known = np.sort(words[most].view(np.uint64))
-        inner = np.zeros(SLOTS)
-        inner[slots] = counts
-        inner[slots[most]] -= tops[most]
-        token = np.arange(SLOTS) % CLASSES
-        per = np.bincount(token, inner + 0.5, CLASSES)
-        self.inner = np.log((inner + 0.5) / per[token]).astype(np.float32)
-        total = np.zeros(VOCABULARY)
-        first = CLASSES + 1
-        at = np.searchsorted(self.known, words[most].view(np.uint64))
-        total[first + at] = tops[most]
-        total[1:first] = np.bincount(token, inner, CLASSES)
-        self.prior = np.log((total + 0.5) / (total + 0.5).sum()).astype(np.float32)
-
-    def tokens(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token of every word, and its log share of the token."""
-        out = (1 + h % np.uint64(CLASSES)).astype(np.int64)
-        if not len(self.known):
-            return out, self.inner[(h % np.uint64(SLOTS)).astype(np.int64)]
-        at = np.searchsorted(self.known, h)
-        at[at == len(self.known)] = 0
-        hit = self.known[at] == h
-        out[hit] = CLASSES + 1 + at[hit]
-        share = self.inner[(h % np.uint64(SLOTS)).astype(np.int64)]
-        share[hit] = 0
-        return out, share
+    """Token of every word by its hash, from 1 on in the hashes' order; token 0 is the boundary. The words' tree."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        """Distinct words' hashes and their counts."""
+        order = np.argsort(words)
+        self.known = words[order]
+        self.size = n = len(words)
+        by = order[np.argsort(counts[order], kind="stable")]
+        rank = np.argsort(order)[by]  # leaves by count, as places in self.known
+        weight = counts[by].tolist() + [0] * max(n - 1, 0)
+        up, right = [0] * len(weight), [False] * len(weight)
+        leaf, node = 0, n  # the two queues of Huffman's algorithm: leaves by count, and inner nodes as they come
+        odds = np.zeros(max(n - 1, 0), np.float32)
+        for new in range(n, 2 * n - 1):
+            pair = []
+            for _ in range(2):
+                if leaf < n and (node >= new or weight[leaf] <= weight[node]):
+                    pair.append(leaf)
+                    leaf += 1
+                else:
+                    pair.append(node)
+                    node += 1
+            x, y = pair
+            weight[new] = weight[x] + weight[y]
+            up[x] = up[y] = new - n
+            right[y] = True
+            odds[new - n] = np.log(weight[y] / weight[x])
+        up, right = np.array(up, np.int32), np.array(right, bool)
+        self.odds = odds
+        #: Inner node above each token and each inner node (-1 above the root), and whether it is the right one below it.
+        self.above, self.right = np.full(n + 1, -1, np.int32), np.zeros(n + 1, bool)
+        if n > 1:
+            self.above[1 + rank], self.right[1 + rank] = up[:n], right[:n]
+        self.node_above, self.node_right = up[n:].copy(), right[n:].copy()
+        self.node_above[-1:] = -1
+
+    def tokens(self, h: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.known, h) + 1
+
+    def steps(self, token: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per level of the tree from the words up: indexes into ``token``, their inner nodes, and 1 for right, 0 for left."""
+        at, node, right = np.arange(len(token)), self.above[token], self.right[token]
+        while True:
+            on = node >= 0
+            if not on.all():
+                at, node, right = at[on], node[on], right[on]
+            if not len(at):
+                return
+            yield at, node, right
+            node, right = self.node_above[node], self.node_right[node]
 
 
 class Network:
-    """Parameters as one float32 vector: embeddings by place, hidden bias, output weights, output bias."""
-
-    SIZES = (len(PLACES) * VOCABULARY * HIDDEN, HIDDEN, HIDDEN * VOCABULARY, VOCABULARY)
+    """Parameters as rows of one float32 matrix: embeddings by token, inner nodes' weights and bias, hidden bias and scales by place."""
 
-    def __init__(self, flat: np.ndarray):
-        self.flat = flat
-        cut = np.cumsum((0, *self.SIZES))
-        e, b, w, c = (flat[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True))
-        self.e, self.b, self.w, self.c = e.reshape(len(PLACES), VOCABULARY, HIDDEN), b, w.reshape(HIDDEN, VOCABULARY), c
+    def __init__(self, words: Vocabulary, rows: np.ndarray):
+        self.words, self.rows, n = words, rows, words.size + 1
+        self.nodes = n  # first row of the inner nodes
+        self.e, self.w, self.c = rows[:n, :HIDDEN], rows[n : -1 - len(PLACES), :HIDDEN], rows[n : -1 - len(PLACES), HIDDEN]
+        self.b, self.d = rows[-1 - len(PLACES), :HIDDEN], rows[-len(PLACES) :, :HIDDEN]
+        self.squares = self.seen = None
 
     @classmethod
-    def start(cls, prior: np.ndarray) -> np.ndarray:
+    def start(cls, words: Vocabulary) -> np.ndarray:
         rng = np.random.default_rng(5)
-        flat = np.zeros(sum(cls.SIZES), np.float32)
-        net = cls(flat)
+        rows = np.zeros((words.size + 1 + len(words.odds) + 1 + len(PLACES), HIDDEN + 1), np.float32)
+        net = cls(words, rows)
         net.e[:] = rng.normal(0, 0.1, net.e.shape)
-        net.w[:] = rng.normal(0, 0.1, net.w.shape)
-        net.c[:] = prior
-        return flat
+        net.c[:] = words.odds
+        net.d[:] = 1
+        return rows
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.b + self.e[0][context[0]]
+        h = self.b + self.d[0] * self.e[context[0]]
         for k in range(1, len(PLACES)):
-            h += self.e[k][context[k]]
+            h += self.d[k] * self.e[context[k]]
         return np.tanh(h, out=h)
 
     def log_probability(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-        out = np.empty(len(token), np.float32)
+        out = np.zeros(len(token), np.float32)
         for a in range(0, len(token), BATCH):
-            t = token[a : a + BATCH]
-            z = self.hidden(context[:, a : a + BATCH]) @ self.w
-            z += self.c
-            own = z[np.arange(len(t)), t]
-            np.exp(np.minimum(z, 60, out=z), out=z)
-            out[a : a + BATCH] = own - np.log(z.sum(1))
+            h = self.hidden(context[:, a : a + BATCH])
+            for at, node, right in self.words.steps(token[a : a + BATCH]):
+                z = np.einsum("ij,ij->i", h[at], self.w[node]) + self.c[node]
+                z[right] *= -1
+                out[a + at] -= np.log1p(np.exp(np.minimum(z, 60)))
         return out
 
-    def train(self, context: np.ndarray, token: np.ndarray, squares: "Network") -> None:
-        """One AdaGrad step on these examples."""
-        n = len(token)
+    def train(self, context: np.ndarray, token: np.ndarray) -> None:
+        """One AdaGrad step on these examples, with one step size a row."""
+        if self.squares is None:
+            self.squares, self.seen = np.ones(len(self.rows), np.float32), np.zeros(len(self.rows), np.int64)
         h = self.hidden(context)
-        z = h @ self.w
-        z += self.c
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(n), token] -= 1
-        z /= n
-        dh = (z @ self.w.T) * (1 - h * h)
-        for p, g, s in ((self.w, h.T @ z, squares.w), (self.c, z.sum(0), squares.c), (self.b, dh.sum(0), squares.b)):
-            s += g * g
-            p -= STEP * g / np.sqrt(s)
+        dh, nodes, slopes = np.zeros_like(h), [], []
+        for at, node, right in self.words.steps(token):
+            w, x = self.w[node], h[at]
+            g = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", x, w) + self.c[node], -60, 60))) - right
+            g = g.astype(np.float32)[:, None]
+            dh[at] += g * w
+            nodes.append(node)
+            slopes.append(np.concatenate([g * x, g], 1))
+        dh *= 1 - h * h
+        dense = np.zeros((1 + len(PLACES), HIDDEN + 1), np.float32)
+        dense[0, :HIDDEN] = dh.sum(0)
+        inputs = np.zeros((len(PLACES) * len(token), HIDDEN + 1), np.float32)
         for k in range(len(PLACES)):
-            hot = np.zeros((VOCABULARY, n), np.float32)
-            hot[context[k], np.arange(n)] = 1
-            g = hot @ dh
-            squares.e[k] += g * g
-            self.e[k] -= STEP * g / np.sqrt(squares.e[k])
+            dense[1 + k, :HIDDEN] = (dh * self.e[context[k]]).sum(0)
+            inputs[k * len(token) : (k + 1) * len(token), :HIDDEN] = dh * self.d[k]
+        if nodes:
+            self._step(self.nodes + np.concatenate(nodes), np.concatenate(slopes))
+        self._step(context.reshape(-1), inputs)
+        self._step(np.arange(len(self.rows) - len(dense), len(self.rows)), dense, len(token))
+
+    def _step(self, at: np.ndarray, slopes: np.ndarray, examples: int = 1) -> None:
+        order = np.argsort(at)
+        at = at[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        g, at = np.add.reduceat(slopes[order], first), at[first]
+        self.seen[at] += examples * np.diff(np.append(first, len(order)))
+        self.squares[at] += (g * g).mean(1)
+        self.rows[at] -= STEP * g / np.sqrt(self.squares[at])[:, None]
 
 
 def contexts(tokens: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -149,62 +180,79 @@ def word_rows(raw, offsets):
 
 
 def count_words(docs: DataFrame) -> Vocabulary:
-    """Counts over all words of all texts; a row for each hashed slot comes to the driver."""
+    """Counts over all words of all texts; a row for each word comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, raw, offsets in kernel.slices(batches, "text", 8 << 20):
             h, n = np.unique(word_rows(raw, offsets)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    words = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    # pmod by a power of two is the low bits, as in Vocabulary.tokens
-    slots = words.groupBy(F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.sum("n").alias("c"), F.max(F.struct("n", "h")).alias("top")).select("slot", "c", F.col("top.h").alias("h"), F.col("top.n").alias("n")).toPandas()
-    return Vocabulary(slots["slot"].to_numpy(np.int64), slots["c"].to_numpy(float), slots["h"].to_numpy(np.int64), slots["n"].to_numpy(float))
+    words = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
+    return Vocabulary(words["h"].to_numpy().view(np.uint64), words["n"].to_numpy())
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters averaged over all tasks, weighted by their examples."""
+    """Parameters averaged over all tasks, each row weighted by its examples."""
     spark = docs.sparkSession
-    flat = Network.start(vocabulary.prior)
+    rows = Network.start(vocabulary)
     words = spark.sparkContext.broadcast(vocabulary)
     for k in range(rounds):
-        now = spark.sparkContext.broadcast(flat)
+        now = spark.sparkContext.broadcast(rows)
 
         def steps(batches: Iterator[pa.RecordBatch], k=k, now=now) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            net, squares = Network(now.value.copy()), Network(np.full(len(now.value), 1e-4, np.float32))
-            seen, left = 0, []
+            net, left = Network(words.value, now.value.copy()), []
             for _, raw, offsets in kernel.slices(batches, "text"):
-                h, rows = word_rows(raw, offsets)
-                token, _ = words.value.tokens(h)
+                h, at = word_rows(raw, offsets)
+                token = words.value.tokens(h)
                 pick = np.arange(k * (STRIDE // 2), len(token), STRIDE)
-                left.append((contexts(token, rows)[:, pick], token[pick]))
+                left.append((contexts(token, at)[:, pick], token[pick]))
                 context, token = np.concatenate([c for c, _ in left], 1), np.concatenate([t for _, t in left])
                 cut = len(token) // BATCH * BATCH
                 for a in range(0, cut, BATCH):
-                    net.train(context[:, a : a + BATCH], token[a : a + BATCH], squares)
-                seen, left = seen + cut, [(context[:, cut:], token[cut:])]
+                    net.train(context[:, a : a + BATCH], token[a : a + BATCH])
+                left = [(context[:, cut:], token[cut:])]
             if left and len(left[0][1]):
-                net.train(*left[0], squares)
-                seen += len(left[0][1])
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), pa.array([seen], pa.int64()), pa.array([net.flat.tobytes()], pa.binary())], ["g", "n", "p"])
+                net.train(*left[0])
+            if net.seen is not None:
+                found = np.flatnonzero(net.seen)
+                for g in range(GROUPS):
+                    ids = found[found % GROUPS == g]
+                    yield _packed(g, ids, net.seen[ids], net.rows[ids])
+
+        found = docs.select("text").mapInArrow(steps, PACKED).repartition(GROUPS, "g").mapInArrow(_summed, PACKED).toLocalIterator()
+        rows = rows.copy()
+        for r in found:
+            rows[np.frombuffer(r.ids, np.int64)] = np.frombuffer(r.p, np.float32).reshape(-1, HIDDEN + 1)
+        now.unpersist()
+    return rows
+
+
+PACKED = "g int, ids binary, n binary, p binary"
+
 
-        found = docs.select("text").mapInArrow(steps, "g int, n long, p binary").repartition(GROUPS, "g").mapInArrow(_summed, "n long, p binary").collect()
-        if found:
-            flat = (sum(np.frombuffer(r.p, np.float64) for r in found) / sum(r.n for r in found)).astype(np.float32)
-    return flat
+def _packed(g: int, ids: np.ndarray, n: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+    """Rows of parameters: their numbers, examples and values."""
+    columns = (ids.astype(np.int64), n.astype(np.int64), p.astype(np.float32))
+    return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], ["g", "ids", "n", "p"])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n, total = 0, None
+    """Means of the rows of each group, by their examples."""
+    sums: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for batch in batches:
-        for k, p in zip(batch.column("n").to_pylist(), batch.column("p").to_pylist(), strict=True):
-            v = np.frombuffer(p, np.float32).astype(np.float64) * k
-            n, total = n + k, v if total is None else total + v
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "p"])
+        for g, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ids, n, p = (np.frombuffer(x, t) for x, t in zip(packed, (np.int64, np.int64, np.float32), strict=True))
+            p = p.reshape(-1, HIDDEN + 1) * n[:, None].astype(np.float64)
+            if g in sums:
+                ids, n, p = (np.concatenate(x) for x in zip(sums[g], (ids, n, p), strict=True))
+                order = np.argsort(ids)
+                ids = ids[order]
+                first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else order
+                if len(ids):
+                    ids, n, p = ids[first], np.add.reduceat(n[order], first), np.add.reduceat(p[order], first)
+            sums[g] = ids, n, p
+    for g, (ids, n, p) in sums.items():
+        yield _packed(g, ids, n, p / n[:, None])
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -214,12 +262,11 @@ def score(docs: DataFrame) -> DataFrame:
     model = spark.sparkContext.broadcast((vocabulary, train(docs, vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, flat = model.value
-        net = Network(flat)
+        net = Network(*model.value)
         for batch, raw, offsets in kernel.slices(batches, "text"):
             h, rows = word_rows(raw, offsets)
-            token, share = vocabulary.tokens(h)
-            logs = net.log_probability(contexts(token, rows), token).astype(np.float64) + share
+            token = net.words.tokens(h)
+            logs = net.log_probability(contexts(token, rows), token).astype(np.float64)
             total = np.concatenate([[0.0], np.cumsum(logs)])
             n = np.diff(rows)
             sums = np.where(n > 0, total[rows[1:]] - total[rows[:-1]], 0.0)

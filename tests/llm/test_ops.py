@@ -181,6 +181,22 @@ def test_short_lines_brute_force(spark):
     assert got == dedup_by_hand(docs) and 3 not in got and got[6] == "ab\nac"
 
 
+def test_every_word_has_its_own_probability():
+    rng = np.random.default_rng(1)
+    counts = np.array([900, 40, 40, 7, *[1] * 300])
+    vocabulary = lm_scoring.Vocabulary(rng.permutation(1 << 20)[: len(counts)].astype(np.uint64), counts)
+    net = lm_scoring.Network(vocabulary, lm_scoring.Network.start(vocabulary))
+    every = np.arange(1, len(counts) + 1)
+    context = np.repeat(np.array([[3], [0], [9], [300]]), len(counts), 1)
+    at = vocabulary.tokens(vocabulary.known)
+    assert at.tolist() == every.tolist()
+    for _ in range(20):
+        assert np.isclose(np.exp(net.log_probability(context, every).astype(float)).sum(), 1, atol=1e-4)
+        net.train(context[:, :8], np.array([5, 5, 5, 5, 5, 5, 5, 6]))
+    p = np.exp(net.log_probability(context, every))
+    assert p[4] > p[5] > p[6:].max() and len(net.e) == len(counts) + 1
+
+
 def test_licence_lines(spark):
     rows = spark.createDataFrame([(1, "Text.\nReleased under the MIT License."), (2, "Licensed under the Apache License, Version 2.0."), (3, "He lost the license of his car.")], "doc_id long, text string")
     assert {(r.doc_id, r.paragraph, r.family) for r in licences.scan(rows).collect()} == {(1, 1, "mit"), (2, 0, "apache")}
