@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +33,12 @@ from . import kernel
 from .shared import table
 
 PLACES, HIDDEN = (-2, -1, 1, 2), 16
-#: One token of STRIDE is a training example in a round; a round's examples differ from the next's.
-STRIDE, ROUNDS, STEP, BATCH = 16, 2, 0.15, 2048
+#: Every token is a training example in one of the rounds, by its place in its text.
+ROUNDS, STEP, BATCH = 2, 0.15, 2048
 #: Most rows of parameters that are summed by one task at a time and then sent to the driver.
 GROUPS = 16
+#: Parameters as they are sent; steps and sums are taken in wider types.
+SENT = np.float16
 
 
 class Vocabulary:
@@ -174,6 +177,12 @@ def contexts(tokens: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def examples(rows: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """The tokens that are training examples in round k."""
+    place = np.arange(rows[-1]) - np.repeat(rows[:-1], np.diff(rows))
+    return np.flatnonzero(place % rounds == k)
+
+
 def word_rows(raw, offsets):
     h, _, _, rows = kernel.words(raw, offsets, kernel.WORD_BYTE)
     return h, rows
@@ -191,20 +200,20 @@ def count_words(docs: DataFrame) -> Vocabulary:
     return Vocabulary(words["h"].to_numpy().view(np.uint64), words["n"].to_numpy())
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+def train(docs: DataFrame, words: Broadcast, rounds: int = ROUNDS) -> np.ndarray:
     """Parameters averaged over all tasks, each row weighted by its examples."""
     spark = docs.sparkSession
-    rows = Network.start(vocabulary)
-    words = spark.sparkContext.broadcast(vocabulary)
+    rows = Network.start(words.value).astype(SENT)
     for k in range(rounds):
-        now = spark.sparkContext.broadcast(rows)
+        # every task makes the start itself
+        now = spark.sparkContext.broadcast(rows if k else None)
 
         def steps(batches: Iterator[pa.RecordBatch], k=k, now=now) -> Iterator[pa.RecordBatch]:
-            net, left = Network(words.value, now.value.copy()), []
+            net, left = Network(words.value, Network.start(words.value) if now.value is None else now.value.astype(np.float32)), []
             for _, raw, offsets in kernel.slices(batches, "text"):
                 h, at = word_rows(raw, offsets)
                 token = words.value.tokens(h)
-                pick = np.arange(k * (STRIDE // 2), len(token), STRIDE)
+                pick = examples(at, k, rounds)
                 left.append((contexts(token, at)[:, pick], token[pick]))
                 context, token = np.concatenate([c for c, _ in left], 1), np.concatenate([t for _, t in left])
                 cut = len(token) // BATCH * BATCH
@@ -220,10 +229,11 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.n
                     yield _packed(g, ids, net.seen[ids], net.rows[ids])
 
         found = docs.select("text").mapInArrow(steps, PACKED).repartition(GROUPS, "g").mapInArrow(_summed, PACKED).toLocalIterator()
-        rows = rows.copy()
         for r in found:
-            rows[np.frombuffer(r.ids, np.int64)] = np.frombuffer(r.p, np.float32).reshape(-1, HIDDEN + 1)
-        now.unpersist()
+            rows[np.frombuffer(r.ids, np.int32)] = np.frombuffer(r.p, SENT).reshape(-1, HIDDEN + 1)
+        now.destroy()
+        del found
+        spark._jvm.System.gc()  # lets go of the round's shuffle files
     return rows
 
 
@@ -232,7 +242,7 @@ PACKED = "g int, ids binary, n binary, p binary"
 
 def _packed(g: int, ids: np.ndarray, n: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
     """Rows of parameters: their numbers, examples and values."""
-    columns = (ids.astype(np.int64), n.astype(np.int64), p.astype(np.float32))
+    columns = (ids.astype(np.int32), n.astype(np.float32), p.astype(SENT))
     return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], ["g", "ids", "n", "p"])
 
 
@@ -241,7 +251,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for batch in batches:
         for g, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            ids, n, p = (np.frombuffer(x, t) for x, t in zip(packed, (np.int64, np.int64, np.float32), strict=True))
+            ids, n, p = (np.frombuffer(x, t) for x, t in zip(packed, (np.int32, np.float32, SENT), strict=True))
             p = p.reshape(-1, HIDDEN + 1) * n[:, None].astype(np.float64)
             if g in sums:
                 ids, n, p = (np.concatenate(x) for x in zip(sums[g], (ids, n, p), strict=True))
@@ -258,18 +268,18 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_probability (sum over the tokens), mean_log_probability."""
     spark = docs.sparkSession
-    vocabulary = count_words(docs)
-    model = spark.sparkContext.broadcast((vocabulary, train(docs, vocabulary)))
+    words = spark.sparkContext.broadcast(count_words(docs))
+    rows = spark.sparkContext.broadcast(train(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(*model.value)
+        net = Network(words.value, rows.value.astype(np.float32))
         for batch, raw, offsets in kernel.slices(batches, "text"):
-            h, rows = word_rows(raw, offsets)
+            h, at = word_rows(raw, offsets)
             token = net.words.tokens(h)
-            logs = net.log_probability(contexts(token, rows), token).astype(np.float64)
+            logs = net.log_probability(contexts(token, at), token).astype(np.float64)
             total = np.concatenate([[0.0], np.cumsum(logs)])
-            n = np.diff(rows)
-            sums = np.where(n > 0, total[rows[1:]] - total[rows[:-1]], 0.0)
+            n = np.diff(at)
+            sums = np.where(n > 0, total[at[1:]] - total[at[:-1]], 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums), pa.array(sums / np.maximum(n, 1), mask=n == 0)], ["doc_id", "n_tokens", "log_probability", "mean_log_probability"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, log_probability double, mean_log_probability double")

@@ -197,6 +197,12 @@ def test_every_word_has_its_own_probability():
     assert p[4] > p[5] > p[6:].max() and len(net.e) == len(counts) + 1
 
 
+def test_every_token_is_an_example():
+    rows = np.array([0, 5, 5, 6, 40])
+    for rounds in (1, lm_scoring.ROUNDS, 3):
+        assert sorted(np.concatenate([lm_scoring.examples(rows, k, rounds) for k in range(rounds)])) == list(range(40))
+
+
 def test_licence_lines(spark):
     rows = spark.createDataFrame([(1, "Text.\nReleased under the MIT License."), (2, "Licensed under the Apache License, Version 2.0."), (3, "He lost the license of his car.")], "doc_id long, text string")
     assert {(r.doc_id, r.paragraph, r.family) for r in licences.scan(rows).collect()} == {(1, 1, "mit"), (2, 0, "apache")}
