@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,14 +184,14 @@ def sample(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     return known.where(u < F.element_at(share, F.col("lang"))).select("text", "lang")
 
 
-def learned(docs: DataFrame, vocabulary_path: str = VOCABULARY, per_language: int = SAMPLE) -> tuple[list[str], np.ndarray | None, np.ndarray | None]:
+def learned(docs: DataFrame, vocabulary: Broadcast, per_language: int = SAMPLE) -> tuple[list[str], np.ndarray | None, np.ndarray | None]:
     """What ``learn`` gives for the sample. One task learns from it, so that the driver holds the model alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [b for b in batches if b.num_rows]
         if found:
             rows = pa.Table.from_batches(found)
-            model = learn(rows.column("text").to_pylist(), rows.column("lang").to_pylist(), pieces(vocabulary_path))
+            model = learn(rows.column("text").to_pylist(), rows.column("lang").to_pylist(), vocabulary.value)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     found = sample(docs, per_language).repartition(1).mapInArrow(run, "model binary").collect()
@@ -207,38 +208,53 @@ def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+class Identifier:
+    """The model learned from ``docs``, sent to all tasks."""
+
+    def __init__(self, docs: DataFrame, vocabulary_path: str = VOCABULARY, per_language: int = SAMPLE):
+        vocabulary = docs.sparkSession.sparkContext.broadcast(pieces(vocabulary_path))
+        self.model = docs.sparkSession.sparkContext.broadcast(learned(docs, vocabulary, per_language))
+        self.vocabulary, self.lattice = vocabulary, None
+
+    def __getstate__(self):
+        return self.model, self.vocabulary
+
+    def __setstate__(self, state):
+        (self.model, self.vocabulary), self.lattice = state, None
+
+    def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Language (``und`` without a letter) and posterior of each row."""
+        names, p, prior = self.model.value
+        n = len(offsets) - 1
+        if not names:
+            return ["und"] * n, np.zeros(n)
+        self.lattice = self.lattice or Lattice(self.vocabulary.value)
+        h, s, e, rows = text_words(raw, offsets)
+        total = np.zeros((n, len(names)))
+        if len(h):
+            _, first, back = np.unique(h, return_index=True, return_inverse=True)
+            matrix, lengths, order = word_matrix(raw, s[first], e[first])
+            logs = np.empty((len(first), len(names)))
+            for a in range(0, len(first), 20_000):
+                b = min(a + 20_000, len(first))
+                logs[order[a:b]] = forward(self.lattice, p, matrix[a:b, : int(lengths[a])], lengths[a:b])
+            row = np.repeat(np.arange(n), np.diff(rows))
+            for k in range(len(names)):
+                total[:, k] = np.bincount(row, logs[back, k], n)
+        total += prior
+        best = total.argmax(1)
+        known = has_letter(raw, offsets)
+        score = np.where(known, 1 / np.exp(total - total.max(1, keepdims=True)).sum(1), 0.0)
+        return [names[b] if k else "und" for b, k in zip(best, known, strict=True)], score
+
+
 def identify(docs: DataFrame, vocabulary_path: str = VOCABULARY, per_language: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score (the posterior of the prediction)."""
-    names, p, prior = learned(docs, vocabulary_path, per_language)
-    vocabulary = pieces(vocabulary_path)
-    model = docs.sparkSession.sparkContext.broadcast((vocabulary, names, p, prior))
+    model = Identifier(docs, vocabulary_path, per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, names, p, prior = model.value
-        lattice = Lattice(vocabulary)
         for batch, raw, offsets in kernel.slices(batches, "text", SLICE):
-            n = batch.num_rows
-            pred, score = ["und"] * n, np.zeros(n)
-            if names:
-                h, s, e, rows = text_words(raw, offsets)
-                total = np.zeros((n, len(names)))
-                if len(h):
-                    _, first, back = np.unique(h, return_index=True, return_inverse=True)
-                    matrix, lengths, order = word_matrix(raw, s[first], e[first])
-                    logs = np.empty((len(first), len(names)))
-                    for a in range(0, len(first), 20_000):
-                        b = min(a + 20_000, len(first))
-                        width = int(lengths[a])
-                        logs[order[a:b]] = forward(lattice, p, matrix[a:b, :width], lengths[a:b])
-                    row = np.repeat(np.arange(n), np.diff(rows))
-                    for k in range(len(names)):
-                        total[:, k] = np.bincount(row, logs[back, k], n)
-                total += prior
-                best = total.argmax(1)
-                score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-                known = has_letter(raw, offsets)
-                score = np.where(known, score, 0.0)
-                pred = [names[b] if k else "und" for b, k in zip(best, known, strict=True)]
+            pred, score = model.predict(raw, offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -246,10 +262,15 @@ def identify(docs: DataFrame, vocabulary_path: str = VOCABULARY, per_language: i
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Rows whose language is found with a posterior of ``least`` or more; others go."""
-    rejected = identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id")
-    rejected = rejected.where("doc_id is not null").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").where("text is not null").select(*docs.columns)
+    """Rows whose language is found with a posterior of ``least`` or more; others go. Each row is decided by its own text."""
+    model = Identifier(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, offsets in kernel.slices(batches, "text", SLICE):
+            pred, score = model.predict(raw, offsets)
+            yield batch.filter(pa.array((np.array(pred) != "und") & (score >= least), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_language_id(spark, sf_dir) -> DataFrame:

@@ -8,16 +8,17 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one only where a local session names none (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = getattr(spark, "_conceptlake_dir", None) or "file://" + tempfile.mkdtemp(prefix="conceptlake-")
         spark._conceptlake_dir = path
     return path.rstrip("/")
@@ -28,15 +29,43 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/conceptlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _tables.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
+#: Tables that are still there.
+_tables: list[tuple[SparkSession, str]] = []
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote; nothing that is still to be computed may read them."""
+    _delete({t._table for t in tables})
+
+
+def _delete(paths: set[str]) -> None:
+    for spark, path in [x for x in _tables if x[1] in paths]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session may be gone at exit
+        _tables.remove((spark, path))
+
+
+def tables_now() -> set[str]:
+    """The tables that ``materialize`` has written and nobody has dropped."""
+    return {path for _, path in _tables}
+
+
+def drop_since(before: set[str]) -> None:
+    """Deletes the tables that aren't in ``before``."""
+    _delete(tables_now() - before)
+
+
+@atexit.register
+def _at_exit() -> None:
+    try:
+        _delete(tables_now())
+    except Exception:  # the session may be gone
         pass
 
 
@@ -87,7 +116,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small)
+        last, now = now, materialize(small)
+        drop(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -97,11 +127,3 @@ def components(edges: DataFrame) -> DataFrame:
     done = rooted.union(roots)
     lone = alone.distinct().join(done.select(F.col("id").alias("u")), "u", "left_anti").select(F.col("u").alias("id"), F.col("u").alias("root"))
     return done.union(lone)
-
-
-def add_columns(df: DataFrame, **columns: Column) -> DataFrame:
-    return df.withColumns(columns)
-
-
-def long_field(name: str) -> T.StructField:
-    return T.StructField(name, T.LongType())

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from conceptlake.llm import decontamination, language, line_dedup, mixing, ngram_join
-from conceptlake.llm.shared import shared_dir, table
+from conceptlake.llm.shared import drop_since, shared_dir, table, tables_now
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +54,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
+        before = tables_now()
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
+        drop_since(before)
         docs = spark.read.parquet(f"{at}/{k}")
     return docs
