@@ -1,25 +1,24 @@
 """Line dedup by a segment-partition edit join, in DataFrame expressions only.
 
-Lines (split at \\n, trimmed of blanks) of ``min_chars`` code points or more are compared,
-in the pipeline every line that isn't blank. Equal lines are one (64-bit hash and
-length). Two lines match within one edit for every EACH code points of the shorter, at
-most ``threshold``; those shorter than EACH match only if equal. A line is cut into
-threshold + 1 even segments; of two lines within
-``threshold`` edits, one segment of the shorter is in the longer, near its place. The
-index holds every line's segments by length, number and hash; a line probes it with
-the substrings that the multi-match-aware rule leaves for each length. Lines that
-share a key are verified by the banded edit distance of ``levenshtein`` (the
-built-in has the band of the threshold; it is not bit-parallel, which no DataFrame
-expression offers).
+Lines (split at \\n, trimmed of blanks) that aren't blank are compared. Equal lines are
+one (128 bits of hash). Two lines match within one edit for every EACH code points of
+the shorter, at most ``threshold``; those shorter than EACH match only if equal. A line
+is cut into threshold + 1 even segments; of two lines within ``threshold`` edits, one
+segment of the shorter is in the longer, near its place. The index holds every line's
+segments by length, number and hash; a line probes it with the substrings that the
+multi-match-aware rule leaves for each length. Lines that share a key are verified by a
+banded bit-parallel edit distance: a bit for each diagonal of the band and number of
+edits, all of them in one long that is folded over the line's code points.
 
 First each line is compared with the smallest of its keys (a star), then all pairs
 of a key whose lines are still in different classes. A class is all lines reachable
 by links; its first line (smallest doc_id, then line number) stays, the others go.
 
-Null text has no line; a null id's lines are neither compared nor removed. Repeated
-rows of an id count as one in the order and lose the same lines: the first
-occurrence stays in each. An empty table gives an empty result. Other columns are
-carried by ``deduplicated`` and ignored otherwise.
+Null text has no line; a null id's lines are neither compared nor removed. Rows that
+share an id but not the text have lines of their own, in the order of the texts' hashes;
+repeated rows count as one in the order and lose the same lines: the first occurrence
+stays in each. An empty table gives an empty result. Other columns, whatever their
+names, are carried by ``deduplicated`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -28,20 +27,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import components, materialize, table
+from .shared import components, drop, materialize, table
 
-THRESHOLD, MIN_CHARS = 2, 48
+THRESHOLD = 2
 #: Code points of the shorter line for every edit.
 EACH = 24
 #: Hashes or document ids (8 bytes each) that are sent to every task.
 SENT = 1_000_000
 
 
-def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, line_no (from 0), line (trimmed), h: the lines that are compared."""
-    rows = docs.where("text is not null and doc_id is not null").select(F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.select("doc_id", "line_no", F.trim("line").alias("line")).where(F.length("line") >= min_chars)
-    return rows.withColumn("h", F.xxhash64("line", F.length("line")))
+def lines(docs: DataFrame) -> DataFrame:
+    """doc_id, t (the text's hash), line_no (from 0), line (trimmed), h, c (hashes of the line): the lines that are compared."""
+    rows = docs.where("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = rows.select("doc_id", "t", "line_no", F.trim("line").alias("line")).where(F.length("line") >= 1)
+    return rows.withColumns({"h": F.xxhash64("line", F.length("line")), "c": F.xxhash64(F.lit(1), "line")})
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -68,30 +67,51 @@ def keys(line: Column, length: Column, threshold: int = THRESHOLD) -> tuple[Colu
 
 
 def distinct_lines(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """h, n, first (doc_id, line_no), index and probe keys of each distinct line."""
+    """h, c, n, first (doc_id, t, line_no), index and probe keys of each distinct line."""
     index, probe = (F.when(F.length("line") >= EACH, k).otherwise(F.array().cast("array<long>")) for k in keys(F.col("line"), F.length("line"), threshold))
-    keyed = rows.select("h", F.struct("doc_id", "line_no").alias("at"), index.alias("index"), probe.alias("probe"))
-    return keyed.groupBy("h").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.first("index").alias("index"), F.first("probe").alias("probe"))
+    keyed = rows.select("h", "c", F.struct("doc_id", "t", "line_no").alias("at"), index.alias("index"), probe.alias("probe"))
+    return keyed.groupBy("h").agg(F.min("c").alias("c"), F.count("*").alias("n"), F.min("at").alias("first"), F.first("index").alias("index"), F.first("probe").alias("probe"))
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h, line of the wanted hashes."""
+    """h, u (four bytes a code point) of the wanted hashes."""
     wanted = materialize(wanted.distinct())
     texts = rows.select("h", "line").join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "h", "left_semi")
-    return materialize(texts.dropDuplicates(["h"]))
-
-
-def _near(x: str, y: str, threshold: int) -> Column:
-    """Whether the lines of two columns match."""
-    return F.levenshtein(x, y, threshold).between(0, F.floor(F.least(F.length(x), F.length(y)) / EACH))
+    found = materialize(texts.dropDuplicates(["h"]).select("h", F.encode("line", "UTF-32").alias("u")))
+    drop(wanted)
+    return found
+
+
+def within(x: str, y: str, threshold: int = THRESHOLD) -> Column:
+    """Whether two lines (columns of four bytes a code point) match, by a banded bit-parallel edit distance.
+
+    After i code points of y, bit d + threshold of field e is set if the first i + d of x
+    are at most e edits from them. A match keeps the diagonal, a substitution too with one
+    edit more, an insertion goes one diagonal down, a deletion one up.
+    """
+    if not 0 <= threshold <= 2:
+        raise ValueError("the band holds at most two edits")
+    t, size = threshold, 2 * threshold + 2  # bits of a field, one of them a guard
+    fields = [e * size for e in range(t + 1)]
+    band = sum(((1 << 2 * t + 1) - 1) << f for f in fields)
+    start = sum(1 << f + d + t for e, f in enumerate(fields) for d in range(e + 1))
+    n, m = f"cast(octet_length({x}) / 4 as int)", f"cast(octet_length({y}) / 4 as int)"
+    same = " | ".join(f"if(i + {d} >= 0 and substring({x}, 4 * (i + {d}) + 1, 4) = substring({y}, 4 * i + 1, 4), {1 << d + t}L, 0L)" for d in range(-t, t + 1))
+    matches = f"transform(sequence(0, {m} - 1), i -> ({same}) * {sum(1 << f for f in fields)}L)"
+    step = f"(((p & q) | shiftleft(p, {size}) | shiftright(shiftleft(p, {size}), 1)) & {band}L)"
+    deleted = " | ".join([step, *(f"shiftleft({step}, {k * (size + 1)})" for k in range(1, t + 1))])
+    edits = f"least({t}, floor(least({n}, {m}) / {EACH}))"
+    end = f"aggregate({matches}, {start}L, (p, q) -> ({deleted}) & {band}L)"
+    return F.expr(f"if(abs({n} - {m}) > {edits}, false, if({x} = {y}, true, {edits} > 0 and shiftright({end}, cast({edits} * {size} + {n} - {m} + {t} as int)) & 1L = 1L))")
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) of line hashes within the threshold, as (u, v)."""
     texts = _texts(rows, pairs.select(F.col("a").alias("h")).union(pairs.select("b")))
-    left, right = texts.select(F.col("h").alias("a"), F.col("line").alias("x")), texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
-    near = pairs.join(left, "a").join(right, "b").where(_near("x", "y", threshold))
-    return near.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    left, right = texts.select(F.col("h").alias("a"), F.col("u").alias("x")), texts.select(F.col("h").alias("b"), F.col("u").alias("y"))
+    near = materialize(pairs.join(left, "a").join(right, "b").where(within("x", "y", threshold)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    drop(texts)
+    return near
 
 
 def line_links(rows: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -101,54 +121,60 @@ def line_links(rows: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD)
     shared = sides.withColumns({"lo": F.min("h").over(by), "hi": F.max("h").over(by)}).where("lo <> hi")
     shared = materialize(shared.select("k", "h", "indexed", "lo"))
     star = materialize(shared.where("h <> lo").select(F.col("lo").alias("a"), F.col("h").alias("b")).distinct())
-    first = materialize(_verified(rows, star, threshold))
+    first = _verified(rows, star, threshold)
     rooted = shared.join(components(first).select(F.col("id").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     split = rooted.groupBy("k").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("k")
     rooted = materialize(rooted.join(split, "k"))
     # the lines come along, so that the join itself verifies and makes no row for pairs that are no links
-    rooted = rooted.join(_texts(rows, rooted.select("h")), "h")
-    left = rooted.where("indexed").select("k", F.col("h").alias("u"), F.col("root").alias("ru"), F.col("line").alias("x"))
-    right = rooted.where("not indexed").select("k", F.col("h").alias("v"), F.col("root").alias("rv"), F.col("line").alias("y"))
-    near = (F.col("left.ru") != F.col("right.rv")) & _near("left.x", "right.y", threshold)
-    rest = left.alias("left").join(right.alias("right"), (F.col("left.k") == F.col("right.k")) & near).select("u", "v")
-    return materialize(first.union(rest.distinct()))
-
-
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, line_no of every line that goes, with its class: the first line's doc_id and line_no, and the class's distinct lines."""
+    texts = _texts(rows, rooted.select("h"))
+    lined = rooted.join(texts, "h")
+    left = lined.where("indexed").select("k", F.col("h").alias("u"), F.col("root").alias("ru"), F.col("u").alias("x"))
+    right = lined.where("not indexed").select("k", F.col("h").alias("v"), F.col("root").alias("rv"), F.col("u").alias("y"))
+    rest = left.join(right, "k").where(F.col("ru") != F.col("rv")).where(within("x", "y", threshold)).select("u", "v")
+    found = materialize(first.union(rest.distinct()))
+    drop(shared, star, first, rooted, texts)
+    return found
+
+
+def line_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, t (the text's hash), line_no of every line that goes, its class's first line (class: doc_id, t, line_no), and the class's distinct lines."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = lines(docs, min_chars)
+    rows = lines(docs)
     distinct = materialize(distinct_lines(rows, threshold))
     links = line_links(rows, distinct, threshold)
     roots = components(links).select(F.col("id").alias("h"), "root")
-    classes = distinct.select("h", "n", "first").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    per = classes.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("total"), F.count("*").alias("n_texts")).where("total > 1")
-    repeated = materialize(classes.join(per, "root").select("h", "kept", "n_texts"))
-    found = rows.select("doc_id", "line_no", "h").join(F.broadcast(repeated) if repeated.count() <= SENT // 4 else repeated, "h")
-    return found.where("doc_id <> kept.doc_id or line_no <> kept.line_no").select("doc_id", "line_no", F.col("kept.doc_id").alias("class_doc_id"), F.col("kept.line_no").alias("class_line_no"), "n_texts").distinct()
+    classes = distinct.select("h", "c", "n", "first").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    per = classes.groupBy("root").agg(F.min("first").alias("class"), F.sum("n").alias("total"), F.count("*").alias("n_texts")).where("total > 1")
+    repeated = materialize(classes.join(per, "root").select("h", "c", "class", "n_texts"))
+    drop(distinct, links)
+    found = rows.select("doc_id", "t", "line_no", "h", "c").join(F.broadcast(repeated) if repeated.count() <= SENT // 8 else repeated, ["h", "c"])
+    return found.where(F.struct("doc_id", "t", "line_no") != F.col("class")).select("doc_id", "t", "line_no", "class", "n_texts").distinct()
 
 
-def removals(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = 1) -> DataFrame:
-    """doc_id and the ascending numbers of its lines that go."""
-    return line_classes(docs, threshold, min_chars).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
+def removals(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, t (the text's hash) and the ascending numbers of the text's lines that go."""
+    return line_classes(docs, threshold).groupBy("doc_id", "t").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
 
 
-def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = 1) -> DataFrame:
+def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with the lines that go removed from the text; a text of which nothing remains goes with its row."""
-    gone = materialize(removals(docs, threshold, min_chars)).withColumnRenamed("doc_id", "_id").withColumnRenamed("gone", "_gone")
-    rest = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(_gone, i)), '\\n')")
-    out = docs.join(gone, docs.doc_id == gone._id, "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest))
+    gone = materialize(removals(docs, threshold))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"))
+    rest = F.expr("array_join(filter(split(row.text, '\\n'), (x, i) -> not array_contains(gone, i)), '\\n')")
+    out = rows.join(gone, ["doc_id", "t"], "left").select("row", "gone", F.when(F.col("gone").isNotNull(), rest).alias("rest"))
+    out = out.where("gone is null or trim(rest) <> ''")
+    changed = {"text": F.coalesce("rest", "row.text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.where(F.col("_gone").isNull() | (F.trim("text") != "")).select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length("rest").cast("long"))
+    return out.select(*(changed[c].alias(c) if c in changed else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op3_line_dedup(spark, sf_dir) -> DataFrame:
     """One row per document: its lines, those removed and their numbers, and in how many classes they are."""
     docs = table(spark, sf_dir, "documents")
-    found = line_classes(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("gone"), F.count_distinct("class_doc_id", "class_line_no").alias("classes"))
-    sized = docs.select(F.col("doc_id").cast("long"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
-    out = sized.join(found, "doc_id", "left")
+    found = line_classes(docs).groupBy("doc_id", "t").agg(F.sort_array(F.collect_list("line_no")).alias("gone"), F.count_distinct("class").alias("classes"))
+    sized = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    out = sized.join(found, ["doc_id", "t"], "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("classes", F.lit(0)).cast("long").alias("n_classes"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed"))
 
 
@@ -156,9 +182,9 @@ OP3_SQL = r"""
 WITH RECURSIVE split AS (
   SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL),
 numbered AS (SELECT doc_id, unnest(range(len(s))) AS line_no, unnest(list_transform(s, lambda x: trim(x, ' '))) AS line FROM split),
-long AS (SELECT * FROM numbered WHERE length(line) >= 48),
-texts AS (SELECT line, row_number() OVER (ORDER BY line) AS h, min((doc_id, line_no)) AS place, length(line) AS n FROM long GROUP BY line),
-parts AS (SELECT h, line, n, n // 3 AS b, n % 3 AS m FROM texts),
+filled AS (SELECT * FROM numbered WHERE length(line) >= 1),
+texts AS (SELECT line, row_number() OVER (ORDER BY line) AS h, min((doc_id, line_no)) AS place, length(line) AS n FROM filled GROUP BY line),
+parts AS (SELECT h, line, n, n // 3 AS b, n % 3 AS m FROM texts WHERE n >= 24),
 segments AS (
   SELECT h, line, n, 0 AS i, substr(line, 1, b) AS seg FROM parts
   UNION ALL SELECT h, line, n, 1, substr(line, b + 1, b + (m >= 2)::INT) FROM parts
@@ -170,13 +196,13 @@ probes AS (
   FROM parts p, (SELECT unnest([0, 1, 2]) AS d) d, (SELECT unnest([0, 1, 2]) AS i) i, (SELECT unnest([-2, -1, 0, 1, 2]) AS shift) z, LATERAL (SELECT p.n - d.d AS len) q),
 links AS (
   SELECT DISTINCT a.h AS u, b.h AS v FROM segments a JOIN probes b ON a.n = b.short AND a.i = b.i AND a.seg = b.seg
-  WHERE a.h <> b.h AND levenshtein(a.line, b.line) <= 2),
+  WHERE a.h <> b.h AND levenshtein(a.line, b.line) <= least(2, least(a.n, b.n) // 24)),
 sym AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
 reach(u, r) AS (SELECT h, h FROM texts UNION SELECT s.v, reach.r FROM reach JOIN sym s ON s.u = reach.u),
 roots AS (SELECT u AS h, min(r) AS root FROM reach GROUP BY 1),
 kept AS (SELECT root, min(place) AS first FROM texts JOIN roots USING (h) GROUP BY 1),
 gone AS (
-  SELECT DISTINCT l.doc_id, l.line_no, k.first FROM long l JOIN texts t USING (line) JOIN roots r USING (h) JOIN kept k USING (root) WHERE (l.doc_id, l.line_no) <> k.first),
+  SELECT DISTINCT l.doc_id, l.line_no, k.first FROM filled l JOIN texts t USING (line) JOIN roots r USING (h) JOIN kept k USING (root) WHERE (l.doc_id, l.line_no) <> k.first),
 per AS (SELECT doc_id, count(*) AS n, count(DISTINCT first) AS c, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS g FROM gone GROUP BY 1)
 SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, coalesce(c, 0)::BIGINT AS n_classes, coalesce(g, '') AS removed
 FROM documents d LEFT JOIN per USING (doc_id)
