@@ -3,8 +3,9 @@
 A text's k-mers are runs of two words (the last word alone is one too), each with the
 number of its earlier occurrences. Their hashes fall into ``BINS`` bins; of each bin
 the two smallest numbered k-mers are selected, put back in text order, and hashed as a
-tuple. Equal tuples in a bin need equal k-mers, equal repetition and equal order, so
-the share of equal bins falls with the edit distance.
+tuple. A bin with one k-mer takes the smallest of the next filled bin as its second, so
+that in short texts too each tuple holds two. Equal tuples in a bin need equal k-mers,
+equal repetition and equal order, so the share of equal bins falls with the edit distance.
 
 The bins take the place of independent hash functions: one pass over the k-mers
 serves all, and a bin that neither text fills does not count. A fingerprint is a
@@ -13,8 +14,9 @@ string of 8 hex digits for each filled bin (2 of the bin, 6 of the tuple).
 Null text is as empty; texts without words have an empty fingerprint, and are alike
 (1) only among themselves. A null id has no next document: its edited text ends
 where the replaced part began, and its likeness to the next is null. Of documents
-that repeat an id, the smallest replacement counts as the text of the next. Other
-columns are ignored; an empty table gives an empty result.
+that repeat an id, the smallest replacement counts as the text of the next, and the
+smallest fingerprint as its fingerprint. Words beyond the first 2**24 of a text count
+as standing at one place. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ def _steps(df: DataFrame, text: str, out: str) -> DataFrame:
     w, s, b, t, p = (f"_{out}_{x}" for x in "wsbtp")
     df = df.select(*rest, F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), "").alias(w))
     # hash of each k-mer above its place
-    kmers = F.expr(f"sort_array(transform({w}, (x, i) -> shiftleft(xxhash64(x, get({w}, i + 1)), {PLACE}) | i))")
+    kmers = F.expr(f"sort_array(transform({w}, (x, i) -> shiftleft(xxhash64(x, get({w}, i + 1)), {PLACE}) | least(i, {PLACES})))")
     df = df.select(*rest, kmers.alias(s))
     begins = F.expr(f"filter(if(size({s}) = 0, cast(array() as array<int>), sequence(0, size({s}) - 1)), i -> i = 0 or shiftright(get({s}, i), {PLACE}) <> shiftright(get({s}, i - 1), {PLACE}))")
     df = df.select(*rest, s, begins.alias(b))
@@ -47,8 +49,9 @@ def _steps(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.select(*rest, numbered.alias(t))
     least = F.expr(f"filter({t}, (v, i) -> i < 2 or shiftright(get({t}, i - 2), {BIN_SHIFT}) <> shiftright(v, {BIN_SHIFT}))")
     df = df.select(*rest, least.alias(p))
-    low, high = f"shiftright(v, {PLACE})", f"shiftright(get({p}, i + 1), {PLACE})"
-    pair = f"if(get({p}, i + 1) is null or shiftright(get({p}, i + 1), {BIN_SHIFT}) <> shiftright(v, {BIN_SHIFT}), xxhash64({low}), if((v & {PLACES}) < (get({p}, i + 1) & {PLACES}), xxhash64({low}, {high}), xxhash64({high}, {low})))"
+    second = f"coalesce(get({p}, i + 1), get({p}, 0))"
+    low, high = f"shiftright(v, {PLACE})", f"shiftright({second}, {PLACE})"
+    pair = f"if(size({p}) = 1, xxhash64({low}), if((v & {PLACES}) < ({second} & {PLACES}), xxhash64({low}, {high}), xxhash64({high}, {low})))"
     tuples = F.expr(f"filter(transform({p}, (v, i) -> if(i = 0 or shiftright(get({p}, i - 1), {BIN_SHIFT}) <> shiftright(v, {BIN_SHIFT}), cast(shiftleft(shiftright(v, {BIN_SHIFT}), 24) | ({pair} & 16777215) as int), -1)), x -> x >= 0)")
     return df.select(*rest, tuples.alias(out))
 
@@ -99,7 +102,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     rows = edited(docs, near).select("doc_id", "text", "edited", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"))
     rows = _steps(rows, "text", "a").drop("text")
     rows = materialize(_steps(rows, "edited", "e").drop("edited"))
-    nexts = near.join(rows.select(F.col("doc_id").alias("next_id"), F.col("a").alias("b")).dropDuplicates(["next_id"]), "next_id").select("doc_id", "b")
+    nexts = near.join(rows.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("a").alias("b")), "next_id").select("doc_id", "b")
     rows = rows.join(nexts, "doc_id", "left")
     return rows.select("doc_id", "n_chars", "edited_sha256", rendered("a").alias("fingerprint"), rendered("e").alias("edited_fingerprint"), likeness("a", "e").alias("near_edited"), F.when(F.col("b").isNotNull(), likeness("a", "b")).alias("near_next"))
 
