@@ -106,19 +106,37 @@ def learn(texts: list[str], toxic: np.ndarray, rounds: int = 50, rate: float = 0
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """About ``size`` rows (text, toxic), chosen by a hash of the id."""
+    """About ``size`` rows (doc_id, text, toxic), chosen by a hash of the id."""
     known = labels.where("toxic is not null and doc_id is not null").where(crc_bucket("doc_id", 3) != 1).select("doc_id", "toxic")
     share = min(1.0, size / max(1, known.count()))
     u = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.where(u < share).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+
+
+def learned(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[np.ndarray, float]:
+    """What ``learn`` gives for the sample. One task learns from it, so that the driver holds the weights alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if b.num_rows]
+        if found:
+            rows = pa.Table.from_batches(found)
+            w, b = learn(rows.column("text").to_pylist(), rows.column("toxic").to_numpy() > 0)
+            at = np.flatnonzero(w)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.int64), w[at])] + [pa.array([float(b)])], ["at", "w", "b"])
+
+    rows = sample(docs, labels, size).repartition(1).sortWithinPartitions("doc_id").select("text", "toxic")
+    found = rows.mapInArrow(run, "at binary, w binary, b double").collect()
+    w = np.zeros(FEATURES)
+    if not found:
+        return w, -30.0
+    w[np.frombuffer(found[0].at, np.int64)] = np.frombuffer(found[0].w, float)
+    return w, found[0].b
 
 
 class Model:
     def __init__(self, docs: DataFrame, labels: DataFrame, size: int = SAMPLE):
-        found = sample(docs, labels, size).toPandas()
-        w, b = learn(list(found["text"]), found["toxic"].to_numpy() > 0) if len(found) else (np.zeros(FEATURES), -30.0)
-        self.model = docs.sparkSession.sparkContext.broadcast((w, b))
+        self.model = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, size))
 
     def scores(self, docs: DataFrame) -> DataFrame:
         """doc_id, score."""
