@@ -12,9 +12,12 @@ two parts more than a fifth of its tokens, and a mask holds two of the parts, so
 some mask fits wherever a fifth of the tokens differ or lie beyond the text's end.
 
 Tokens are runs of ASCII letters, digits and bytes above 127, A-Z lowered. Items of
-fewer than 5 tokens are no evidence and never reported. The benchmark is taken in blocks of a bounded number of
-items, each sent to all tasks, so it may be of any size. Null and empty texts have no leak; null ids are
-carried; repeated rows each have their leaks; other columns are ignored.
+fewer than 5 tokens leak where all their tokens stand in a row; an item without a token
+leaks nowhere. The benchmark is taken in blocks of a bounded number of items, each sent
+to all tasks with one pass over the texts, so it may be of any size. Null and empty
+texts have no leak; null ids are carried; repeated rows each have their leaks;
+``keep_clean`` decides each row by its own text and carries all columns, ``find_leaks``
+ignores other columns.
 """
 
 from __future__ import annotations
@@ -25,15 +28,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
 from .shared import table
 
-#: Of 11 positions, 7 count.
-MASKS = ("11101100101", "11010110011", "10111001011")
-SPAN, SHORTEST, LOSSLESS = 11, 5, 19
+#: Of 11 positions, 7 count; in the last, which misses no substitution of every fifth token, 9.
+MASKS = ("11101100101", "11010110011", "10111001011", "11110111101")
+SPAN, LOSSLESS = 11, 19
 BLOCK = 20_000
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, matched long, share double"
 
@@ -53,7 +57,7 @@ def seeds(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
 def masks_of(n: int) -> list[tuple[int, str, range]]:
     """Salt and mask of every seed of an item of ``n`` tokens, and the item's tokens that it begins at."""
     found = [(k, m, range(n - SPAN + 1)) for k, m in enumerate(MASKS)] if n >= SPAN else []
-    if SHORTEST <= n <= LOSSLESS:
+    if 1 <= n <= LOSSLESS:
         parts = n // 5 + 2
         cuts = [k * n // parts for k in range(parts + 1)]
         for i, j in combinations(range(parts), 2):
@@ -116,19 +120,23 @@ class Index:
         return [(row, item, start, n, matched) for (row, item), (matched, start, n) in sorted(best.items())]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 13) -> DataFrame:
-    """doc_id, item_id, start_word, n_words, matched, share (of the item's tokens): a row for each text and item that leaks into it."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+def blocks(benchmark: DataFrame, least: int) -> Iterator[Broadcast]:
+    """The indexes of the benchmark's blocks, one after the other; the driver holds one at a time."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
     n = -(-items.count() // BLOCK)
-    found = [_against(docs, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items, least) for i in range(n)]
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
+    for i in range(n):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in rows.collect()], least))
 
 
-def _against(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
-    index = docs.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in items.collect()], least))
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 13) -> DataFrame:
+    """doc_id, item_id, start_word, n_words, matched, share (of the item's tokens): a row for each text and item that leaks into it."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    found = [_against(docs, index) for index in blocks(benchmark, least)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], SCHEMA)
+
 
+def _against(docs: DataFrame, index: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offsets in kernel.slices(batches, "text"):
             h, _, _, rows = kernel.words(raw, offsets, kernel.WORD_BYTE)
@@ -142,8 +150,17 @@ def _against(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = 13) -> DataFrame:
     """Rows into whose text no item leaks."""
-    leaked = find_leaks(docs, benchmark, least).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    for index in blocks(benchmark, least):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch, raw, offsets in kernel.slices(batches, "text"):
+                h, _, _, rows = kernel.words(raw, offsets, kernel.WORD_BYTE)
+                clean = np.ones(batch.num_rows, bool)
+                clean[[r for r, *_ in index.value.leaks(h, rows)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op6_benchmark_decontamination(spark, sf_dir) -> DataFrame:
