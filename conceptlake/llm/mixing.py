@@ -11,8 +11,8 @@ by a running sum over the sources in the order in which they reach theirs.
 
 Rows: null text has size 0 and is never taken words of; null source is a source of
 its own, null doc_id hashes as an id of its own. Repeated rows are decided alike.
-An empty table gives an empty result. Other columns are carried by ``mixed`` and
-ignored by ``plan``; columns of the names made here are replaced.
+An empty table gives an empty result. Other columns, whatever their names, are carried
+by ``mixed`` and ignored by ``plan``.
 """
 
 from __future__ import annotations
@@ -54,15 +54,16 @@ def chance(id_col: str = "doc_id", seed: int = 0):
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def _with_targets(docs: DataFrame, found: DataFrame) -> DataFrame:
+def _with_targets(sized: DataFrame, found: DataFrame) -> DataFrame:
+    """``sized`` (doc_id, source, ...) with source_size, target and rate."""
     found = materialize(found)
     same = F.col("_s").eqNullSafe(F.col("source"))
     found = found.withColumnRenamed("source", "_s")
     if found.count() <= SENT_SOURCES:
-        return docs.join(F.broadcast(found), same, "left").drop("_s")
+        return sized.join(F.broadcast(found), same, "left").drop("_s")
     found = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    docs = docs.withColumn("_row", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return docs.join(found, same & (F.col("_row") == F.col("_salt")), "left").drop("_s", "_salt", "_row")
+    sized = sized.withColumn("_row", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return sized.join(found, same & (F.col("_row") == F.col("_salt")), "left").drop("_s", "_salt", "_row")
 
 
 def copies(seed: int = 0):
@@ -72,7 +73,8 @@ def copies(seed: int = 0):
 
 def plan(docs: DataFrame, weights: int = 3, most: int = 3, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target, taken (size times copies) of every row."""
-    sized = docs.select("doc_id", "source", word_count("text").alias("size"))
+    # words are counted once; the sizes are a few bytes a row
+    sized = materialize(docs.select("doc_id", "source", word_count("text").alias("size")))
     out = _with_targets(sized, targets(sized, weights, most))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(seed)).alias("taken"))
 
@@ -80,8 +82,9 @@ def plan(docs: DataFrame, weights: int = 3, most: int = 3, seed: int = 0) -> Dat
 def mixed(docs: DataFrame, weights: int = 3, most: int = 3, seed: int = 0) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
     sized = docs.select("source", word_count("text").alias("size"))
-    out = _with_targets(docs.drop("source_size", "target", "rate"), targets(sized, weights, most))
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies(seed).cast("int")))).select(*docs.columns)
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source")
+    out = _with_targets(row, targets(sized, weights, most))
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), copies(seed).cast("int")))).select("row.*")
 
 
 def op9_mixing_sources(spark, sf_dir) -> DataFrame:
