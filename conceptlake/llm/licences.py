@@ -1,15 +1,20 @@
 """Licence scans with a trained paragraph classifier, in DataFrame expressions only.
 
-Paragraphs are lines. Their features are the words and word pairs of the notices
-below; a multinomial logistic regression over families and an unknown class is fitted
-to the notices, their sentences and sentences without a licence (a fixed, small set;
-fitted on the driver). The temperature that calibrates its probabilities is fitted to
-notices with words left out. A prediction is confirmed by comparison with the
-family's notices: at least ``CONFIRM`` of the paragraph's known pairs must be theirs.
+Paragraphs are lines; a line that ends without punctuation goes on in the next one if
+that begins in lower case, so hard-wrapped notices are one paragraph. Their features are
+the words and word pairs of the notices below, and how many of their words no notice has;
+a multinomial logistic regression over families and an unknown class is fitted to the
+notices, their sentences and sentences without a licence of these families (a fixed,
+small set; fitted on the driver). The temperature that calibrates its probabilities is
+fitted to notices with words left out. A prediction is confirmed by comparison with the
+family's notices: one of them, or one of its sentences, must have at least ``CONFIRM`` of
+its features in the paragraph.
 
 Words are runs of a-z and 0-9 after lowering A-Z; words of STOP alone are no feature,
 so paragraphs without a feature are unknown and make no rows. Null and empty texts
-have no paragraph. Null ids and repeated rows are carried; other columns are ignored.
+have no paragraph. Null ids are carried. Repeated rows count once; rows that share an id
+but not the text each have theirs. Of families with equal scores the last by name is
+taken. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import materialize, table
 
 # Short public notices by family.
 NOTICES = {
@@ -31,42 +36,69 @@ NOTICES = {
     "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-NC-SA 4.0, for noncommercial use."],
     "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0.", "Text is available under the Creative Commons Attribution-ShareAlike License."],
     "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released under CC0 1.0 Universal, dedicated to the public domain.", "CC0 1.0 Universal Public Domain Dedication."],
-    "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License version 2.", "Released under the GPL v3 license.", "SPDX-License-Identifier: GPL-3.0-only"],
+    "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License version 2.", "Released under the GPL v3 license.", "Licensed under the GPLv3.", "Licensed under GPL 2.0 or later.", "SPDX-License-Identifier: GPL-3.0-only"],
+    "bsl": ["Distributed under the Boost Software License, Version 1.0.", "Released under the Boost Software License.", "SPDX-License-Identifier: BSL-1.0"],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "Licensed under the Eclipse Public License v2.0.", "SPDX-License-Identifier: EPL-2.0"],
+    "eupl": ["Licensed under the EUPL.", "Licensed under the European Union Public Licence, version 1.2.", "SPDX-License-Identifier: EUPL-1.2"],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
     "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "Licensed under the GNU Lesser General Public License, version 2.1.", "Released under the LGPL 3.0.", "SPDX-License-Identifier: LGPL-2.1-or-later"],
     "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction.", "Released under the MIT License.", "Licensed under the MIT License.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "SPDX-License-Identifier: MIT"],
+    "mit-0": ["Released under the MIT-0 License.", "Licensed under MIT No Attribution.", "SPDX-License-Identifier: MIT-0"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at mozilla.org/MPL/2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "proprietary": ["Copyright. All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher.", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."],
+    "zlib": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Released under the zlib License.", "SPDX-License-Identifier: Zlib"],
     "unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose.", "SPDX-License-Identifier: Unlicense"],
 }
 # Sentences that share words with notices and are none.
-OTHER = ["The driver lost his license after the accident.", "The software was released in version 2 last year.", "You need a permission slip from the school.", "The general public is welcome at the library.", "They work under difficult conditions.", "A copy of the book is in the source room.", "The apache helicopter flew over the valley.", "She studied at MIT and works on software.", "The warranty of the car covers all parts.", "Please distribute the notes to any person in the class.", "The files are in binary form.", "Copyright law is taught in the second year.", "The terms of the contract were published.", "Free software foundation members met in Boston.", "The international creative commons summit was held in Lisbon.", "Use the following list of names.", "The public domain of the function is the real line.", "Version 3 of the form is used for any purpose.", "All rights of the workers are reserved in law.", "The notice appears on page 4 of the file."]
+OTHER = ["The driver lost his license after the accident.", "The software was released in version 2 last year.", "You need a permission slip from the school.", "The general public is welcome at the library.", "They work under difficult conditions.", "A copy of the book is in the source room.", "The apache helicopter flew over the valley.", "She studied at MIT and works on software.", "The warranty of the car covers all parts.", "Please distribute the notes to any person in the class.", "The files are in binary form.", "Copyright law is taught in the second year.", "The terms of the contract were published.", "Free software foundation members met in Boston.", "The international creative commons summit was held in Lisbon.", "Use the following list of names.", "The public domain of the function is the real line.", "Version 3 of the form is used for any purpose.", "All rights of the workers are reserved in law.", "The notice appears on page 4 of the file.", "Our MIT license review is released under embargo.", "The license was released last week.", "He has a license to fish.", "An apache license plate is red.", "The creative work is licensed under a secret contract.", "The software license of the vendor costs more in version 2.", "The public license office is closed.", "All rights were granted to the publisher of the work.", "The general terms of the license are under review.", "The commons is open to the public under the terms of the city."]
 STOP = frozenset("a all an and any any appear are as at be by can for form forms from has have he her his if in into is it its may more need needs new no not of on one or other part she such than that the their they this to under up used use was were which who will with you your 0 1 2 3 4 5 v".split())
 
-#: Least probability of a family, and least share of the paragraph's known pairs in the family's notices.
-LEAST, CONFIRM = 0.5, 0.5
+#: Least probability of a family, and least share of a notice's features that the paragraph has.
+LEAST, CONFIRM = 0.5, 0.75
+#: Features for paragraphs with words that no notice has, by their share.
+FEW, MANY, SHARE = "#few", "#many", 0.34
 
 
-def grams(text: str) -> list[str]:
-    """Features of a text, with repetition."""
-    w = [x for x in re.split(r"[^a-z0-9]+", text.lower()) if x]
+def words_of(text: str) -> list[str]:
+    return [x for x in re.split(r"[^a-z0-9]+", text.lower()) if x]
+
+
+def grams(text: str, known: frozenset[str] | None = None) -> list[str]:
+    """Features of a text, with repetition; ``known`` are the notices' words."""
+    w = words_of(text)
     pairs = [f"{a} {b}" for a, b in zip(w[:-1], w[1:], strict=True) if not (a in STOP and b in STOP)]
-    return [x for x in w if x not in STOP] + pairs
+    foreign = len(set(w) - known) / len(set(w)) if w and known is not None else 0
+    return [x for x in w if x not in STOP] + pairs + ([MANY if foreign > SHARE else FEW] if foreign else [])
+
+
+def sentences(notice: str) -> list[str]:
+    """The notice and its sentences."""
+    return list(dict.fromkeys([notice, *re.split(r"(?<=[.;])\s+", notice)]))
+
+
+KNOWN = frozenset(w for ts in NOTICES.values() for t in ts for w in words_of(t)) | STOP
 
 
 def _rows() -> tuple[list[list[str]], list[str], list[list[str]], list[str]]:
     fit, label, held, held_label = [], [], [], []
     for family, notices in [*NOTICES.items(), ("unknown", OTHER)]:
         for t in notices:
-            for part in {t, *re.split(r"(?<=[.;:])\s+", t)}:
-                if g := grams(part):
-                    fit.append(g), label.append(family)
-                    for k in range(3):
-                        if len(rest := [x for i, x in enumerate(g) if (i + k) % 3]) > 1:
-                            held.append(rest), held_label.append(family)
+            for part in sentences(t):
+                g = grams(part, KNOWN)
+                for row in [g] if family == "unknown" else [g, [*g, FEW], [*g, MANY]]:  # a notice with a name or a file around it is one too
+                    fit.append(row), label.append(family)
+                for k in range(3):
+                    if len(rest := [x for i, x in enumerate(g) if (i + k) % 3]) > 1:
+                        held.append(rest), held_label.append(family)
     return fit, label, held, held_label
 
 
+def templates() -> list[tuple[str, int, frozenset[str]]]:
+    """Family, number and features of every notice and of its sentences of three features or more."""
+    parts = [(c, frozenset(grams(t))) for c, ts in sorted(NOTICES.items()) for whole in ts for t in sentences(whole) if t == whole or len(grams(t)) >= 3]
+    return [(c, i, g) for i, (c, g) in enumerate(parts)]
+
+
 class Classifier:
     """Weights of a multinomial logistic regression; ``unknown`` is the last class."""
 
@@ -103,43 +135,54 @@ class Classifier:
         return e / e.sum(1, keepdims=True)
 
     def predict(self, text: str) -> tuple[str, float]:
-        p = self._softmax(self._matrix([grams(text)]) @ self.w + self.b)[0]
+        p = self._softmax(self._matrix([grams(text, KNOWN)]) @ self.w + self.b)[0]
         return self.classes[int(p.argmax())], float(p.max())
 
     def weights(self, spark: SparkSession) -> DataFrame:
-        """gram, class, weight, of (whether a notice of the class has it): a few thousand rows, as large as the notices."""
-        own = {(c, g) for c, ts in NOTICES.items() for t in ts for g in grams(t)}
-        rows = [(g, c, float(self.w[i, k]), (c, g) in own) for i, g in enumerate(self.vocabulary) for k, c in enumerate(self.classes)]
-        return spark.createDataFrame(rows, "gram string, class string, weight double, of boolean")
+        """gram, family, weight: a few thousand rows, as large as the notices."""
+        rows = [(g, c, float(self.w[i, k])) for i, g in enumerate(self.vocabulary) for k, c in enumerate(self.classes)]
+        return spark.createDataFrame(rows, "gram string, family string, weight double")
 
 
 def paragraph_grams(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """doc_id, paragraph (line number from 0), gram: the distinct features of each paragraph that has any."""
+    """doc_id, t (the text's hash), paragraph (number from 0), gram: the distinct features of each paragraph that has any."""
     words = F.array(*(F.lit(g) for g in vocabulary if " " not in g))
     pairs = F.array(*(F.lit(g) for g in vocabulary if " " in g))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    rows = rows.select("doc_id", "paragraph", F.array_remove(F.split(F.lower("line"), "[^a-z0-9]+"), "").alias("w"))
-    rows = rows.select("doc_id", "paragraph", "w", F.array_intersect(F.col("w"), words).alias("one"))
+    known = F.array(*(F.lit(g) for g in sorted(KNOWN)))
+    joined = F.regexp_replace("text", r"([^.!?:;\s])[ \t]*\r?\n[ \t]*(?=[a-z(])", "$1 ")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.posexplode(F.split(joined, "\n")).alias("paragraph", "line"))
+    key = ["doc_id", "t", "paragraph"]
+    rows = rows.select(*key, F.array_remove(F.split(F.lower("line"), "[^a-z0-9]+"), "").alias("w"))
+    rows = rows.select(*key, "w", F.array_intersect(F.col("w"), words).alias("one"))
     # every pair has a word that is a feature itself, so a paragraph without one has none
     both = F.transform("w", lambda x, i: F.concat_ws(" ", x, F.get(F.col("w"), i + 1)))
-    rows = rows.select("doc_id", "paragraph", "one", F.when(F.size("one") > 0, F.array_intersect(both, pairs)).alias("two"))
+    rows = rows.select(*key, "w", "one", F.when(F.size("one") > 0, F.array_intersect(both, pairs)).alias("two"))
+    foreign = F.size(F.array_except("w", known)) / F.size(F.array_distinct("w"))
+    mark = F.when(foreign == 0, F.array().cast("array<string>")).otherwise(F.array(F.when(foreign > SHARE, MANY).otherwise(FEW)))
     # explode_outer: a filter before it would be pushed down and evaluate the word array once an element
-    rows = rows.select("doc_id", "paragraph", F.explode_outer(F.when(F.size("two") > 0, F.concat("one", "two"))).alias("gram"))
-    return rows.where("gram is not null")
+    rows = rows.select(*key, F.explode_outer(F.when(F.size("two") > 0, F.concat("one", "two", mark))).alias("gram"))
+    return rows.where("gram is not null").distinct()
 
 
 def scan(docs: DataFrame, least: float = LEAST, confirm: float = CONFIRM) -> DataFrame:
     """doc_id, paragraph, family, probability, confirmed_share of each paragraph whose licence is predicted and confirmed."""
     spark = docs.sparkSession
     model = Classifier()
-    found = paragraph_grams(docs, model.vocabulary).join(F.broadcast(model.weights(spark)), "gram")
-    pair = F.instr("gram", " ") > 0
-    per = found.groupBy("doc_id", "paragraph", "class").agg(F.sum("weight").alias("z"), F.count_if(pair).alias("pairs"), F.count_if(pair & F.col("of")).alias("own"))
-    bias = spark.createDataFrame([(c, float(v)) for c, v in zip(model.classes, model.b, strict=True)], "class string, b double")
-    scores = per.join(F.broadcast(bias), "class").withColumn("z", F.col("z") + F.col("b"))
-    best = scores.groupBy("doc_id", "paragraph").agg(F.max_by(F.struct("class", "z", "pairs", "own"), "z").alias("m"), F.sum(F.exp("z")).alias("total"))
-    out = best.select("doc_id", "paragraph", F.col("m.class").alias("family"), (F.exp("m.z") / F.col("total")).alias("probability"), (F.col("m.own") / F.col("m.pairs")).alias("confirmed_share"))
-    return out.where(F.col("family") != "unknown").where(F.col("probability") >= least).where(F.col("confirmed_share") >= confirm)
+    key = ["doc_id", "t", "paragraph"]
+    found = materialize(paragraph_grams(docs, model.vocabulary))
+    scores = found.join(F.broadcast(model.weights(spark)), "gram").groupBy(*key, "family").agg(F.sum("weight").alias("z"))
+    bias = spark.createDataFrame([(c, float(v)) for c, v in zip(model.classes, model.b, strict=True)], "family string, b double")
+    scores = scores.join(F.broadcast(bias), "family").withColumn("z", F.col("z") + F.col("b"))
+    best = scores.groupBy(*key).agg(F.max(F.struct("z", "family")).alias("m"), F.sum(F.exp("z")).alias("total"))
+    best = best.select(*key, F.col("m.family").alias("family"), (F.exp("m.z") / F.col("total")).alias("probability"))
+    best = best.where(F.col("family") != "unknown").where(F.col("probability") >= least)
+    notices = spark.createDataFrame([(c, i, g, len(gs)) for c, i, gs in templates() for g in sorted(gs)], "family string, notice int, gram string, size int")
+    # null-safe, so that paragraphs of a null id meet their own features
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+    likely = found.alias("f").join(best.alias("b"), same).select(*(f"b.{c}" for c in key), "family", "probability", "gram")
+    shares = likely.join(F.broadcast(notices), ["family", "gram"]).groupBy(*key, "family", "probability", "notice").agg((F.count("*") / F.first("size")).alias("share"))
+    out = shares.groupBy(*key, "family", "probability").agg(F.max("share").alias("confirmed_share"))
+    return out.where(F.col("confirmed_share") >= confirm).select("doc_id", "paragraph", "family", "probability", "confirmed_share")
 
 
 def op5_license_scans(spark, sf_dir) -> DataFrame:
