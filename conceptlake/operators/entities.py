@@ -20,14 +20,52 @@ PHRASES = {
     "STEP_IN_PROCESS": [" follows ", " precedes ", " comes after ", " comes before "],
     "COMPARES_WITH": [" compared to ", " versus ", " as opposed to ", " in contrast to "],
 }
-# Keywords and their abbreviations by domain; other lexicons are a parameter.
-KEYWORDS = {
-    "AI": {"prompt engineering": "PE", "chain of thought": "COT", "few-shot learning": "FSL", "zero-shot learning": "ZSL", "multimodal": "MM", "text-to-image": "T2I", "diffusion model": "DM", "stable diffusion": "SD", "gpt": "GPT", "bert": "BERT"},
-    "Programming": {"python": "PY", "javascript": "JS", "java": "JAVA", "rust": "RUST", "go": "GO", "docker": "DOCKER", "api": "API", "rest": "REST", "database": "DB", "sql": "SQL", "git": "GIT"},
+# Keywords and their abbreviations, for all texts and by domain.
+COMMON_KEYWORDS = {
+    "machine learning": "ML", "neural network": "NN", "deep learning": "DL", "artificial intelligence": "AI", "natural language processing": "NLP",
+    "computer vision": "CV", "reinforcement learning": "RL", "supervised learning": "SL", "unsupervised learning": "UL", "transformer": "TR",
+    "attention mechanism": "AM", "convolutional neural network": "CNN", "recurrent neural network": "RNN", "long short-term memory": "LSTM",
+    "gated recurrent unit": "GRU", "generative adversarial network": "GAN", "transfer learning": "TL", "fine-tuning": "FT", "backpropagation": "BP",
+    "gradient descent": "GD", "retrieval-augmented generation": "RAG", "graphrag": "GRAG", "knowledge graph": "KG", "vector database": "VDB",
+    "embedding": "EMB", "hybrid search": "HS", "deduplication": "DD", "large language model": "LLM", "neo4j": "NEO", "chromadb": "CHROMA",
 }
-#: Most keywords that are searched by one projection; larger lexicons are joined.
-INLINE = 500
-#: Least keywords first: metadata overrides, then model, lexicon, keyword.
+DOMAIN_KEYWORDS = {
+    "AI": {
+        "prompt engineering": "PE", "chain of thought": "COT", "few-shot learning": "FSL", "zero-shot learning": "ZSL", "multimodal": "MM",
+        "text-to-image": "T2I", "diffusion model": "DM", "stable diffusion": "SD", "dall-e": "DALLE", "midjourney": "MJ", "gpt": "GPT",
+        "bert": "BERT", "t5": "T5", "llama": "LLAMA", "claude": "CLAUDE",
+    },
+    "Programming": {
+        "python": "PY", "javascript": "JS", "typescript": "TS", "java": "JAVA", "c++": "CPP", "rust": "RUST", "go": "GO", "docker": "DOCKER",
+        "kubernetes": "K8S", "microservices": "MS", "api": "API", "rest": "REST", "graphql": "GQL", "database": "DB", "sql": "SQL",
+        "nosql": "NOSQL", "git": "GIT", "ci/cd": "CICD", "devops": "DEVOPS",
+    },
+}
+# Terms of prompt engineering and their abbreviations.
+PROMPT_KEYWORDS = {
+    "prompt engineering": "PE", "chain of thought": "COT", "few-shot learning": "FSL", "zero-shot learning": "ZSL", "in-context learning": "ICL",
+    "retrieval augmented generation": "RAG", "prompt template": "PT", "system prompt": "SP", "user prompt": "UP", "assistant prompt": "AP",
+    "prompt chaining": "PC", "prompt tuning": "PTU", "prompt optimization": "PO", "prompt injection": "PI", "prompt leaking": "PL",
+    "prompt hacking": "PH", "jailbreaking": "JB", "role prompting": "RP", "persona prompting": "PP", "instruction prompting": "IP",
+    "task-specific prompting": "TSP", "self-consistency": "SC", "tree of thought": "TOT", "reasoning": "RE", "step-by-step": "SBS",
+    "fine-tuning": "FT", "parameter efficient fine-tuning": "PEFT", "low-rank adaptation": "LORA", "knowledge graph": "KG",
+    "vector database": "VDB", "embedding": "EMB", "token": "TOK", "tokenization": "TKZ", "temperature": "TEMP", "top-p sampling": "TPS",
+    "top-k sampling": "TKS", "beam search": "BS", "greedy decoding": "GD", "hallucination": "HAL", "context window": "CW",
+    "attention mechanism": "AM", "transformer": "TR", "large language model": "LLM", "generative ai": "GAI",
+    "natural language processing": "NLP", "natural language understanding": "NLU", "natural language generation": "NLG",
+    "semantic search": "SS", "similarity search": "SIS", "cosine similarity": "CS", "vector embedding": "VE", "text embedding": "TE",
+    "document embedding": "DE", "sentence embedding": "SE", "word embedding": "WE", "contextual embedding": "CE",
+    "knowledge distillation": "KD", "knowledge extraction": "KE", "knowledge representation": "KR", "knowledge base": "KB", "ontology": "ONT",
+    "taxonomy": "TAX", "semantic network": "SN", "semantic web": "SW", "semantic triple": "ST", "entity extraction": "EE",
+    "named entity recognition": "NER", "relation extraction": "RE", "information extraction": "IE", "information retrieval": "IR",
+    "question answering": "QA", "chatbot": "CB", "conversational ai": "CAI", "dialogue system": "DS", "dialogue management": "DM",
+    "dialogue state tracking": "DST", "dialogue policy": "DP", "dialogue generation": "DG", "dialogue understanding": "DU",
+    "dialogue context": "DC", "dialogue history": "DH", "dialogue turn": "DT", "dialogue act": "DA", "dialogue intent": "DI",
+    "dialogue knowledge": "DK", "dialogue feedback": "DF", "dialogue optimization": "DO", "dialogue learning": "DL", "dialogue domain": "DD",
+}
+#: Most keywords of a lexicon: it is written into the plan of one projection.
+LEXICON_MOST = 1000
+#: The least counts: metadata overrides, then model, prompt lexicon, keyword.
 PRECEDENCE = {"metadata": 0, "llm": 1, "prompt": 2, "keyword": 3}
 
 
@@ -38,20 +76,35 @@ def concept_id(name: Column) -> Column:
 
 def keyword_entities(docs: DataFrame, keywords: list[str], source: str = "keyword", word_boundary: bool = False) -> DataFrame:
     """doc_id, keyword, pos of each keyword in the lower-case text (substring test, or whole words)."""
-    low = F.lower("text")
-    hit = (lambda k: F.when(low.rlike(rf"(?<![\p{{L}}\p{{N}}]){_quoted(k)}(?![\p{{L}}\p{{N}}])"), F.lit(k))) if word_boundary else (lambda k: F.when(low.contains(k), F.lit(k)))
-    if len(keywords) <= INLINE:
-        found = docs.select("doc_id", F.explode(F.array_compact(F.array(*map(hit, keywords)))).alias("keyword"), low.alias("_t"))
-    else:
-        lexicon = docs.sparkSession.createDataFrame([(k,) for k in keywords], "keyword string")
-        found = docs.select("doc_id", low.alias("_t")).join(F.broadcast(lexicon), F.col("_t").contains(F.col("keyword")))
-    return found.select("doc_id", "keyword", concept_id(F.col("keyword")).alias("concept_id"), F.lit(source).alias("source"), F.expr("locate(keyword, _t)").alias("pos"))
+    if len(keywords) > LEXICON_MOST:
+        raise ValueError(f"a lexicon has {LEXICON_MOST} keywords at most")
+    low = docs.select("doc_id", F.lower("text").alias("low"))
+    hit = (lambda k: F.col("low").rlike(rf"(?<![\p{{L}}\p{{N}}]){_quoted(k)}(?![\p{{L}}\p{{N}}])")) if word_boundary else (lambda k: F.col("low").contains(k))
+    found = low.select("doc_id", "low", F.explode(F.array_compact(F.array(*(F.when(hit(k), F.lit(k)) for k in keywords)))).alias("keyword"))
+    return found.select("doc_id", "keyword", concept_id(F.col("keyword")).alias("concept_id"), F.lit(source).alias("source"), F.expr("locate(keyword, low)").alias("pos"))
 
 
 def _quoted(k: str) -> str:
     return r"\Q" + k + r"\E"
 
 
+def lexicon(domain: str | None = None, prompts: bool = False) -> list[tuple[str, str, str, str, str, str]]:
+    """keyword, abbreviation, display name, label, domain, source: the keywords for all texts and the domain's, or those of prompt engineering.
+
+    A keyword that is in both tables has the domain's abbreviation.
+    """
+    if prompts:
+        return [(k, a, k.title(), "PromptEngineeringConcept", "prompt", "prompt") for k, a in PROMPT_KEYWORDS.items()]
+    return [(k, a, k.title(), "Concept", domain or "common", "keyword") for k, a in (COMMON_KEYWORDS | DOMAIN_KEYWORDS.get(domain, {})).items()]
+
+
+def lexicon_entities(docs: DataFrame, rows: list[tuple[str, str, str, str, str, str]], word_boundary: bool = False) -> DataFrame:
+    """doc_id, keyword, name, abbreviation, label, domain, concept_id, source, pos of each keyword of a lexicon in the text."""
+    found = keyword_entities(docs, [k for k, *_ in rows], word_boundary=word_boundary).drop("source")
+    about = F.create_map(*[x for k, a, name, label, domain, source in rows for x in (F.lit(k), F.struct(F.lit(name).alias("name"), F.lit(a).alias("abbreviation"), F.lit(label).alias("label"), F.lit(domain).alias("domain"), F.lit(source).alias("source")))])
+    return found.withColumn("about", about[F.col("keyword")]).select("doc_id", "keyword", "about.*", "concept_id", "pos")
+
+
 def metadata_entities(docs: DataFrame, column: str = "concepts") -> DataFrame:
     """doc_id, name from a comma-separated column."""
     return docs.select("doc_id", F.explode(F.split(column, ",")).alias("name")).select("doc_id", F.trim("name").alias("name"), F.lit("metadata").alias("source")).where("name <> ''")
@@ -66,11 +119,27 @@ def fuse(mentions: list[DataFrame]) -> DataFrame:
 
 
 def pattern_relations(docs: DataFrame, mentions: DataFrame, strength: float = 0.8) -> DataFrame:
-    """doc_id, src, dst, type: ordered pairs of a document's names whose text has "src phrase dst"; the first phrase decides."""
-    pairs = mentions.alias("a").join(mentions.alias("b"), F.expr("a.doc_id = b.doc_id and a.name <> b.name")).select("a.doc_id", F.col("a.name").alias("src"), F.col("b.name").alias("dst"))
-    rows = pairs.join(docs.select("doc_id", F.lower("text").alias("_t")), "doc_id")
-    said = F.coalesce(*(F.when(F.expr("contains(_t, concat(lower(src), :p, lower(dst)))".replace(":p", repr(p))), kind) for kind, ps in PHRASES.items() for p in ps))
-    return rows.select("doc_id", "src", "dst", said.alias("type")).where("type is not null").withColumns({"strength": F.lit(strength), "method": F.lit("pattern_based")})
+    """doc_id, src, dst, type: ordered pairs of a document's names whose text has "src phrase dst"; the first phrase decides.
+
+    The names come to their text once, and the pairs are tried inside the row.
+    """
+    names = mentions.groupBy("doc_id").agg(F.collect_set("name").alias("names"))
+    rows = docs.select("doc_id", F.lower("text").alias("low")).join(names, "doc_id")
+    said = F.expr("coalesce(" + ", ".join(f"if(contains(low, concat(lower(a), '{p}', lower(b))), '{kind}', null)" for kind, ps in PHRASES.items() for p in ps) + ")")
+    # the phrases are tried only for names that some phrase follows, and then each with the names
+    begins = F.filter("names", lambda a: F.lit(False) if not PHRASES else _any(F.col("low"), a))
+    rows = rows.select("doc_id", "low", "names", F.explode(begins).alias("a"))
+    rows = rows.select("doc_id", "low", "a", F.explode(F.array_remove("names", F.col("a"))).alias("b"))
+    rows = rows.select("doc_id", F.col("a").alias("src"), F.col("b").alias("dst"), said.alias("type"))
+    return rows.where("type is not null").withColumns({"strength": F.lit(strength), "method": F.lit("pattern_based")})
+
+
+def _any(low: Column, name: Column) -> Column:
+    """Whether one of the phrases follows the name in the text."""
+    out = F.lit(False)
+    for p in (p for ps in PHRASES.values() for p in ps):
+        out = out | F.contains(low, F.concat(F.lower(name), F.lit(p)))
+    return out
 
 
 def cooccurrence(mentions: DataFrame, group: str = "doc_id", item: str = "name", strength: float = 0.3) -> DataFrame:
@@ -81,10 +150,14 @@ def cooccurrence(mentions: DataFrame, group: str = "doc_id", item: str = "name",
 
 
 def fuse_relations(strong: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Co-occurrence only for documents without other relations; one row for each (src, dst, type) by method, then strength."""
+    """Co-occurrence only for documents without other relations; one row for each (src, dst, type) by method, then strength.
+
+    Of equal ones the one with the smallest ``seq`` counts, if both tables have that column (the order of extraction).
+    """
     rows = strong.unionByName(fallback.join(strong.select("doc_id").distinct(), "doc_id", "left_anti"))
     rank = F.when(F.col("method") == "llm_based", 3).when(F.col("method") == "pattern_based", 2).otherwise(1)
-    best = rows.groupBy("doc_id", "src", "dst", "type").agg(F.max_by(F.struct("strength", "method"), F.struct(rank, "strength")).alias("b"))
+    order = F.struct(rank, "strength", *([-F.col("seq")] if "seq" in rows.columns else []), "method")
+    best = rows.groupBy("doc_id", "src", "dst", "type").agg(F.max_by(F.struct("strength", "method"), order).alias("b"))
     return best.select("doc_id", "src", "dst", "type", "b.strength", "b.method")
 
 
@@ -95,6 +168,13 @@ def map_relations(relations: DataFrame, entities: DataFrame, strength: float = 0
     return out.where("src <> dst").withColumn("strength", F.coalesce("strength", F.lit(strength)))
 
 
+def concepts_per_document(docs: DataFrame, mentions: DataFrame) -> DataFrame:
+    """documents, concepts, average: documents (those without a concept too), their distinct concepts in all, and a document's on average."""
+    found = mentions.select("doc_id", "name").distinct().groupBy("doc_id").agg(F.count("*").alias("n"))
+    per = docs.select("doc_id").join(found, "doc_id", "left")
+    return per.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("concepts"), F.avg(F.coalesce("n", F.lit(0))).alias("average"))
+
+
 def concept_stats(mentions: DataFrame, top: int = 20) -> DataFrame:
     """name, n of the most frequent concepts."""
     return mentions.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(top)

@@ -145,10 +145,61 @@ def cooccurrence_relations(s, d):
     return E.cooccurrence(mentions(s, d))
 
 
-@query("SELECT doc_id, src, dst, type, 0.8::DOUBLE AS strength, 'pattern_based' AS method FROM (SELECT doc_id, a.n AS src, b.n AS dst, CASE WHEN contains(lower(text), a.n || ' is a ' || b.n) OR contains(lower(text), a.n || ' is an ' || b.n) THEN 'IS_A' WHEN contains(lower(text), a.n || ' has ' || b.n) THEN 'HAS_PART' END AS type FROM documents, (SELECT unnest(['the', 'of', 'on']) AS n) a, (SELECT unnest(['the', 'of', 'on']) AS n) b WHERE a.n <> b.n AND contains(lower(text), a.n) AND contains(lower(text), b.n)) WHERE type IS NOT NULL")
+def lexicon_sql(rows: list[tuple]) -> str:
+    values = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
+    return f"""SELECT doc_id, keyword, name, abbreviation, label, domain, source, 'concept-' || left(sha256(keyword), 16) AS concept_id, instr(lower(text), keyword)::INT AS pos
+FROM (SELECT doc_id, text FROM documents), (VALUES {values}) AS l(keyword, abbreviation, name, label, domain, source) WHERE contains(lower(text), keyword)"""
+
+
+@query(lexicon_sql(E.lexicon("Programming")))
+def lexicon_entities(s, d):
+    return E.lexicon_entities(read(s, d, "documents"), E.lexicon("Programming"))
+
+
+@query(lexicon_sql(E.lexicon("AI")))
+def lexicon_entities_ai(s, d):
+    return E.lexicon_entities(read(s, d, "documents"), E.lexicon("AI"))
+
+
+@query(lexicon_sql(E.lexicon(prompts=True)))
+def prompt_entities(s, d):
+    return E.lexicon_entities(read(s, d, "documents"), E.lexicon(prompts=True))
+
+
+@query("SELECT doc_id, len(list_filter([" + ", ".join(f"contains(text, '{w}')" for w in ("a", "e")) + "], lambda x: x))::INT AS n FROM documents")
+def letters_found(s, d):
+    """Case-sensitive contains."""
+    return read(s, d, "documents").select("doc_id", (X.contains_name(F.col("text"), "a", True).cast("int") + X.contains_name(F.col("text"), "e", True).cast("int")).alias("n"))
+
+
+# Names that stand around phrases in the tables' English texts.
+NAMED = ["the", "of", "on", "it", "an", "er", "re", "in", "at", "en"]
+SAID = " ".join(f"WHEN contains(low, a || '{p}' || b) THEN '{kind}'" for kind, ps in E.PHRASES.items() for p in ps)
+
+
+@query(f"""WITH m AS (SELECT doc_id, lower(text) AS low, n FROM documents, (SELECT unnest([{', '.join(f"'{n}'" for n in NAMED)}]) AS n) WHERE contains(lower(text), n)),
+p AS (SELECT x.doc_id, x.low, x.n AS a, y.n AS b FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.n <> y.n)
+SELECT * FROM (SELECT doc_id, a AS src, b AS dst, CASE {SAID} END AS type, 0.8::DOUBLE AS strength, 'pattern_based' AS method FROM p) WHERE type IS NOT NULL""")
 def pattern_relations(s, d):
     docs = read(s, d, "documents")
-    return E.pattern_relations(docs, E.keyword_entities(docs, ["the", "of", "on"]).select("doc_id", F.col("keyword").alias("name")))
+    return E.pattern_relations(docs, E.keyword_entities(docs, NAMED).select("doc_id", F.col("keyword").alias("name")))
+
+
+# One sentence for each phrase, so that every type of relation occurs.
+PHRASED = [f"alpha{p}beta" for ps in E.PHRASES.values() for p in ps]
+PHRASED_DOCS = "(SELECT i::BIGINT AS doc_id, t AS text FROM (SELECT unnest(range(0, " + str(len(PHRASED)) + ")) AS i, unnest([" + ", ".join(f"'{t}'" for t in PHRASED) + "]) AS t))"
+
+
+@query(f"SELECT doc_id, 'alpha' AS src, 'beta' AS dst, CASE {SAID} END AS type FROM (SELECT doc_id, text AS low, 'alpha' AS a, 'beta' AS b FROM {PHRASED_DOCS})")
+def pattern_relation_types(s, d):
+    docs = s.createDataFrame(list(enumerate(PHRASED)), "doc_id long, text string")
+    return E.pattern_relations(docs, E.keyword_entities(docs, ["alpha", "beta"]).select("doc_id", F.col("keyword").alias("name"))).select("doc_id", "src", "dst", "type")
+
+
+@query(f"""SELECT count(*) AS documents, coalesce(sum(n), 0)::BIGINT AS concepts, round(avg(coalesce(n, 0)), 9) AS average FROM documents d
+  LEFT JOIN (SELECT doc_id, count(DISTINCT name) AS n FROM {MENTIONS} GROUP BY 1) m USING (doc_id)""")
+def concepts_per_document(s, d):
+    return E.concepts_per_document(read(s, d, "documents"), mentions(s, d)).withColumn("average", F.round("average", 9))
 
 
 @query(f"SELECT name, count(*) AS n FROM {MENTIONS} GROUP BY 1 ORDER BY n DESC, name LIMIT 20")
@@ -280,9 +331,9 @@ def shared_concepts(s, d):
     return G.shared_concepts(line_mentions(s, d))
 
 
-@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), '1') ORDER BY length(p_name), p_name, p_partkey LIMIT 10")
+@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), 'ring') ORDER BY length(p_name), p_name, p_partkey LIMIT 10")
 def concept_search(s, d):
-    return G.search(read(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "1")
+    return G.search(read(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "RING")
 
 
 @query(f"""SELECT target, round(max(total), 6) AS relevance, min(hops)::INT AS hops, (min(hops) - 1)::INT AS distance FROM (
