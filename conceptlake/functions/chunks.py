@@ -8,10 +8,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-
-def clean(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"([^\n])\s+([^\n])", "$1 $2")
+from conceptlake.functions import text as X
 
 
 def fixed_windows(text: Column, size: int = 1000, overlap: int = 200) -> Column:
@@ -32,83 +31,102 @@ def sentences(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), r"(?<=[.!?])\s+")
 
 
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+OPEN_END = re.compile(r"(?:[.!?]\s+|^)([^.!?]*)$")
+
+
 def pack_sentences(text: str, size: int = 4000, overlap: int = 400) -> list[str]:
-    """Greedy packing of sentences; a new chunk begins with the tail of the last one."""
+    """Greedy packing of sentences; a new chunk begins with the tail of the last one: what follows its last sentence end, else all of the tail."""
     out, now = [], ""
-    for s in re.split(r"(?<=[.!?])\s+", re.sub(r"\s+", " ", text).strip()):
+    for s in filter(None, SENTENCE_END.split(re.sub(r"\s+", " ", text).strip())):
         if now and len(now) + len(s) + 1 > size:
             out.append(now.strip())
             tail = now[-overlap:] if overlap else ""
-            now = (re.split(r"(?<=[.!?])\s+", tail)[-1] or tail) + " " if tail else ""
+            found = OPEN_END.search(tail)
+            tail = found[1].strip() if found and found[1].strip() else tail.strip()
+            now = tail + " " if tail else ""
         now += s + " "
     return [*out, now.strip()] if now.strip() else out
 
 
-def semantic_chunks(text: str, size: int = 1000, overlap: int = 200, preserve_paragraphs: bool = True, legacy_suffix: bool = False) -> list[str]:
-    """Paragraphs, oversize ones as sentences, packed up to ``size`` with trailing whole parts as overlap; oversize sentences are cut."""
+def cleaned(text: str, preserve_paragraphs: bool = True) -> str:
+    """Line ends as \\n, runs of blanks as one, blank lines as one; without ``preserve_paragraphs`` blank lines between texts are blanks too."""
     text = re.sub(r"\r\n?", "\n", text)
-    text = re.sub(r"([^\n])[^\S\n]+([^\n])", r"\1 \2", text) if preserve_paragraphs else re.sub(r"([^\n])\s+([^\n])", r"\1 \2", text)
-    out: list[str] = []
-    now: list[str] = []
-
-    def flush():
-        nonlocal now
-        if not now:
-            return
-        out.append(" ".join(now).strip())
-        kept, total = [], 0
-        if len(" ".join(now)) > overlap:
-            for p in reversed(now):
-                if total + len(p) > overlap:
-                    break
-                kept, total = [p, *kept], total + len(p)
-        now = kept
-
-    for paragraph in re.split(r"\n\s*\n", text):
-        parts = [paragraph.strip()] if len(paragraph) <= size else re.split(r"(?<=[.!?])\s+", paragraph.strip())
-        for part in filter(None, parts):
+    text = re.sub(r"([^\n])[^\S\n]+([^\n])" if preserve_paragraphs else r"([^\n])\s+([^\n])", r"\1 \2", text)
+    return re.sub(r"\n\s*\n\s*", "\n\n", text).strip()
+
+
+def windows(text: str, size: int, overlap: int, legacy_suffix: bool = False) -> list[str]:
+    """Cuts of ``size`` at a stride of size - overlap up to the first that reaches the end; a legacy suffix is one more cut within the last."""
+    starts = range(0, len(text), size - overlap)
+    last = next(k for k, a in enumerate(starts) if a + size >= len(text))
+    return [text[a : a + size].strip() for a in (starts if legacy_suffix else starts[: last + 1])]
+
+
+class _Packer:
+    """Parts in one chunk; each is followed by a blank, which counts."""
+
+    def __init__(self, size: int, overlap: int):
+        self.size, self.overlap, self.out = size, overlap, []
+        self.parts: list[str] = []
+        self.length = 0
+
+    def close(self) -> None:
+        if self.length:
+            self.out.append(" ".join(self.parts).strip())
+        self.parts, self.length = [], 0
+
+    def add(self, part: str) -> None:
+        if self.length and self.length + len(part) > self.size:
+            long, last = self.length > self.overlap, self.parts
+            self.close()
+            if long:
+                kept = total = 0
+                while kept < len(last) and total + len(last[-1 - kept]) <= self.overlap:
+                    total, kept = total + len(last[-1 - kept]), kept + 1
+                self.parts = last[len(last) - kept :]
+                self.length = max(1, total + kept)  # the blank before the first part, if none is kept
+        self.parts.append(part)
+        self.length += len(part) + 1
+
+
+def semantic_chunks(text: str, size: int = 1000, overlap: int = 200, preserve_paragraphs: bool = True, legacy_suffix: bool = False) -> list[str]:
+    """Paragraphs, oversize ones as sentences, packed up to ``size`` with trailing whole parts of up to ``overlap`` again; oversize sentences are cut."""
+    packer = _Packer(size, overlap)
+    for paragraph in re.split(r"\n\s*\n", cleaned(text, preserve_paragraphs)):
+        for part in [paragraph] if len(paragraph) <= size else SENTENCE_END.split(paragraph):
             if len(part) > size:
-                flush()
-                now = []
-                for a in range(0, len(part), size - overlap):
-                    out.append(part[a : a + size])
-                    if a + size >= len(part) and not legacy_suffix:
-                        break
-                continue
-            if now and len(" ".join(now)) + 1 + len(part) > size:
-                flush()
-            now.append(part)
-    if now and (not out or " ".join(now).strip() not in out[-1:]):
-        out.append(" ".join(now).strip())
-    return [x for x in out if x]
+                packer.close()
+                packer.out += windows(part, size, overlap, legacy_suffix)
+            elif part:
+                packer.add(part)
+    packer.close()
+    return [x for x in packer.out if x]
 
 
 def break_chunks(text: str, size: int = 4000) -> list[str]:
-    """Cuts at the last blank line, else the last sentence end, else hard, within each window."""
+    """Cuts after the last blank line, else the last sentence end, else hard, within each window; the last piece keeps its blanks."""
     out, at = [], 0
-    while at < len(text):
-        if len(text) - at <= size:
-            end = len(text)
-        else:
-            window = text[at : at + size]
-            cut = window.rfind("\n\n")
-            cut = cut if cut > 0 else window.rfind(". ") + 1
-            end = at + (cut if cut > 0 else size)
-        if piece := text[at:end].strip():
-            out.append(piece)
+    while len(text) - at > size:
+        window = text[at : at + size]
+        end = next((at + cut + 2 for cut in (window.rfind("\n\n"), window.rfind(". ")) if cut > 0), at + size)
+        out.append(text[at:end].strip())
         at = end
-    return out
+    return [x for x in (*out, text[at:]) if x]
+
 
+def chunk_rows(docs: DataFrame, chunker: Callable[..., list[str]], id_col: str = "doc_id", text: str = "text", size: str | None = None) -> DataFrame:
+    """doc_id, chunk_id, chunk_index, total_chunks, chunk_size, chunk_hash, text of every chunk; whole texts, one Arrow pass.
 
-def chunk_rows(docs: DataFrame, chunker: Callable[[str], list[str]], id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, chunk_id, chunk_index, total_chunks, chunk_size, chunk_hash, text of every chunk; whole texts, one Arrow pass."""
+    ``size`` names a column that the chunker gets as its second argument.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, i, len(c), x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for c in [chunker(t or "")] for i, x in enumerate(c)]
+            rows = [(d, i, len(c), x) for d, t, *n in zip(*(c.to_pylist() for c in b.columns), strict=True) for c in [chunker(t, *n) if t else []] for i, x in enumerate(c)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()))], ["doc_id", "chunk_index", "total_chunks", "text"])
 
-    rows = docs.select(F.col(id_col).cast("string"), F.col(text)).mapInArrow(run, "doc_id string, chunk_index int, total_chunks int, text string")
+    rows = docs.select(F.col(id_col).cast("string"), F.col(text), *([size] if size else [])).mapInArrow(run, "doc_id string, chunk_index int, total_chunks int, text string")
     return rows.select("doc_id", F.concat("doc_id", F.lit("-chunk-"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", "total_chunks", F.length("text").alias("chunk_size"), F.sha2(F.trim(F.lower(F.regexp_replace("text", r"\s+", " "))), 256).alias("chunk_hash"), "text")
 
 
@@ -122,6 +140,41 @@ def rechunk(chunks: DataFrame, chunker: Callable[[str], list[str]]) -> DataFrame
     return chunk_rows(whole, chunker)
 
 
-def batches(df: DataFrame, order: str, size: int = 100) -> DataFrame:
-    """Rows with the number of their batch, for writers that need one; numbered within hash ranges, so no single task sorts all."""
-    return df.withColumn("batch", F.floor(F.monotonically_increasing_id() / size))
+def document_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """Chunk rows of whole documents: doc_id, chunk_id, chunk_index, total_chunks, chunk_size, chunk_hash, text and the document's metadata.
+
+    The size of a document's chunks follows from its text (``adaptive_chunk_size``). Metadata are all other columns, with
+    content_hash and metadata_hash (of title, author, isbn and file_path as far as they exist), lists as one string, and
+    lower-case forms of title, name, category and author. Null and empty texts have no chunk.
+    """
+    lists = {c for c, kind in docs.dtypes if kind == "array<string>"}
+    sized = docs.withColumn("_size", X.adaptive_chunk_size(F.col("text"), size))
+    at = [F.col(c) if c in docs.columns else F.lit(None).cast("string") for c in ("title", "author", "isbn", "file_path")]
+    hashes = {"content_hash": F.when(F.length("text") > 0, X.content_hash(F.col("text"))), "metadata_hash": X.metadata_hash(*at)}
+    about = X.lower_fields(docs.withColumns(hashes).withColumns({c: X.metadata_text(F.col(c)) for c in lists})).drop("text")
+    chunks = chunk_rows(sized, lambda t, n: semantic_chunks(t, n, min(overlap, n // 2)), size="_size")
+    return chunks.join(about.withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id")
+
+
+def extraction_chunks(docs: DataFrame, size: int = 2500, overlap: int = 300) -> DataFrame:
+    """Chunk rows for a model that extracts concepts: sized by the text, then semantic."""
+    sized = docs.select("doc_id", "text", X.adaptive_chunk_size(F.col("text"), size).alias("_size"))
+    return chunk_rows(sized, lambda t, n: semantic_chunks(t, n, min(overlap, n // 2)), size="_size")
+
+
+def batches(df: DataFrame, order: str, size: int = 100, ranges: int = 64) -> DataFrame:
+    """Rows with the number of their batch in the order of a numeric or time column, for writers that need one.
+
+    Each range of the column is numbered on its own and shifted by the rows of those before it, so no single task sorts
+    all. Nulls come first; rows of equal values are ordered by a hash of all columns.
+    """
+    value = F.col(order).cast("double")
+    cuts = df.select(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
+    of = sum((F.when(value > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+    rows = df.withColumn("_range", of)
+    sums = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = rows.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(F.sum("n").over(sums), F.lit(0)).alias("_shift"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(F.asc_nulls_first(order), F.xxhash64(*df.columns))) - 1
+    # a row for each range is sent to all tasks
+    out = rows.withColumn("_place", place).join(F.broadcast(shift), "_range")
+    return out.withColumn("batch", F.floor((F.col("_place") + F.col("_shift")) / size)).drop("_range", "_place", "_shift")

@@ -101,21 +101,91 @@ def sliding_window_chunks(s, d):
     return C.window_rows(read(s, d, "documents"), C.sliding_windows(F.col("text")))
 
 
-@query()
+CHUNK_ROWS = """SELECT doc_id::VARCHAR AS doc_id, doc_id || '-chunk-' || (k - 1) AS chunk_id, (k - 1)::INT AS chunk_index, (count(*) OVER (PARTITION BY doc_id))::INT AS total_chunks, length(c)::INT AS chunk_size,
+  sha256(trim(lower(regexp_replace(c, '\\s+', ' ', 'g')))) AS chunk_hash, c AS text
+FROM (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k FROM {chunks})"""
+CLEANED = r"trim(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '([^\n])[ \t\f\v\r]+([^\n])', '\1 \2', 'g'), '\n\s*\n\s*', chr(10) || chr(10), 'g'), chr(10) || ' ')"
+
+
+def semantic_sql(docs: str = "(SELECT doc_id, text, 1000 AS size, 200 AS lap FROM documents)") -> str:
+    """The chunks part by part: ``cur`` is the chunk so far with a blank after each part, ``held`` its parts."""
+    kept = "(SELECT max(n) FROM (SELECT unnest(range(len(r.held) + 1)) AS n) WHERE coalesce(list_sum(list_transform(list_slice(r.held, len(r.held) - n + 1, len(r.held)), lambda x: length(x))), 0) <= p.lap)"
+    return f"""WITH RECURSIVE docs AS {docs},
+paragraphs AS (SELECT doc_id, size, lap, unnest(string_split({CLEANED}, chr(10) || chr(10))) AS g, unnest(range(len(string_split({CLEANED}, chr(10) || chr(10))))) AS gi FROM docs WHERE text <> ''),
+pieces AS (SELECT doc_id, size, lap, gi, unnest(x) AS part, unnest(range(len(x))) AS pi FROM (SELECT *, CASE WHEN length(g) <= size THEN [g] ELSE string_split(regexp_replace(g, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) END AS x FROM paragraphs)),
+parts AS (SELECT doc_id, size, lap, part, row_number() OVER (PARTITION BY doc_id ORDER BY gi, pi) AS i FROM pieces WHERE part <> ''),
+r(doc_id, i, cur, held, emitted) AS (
+  SELECT doc_id, 0::BIGINT, '', []::VARCHAR[], NULL::VARCHAR[] FROM docs
+  UNION ALL
+  SELECT p.doc_id, p.i,
+    CASE WHEN length(p.part) > p.size THEN '' WHEN r.cur <> '' AND length(r.cur) + length(p.part) > p.size THEN
+      CASE WHEN length(r.cur) > p.lap THEN array_to_string(list_slice(r.held, len(r.held) - {kept} + 1, len(r.held)), ' ') || ' ' ELSE '' END || p.part || ' ' ELSE r.cur || p.part || ' ' END,
+    CASE WHEN length(p.part) > p.size THEN [] WHEN r.cur <> '' AND length(r.cur) + length(p.part) > p.size THEN
+      CASE WHEN length(r.cur) > p.lap THEN list_slice(r.held, len(r.held) - {kept} + 1, len(r.held)) ELSE [] END || [p.part] ELSE r.held || [p.part] END,
+    CASE WHEN length(p.part) > p.size THEN [trim(r.cur)] || list_transform(range(greatest(0, ceil((length(p.part) - p.size) / (p.size - p.lap)::DOUBLE))::BIGINT + 1), lambda k: trim(substr(p.part, k * (p.size - p.lap) + 1, p.size)))
+      WHEN r.cur <> '' AND length(r.cur) + length(p.part) > p.size THEN [trim(r.cur)] END
+  FROM r JOIN parts p ON p.doc_id = r.doc_id AND p.i = r.i + 1),
+chunks AS (
+  SELECT doc_id, i, unnest(emitted) AS c, unnest(range(len(emitted))) AS j FROM r
+  UNION ALL SELECT doc_id, i + 1, trim(cur), 0 FROM (SELECT doc_id, arg_max(cur, i) AS cur, max(i) AS i FROM r GROUP BY 1))
+""" + CHUNK_ROWS.format(chunks="chunks WHERE c <> ''")
+
+
+@query(semantic_sql())
 def semantic_chunks(s, d):
     return C.chunk_rows(read(s, d, "documents"), C.semantic_chunks)
 
 
-@query()
+# Texts with paragraphs, repeated ones and long words, which the tables lack.
+PROSE = ["P" * 904 + "\n\n" + "P" * 904, "One. End.\n\n\nTwo  a  b", "x" * 1700 + " y. " + "z" * 30, " ".join(f"Sentence {i} has a few words!" for i in range(120)), "short", " \n\n ", "A.\r\nB.\r\n\r\n" + "C" * 190 + "\n\n" + "D" * 700 + "\n\n" + "E" * 300]
+PROSE_DOCS = "(SELECT i::BIGINT AS doc_id, t AS text, 1000 AS size, 200 AS lap FROM (SELECT unnest(range(0, " + str(len(PROSE)) + ")) AS i, unnest([" + ", ".join("'" + t.replace("\r", "\\r").replace("\n", "\\n") + "'" for t in PROSE) + "]) AS t))"
+PROSE_DOCS = PROSE_DOCS.replace("t AS text", "replace(replace(t, '\\n', chr(10)), '\\r', chr(13)) AS text")
+
+
+@query(semantic_sql(PROSE_DOCS))
+def semantic_chunks_prose(s, d):
+    return C.chunk_rows(s.createDataFrame(list(enumerate(PROSE)), "doc_id long, text string"), C.semantic_chunks)
+
+
+@query(r"""WITH RECURSIVE sentences AS (SELECT doc_id, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS i FROM (
+  SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS x FROM documents WHERE trim(text) <> '')),
+r(doc_id, i, cur, c) AS (
+  SELECT DISTINCT doc_id, 0::BIGINT, '', NULL::VARCHAR FROM sentences
+  UNION ALL
+  SELECT s.doc_id, s.i, CASE WHEN r.cur <> '' AND length(r.cur) + length(s.s) + 1 > 4000
+      THEN coalesce(nullif(trim(regexp_extract(right(r.cur, 400), '(?:[.!?]\s+|^)([^.!?]*)$', 1)), ''), trim(right(r.cur, 400))) || ' ' ELSE r.cur END || s.s || ' ',
+    CASE WHEN r.cur <> '' AND length(r.cur) + length(s.s) + 1 > 4000 THEN trim(r.cur) END
+  FROM r JOIN sentences s ON s.doc_id = r.doc_id AND s.i = r.i + 1),
+chunks AS (SELECT doc_id, i, c, 0 AS j FROM r WHERE c IS NOT NULL UNION ALL SELECT doc_id, max(i) + 1, trim(arg_max(cur, i)), 0 FROM r GROUP BY 1)
+""" + CHUNK_ROWS.format(chunks="chunks"))
 def sentence_chunks(s, d):
     return C.chunk_rows(read(s, d, "documents"), C.pack_sentences)
 
 
-@query()
+@query(r"""WITH RECURSIVE r(doc_id, text, i, pos, c) AS (
+  SELECT doc_id, text, 0, 0::BIGINT, NULL::VARCHAR FROM documents WHERE text <> ''
+  UNION ALL
+  SELECT doc_id, text, i + 1, stop, CASE WHEN length(text) - pos <= 4000 THEN substr(text, pos + 1) ELSE trim(substr(text, pos + 1, stop - pos), ' ' || chr(10) || chr(13) || chr(9)) END FROM (
+    SELECT *, CASE WHEN length(text) - pos <= 4000 THEN length(text) WHEN blank BETWEEN 1 AND 3998 THEN pos + 4000 - blank + 1 WHEN dot BETWEEN 1 AND 3998 THEN pos + 4000 - dot + 1 ELSE pos + 4000 END AS stop FROM (
+      SELECT *, instr(reverse(substr(text, pos + 1, 4000)), chr(10) || chr(10)) AS blank, instr(reverse(substr(text, pos + 1, 4000)), ' .') AS dot FROM r WHERE pos < length(text)))),
+chunks AS (SELECT doc_id, i, c, 0 AS j FROM r WHERE c <> '')
+""" + CHUNK_ROWS.format(chunks="chunks"))
 def break_chunks(s, d):
     return C.chunk_rows(read(s, d, "documents"), C.break_chunks)
 
 
+@query("SELECT doc_id || '-chunk-' || i AS chunk_id, sha256(trim(lower(regexp_replace(text, '\\s+', ' ', 'g')))) AS content_hash, sha256('author:' || lower(trim(source)) || '|title:' || lower(trim(lang))) AS metadata_hash, lower(source) AS author_lower FROM (SELECT *, unnest(range(least(n_chars, 1))) AS i FROM documents)")
+def document_chunks(s, d):
+    """The document's hashes and metadata on its first chunk."""
+    docs = read(s, d, "documents").withColumnsRenamed({"lang": "title", "source": "author"})
+    return C.document_chunks(docs).where("chunk_index = 0").select("chunk_id", "content_hash", "metadata_hash", "author_lower")
+
+
+@query("SELECT batch, count(*) AS n, min(event_id) AS lo, max(event_id) AS hi FROM (SELECT event_id, ((row_number() OVER (ORDER BY event_id) - 1) // 100)::BIGINT AS batch FROM events) GROUP BY 1")
+def event_batches(s, d):
+    return C.batches(read(s, d, "events"), "event_id").groupBy("batch").agg(F.count("*").alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+
+
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS snippet FROM documents")
 def snippets(s, d):
     return read(s, d, "documents").select("doc_id", X.snippet(F.col("text")).alias("snippet"))
