@@ -10,8 +10,9 @@ multi-match-aware rule leaves for each length. Lines that share a key are verifi
 banded bit-parallel edit distance: a bit for each diagonal of the band and number of
 edits, all of them in one long that is folded over the line's code points.
 
+Before that, bags of code points (as parity bits) must be as close as the edits allow.
 First each line is compared with the smallest of its keys (a star), then all pairs
-of a key whose lines are still in different classes. A class is all lines reachable
+of a key whose lines are still in different classes, each pair once. A class is all lines reachable
 by links; its first line (smallest doc_id, then line number) stays, the others go.
 
 Null text has no line; a null id's lines are neither compared nor removed. Rows that
@@ -74,16 +75,27 @@ def distinct_lines(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h, u (four bytes a code point) of the wanted hashes."""
+    """h, u (code points), n (their number) and bag (parity of how often each occurs, by 64 residues) of the wanted hashes."""
     wanted = materialize(wanted.distinct())
     texts = rows.select("h", "line").join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "h", "left_semi")
-    found = materialize(texts.dropDuplicates(["h"]).select("h", F.encode("line", "UTF-32").alias("u")))
+    texts = texts.dropDuplicates(["h"]).select("h", F.expr("transform(split(line, ''), c -> ascii(c))").alias("u"))
+    found = materialize(texts.select("h", "u", F.size("u").alias("n"), F.expr("aggregate(u, 0L, (bag, c) -> bag ^ shiftleft(1L, c % 64))").alias("bag")))
     drop(wanted)
     return found
 
 
-def within(x: str, y: str, threshold: int = THRESHOLD) -> Column:
-    """Whether two lines (columns of four bytes a code point) match, by a banded bit-parallel edit distance.
+def _edits(threshold: int) -> str:
+    """Edits within which lines x and y match."""
+    return f"cast(least({threshold}, floor(least(nx, ny) / {EACH})) as int)"
+
+
+def possible(threshold: int) -> Column:
+    """What lines (nx, bagx, ny, bagy) must meet to match: an edit changes the length by one and the bag by two bits at most."""
+    return F.expr(f"abs(nx - ny) <= {_edits(threshold)} and bit_count(bagx ^ bagy) <= 2 * {_edits(threshold)}")
+
+
+def within(threshold: int = THRESHOLD) -> Column:
+    """Whether two lines (code points x and y, their numbers nx and ny) match, by a banded bit-parallel edit distance.
 
     After i code points of y, bit d + threshold of field e is set if the first i + d of x
     are at most e edits from them. A match keeps the diagonal, a substitution too with one
@@ -95,23 +107,22 @@ def within(x: str, y: str, threshold: int = THRESHOLD) -> Column:
     fields = [e * size for e in range(t + 1)]
     band = sum(((1 << 2 * t + 1) - 1) << f for f in fields)
     start = sum(1 << f + d + t for e, f in enumerate(fields) for d in range(e + 1))
-    n, m = f"cast(octet_length({x}) / 4 as int)", f"cast(octet_length({y}) / 4 as int)"
-    same = " | ".join(f"if(i + {d} >= 0 and substring({x}, 4 * (i + {d}) + 1, 4) = substring({y}, 4 * i + 1, 4), {1 << d + t}L, 0L)" for d in range(-t, t + 1))
-    matches = f"transform(sequence(0, {m} - 1), i -> ({same}) * {sum(1 << f for f in fields)}L)"
+    same = " | ".join(f"if(get(x, i + {d}) = c, {1 << d + t}L, 0L)" for d in range(-t, t + 1))
+    matches = f"transform(y, (c, i) -> ({same}) * {sum(1 << f for f in fields)}L)"
     step = f"(((p & q) | shiftleft(p, {size}) | shiftright(shiftleft(p, {size}), 1)) & {band}L)"
     deleted = " | ".join([step, *(f"shiftleft({step}, {k * (size + 1)})" for k in range(1, t + 1))])
-    edits = f"least({t}, floor(least({n}, {m}) / {EACH}))"
     end = f"aggregate({matches}, {start}L, (p, q) -> ({deleted}) & {band}L)"
-    return F.expr(f"if(abs({n} - {m}) > {edits}, false, if({x} = {y}, true, {edits} > 0 and shiftright({end}, cast({edits} * {size} + {n} - {m} + {t} as int)) & 1L = 1L))")
+    return F.expr(f"if(abs(nx - ny) > {_edits(t)}, false, shiftright({end}, {_edits(t)} * {size} + nx - ny + {t}) & 1L = 1L)")
+
+
+def _sided(texts: DataFrame, h: str, side: str) -> DataFrame:
+    return texts.select(F.col("h").alias(h), F.col("u").alias(side), F.col("n").alias(f"n{side}"), F.col("bag").alias(f"bag{side}"))
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+def _verified(texts: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) of line hashes within the threshold, as (u, v)."""
-    texts = _texts(rows, pairs.select(F.col("a").alias("h")).union(pairs.select("b")))
-    left, right = texts.select(F.col("h").alias("a"), F.col("u").alias("x")), texts.select(F.col("h").alias("b"), F.col("u").alias("y"))
-    near = materialize(pairs.join(left, "a").join(right, "b").where(within("x", "y", threshold)).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    drop(texts)
-    return near
+    both = pairs.join(_sided(texts, "a", "x"), "a").join(_sided(texts, "b", "y"), "b")
+    return materialize(both.where(possible(threshold)).where(within(threshold)).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def line_links(rows: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -121,18 +132,18 @@ def line_links(rows: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD)
     shared = sides.withColumns({"lo": F.min("h").over(by), "hi": F.max("h").over(by)}).where("lo <> hi")
     shared = materialize(shared.select("k", "h", "indexed", "lo"))
     star = materialize(shared.where("h <> lo").select(F.col("lo").alias("a"), F.col("h").alias("b")).distinct())
-    first = _verified(rows, star, threshold)
+    texts = _texts(rows, shared.select("h"))
+    first = _verified(texts, star, threshold)
     rooted = shared.join(components(first).select(F.col("id").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     split = rooted.groupBy("k").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("k")
-    rooted = materialize(rooted.join(split, "k"))
-    # the lines come along, so that the join itself verifies and makes no row for pairs that are no links
-    texts = _texts(rows, rooted.select("h"))
-    lined = rooted.join(texts, "h")
-    left = lined.where("indexed").select("k", F.col("h").alias("u"), F.col("root").alias("ru"), F.col("u").alias("x"))
-    right = lined.where("not indexed").select("k", F.col("h").alias("v"), F.col("root").alias("rv"), F.col("u").alias("y"))
-    rest = left.join(right, "k").where(F.col("ru") != F.col("rv")).where(within("x", "y", threshold)).select("u", "v")
-    found = materialize(first.union(rest.distinct()))
-    drop(shared, star, first, rooted, texts)
+    rooted = materialize(rooted.join(split, "k").select("k", "h", "indexed", "root"))
+    # lengths and bags come along, so that the join makes rows for possible pairs only
+    bags = rooted.join(texts.select("h", "n", "bag"), "h")
+    left, right = (bags.where(F.col("indexed") == indexed).select("k", F.col("h").alias(h), F.col("root").alias(f"r{h}"), F.col("n").alias(f"n{x}"), F.col("bag").alias(f"bag{x}")) for indexed, h, x in ((True, "a", "x"), (False, "b", "y")))
+    pairs = left.join(right, "k").where(F.col("ra") != F.col("rb")).where(possible(threshold))
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
+    found = materialize(first.union(_verified(texts, pairs, threshold)))
+    drop(shared, star, first, rooted, texts, pairs)
     return found
 
 
