@@ -205,7 +205,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     """h, ending, n of every distinct word of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, raw, offsets in kernel.slices(batches, "text", 8 << 20):
+        for _, raw, offsets in kernel.slices(batches, "text", 4 << 20):
             h, ending, _ = word_rows(raw, offsets)
             h, first, n = np.unique(h, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ending[first].astype(np.int32)), pa.array(n)], ["h", "ending", "n"])
