@@ -149,9 +149,7 @@ def document_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> Da
     """
     lists = {c for c, kind in docs.dtypes if kind == "array<string>"}
     sized = docs.withColumn("_size", X.adaptive_chunk_size(F.col("text"), size))
-    at = [F.col(c) if c in docs.columns else F.lit(None).cast("string") for c in ("title", "author", "isbn", "file_path")]
-    hashes = {"content_hash": F.when(F.length("text") > 0, X.content_hash(F.col("text"))), "metadata_hash": X.metadata_hash(*at)}
-    about = X.lower_fields(docs.withColumns(hashes).withColumns({c: X.metadata_text(F.col(c)) for c in lists})).drop("text")
+    about = X.lower_fields(X.with_hashes(docs.withColumns({c: X.metadata_text(F.col(c)) for c in lists}))).drop("text")
     chunks = chunk_rows(sized, lambda t, n: semantic_chunks(t, n, min(overlap, n // 2)), size="_size")
     return chunks.join(about.withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id")
 

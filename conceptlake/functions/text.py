@@ -39,6 +39,18 @@ def flatten_struct(df, column: str):
     return df.select(*(c for c in df.columns if c != column), *(F.col(f"{column}.{f}").alias(f"{column}_{f}") for f in fields))
 
 
+def with_hashes(df, text: str = "text"):
+    """Adds metadata_hash, and content_hash where there is a text."""
+    at = [F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string") for c in ("title", "author", "isbn", "file_path")]
+    return df.withColumns({"metadata_hash": metadata_hash(*at), "content_hash": F.when(F.length(text) > 0, content_hash(F.col(text)))})
+
+
+def title_case(name: Column) -> Column:
+    """Every run of letters with its first in upper case, the others in lower case."""
+    parts = F.regexp_extract_all(name, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.lower(F.substring(p, 2, 1 << 20)))), "")
+
+
 def adaptive_chunk_size(text: Column, default: int = 1000) -> Column:
     """Smaller chunks for very long texts and for tables, code and lists; 250 to 2000."""
     n = F.length(text)

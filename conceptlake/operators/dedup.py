@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,11 +48,29 @@ def new_documents(docs: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def similar_titles(a: DataFrame, b: DataFrame, least: int = 90) -> DataFrame:
-    """a_id, b_id, similarity: titles blocked by length bands that the ratio allows."""
+    """a_id, b_id, similarity: pairs of titles at ``least`` or more.
+
+    With r for the share of edits that the ratio allows (insertions and deletions, over both lengths), a title of n
+    characters is at most 2rn / (1 - r) edits from its partner, and an edit takes three 3-grams at most. So two titles
+    have a common one among the first 3-grams in hash order: as many as may be lost, and one. Titles that may lose all
+    meet by their lengths instead.
+    """
+    r = (100.5 - least) / 100
     low = F.lower(F.trim("title"))
-    left = a.select(F.col("doc_id").alias("a_id"), F.col("title").alias("ta"), F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.log(F.lit(1.25), F.length(low) + 1)) + d))).alias("band"))
-    right = b.select(F.col("doc_id").alias("b_id"), F.col("title").alias("tb"), F.floor(F.log(F.lit(1.25), F.length(low) + 1)).alias("band"))
-    return left.join(right, "band").withColumn("similarity", title_similarity("ta", "tb")).where(F.col("similarity") >= least).select("a_id", "b_id", "similarity").distinct()
+
+    def keyed(rows: DataFrame, side: str, lengths) -> DataFrame:
+        rows = rows.where("title is not null").select(F.col("doc_id").alias(f"{side}_id"), low.alias(f"t{side}"), F.length(low).alias(f"n{side}"))
+        n = F.col(f"n{side}")
+        grams = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.xxhash64(F.substring(f"t{side}", i, F.lit(3))))))
+        rows = rows.select("*", grams.alias("grams"), (3 * F.floor(n * (2 * r / (1 - r)))).cast("int").alias("lost"))
+        by_length = F.transform(lengths(n), lambda x: F.xxhash64(F.lit("length"), x))
+        keys = F.concat(F.slice("grams", 1, F.col("lost") + 1), F.when(F.size("grams") <= F.col("lost"), by_length).otherwise(F.array().cast("array<bigint>")))
+        return rows.select(f"{side}_id", f"t{side}", f"n{side}", F.explode(keys).alias("key"))
+
+    around = lambda n: F.sequence(F.floor(n * ((1 - r) / (1 + r))).cast("int"), F.ceil(n * ((1 + r) / (1 - r))).cast("int"))
+    fits = F.abs(F.col("na") - F.col("nb")) <= r * (F.col("na") + F.col("nb"))
+    pairs = keyed(a, "a", around).join(keyed(b, "b", lambda n: F.array(n)), "key").where(fits).select("a_id", "b_id", "ta", "tb").distinct()
+    return pairs.withColumn("similarity", title_similarity("ta", "tb")).where(F.col("similarity") >= least).select("a_id", "b_id", "similarity")
 
 
 def cascade(docs: DataFrame, store: DataFrame) -> DataFrame:

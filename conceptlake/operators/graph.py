@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from conceptlake.functions import text as X
+from conceptlake.tables import cut
 
 
 def undirected(edges: DataFrame, types: list[str] | None = None) -> DataFrame:
@@ -17,8 +18,9 @@ def undirected(edges: DataFrame, types: list[str] | None = None) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, node, types: list[str] | None = None) -> DataFrame:
-    """id, strength of the nodes one hop away; the strongest edge counts, nulls first as the strongest."""
-    return undirected(edges, types).where(F.col("src") == node).groupBy(F.col("dst").alias("id")).agg(F.max("strength").alias("strength"))
+    """id, strength of the nodes one hop away; the strongest edge counts, and one without a strength is stronger than all (null)."""
+    near = undirected(edges, types).where(F.col("src") == node).groupBy(F.col("dst").alias("id"))
+    return near.agg(F.when(F.count_if(F.col("strength").isNull()) == 0, F.max("strength")).alias("strength"))
 
 
 def documents_of(mentions: DataFrame, concept) -> DataFrame:
@@ -35,20 +37,38 @@ def shared_concepts(mentions: DataFrame, top: int = 10) -> DataFrame:
     return per.where("n > 0").select(F.col("dst").alias("concept"), "n").orderBy(F.desc("n"), "concept").limit(top)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, hops: int = 2, types: list[str] | None = None, exclude_start: bool = False) -> DataFrame:
-    """target, relevance (largest path sum of strengths), hops, distance (hops - 1), over paths that use no edge twice."""
+def _walk(edges: DataFrame, seeds: DataFrame, hops: int, types: list[str] | None = None) -> list[DataFrame]:
+    """(start, at, used, total) by number of hops: paths that use no edge twice, ``used`` being the edges that a longer path must avoid.
+
+    Of one hop's paths that end alike (in start, node and used edges) only the best sum goes on. Two hops know their last
+    edge alone, so the paths that go on are as many as (start, edge) pairs and not as the paths.
+    """
     sym = undirected(edges, types).withColumn("strength", F.coalesce("strength", F.lit(0.5)))
-    now = seeds.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array().cast("array<bigint>").alias("used"), F.lit(0.0).alias("total"))
+    now = seeds.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array().cast("array<bigint>").alias("used"), F.lit(0.0).alias("total")).distinct()
     levels = []
     for h in range(1, hops + 1):
-        now = now.join(sym, (F.col("at") == F.col("src")) & ~F.array_contains("used", F.col("edge_id"))).select("start", F.col("dst").alias("at"), F.array_append("used", F.col("edge_id")).alias("used"), (F.col("total") + F.col("strength")).alias("total"))
+        now = now.join(sym, (F.col("at") == F.col("src")) & ~F.array_contains("used", F.col("edge_id")))
+        used = F.array_sort(F.array_append("used", F.col("edge_id"))) if h < hops else F.array().cast("array<bigint>")
+        now = now.select("start", F.col("dst").alias("at"), used.alias("used"), (F.col("total") + F.col("strength")).alias("total"))
+        now = now.groupBy("start", "at", "used").agg(F.max("total").alias("total"))
         levels.append(now.withColumn("hops", F.lit(h)))
-    rows = reduce(DataFrame.unionByName, levels)
+    return levels
+
+
+def reach(edges: DataFrame, seeds: DataFrame, hops: int = 2, types: list[str] | None = None, exclude_start: bool = False) -> DataFrame:
+    """target, relevance (largest path sum of strengths), hops, distance (hops - 1), over paths that use no edge twice."""
+    rows = reduce(DataFrame.unionByName, _walk(edges, seeds, hops, types))
     if exclude_start:
         rows = rows.where("at <> start")
     return rows.groupBy(F.col("at").alias("target")).agg(F.max("total").alias("relevance"), F.min("hops").alias("hops")).withColumn("distance", F.col("hops") - 1)
 
 
+def by_distance(reached: DataFrame) -> DataFrame:
+    """distance, n, targets (strongest first): what is reached, grouped by its distance."""
+    per = reached.groupBy("distance").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("relevance")).alias("r"), F.col("target")))).alias("t"))
+    return per.select("distance", "n", F.transform("t", lambda x: x["target"]).alias("targets"))
+
+
 def paths(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """start, at, hops, used: a row for each path."""
     sym = undirected(edges)
@@ -61,10 +81,20 @@ def paths(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
 
 
 def contained(edges: DataFrame, root, depth: int = 20) -> DataFrame:
-    """id of all that ``root`` contains, at any depth up to the guard."""
-    edges.createOrReplaceTempView("_contains")
-    value = repr(root) if isinstance(root, str) else root
-    return edges.sparkSession.sql(f"with recursive t(id, d) as (select dst, 1 from _contains where src = {value} union all select c.dst, t.d + 1 from t join _contains c on c.src = t.id where t.d < {depth}) select distinct id from t")
+    """id of all that ``root`` contains, at any depth up to the guard.
+
+    Each step joins what the last one reached anew with the edges, and leaves out what was reached before, so a node
+    that many paths lead to counts once.
+    """
+    links = edges.select("src", "dst").where("src is not null and dst is not null")
+    new = cut(links.where(F.col("src") == root).select(F.col("dst").alias("id")).distinct())
+    found = new
+    for _ in range(depth - 1):
+        if new.isEmpty():
+            break
+        new = cut(new.join(links, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(found, "id", "left_anti"))
+        found = cut(found.union(new))
+    return found
 
 
 def search(nodes: DataFrame, part: str, top: int = 10, case_sensitive: bool = False) -> DataFrame:
@@ -72,6 +102,16 @@ def search(nodes: DataFrame, part: str, top: int = 10, case_sensitive: bool = Fa
     return nodes.where(X.contains_name(F.col("name"), part, case_sensitive)).orderBy(F.length("name"), "name", "id").limit(top).select("id", "name")
 
 
+def concept(nodes: DataFrame, edges: DataFrame, part: str, types: list[str] | None = None) -> DataFrame:
+    """id, name of the first node that ``part`` finds, with related_id, related, strength of each neighbour (one row with nulls if it has none), strongest first."""
+    found = search(nodes, part, 1)
+    sym = undirected(edges, types).join(F.broadcast(found.select(F.col("id").alias("src"))), "src")  # one row
+    near = sym.groupBy("src", F.col("dst").alias("related_id")).agg(F.when(F.count_if(F.col("strength").isNull()) == 0, F.max("strength")).alias("strength"))
+    named = near.join(nodes.select(F.col("id").alias("related_id"), F.col("name").alias("related")), "related_id", "left")
+    out = found.join(named, F.col("id") == F.col("src"), "left").select("id", "name", "related_id", "related", "strength")
+    return out.orderBy(F.desc_nulls_first("strength"), F.asc_nulls_last("related_id"))
+
+
 def detail(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, name, related: each node with its neighbours (empty without any)."""
     near = undirected(edges).groupBy("src").agg(F.array_sort(F.collect_set(F.struct(F.col("dst").alias("id"), "strength"))).alias("related"))
@@ -112,6 +152,29 @@ def chunks_about(chunks: DataFrame, concept: str, top: int = 10, distinct: bool
     return rows.orderBy("ord", "id").limit(top)
 
 
+def passages_about(chunks: DataFrame, concept_id: str, top: int = 10, size: int = 200) -> DataFrame:
+    """Chunks about the concept, with snippets of their text."""
+    return chunks_about(chunks, concept_id, top).withColumn("snippet", X.snippet(F.col("text"), size))
+
+
+def of_type(nodes: DataFrame, kind: str, column: str = "document_type") -> DataFrame:
+    """Nodes of a document type."""
+    return nodes.where(F.col(column) == kind)
+
+
+def at_least(rows: DataFrame, weight: float | None = None, length: int | None = None) -> DataFrame:
+    """Rows of the weight and length of text at least; a null meets neither."""
+    if weight is not None:
+        rows = rows.where(F.col("weight") >= weight)
+    return rows if length is None else rows.where(F.length("text") >= length)
+
+
+def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes, relationships, concepts, documents in one row."""
+    of = nodes.agg(F.count("*").alias("nodes"), F.count_if(F.col("label") == "Concept").alias("concepts"), F.count_if(F.col("label") == "Document").alias("documents"))
+    return of.join(edges.agg(F.count("*").alias("relationships"))).select("nodes", "relationships", "concepts", "documents")  # one row each
+
+
 def linked_nodes(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     """chunk id with the book, chapter, section and concept it names."""
     ids = chunks.select("id", F.expr("stack(4, 'Book', book_id, 'Chapter', chapter_id, 'Section', section_id, 'Concept', concept_id) as (label, node_id)")).where("node_id is not null")

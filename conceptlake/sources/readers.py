@@ -27,8 +27,9 @@ def json_files(spark: SparkSession, folder: str, schema: str, recursive: bool =
     """One object a file; ``text`` is the document, other fields its metadata; empty texts are left out."""
     rows = spark.read.schema(schema).option("multiLine", "true").option("pathGlobFilter", "*.json").option("recursiveFileLookup", str(recursive).lower()).json(folder)
     rest = [c for c in rows.columns if c != "text"]
+    rows = rows.withColumn("file_path", F.col("_metadata.file_path"))
     meta = F.map_filter(F.create_map(*[x for c in rest for x in (F.lit(c), F.col(c).cast("string"))]), lambda k, v: v.isNotNull())
-    return rows.where(F.length("text") > 0).select("text", F.lit("JSON File").alias("source"), meta.alias("metadata"))
+    return rows.where(F.length("text") > 0).select("file_path", "text", F.lit("JSON File").alias("source"), meta.alias("metadata"))
 
 
 def markdown_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
@@ -55,21 +56,34 @@ def pdf_files(spark: SparkSession, folder: str, parse: Callable[[bytes], tuple[s
     return _files(spark, folder, "*.pdf", recursive).select("path", "content").mapInArrow(run, "file_path string, text string, metadata map<string,string>")
 
 
-#: Reader by file ending.
+#: Reader by file ending; JSON and PDF files take what they need from the arguments of ``folder``.
 READERS = {".txt": text_files, ".md": markdown_files, ".html": html_files}
+JSON_SCHEMA = "text string, title string, author string, category string, date string"
 
 
-def folder(spark: SparkSession, path: str, endings: tuple[str, ...] = (".txt", ".md"), recursive: bool = True) -> DataFrame:
-    """All files of the endings; an ending without a reader is an error."""
-    if unknown := set(endings) - set(READERS):
-        raise ValueError(f"no reader for {sorted(unknown)}")
+def folder(spark: SparkSession, path: str, endings: tuple[str, ...] = (".txt", ".md"), recursive: bool = True, json_schema: str = JSON_SCHEMA, parse_pdf: Callable | None = None) -> DataFrame:
+    """file_path, title, source, text of all files of the endings, a file once; an ending without a reader is an error."""
     out = None
-    for e in endings:
-        rows = READERS[e](spark, path, recursive=recursive).select("file_path", "title", "source", "text")
+    for e in dict.fromkeys(endings):
+        if e in READERS:
+            rows = READERS[e](spark, path, recursive=recursive)
+        elif e == ".json":
+            rows = json_files(spark, path, json_schema, recursive).withColumn("title", F.coalesce(F.col("metadata")["title"], F.regexp_extract("file_path", STEM, 1)))
+        elif e == ".pdf" and parse_pdf:
+            rows = pdf_files(spark, path, parse_pdf, recursive).select("*", F.coalesce(F.col("metadata")["title"], F.regexp_extract("file_path", STEM, 1)).alias("title"), F.lit("PDF File").alias("source"))
+        else:
+            raise ValueError(f"no reader for {e}")
+        rows = rows.select("file_path", "title", "source", "text")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def paths(spark: SparkSession, path: str, endings: tuple[str, ...], recursive: bool = True) -> DataFrame:
+    """file_path of the files of the endings, each once, in order; no content is read."""
+    pattern = "*{" + ",".join(dict.fromkeys(endings)) + "}"
+    return _files(spark, path, pattern, recursive).select(F.col("path").alias("file_path")).distinct().orderBy("file_path")
+
+
 def job_log(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """Jobs from JSON files; those that ran when the log was left have failed."""
     return spark.read.schema(schema).json(folder).withColumn("status", F.when(F.col("status") == "running", "failed").otherwise(F.col("status")))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from conceptlake.functions import text as X
+
 
 def upsert(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
     """Rows of both; where a key is in both, values of ``delta`` that are not null win."""
@@ -26,7 +28,7 @@ def get_or_create(nodes: DataFrame, names: DataFrame) -> DataFrame:
 
 def merge_relations(base: DataFrame, delta: DataFrame) -> DataFrame:
     """(src, dst, type) with the largest strength; the later description and method. Odd types are left out."""
-    rows = base.withColumn("_seq", F.lit(0)).unionByName(delta.withColumn("_seq", F.lit(1))).where(F.col("type").rlike("^[A-Z_]+$"))
+    rows = base.withColumn("_seq", F.lit(0)).unionByName(delta.withColumn("_seq", F.lit(1)), allowMissingColumns=True).where(F.col("type").rlike("^[A-Z_]+$"))
     return rows.groupBy("src", "dst", "type").agg(F.max("strength").alias("strength"), F.max_by("description", "_seq").alias("description"), F.max_by("method", "_seq").alias("method"))
 
 
@@ -45,6 +47,47 @@ def write_table(df: DataFrame, path: str, mode: str = "append", partition: str |
     (w.partitionBy(partition) if partition else w).parquet(path)
 
 
+def vector_rows(docs: DataFrame, text: str = "document") -> DataFrame:
+    """Rows for a vector table: an id where there is none (of the text's hash), lists as strings, lower-case fields.
+
+    Batches, retries and halving are Spark's work: a task that fails is run again on its part.
+    """
+    lists = {c for c, kind in docs.dtypes if kind == "array<string>"}
+    made = F.concat(F.lit("doc_"), F.left(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), F.lit(16)))
+    rows = docs.withColumn("id", F.coalesce(F.col("id").cast("string"), made) if "id" in docs.columns else made)
+    return X.lower_fields(rows.withColumns({c: X.metadata_text(F.col(c)) for c in lists}))
+
+
+def document_nodes(docs: DataFrame) -> DataFrame:
+    """Document nodes of new documents: id, label, name (the title, or Untitled) and the fields that exist."""
+    kept = [c for c in ("author", "source", "url", "publication_date", "category", "tags") if c in docs.columns]
+    return docs.select(F.col("doc_id").cast("string").alias("id"), F.lit("Document").alias("label"), F.coalesce("title", F.lit("Untitled")).alias("name"), *kept)
+
+
+def rewrite(spark: SparkSession, path: str, files: int | None = None) -> int:
+    """Writes a table anew beside its place and puts it there, so that small or damaged files go; the number of rows.
+
+    A damaged file ends the work before anything is replaced.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    old, new = fs_path(path), fs_path(f"{path}.rewritten")
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = spark.read.parquet(path)
+    (rows.coalesce(files) if files else rows).write.mode("overwrite").parquet(f"{path}.rewritten")
+    n = spark.read.parquet(f"{path}.rewritten").count()
+    if n != rows.count():
+        raise RuntimeError("the table changed while it was rewritten")
+    fs.delete(old, True)
+    fs.rename(new, old)
+    return n
+
+
+def clear(spark: SparkSession, path: str) -> bool:
+    """Deletes a table; whether there was one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def export_json(tables: dict[str, DataFrame], path: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").json(f"{path}/{name}")
