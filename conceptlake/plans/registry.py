@@ -16,8 +16,10 @@ from conceptlake.operators import concepts as K
 from conceptlake.operators import dedup as D
 from conceptlake.operators import entities as E
 from conceptlake.operators import graph as G
+from conceptlake.operators import ingest as I
 from conceptlake.operators import jobs as J
 from conceptlake.operators import vector as V
+from conceptlake.sources import sinks as W
 
 WORDS = ["the", "go", "rest", "thing", "idiot", "license", "token"]
 QUERIES = {}
@@ -493,3 +495,133 @@ def job_filter(s, d):
 @query(f"SELECT status, count(*) AS n FROM {JOBS} GROUP BY 1")
 def job_status_counts(s, d):
     return J.status_counts(job_log(s, d))
+
+
+@query(f"SELECT (SELECT count(*) FROM {NODES}) AS nodes, (SELECT count(*) FROM {EDGES}) AS relationships, (SELECT count(*) FROM part) AS concepts, (SELECT count(*) FROM orders) AS documents")
+def graph_counts(s, d):
+    return G.counts(nodes(s, d), edges(s, d))
+
+
+@query(f"""WITH c AS (SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), 'gear') ORDER BY length(p_name), p_name, p_partkey LIMIT 1)
+SELECT c.id, c.name, e.dst AS related_id, p.p_name AS related, round(max(strength), 6) AS strength FROM c LEFT JOIN {SYM} e ON e.src = c.id LEFT JOIN part p ON p.p_partkey = e.dst GROUP BY 1, 2, 3, 4""")
+def concept_composed(s, d):
+    part = read(s, d, "part").select(F.col("p_partkey").alias("id"), F.lit("Concept").alias("label"), F.col("p_name").alias("name"))
+    return G.concept(part, edges(s, d), "GEAR").withColumn("strength", F.round("strength", 6))
+
+
+@query(f"""SELECT distance, count(*) AS n FROM (SELECT target, (min(hops) - 1)::INT AS distance FROM (
+  SELECT dst AS target, 1 AS hops FROM {SYM} WHERE src = 3 UNION ALL SELECT b.dst, 2 FROM {SYM} a JOIN {SYM} b ON a.dst = b.src AND NOT (b.dst = a.src) WHERE a.src = 3) GROUP BY 1) GROUP BY 1""")
+def reach_by_distance(s, d):
+    return G.by_distance(G.reach(edges(s, d), s.createDataFrame([(3,)], "id long"))).select("distance", "n")
+
+
+@query(f"""SELECT pos, hops, count(*) AS n FROM (SELECT dst AS pos, 1 AS hops FROM {SYM} WHERE src = 3
+  UNION ALL SELECT b.dst, 2 FROM {SYM} a JOIN {SYM} b ON a.dst = b.src AND NOT (b.dst = a.src) WHERE a.src = 3) GROUP BY 1, 2""")
+def path_rows(s, d):
+    return G.paths(edges(s, d), s.createDataFrame([(3,)], "id long")).groupBy(F.col("at").alias("pos"), "hops").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT a.l_partkey AS concept, b.l_partkey AS other FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey = 5) a
+LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey = 5) b ON a.l_partkey <> b.l_partkey""")
+def triangle(s, d):
+    return G.triangle(edges(s, d), line_mentions(s, d), 5)
+
+
+@query(f"SELECT a.p_name AS source, b.p_name AS target, 'RELATED_TO' AS type, round(strength, 6) AS strength FROM {EDGES} JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst")
+def edge_endpoints(s, d):
+    named = read(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return G.endpoints(edges(s, d), named).withColumn("strength", F.round("strength", 6))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'changed' ELSE o_orderstatus END AS name, o_orderpriority AS note FROM orders
+UNION ALL SELECT 'new' || o_orderkey, 'changed', NULL FROM orders WHERE o_orderkey % 11 = 0""")
+def upsert_documents(s, d):
+    rows = read(s, d, "orders")
+    base = rows.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("name"), F.col("o_orderpriority").alias("note"))
+    old = rows.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("changed").alias("name"))
+    new = rows.where("o_orderkey % 11 = 0").select(F.concat(F.lit("new"), "o_orderkey").alias("id"), F.lit("changed").alias("name"))
+    return W.upsert(base, old.union(new), ["id"])
+
+
+@query("""SELECT src, dst, 'MENTIONS' AS type, round(max(strength), 6) AS strength, arg_max(description, seq) AS description, arg_max(method, seq) AS method FROM (
+  SELECT l_orderkey AS src, l_partkey AS dst, max(l_tax) AS strength, 'old' AS description, 'a' AS method, 0 AS seq FROM lineitem GROUP BY 1, 2
+  UNION ALL SELECT l_orderkey, l_partkey, max(l_discount), 'new', 'b', 1 FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1, 2) GROUP BY 1, 2""")
+def merge_relations(s, d):
+    rows = read(s, d, "lineitem")
+    of = lambda r, c, about, method: r.groupBy(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.max(c).alias("strength")).select("src", "dst", F.lit("MENTIONS").alias("type"), "strength", F.lit(about).alias("description"), F.lit(method).alias("method"))
+    out = W.merge_relations(of(rows, "l_tax", "old", "a"), of(rows.where("l_orderkey % 3 = 0"), "l_discount", "new", "b"))
+    return out.withColumn("strength", F.round("strength", 6))
+
+
+@query("SELECT 'concept-' || left(sha256(k), 16) AS id, name FROM (SELECT lower(p_name) AS k, min(p_name) AS name FROM part GROUP BY 1) WHERE k NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey < 20)")
+def new_concepts(s, d):
+    part = read(s, d, "part").select("p_partkey", F.col("p_name").alias("name"))
+    return W.get_or_create(part.where("p_partkey < 20").withColumn("name", F.upper("name")), part)
+
+
+@query("""SELECT DISTINCT l_orderkey::VARCHAR AS src, l_partkey::VARCHAR AS dst, 'MENTIONS' AS type FROM lineitem
+WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0) AND l_partkey % 5 > 0 OR l_orderkey = 1""")
+def link_if_absent(s, d):
+    rows = read(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("src"), F.col("l_partkey").cast("string").alias("dst"), F.lit("MENTIONS").alias("type"))
+    ids = read(s, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("string").alias("id"))
+    both = ids.union(read(s, d, "part").where("p_partkey % 5 > 0").select(F.col("p_partkey").cast("string")))
+    # ids of orders and parts are one space here: a link's ends are told apart by the column they came from
+    marked = rows.select(F.concat(F.lit("o"), "src").alias("src"), F.concat(F.lit("p"), "dst").alias("dst"), "type")
+    known = ids.select(F.concat(F.lit("o"), "id").alias("id")).union(both.join(ids, "id", "left_anti").select(F.concat(F.lit("p"), "id").alias("id"))).union(read(s, d, "part").where("p_partkey % 5 > 0").select(F.concat(F.lit("p"), "p_partkey").alias("id")))
+    out = I.add_links(known, marked.where("src = 'o1'").distinct(), marked)
+    return out.select(F.substring("src", 2, 30).alias("src"), F.substring("dst", 2, 30).alias("dst"), "type")
+
+
+@query(f"""SELECT d.doc_id::VARCHAR AS id, d.text AS document, coalesce(string_agg(c, ',' ORDER BY pos, c), '') AS concept_ids, arg_min(c, (pos, c)) AS concept_id
+FROM documents d LEFT JOIN (SELECT doc_id, instr(lower(text), keyword) AS pos, 'concept-' || left(sha256(keyword), 16) AS c FROM documents, {LEXICON} WHERE contains(lower(text), keyword)) m USING (doc_id) GROUP BY d.doc_id, d.text""")
+def legacy_vectors(s, d):
+    docs = read(s, d, "documents")
+    out = I.legacy_vectors(docs, E.keyword_entities(docs, WORDS))
+    return out.withColumn("concept_ids", F.coalesce("concept_ids", F.lit("")))
+
+
+@query(f"""WITH m AS {MENTIONS}, strong AS (SELECT a.doc_id, a.name AS src, b.name AS dst, 'IS_A' AS type, 0.8::DOUBLE AS strength, 'pattern_based' AS method FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.name = 'go' AND b.name = 'rest')
+SELECT * FROM strong UNION ALL SELECT a.doc_id, a.name, b.name, 'RELATED_TO', 0.3::DOUBLE, 'basic' FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.name < b.name WHERE a.doc_id NOT IN (SELECT doc_id FROM strong)""")
+def relation_fusion(s, d):
+    m = mentions(s, d)
+    pairs = E.cooccurrence(m)
+    strong = pairs.where("src = 'go' and dst = 'rest'").withColumns({"type": F.lit("IS_A"), "strength": F.lit(0.8), "method": F.lit("pattern_based")})
+    return E.fuse_relations(strong.union(strong.withColumns({"strength": F.lit(0.4)})), pairs)
+
+
+@query("SELECT doc_id, unnest([lang, source]) AS name, 'metadata' AS source FROM documents")
+def metadata_entities(s, d):
+    docs = read(s, d, "documents").select("doc_id", F.concat_ws(" , ", "lang", "source", F.lit(" ")).alias("concepts"))
+    return E.metadata_entities(docs)
+
+
+@query("SELECT min(doc_id) AS doc_id, k AS hash FROM (SELECT doc_id, sha256(lower(regexp_replace(text, '\\s+', '', 'g'))) AS k FROM documents) GROUP BY k HAVING k NOT IN (SELECT sha256(lower(regexp_replace(text, '\\s+', '', 'g'))) FROM documents WHERE doc_id % 3 = 0)")
+def new_documents(s, d):
+    docs = read(s, d, "documents")
+    store = docs.where("doc_id % 3 = 0").select(X.compact_hash(F.col("text")).alias("hash"))
+    return D.new_documents(docs, store).select("doc_id", "hash")
+
+
+@query("SELECT p_partkey AS doc_id, coalesce(coalesce(a.id, b.id, c.id)::VARCHAR, 'new') AS existing_id, CASE WHEN a.id IS NOT NULL THEN 'content_hash' WHEN b.id IS NOT NULL THEN 'metadata_hash' WHEN c.id IS NOT NULL THEN 'file_path' END AS method FROM part p LEFT JOIN (SELECT p_name || p_size AS k, min(p_partkey) AS id FROM part WHERE p_partkey < 50 GROUP BY 1) a ON a.k = p_name || p_size LEFT JOIN (SELECT p_brand || p_size AS k, min(p_partkey) AS id FROM part WHERE p_partkey < 50 GROUP BY 1) b ON b.k = p_brand || p_size LEFT JOIN (SELECT p_name AS k, min(p_partkey) AS id FROM part WHERE p_partkey < 50 GROUP BY 1) c ON c.k = p_name")
+def duplicate_cascade(s, d):
+    rows = read(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(None).cast("string").alias("title"), F.concat("p_name", "p_size").alias("content_hash"), F.concat("p_brand", "p_size").alias("metadata_hash"), F.col("p_name").alias("file_path"))
+    return D.cascade(rows, rows.where("doc_id < 50")).withColumn("existing_id", F.coalesce(F.col("existing_id").cast("string"), F.lit("new")))
+
+
+@query("SELECT event_id, CASE WHEN value / 100 < 0.4 THEN 'weak' WHEN value / 100 < 0.7 THEN 'moderate' WHEN value / 100 < 1.0 THEN 'strong' ELSE 'essential' END AS category, upper(replace(event_type, ' ', '_')) AS type, user_id || ' is ' || replace(lower(event_type), '_', ' ') || ' x' AS description FROM events")
+def strength_categories(s, d):
+    rows = read(s, d, "events")
+    return rows.select("event_id", X.strength_category(F.col("value") / 100).alias("category"), X.relation_type(F.col("event_type")).alias("type"), X.relation_description(F.col("user_id").cast("string"), F.col("event_type"), F.lit("x")).alias("description"))
+
+
+@query("SELECT user_id AS job_id, round(CASE WHEN sum(value) > 5000 THEN count(*) / sum(value) * 100 ELSE 0.0 END, 6) AS progress FROM events GROUP BY 1")
+def job_progress(s, d):
+    rows = read(s, d, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.count("*").alias("processed_items"), F.sum("value").alias("v"))
+    return J.progress(rows.withColumn("total_items", F.when(F.col("v") > 5000, F.col("v")).otherwise(0.0))).select("job_id", F.round("progress", 6).alias("progress"))
+
+
+@query(f"SELECT job_id, 'cancelled' AS status FROM (SELECT user_id AS job_id, CASE event_type WHEN 'click' THEN 'queued' WHEN 'view' THEN 'running' ELSE 'completed' END AS status, event_id AS seq, user_id % 2 AS own FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE job_id < 500 AND status IN ('queued', 'running') AND own = 1")
+def job_cancellations(s, d):
+    status = F.when(F.col("status") == "click", "queued").when(F.col("status") == "view", "running").otherwise("completed")
+    rows = J.latest(job_log(s, d)).withColumns({"status": status, "created_by": (F.col("job_id") % 2).cast("string")})
+    return J.cancellations(rows, list(range(500)), "1").select("job_id", "status")
