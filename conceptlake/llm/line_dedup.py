@@ -67,18 +67,17 @@ def keys(line: Column, length: Column, threshold: int = THRESHOLD) -> tuple[Colu
     return F.array(*index), F.array(*probe)
 
 
-def distinct_lines(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """h, c, n, first (doc_id, t, line_no), index and probe keys of each distinct line."""
-    index, probe = (F.when(F.length("line") >= EACH, k).otherwise(F.array().cast("array<long>")) for k in keys(F.col("line"), F.length("line"), threshold))
-    keyed = rows.select("h", "c", F.struct("doc_id", "t", "line_no").alias("at"), index.alias("index"), probe.alias("probe"))
-    return keyed.groupBy("h").agg(F.min("c").alias("c"), F.count("*").alias("n"), F.min("at").alias("first"), F.first("index").alias("index"), F.first("probe").alias("probe"))
+def distinct_lines(rows: DataFrame) -> DataFrame:
+    """h, c, n, first (doc_id, t, line_no) and line of each distinct line."""
+    keyed = rows.select("h", "c", F.struct("doc_id", "t", "line_no").alias("at"), "line")
+    return keyed.groupBy("h").agg(F.min("c").alias("c"), F.count("*").alias("n"), F.min("at").alias("first"), F.first("line").alias("line"))
 
 
-def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts(distinct: DataFrame, wanted: DataFrame) -> DataFrame:
     """h, u (code points), n (their number) and bag (parity of how often each occurs, by 64 residues) of the wanted hashes."""
     wanted = materialize(wanted.distinct())
-    texts = rows.select("h", "line").join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "h", "left_semi")
-    texts = texts.dropDuplicates(["h"]).select("h", F.expr("transform(split(line, ''), c -> ascii(c))").alias("u"))
+    texts = distinct.select("h", "line").join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "h", "left_semi")
+    texts = texts.select("h", F.expr("transform(split(line, ''), c -> ascii(c))").alias("u"))
     found = materialize(texts.select("h", "u", F.size("u").alias("n"), F.expr("aggregate(u, 0L, (bag, c) -> bag ^ shiftleft(1L, c % 64))").alias("bag")))
     drop(wanted)
     return found
@@ -125,14 +124,16 @@ def _verified(texts: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     return materialize(both.where(possible(threshold)).where(within(threshold)).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def line_links(rows: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def line_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links (u, v) between distinct lines that connect all lines within the threshold, directly or by others."""
-    sides = distinct.select("h", F.explode("index").alias("k"), F.lit(True).alias("indexed")).union(distinct.select("h", F.explode("probe"), F.lit(False)))
+    long = distinct.where(F.length("line") >= EACH)
+    index, probe = keys(F.col("line"), F.length("line"), threshold)
+    sides = long.select("h", F.explode(index).alias("k"), F.lit(True).alias("indexed")).union(long.select("h", F.explode(probe), F.lit(False)))
     by = Window.partitionBy("k")
     shared = sides.withColumns({"lo": F.min("h").over(by), "hi": F.max("h").over(by)}).where("lo <> hi")
     shared = materialize(shared.select("k", "h", "indexed", "lo"))
     star = materialize(shared.where("h <> lo").select(F.col("lo").alias("a"), F.col("h").alias("b")).distinct())
-    texts = _texts(rows, shared.select("h"))
+    texts = _texts(distinct, shared.select("h"))
     first = _verified(texts, star, threshold)
     rooted = shared.join(components(first).select(F.col("id").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     split = rooted.groupBy("k").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("k")
@@ -151,8 +152,8 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, t (the text's hash), line_no of every line that goes, its class's first line (class: doc_id, t, line_no), and the class's distinct lines."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     rows = lines(docs)
-    distinct = materialize(distinct_lines(rows, threshold))
-    links = line_links(rows, distinct, threshold)
+    distinct = materialize(distinct_lines(rows))
+    links = line_links(distinct, threshold)
     roots = components(links).select(F.col("id").alias("h"), "root")
     classes = distinct.select("h", "c", "n", "first").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     per = classes.groupBy("root").agg(F.min("first").alias("class"), F.sum("n").alias("total"), F.count("*").alias("n_texts")).where("total > 1")
