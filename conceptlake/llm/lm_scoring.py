@@ -101,7 +101,7 @@ class Network:
         with np.errstate(divide="ignore", invalid="ignore"):
             # a token that no text has gets no probability
             net.class_odds[:] = np.maximum(np.log(total / total.sum()), -1e4)
-            net.odds[:] = np.where(of > 0, np.log(of / total[:, None]), -1e4)
+            net.odds[:] = np.where(of > 0, np.log(of / total[:, None]), np.where(total > 0, -1e4, 0)[:, None])
         return net.vector
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
