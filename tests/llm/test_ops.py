@@ -496,7 +496,7 @@ def test_stages_keep_rows_and_columns(spark):
     mixed = mixing.mixed(rows)
     assert mixed.columns == rows.columns and set(sort(mixed)) <= set(sort(rows)) and {r.target for r in mixed.collect()} == {5.0}
     lines = line_dedup.deduplicated(rows)
-    assert lines.columns == rows.columns and {(r.doc_id, r.text) for r in lines.collect()} == {(1, text), (1, other), (2, None), (3, ""), (None, "words without an id at all here"), (4, text + "x")}
+    assert lines.columns == rows.columns and {(r.doc_id, r.text) for r in lines.collect()} == {(1, text), (1, other), (2, None), (3, ""), (None, "words without an id at all here")}
     kept = ngram_join.keep_first(rows)
     assert kept.columns == rows.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, text), (1, other), (2, ""), (3, ""), (0, "words without an id at all here")])
@@ -511,7 +511,7 @@ def test_stages_keep_rows_and_columns(spark):
 
 def test_very_long_texts(spark):
     long = " ".join(f"w{k % 5000}" for k in range(30_000))
-    rows = spark.createDataFrame([(1, long, "en"), (2, long + " end", "en"), (3, "x" * 300_000, "en"), (4, "short text", "en")], "doc_id long, text string, lang string")
+    rows = spark.createDataFrame([(1, long, "en"), (2, long + "s", "en"), (3, "x" * 300_000, "en"), (4, "short text", "en")], "doc_id long, text string, lang string")
     assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(rows).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
     assert [r.text for r in line_dedup.deduplicated(rows).where("doc_id = 2").collect()] == []
     assert fingerprints.fingerprint_edits(rows).where("doc_id = 1").first().near_edited > 0.3
