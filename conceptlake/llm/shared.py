@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. A temporary one only where a local session names none (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = getattr(spark, "_conceptlake_dir", None) or "file://" + tempfile.mkdtemp(prefix="conceptlake-")
         spark._conceptlake_dir = path
