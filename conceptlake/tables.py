@@ -13,7 +13,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and not sc.master.startswith("local["):
+        if not path and not (sc.master + "[").startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="conceptlake-"))
     return df.checkpoint()
