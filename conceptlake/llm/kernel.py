@@ -67,7 +67,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """The same rows in pieces of about ``size`` bytes of text, with the text's bytes and offsets."""
+    """The same rows in pieces of about ``size`` bytes of text, with the text's bytes and offsets.
+
+    After the last one, what Arrow's pool keeps goes back to the system: idle workers hold no buffers.
+    """
     for batch in batches:
         raw, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
         start = 0
@@ -75,6 +78,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE) -> I
             end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1)
             yield batch.slice(start, end - start), raw[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
             start = end
+    pa.default_memory_pool().release_unused()
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, of: np.ndarray = NOT_SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
