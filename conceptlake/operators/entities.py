@@ -127,7 +127,7 @@ def pattern_relations(docs: DataFrame, mentions: DataFrame, strength: float = 0.
     rows = docs.select("doc_id", F.lower("text").alias("low")).join(names, "doc_id")
     said = F.expr("coalesce(" + ", ".join(f"if(contains(low, concat(lower(a), '{p}', lower(b))), '{kind}', null)" for kind, ps in PHRASES.items() for p in ps) + ")")
     # the phrases are tried only for names that some phrase follows, and then each with the names
-    begins = F.filter("names", lambda a: F.lit(False) if not PHRASES else _any(F.col("low"), a))
+    begins = F.filter("names", lambda a: _any(F.col("low"), a))
     rows = rows.select("doc_id", "low", "names", F.explode(begins).alias("a"))
     rows = rows.select("doc_id", "low", "a", F.explode(F.array_remove("names", F.col("a"))).alias("b"))
     rows = rows.select("doc_id", F.col("a").alias("src"), F.col("b").alias("dst"), said.alias("type"))
