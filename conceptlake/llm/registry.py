@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, html_text, language, licences, line_dedup, lm_scoring, mixing, ngram_join, toxicity
+from . import decontamination, fingerprints, html_text, language, licences, line_dedup, lm_scoring, mixing, ngram_join, periodic_runs, toxicity
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": ngram_join.op8_ngram_jaccard_join,
     "op9_mixing_sources": mixing.op9_mixing_sources,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 SQL = {
