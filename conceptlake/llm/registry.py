@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, html_text, language, licences, line_dedup, lm_scoring, mixing, ngram_join, periodic_runs, toxicity
+from . import decontamination, fingerprints, html_text, language, licences, line_dedup, lm_scoring, mixing, ngram_join, periodic_runs, toxicity, vector_codes
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": ngram_join.op8_ngram_jaccard_join,
     "op9_mixing_sources": mixing.op9_mixing_sources,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
@@ -22,4 +23,5 @@ SQL = {
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op8_ngram_jaccard_join": ngram_join.OP8_SQL,
     "op9_mixing_sources": mixing.OP9_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
 }
