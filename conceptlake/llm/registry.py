@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, html_text, language, licences, line_dedup, lm_scoring, mixing, ngram_join, periodic_runs, toxicity, vector_codes
+from . import decontamination, fingerprints, html_text, language, licences, line_dedup, lm_scoring, minhash, mixing, ngram_join, periodic_runs, toxicity, vector_codes
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing_sources": mixing.op9_mixing_sources,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_minhash_near_dedup": minhash.op12_minhash_near_dedup,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
@@ -24,4 +25,5 @@ SQL = {
     "op8_ngram_jaccard_join": ngram_join.OP8_SQL,
     "op9_mixing_sources": mixing.OP9_SQL,
     "op11_vector_codes": vector_codes.OP11_SQL,
+    "op12_minhash_near_dedup": minhash.OP12_SQL,
 }
