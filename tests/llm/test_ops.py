@@ -31,7 +31,8 @@ def docs(spark):
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_oracle(spark, name):
     c = duckdb.connect()
-    c.execute(f"create view documents as select * from '{D}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        c.execute(f"create view {t} as select * from '{D}/{t}.parquet'")
     got, want = registry.QUERIES[name](spark, D).toPandas(), c.execute(registry.SQL[name]).df()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
