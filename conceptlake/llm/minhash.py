@@ -12,10 +12,11 @@ instead dealt out pair by pair with sums before the shuffle, so that a group of
 isn't one task's.
 
 Texts with equal sets are one class. First each class is verified against one other, the
-smallest class of the table keys most of its keys agree on; this links groups of near
-copies. Then all pairs of a table key that aren't in one component yet are verified,
-unless their sizes or parity bitmaps show that they can't be similar enough. So every
-pair that meets in a table is verified or already connected, whatever a key's size.
+one that most of its keys in the tables of the diagonal name as their smallest; this links
+groups of near copies. A key within one component has nothing more to link; of the
+others, all pairs that aren't in one component yet are verified, unless their sizes or
+parity bitmaps show that they can't be similar enough. So every pair that meets in a
+table is verified or already connected, whatever a key's size.
 
 Classes are joined by 64 bits of hash; a row joins its class only if 64 other bits
 agree too, else it stays on its own.
@@ -95,50 +96,51 @@ class MinHashJoin(NgramJoin):
         rows = keyed.where("k is not null and doc_id is not null")
         return rows.groupBy("k").agg(F.min("check").alias("check"), F.min("doc_id").alias("class_id"), F.count("*").alias("rows"), F.min("n_shingles").alias("n"), F.min("w").alias("w"), F.min("first").alias("first"), F.min("second").alias("second"))
 
-    def met(self, groups: DataFrame) -> DataFrame:
-        """(x, k, least): table keys that two or more classes have, each of their classes, and the smallest of these."""
-        each = groups.select("k", F.posexplode("first").alias("i", "a"), "second").select("k", F.xxhash64("i", "a").alias("a"), "second")
-        many = materialize(each.groupBy("a").agg(F.count("*").alias("g")).where(F.col("g") > MANY).select("a"))
-        sent = F.broadcast(many) if many.count() <= SENT_HOT else many
-        paired = lambda df: df.select("k", "a", F.posexplode("second").alias("j", "b")).select("k", "a", F.xxhash64("a", "j", "b").alias("x"))
-        few = paired(each.join(sent, "a", "left_anti").repartition("a")).groupBy("a", "x")
-        hot = paired(each.join(sent, "a", "left_semi")).groupBy("a", "x")
-        count = (F.count("*").alias("g"), F.min("k").alias("least"), F.max("k").alias("most"))
-        shared = materialize(few.agg(*count).where("g > 1").union(hot.agg(*count).where("g > 1")))
-        pairs = shared.where("g = 2").select("x", F.explode(F.array("least", "most")).alias("k"), "least")
-        more = shared.where("g > 2")
-        firsts = materialize(more.select("a").distinct())
+    def stars(self, groups: DataFrame) -> DataFrame:
+        """(k, least): the class that most of a class's keys of the diagonal tables name as their smallest."""
+        diagonal = groups.select("k", F.explode(F.expr("transform(first, (a, i) -> xxhash64(i, a, get(second, i)))")).alias("x"))
+        shared = diagonal.groupBy("x").agg(F.count("*").alias("g"), F.min("k").alias("least")).where("g > 1").drop("g")
+        votes = diagonal.join(shared, "x").where("k <> least").groupBy("k", "least").agg(F.count("*").alias("c"))
+        return votes.groupBy("k").agg(F.max(F.struct("c", "least")).alias("v")).select("k", F.col("v.least").alias("least"))
+
+    def met(self, rooted: DataFrame) -> DataFrame:
+        """(x, k, root): the classes of each table key that classes of different components have. rooted: k, root, first, second.
+
+        A first key within one component is left out before it is paired with second keys.
+        """
+        each = rooted.select("k", "root", F.posexplode("first").alias("i", "a"), "second").select("k", "root", F.xxhash64("i", "a").alias("a"), "second")
+        apart = (F.min("root").alias("lo"), F.max("root").alias("hi"))
+        alive = materialize(each.groupBy("a").agg(F.count("*").alias("g"), *apart).where("lo <> hi").select("a", "g"))
+        sent = F.broadcast if alive.count() <= SENT_HOT else lambda df: df
+        paired = lambda df: df.select("k", "root", "a", F.posexplode("second").alias("j", "b")).select("k", "root", "a", F.xxhash64("a", "j", "b").alias("x"))
+        few = paired(each.join(sent(alive.where(F.col("g") <= MANY).select("a")), "a", "left_semi").repartition("a")).groupBy("a", "x").agg(*apart)
+        hot = paired(each.join(sent(alive.where(F.col("g") > MANY).select("a")), "a", "left_semi")).groupBy("a", "x").agg(*apart)
+        split = materialize(few.union(hot).where("lo <> hi").select("a", "x"))
+        firsts = materialize(split.select("a").distinct())
         rows = paired(each.join(F.broadcast(firsts) if firsts.count() <= SENT_HOT else firsts, "a", "left_semi"))
-        found = materialize(pairs.union(rows.join(more.select("x", "least"), "x").select("x", "k", "least")))
-        drop(many, shared, firsts)
+        found = materialize(rows.join(split.select("x"), "x", "left_semi").select("x", "k", "root"))
+        drop(alive, split, firsts)
         return found
 
     def links(self, groups: DataFrame) -> DataFrame:
         """Links (u, v) between classes that connect every pair that meets and reaches the threshold, directly or by others."""
         num, den = self.num, self.den
-        met = self.met(groups)
-        info = materialize(groups.select("k", "n", "w").join(met.select("k").distinct(), "k"))
-        fits = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
-        close = f"aggregate(zip_with(wa, wb, (x, y) -> bit_count(x ^ y)), 0, (sum, x) -> sum + x) <= na + nb - 2 * ceil({num} * (na + nb) / {num + den})"
-
-        def about(rows: DataFrame, key: str, side: str) -> DataFrame:
-            return rows.withColumnRenamed(key, side).join(info.select(F.col("k").alias(side), F.col("n").alias("n" + side), F.col("w").alias("w" + side)), side)
-
-        votes = met.where("k <> least").groupBy("k", "least").agg(F.count("*").alias("c"))
-        best = votes.groupBy("k").agg(F.max(F.struct("c", "least")).alias("v")).select("k", F.col("v.least").alias("least"))
-        star = about(about(best, "k", "a"), "least", "b").where(f"{fits} and {close}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        info = groups.select("k", "n", "w")
+        overlap = f"ceil({num} * (a.n + b.n) / {num + den})"
+        close = f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n) and aggregate(zip_with(a.w, b.w, (x, y) -> bit_count(x ^ y)), 0, (sum, x) -> sum + x) <= a.n + b.n - 2 * {overlap}"
+        star = self.stars(groups).alias("s").join(info.alias("a"), F.expr("s.k = a.k")).join(info.alias("b"), F.expr("s.least = b.k")).where(close)
+        star = star.select(F.least("a.k", "b.k").alias("a"), F.greatest("a.k", "b.k").alias("b"))
         tried = materialize(star.distinct())
         linked = self.verify(groups, tried)
         roots = components(linked).select(F.col("id").alias("k"), "root")
-        rooted = met.join(roots, "k", "left").select("x", "k", F.coalesce("root", "k").alias("root"))
-        split = rooted.groupBy("x").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("x")
-        rooted = materialize(rooted.join(split, "x", "left_semi"))
-        left = about(rooted.withColumnRenamed("root", "roota"), "k", "a")
-        right = about(rooted.withColumnRenamed("root", "rootb"), "k", "b")
-        rest = left.join(right, "x").where(f"a < b and roota <> rootb and {fits} and {close}").select("a", "b").distinct()
+        rooted = materialize(groups.select("k", "first", "second").join(roots, "k", "left").select("k", F.coalesce("root", "k").alias("root"), "first", "second"))
+        met = self.met(rooted)
+        rows = met.join(info, "k")
+        both = rows.alias("a").join(rows.alias("b"), F.expr(f"a.x = b.x and a.k < b.k and a.root <> b.root and {close}"))
+        rest = both.select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
         rest = materialize(rest.join(tried, ["a", "b"], "left_anti"))
         found = materialize(linked.union(self.verify(groups, rest)))
-        drop(met, info, tried, linked, rooted, rest)
+        drop(tried, linked, rooted, met, rest)
         return found
 
 
