@@ -26,7 +26,7 @@ COMMON_KEYWORDS = {
     "computer vision": "CV", "reinforcement learning": "RL", "supervised learning": "SL", "unsupervised learning": "UL", "transformer": "TR",
     "attention mechanism": "AM", "convolutional neural network": "CNN", "recurrent neural network": "RNN", "long short-term memory": "LSTM",
     "gated recurrent unit": "GRU", "generative adversarial network": "GAN", "transfer learning": "TL", "fine-tuning": "FT", "backpropagation": "BP",
-    "gradient descent": "GD", "retrieval-augmented generation": "RAG", "graphrag": "GRAG", "knowledge graph": "KG", "vector database": "VDB",
+    "gradient descent": "GD", "retrieval-augmented generation": "RAG", "knowledge graph": "KG", "vector database": "VDB",
     "embedding": "EMB", "hybrid search": "HS", "deduplication": "DD", "large language model": "LLM", "neo4j": "NEO", "chromadb": "CHROMA",
 }
 DOMAIN_KEYWORDS = {

@@ -80,18 +80,16 @@ def paths(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
-def contained(edges: DataFrame, root, depth: int = 20) -> DataFrame:
-    """id of all that ``root`` contains, at any depth up to the guard.
+def contained(edges: DataFrame, root) -> DataFrame:
+    """id of all that ``root`` contains, at any depth.
 
     Each step joins what the last one reached anew with the edges, and leaves out what was reached before, so a node
-    that many paths lead to counts once.
+    that many paths lead to counts once and a cycle ends. Many roots at once: ``closure``.
     """
     links = edges.select("src", "dst").where("src is not null and dst is not null")
     new = cut(links.where(F.col("src") == root).select(F.col("dst").alias("id")).distinct())
     found = new
-    for _ in range(depth - 1):
-        if new.isEmpty():
-            break
+    while not new.isEmpty():
         new = cut(new.join(links, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(found, "id", "left_anti"))
         found = cut(found.union(new))
     return found
