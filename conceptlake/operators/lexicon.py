@@ -1,9 +1,12 @@
 """Matching of a lexicon of any size against texts: one scan of the texts, one equi-join.
 
-A keyword is found by its beginning. Each place of a text at which some keyword might
-begin gives a window as long as the longest keyword; the windows meet the keywords
-by their first 1, 2, 4 or 8 characters (the longest of these that a keyword has) and are
-compared with them there. The text itself is neither shuffled nor joined.
+A keyword is found by its beginning. Texts are cut into overlapping blocks; each place
+of a block at which some keyword may begin gives a window as long as the longest
+keyword, and windows meet the keywords by their first 1, 2, 4 or 8 characters (the
+longest of these that a keyword has), where they are compared. So the work grows with the texts and
+not with the lexicon, and no text is shuffled or joined, but for keywords of over
+WINDOW characters: of these the beginnings are matched, and the texts that have one are
+joined by their ids and searched.
 """
 
 from __future__ import annotations
@@ -13,32 +16,28 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of a block, and most of a window.
+BLOCK, WINDOW = 1024, 64
 LEVELS = (1, 2, 4, 8)
-#: Two-character beginnings up to which a text's places are preselected by the pattern itself.
+#: Beginnings of keywords that one pattern preselects places by.
 HEADS = 2000
 #: Keywords that are sent to every task; more are shuffled, as the windows are.
 SENT = 200_000
+WORD = r"[\p{L}\p{N}]"
 
 
-def _class(chars: set[str]) -> str:
-    return "[" + "".join(re.sub(r"([\\\[\]^&~-])", r"\\\1", c) for c in sorted(chars)) + "]"
-
-
-def _heads(heads: list[str]) -> str:
-    """A pattern for texts that begin with one of the heads, by first characters."""
-    second: dict[str, set[str]] = {}
+def beginnings(heads: list[str]) -> str:
+    """A pattern for what begins with one of the strings: a tree of their characters."""
+    after: dict[str, list[str]] = {}
     for h in heads:
-        second.setdefault(h[0], set()).add(h[1:])
-    parts = [_class({c}) + ("" if "" in rest else _class(rest)) for c, rest in sorted(second.items())]
-    return "(?:" + "|".join(parts) + ")"
+        after.setdefault(h[0], []).append(h[1:])
+    return "(?:" + "|".join(re.escape(c) + ("" if "" in rest else beginnings(rest)) for c, rest in sorted(after.items())) + ")"
 
 
-def windows(text: Column, longest: int, heads: list[str] | None = None, word_boundary: bool = False) -> Column:
-    """For each character of a text the window that begins with it, or an empty string where no keyword can begin."""
-    begins = r"(?<![\p{L}\p{N}])" if word_boundary else ""
-    begins += f"(?={_heads(heads)})" if heads else ""
-    # a second half of a surrogate pair is no character of its own
-    return F.regexp_extract_all(text, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?:{begins}(?=(.{{1,{longest + word_boundary}}}))|)"), F.lit(1))
+def bounded(text: str, part: str, before: str, after: str = "") -> Column:
+    """The first place (from 1) of a part that follows no letter or digit; 0 without one. What comes before is counted in characters."""
+    pieces = F.split(F.col(text), F.concat(F.lit(rf"{before}(?<!{WORD})\Q"), part, F.lit(rf"\E{after}")), F.lit(2))
+    return F.when(F.size(pieces) > 1, F.length(pieces[0]) + 1).otherwise(0)
 
 
 def match(docs: DataFrame, lexicon: DataFrame, word_boundary: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -53,15 +52,37 @@ def match(docs: DataFrame, lexicon: DataFrame, word_boundary: bool = False, id_c
     for n, more in reversed(list(zip(LEVELS, LEVELS[1:], strict=False))):
         level = F.when(F.length("keyword") < more, n).otherwise(level)
     keys = keys.withColumn("level", level)
-    about = keys.agg(F.count("*").alias("n"), F.max(F.length("keyword")).alias("longest"), F.sort_array(F.collect_set("level")).alias("levels")).first()
-    low = docs.select(F.col(id_col), F.lower(text).alias("low"))
-    heads = [r[0] for r in keys.select(F.left("keyword", F.lit(2))).distinct().limit(HEADS + 1).collect()] if about.n else []
-    at = windows(F.col("low"), about.longest or 1, heads if len(heads) <= HEADS else None, word_boundary)
-    rows = low.select(id_col, F.posexplode(at).alias("at", "window")).where("window <> ''")
-    rows = rows.select(id_col, "at", "window", F.explode(F.array(*(F.left("window", F.lit(n)) for n in about.levels or [1]))).alias("head"))
-    ends = ~F.expr("substring(window, length(keyword) + 1, 1)").rlike(r"^[\p{L}\p{N}]") if word_boundary else F.lit(True)
+    about = keys.agg(F.count("*").alias("n"), F.max(F.length("keyword")).alias("longest"), F.sort_array(F.collect_set("level")).alias("levels"), *(F.count_distinct(F.left("keyword", F.lit(d))).alias(f"h{d}") for d in (2, 3, 4))).first()
     sent = F.broadcast if about.n <= SENT else lambda df: df
-    hits = rows.join(sent(keys.select("keyword", F.expr("left(keyword, level)").alias("head"))), "head").where(F.startswith("window", "keyword") & ends)
-    first = hits.groupBy(id_col, "keyword").agg((F.min("at") + 1).cast("int").alias("pos"))
+    depth = max((d for d in (2, 3, 4) if about[f"h{d}"] <= HEADS), default=0)
+    heads = [r[0] for r in keys.select(F.left("keyword", F.lit(depth))).distinct().collect()] if depth else []  # HEADS at most
+    begins = (rf"(?<!{WORD})" if word_boundary else "") + (f"(?={beginnings(heads)})" if heads else "")
+    keys = keys.select("keyword", F.expr("left(keyword, level)").alias("head"), F.left("keyword", F.lit(WINDOW)).alias("begins"))
+
+    low = docs.select(F.col(id_col), F.lower(text).alias("low"))
+    wide = min(about.longest or 1, WINDOW) + word_boundary
+    # a block goes on for a window; with borders it begins with the character before its first place
+    whole = F.concat(F.lit(" "), "low") if word_boundary else F.col("low")
+    blocks = F.regexp_extract_all(whole, F.lit(rf"(?s)(?=(.{{1,{BLOCK + wide}}})).{{1,{BLOCK}}}"), F.lit(1))
+    rows = low.select(id_col, F.posexplode(blocks).alias("at", "block"))
+    first_place = r"(?!^)" if word_boundary else ""
+    found = F.array_distinct(F.regexp_extract_all("block", F.lit(rf"(?s){first_place}{begins}(?=(.{{1,{wide}}}))"), F.lit(1)))
+    rows = rows.select(id_col, "at", "block", F.explode(found).alias("window"))
+    # of equal windows of a block the first counts; what begins behind the block's own places is the next one's
+    place = bounded("block", "window", r"(?!^)") if word_boundary else F.expr("locate(window, block)")
+    # a shorter window ends with its block
+    place = F.when(F.length("window") < wide, F.length("block") - F.length("window") + 1).otherwise(place)
+    rows = rows.select(id_col, "at", "window", (place - int(word_boundary)).alias("place")).where(F.col("place") <= BLOCK)
+    place = F.col("at") * BLOCK + F.col("place")
+    ends = [F.left("window", F.lit(n)) for n in about.levels or [1]]
+    rows = rows.select(id_col, place.alias("pos"), "window", (F.explode(F.array(*ends)) if len(ends) > 1 else ends[0]).alias("head"))
+    hits = rows.join(sent(keys), "head").where(F.startswith("window", "begins"))
+    short = F.length("keyword") <= WINDOW
+    inside = hits.where(short & ~F.expr("substring(window, length(keyword) + 1, 1)").rlike(WORD)) if word_boundary else hits.where(short)
+    first = inside.groupBy(id_col, "keyword").agg(F.min("pos").alias("pos"))
+    if (about.longest or 0) > WINDOW:
+        maybe = hits.where(~short).select(id_col, "keyword").distinct().join(low, id_col)
+        at = bounded("low", "keyword", "", rf"(?!{WORD})") if word_boundary else F.expr("locate(keyword, low)")
+        first = first.union(maybe.select(id_col, "keyword", at.alias("pos")).where("pos > 0").groupBy(id_col, "keyword").agg(F.min("pos").alias("pos")))
     rest = [c for c in lexicon.columns if c != "keyword"]
     return first.join(sent(lexicon), "keyword").select(id_col, "keyword", "pos", *rest) if rest else first

@@ -238,6 +238,26 @@ def prompt_entities(s, d):
     return E.lexicon_entities(read(s, d, "documents"), E.lexicon(prompts=True))
 
 
+BENCH_WORDS = "(SELECT DISTINCT unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS keyword FROM benchmark)"
+
+
+def bench_words(s, d):
+    """The words of the benchmark's items: a lexicon that grows with the tables."""
+    return read(s, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("keyword")).distinct()
+
+
+@query(f"SELECT doc_id, keyword, instr(lower(text), keyword)::INT AS pos FROM documents, {BENCH_WORDS} WHERE keyword <> '' AND contains(lower(text), keyword)")
+def lexicon_table(s, d):
+    """A lexicon from a table, of any size."""
+    return E.keyword_entities(read(s, d, "documents"), bench_words(s, d)).select("doc_id", "keyword", "pos")
+
+
+@query(f"""SELECT DISTINCT doc_id, keyword FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS keyword FROM documents) SEMI JOIN {BENCH_WORDS} USING (keyword) WHERE keyword <> ''""")
+def lexicon_table_words(s, d):
+    """Whole words only."""
+    return E.keyword_entities(read(s, d, "documents"), bench_words(s, d), word_boundary=True).select("doc_id", "keyword")
+
+
 @query("SELECT doc_id, len(list_filter([" + ", ".join(f"contains(text, '{w}')" for w in ("a", "e")) + "], lambda x: x))::INT AS n FROM documents")
 def letters_found(s, d):
     """Case-sensitive contains."""
@@ -257,17 +277,6 @@ def pattern_relations(s, d):
     return E.pattern_relations(docs, E.keyword_entities(docs, NAMED).select("doc_id", F.col("keyword").alias("name")))
 
 
-# One sentence for each phrase, so that every type of relation occurs.
-PHRASED = [f"alpha{p}beta" for ps in E.PHRASES.values() for p in ps]
-PHRASED_DOCS = "(SELECT i::BIGINT AS doc_id, t AS text FROM (SELECT unnest(range(0, " + str(len(PHRASED)) + ")) AS i, unnest([" + ", ".join(f"'{t}'" for t in PHRASED) + "]) AS t))"
-
-
-@query(f"SELECT doc_id, 'alpha' AS src, 'beta' AS dst, CASE {SAID} END AS type FROM (SELECT doc_id, text AS low, 'alpha' AS a, 'beta' AS b FROM {PHRASED_DOCS})")
-def pattern_relation_types(s, d):
-    docs = s.createDataFrame(list(enumerate(PHRASED)), "doc_id long, text string")
-    return E.pattern_relations(docs, E.keyword_entities(docs, ["alpha", "beta"]).select("doc_id", F.col("keyword").alias("name"))).select("doc_id", "src", "dst", "type")
-
-
 @query(f"""SELECT count(*) AS documents, coalesce(sum(n), 0)::BIGINT AS concepts, round(avg(coalesce(n, 0)), 9) AS average FROM documents d
   LEFT JOIN (SELECT doc_id, count(DISTINCT name) AS n FROM {MENTIONS} GROUP BY 1) m USING (doc_id)""")
 def concepts_per_document(s, d):

@@ -1,12 +1,17 @@
 """Small exact models of what SQL doesn't cover."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from conceptlake.functions import chunks as C
 from conceptlake.functions import text as X
 from conceptlake.operators import concepts as K
 from conceptlake.operators import dedup as D
+from conceptlake.operators import entities as E
 from conceptlake.operators import graph as G
+from conceptlake.operators import lexicon as L
 from conceptlake.sources import sinks
 
 
@@ -57,3 +62,41 @@ def test_upsert(spark):
     a = spark.createDataFrame([(1, "x", "p"), (2, "y", "q")], "id int, n string, m string")
     b = spark.createDataFrame([(2, "z", None), (3, "w", "r")], "id int, n string, m string")
     assert {tuple(r) for r in sinks.upsert(a, b, ["id"]).collect()} == {(1, "x", "p"), (2, "z", "q"), (3, "w", "r")}
+
+
+def test_lexicon_of_any_size(spark):
+    """Against a search of every keyword in every text: borders of blocks, long keywords, signs of patterns, other planes."""
+    rnd = random.Random(3)
+    alphabet = "ab .[\\é\U0001f600"
+    keys = list({"".join(rnd.choice(alphabet) for _ in range(rnd.choice([1, 2, 3, 5, 9, 20]))) for _ in range(60)})
+    long = "ab" * 60
+    keys += [long, long + "é", "zz"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(n)) for n in (0, 1, 5, 1023, 1024, 1025, 3000)] + ["a." * 511 + "a zz", " " * 1024 + "zz" + "." * 70, "x" + long + "é", long, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    lexicon = spark.createDataFrame([(k, i) for i, k in enumerate(keys)] + [("", -1), (None, -2)], "keyword string, number int")
+    got = {(r.doc_id, r.keyword, r.pos, r.number) for r in L.match(docs, lexicon).collect()}
+    assert got == {(d, k, t.index(k) + 1, i) for d, t in enumerate(texts) if t for i, k in enumerate(keys) if k in t}
+    bounded = {(r.doc_id, r.keyword, r.pos) for r in L.match(docs, lexicon, word_boundary=True).collect()}
+    want = {(d, k, m.start() + 1) for d, t in enumerate(texts) if t for k in keys if (m := re.search(r"(?<![^\W_])" + re.escape(k) + r"(?![^\W_])", t))}
+    assert bounded == want
+    assert L.match(docs, lexicon.limit(0)).count() == 0 and L.match(docs.limit(0), lexicon).count() == 0
+
+
+def test_every_relation_type(spark):
+    """One sentence for each phrase; the first phrase in the order of precedence decides."""
+    said = [(kind, p) for kind, ps in E.PHRASES.items() for p in ps]
+    texts = [f"Alpha{p}beta" for _, p in said] + ["alpha has beta. alpha is a beta", "alpha uses the beta", "alphabeta", "alpha has attribute beta"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    names = docs.select("doc_id", F.explode(F.array(F.lit("alpha"), F.lit("Beta"), F.lit("a"))).alias("name"))
+    got = {}
+    for r in E.pattern_relations(docs, names).collect():
+        got.setdefault((r.src, r.dst), {})[r.doc_id] = r.type
+
+    def kind(t, a, b):
+        return next((k for k, p in said if a.lower() + p + b.lower() in t.lower()), None)
+
+    for a in ("alpha", "Beta", "a"):
+        for b in ("alpha", "Beta", "a"):
+            if a != b:
+                assert got.get((a, b), {}) == {i: k for i, t in enumerate(texts) if (k := kind(t, a, b))}
+    assert set(got["alpha", "Beta"].values()) == set(E.PHRASES)
