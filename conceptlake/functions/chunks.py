@@ -1,11 +1,9 @@
-"""Chunkers: fixed windows and sentence splits as expressions, greedy packing in Arrow batches."""
+"""Chunkers as expressions on a text: fixed windows, sentence splits, and greedy packing as a fold over the lengths of a text's parts."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,102 +29,118 @@ def sentences(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), r"(?<=[.!?])\s+")
 
 
-SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
-OPEN_END = re.compile(r"(?:[.!?]\s+|^)([^.!?]*)$")
+#: White space of any script, and without the line end.
+WS = r"[\s\x0B\x1c-\x1f\x85\p{Z}]"
+BLANK = r"[\t\x0B\f\r\x1c-\x1f\x85\p{Z}]"
+SENTENCE_END = f"(?<=[.!?]){WS}+"
+RANGES = "array<struct<a:int,b:int,over:boolean>>"
 
 
-def pack_sentences(text: str, size: int = 4000, overlap: int = 400) -> list[str]:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+
+
+def pack_sentences(text: Column, size: int = 4000, overlap: int = 400) -> Column:
     """Greedy packing of sentences; a new chunk begins with the tail of the last one: what follows its last sentence end, else all of the tail."""
-    out, now = [], ""
-    for s in filter(None, SENTENCE_END.split(re.sub(r"\s+", " ", text).strip())):
-        if now and len(now) + len(s) + 1 > size:
-            out.append(now.strip())
-            tail = now[-overlap:] if overlap else ""
-            found = OPEN_END.search(tail)
-            tail = found[1].strip() if found and found[1].strip() else tail.strip()
-            now = tail + " " if tail else ""
-        now += s + " "
-    return [*out, now.strip()] if now.strip() else out
-
-
-def cleaned(text: str, preserve_paragraphs: bool = True) -> str:
+    parts = F.filter(F.split(F.trim(F.regexp_replace(text, f"{WS}+", " ")), SENTENCE_END), lambda s: s != "")
+
+    def tail(now: Column) -> Column:
+        end = F.right(now, F.lit(overlap))
+        open_end = F.trim(F.regexp_extract(end, r"(?:[.!?]\s+|^)([^.!?]*)$", 1))
+        return let(F.when(open_end != "", open_end).otherwise(F.trim(end)), lambda t: F.when(t != "", F.concat(t, F.lit(" "))).otherwise(t))
+
+    def add(acc: Column, s: Column) -> Column:
+        more = F.struct(F.concat(acc["now"], s, F.lit(" ")).alias("now"), acc["out"].alias("out"))
+        new = F.struct(F.concat(tail(acc["now"]) if overlap else F.lit(""), s, F.lit(" ")).alias("now"), F.array_append(acc["out"], F.trim(acc["now"])).alias("out"))
+        return F.when((acc["now"] != "") & (F.length(acc["now"]) + F.length(s) + 1 > size), new).otherwise(more)
+
+    begin = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(parts, begin, add, lambda acc: F.when(F.trim(acc["now"]) != "", F.array_append(acc["out"], F.trim(acc["now"]))).otherwise(acc["out"]))
+
+
+def cleaned(text: Column, preserve_paragraphs: bool = True) -> Column:
     """Line ends as \\n, runs of blanks as one, blank lines as one; without ``preserve_paragraphs`` blank lines between texts are blanks too."""
-    text = re.sub(r"\r\n?", "\n", text)
-    text = re.sub(r"([^\n])[^\S\n]+([^\n])" if preserve_paragraphs else r"([^\n])\s+([^\n])", r"\1 \2", text)
-    return re.sub(r"\n\s*\n\s*", "\n\n", text).strip()
-
-
-def windows(text: str, size: int, overlap: int, legacy_suffix: bool = False) -> list[str]:
-    """Cuts of ``size`` at a stride of size - overlap up to the first that reaches the end; a legacy suffix is one more cut within the last."""
-    starts = range(0, len(text), size - overlap)
-    last = next(k for k, a in enumerate(starts) if a + size >= len(text))
-    return [text[a : a + size].strip() for a in (starts if legacy_suffix else starts[: last + 1])]
-
-
-class _Packer:
-    """Parts in one chunk; each is followed by a blank, which counts."""
-
-    def __init__(self, size: int, overlap: int):
-        self.size, self.overlap, self.out = size, overlap, []
-        self.parts: list[str] = []
-        self.length = 0
-
-    def close(self) -> None:
-        if self.length:
-            self.out.append(" ".join(self.parts).strip())
-        self.parts, self.length = [], 0
-
-    def add(self, part: str) -> None:
-        if self.length and self.length + len(part) > self.size:
-            long, last = self.length > self.overlap, self.parts
-            self.close()
-            if long:
-                kept = total = 0
-                while kept < len(last) and total + len(last[-1 - kept]) <= self.overlap:
-                    total, kept = total + len(last[-1 - kept]), kept + 1
-                self.parts = last[len(last) - kept :]
-                self.length = max(1, total + kept)  # the blank before the first part, if none is kept
-        self.parts.append(part)
-        self.length += len(part) + 1
-
-
-def semantic_chunks(text: str, size: int = 1000, overlap: int = 200, preserve_paragraphs: bool = True, legacy_suffix: bool = False) -> list[str]:
-    """Paragraphs, oversize ones as sentences, packed up to ``size`` with trailing whole parts of up to ``overlap`` again; oversize sentences are cut."""
-    packer = _Packer(size, overlap)
-    for paragraph in re.split(r"\n\s*\n", cleaned(text, preserve_paragraphs)):
-        for part in [paragraph] if len(paragraph) <= size else SENTENCE_END.split(paragraph):
-            if len(part) > size:
-                packer.close()
-                packer.out += windows(part, size, overlap, legacy_suffix)
-            elif part:
-                packer.add(part)
-    packer.close()
-    return [x for x in packer.out if x]
-
-
-def break_chunks(text: str, size: int = 4000) -> list[str]:
-    """Cuts after the last blank line, else the last sentence end, else hard, within each window; the last piece keeps its blanks."""
-    out, at = [], 0
-    while len(text) - at > size:
-        window = text[at : at + size]
-        end = next((at + cut + 2 for cut in (window.rfind("\n\n"), window.rfind(". ")) if cut > 0), at + size)
-        out.append(text[at:end].strip())
-        at = end
-    return [x for x in (*out, text[at:]) if x]
+    text = F.regexp_replace(text, r"\r\n?", "\n")
+    text = F.regexp_replace(text, rf"([^\n]){BLANK if preserve_paragraphs else WS}+([^\n])", "$1 $2")
+    return strip(F.regexp_replace(text, rf"\n{WS}*\n{WS}*", "\n\n"))
+
+
+def windows(text: Column, size: Column, overlap: Column, legacy_suffix: bool = False) -> Column:
+    """Cuts of ``size`` of a longer text at a stride of size - overlap up to the first that reaches the end; a legacy suffix is one more cut within the last."""
+    stride = size - overlap
+    last = F.length(text) - 1 if legacy_suffix else F.ceil((F.length(text) - size) / stride).cast("int") * stride
+    return F.transform(F.sequence(F.lit(0), last, stride), lambda a: strip(F.substring(text, a + 1, size)))
 
 
-def chunk_rows(docs: DataFrame, chunker: Callable[..., list[str]], id_col: str = "doc_id", text: str = "text", size: str | None = None) -> DataFrame:
-    """doc_id, chunk_id, chunk_index, total_chunks, chunk_size, chunk_hash, text of every chunk; whole texts, one Arrow pass.
+def packed(lengths: Column, size: Column, overlap: Column) -> Column:
+    """Which parts make a chunk, from their lengths: ranges a to b, from 0, or one part that is over the size.
 
-    ``size`` names a column that the chunker gets as its second argument.
+    Each part is followed by a blank, which counts. A new chunk begins with the last one's trailing whole parts of up to
+    ``overlap``, if the last one is longer than that.
     """
+    range_ = lambda a, b, over: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(over).alias("over"))
+    state = lambda i, first, length, out: F.struct(i.cast("int").alias("i"), first.cast("int").alias("first"), length.cast("int").alias("length"), out.alias("out"))
+
+    def closed(acc: Column) -> Column:
+        return F.when(acc["length"] > 0, F.array_append(acc["out"], range_(acc["first"], acc["i"] - 1, False))).otherwise(acc["out"])
+
+    def kept(acc: Column) -> Column:
+        """Number and length of the trailing parts that go on."""
+        last = F.reverse(F.slice(lengths, acc["first"] + 1, acc["i"] - acc["first"]))
+        none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"), F.lit(True).alias("open"))
+        one = lambda k, x: F.when(k["open"] & (k["sum"] + x <= overlap), F.struct((k["n"] + 1).alias("n"), (k["sum"] + x).alias("sum"), F.lit(True).alias("open"))).otherwise(F.struct(k["n"], k["sum"], F.lit(False).alias("open")))
+        return F.aggregate(last, none, one)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(d, i, len(c), x) for d, t, *n in zip(*(c.to_pylist() for c in b.columns), strict=True) for c in [chunker(t, *n) if t else []] for i, x in enumerate(c)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()))], ["doc_id", "chunk_index", "total_chunks", "text"])
+    def add(acc: Column, n: Column) -> Column:
+        i, length = acc["i"], acc["length"]
+        over = state(i + 1, i + 1, F.lit(0), F.array_append(closed(acc), range_(i, i, True)))
+        again = let(kept(acc), lambda k: state(i + 1, i - k["n"], F.greatest(F.lit(1), k["sum"] + k["n"]) + n + 1, closed(acc)))
+        anew = state(i + 1, i, n + 1, closed(acc))
+        more = state(i + 1, F.when(length == 0, i).otherwise(acc["first"]), length + n + 1, acc["out"])
+        full = (length > 0) & (length + n > size)
+        return F.when(n > size, over).when(full & (length > overlap), again).when(full, anew).otherwise(more)
 
-    rows = docs.select(F.col(id_col).cast("string"), F.col(text), *([size] if size else [])).mapInArrow(run, "doc_id string, chunk_index int, total_chunks int, text string")
+    return F.aggregate(lengths, state(F.lit(0), F.lit(0), F.lit(0), F.array().cast(RANGES)), add, closed)
+
+
+def semantic_chunks(text: Column, size: int | Column = 1000, overlap: int | Column = 200, preserve_paragraphs: bool = True, legacy_suffix: bool = False) -> Column:
+    """Paragraphs, oversize ones as sentences, packed up to ``size`` with trailing whole parts of up to ``overlap`` again; oversize sentences are cut."""
+    if isinstance(size, Column) or isinstance(overlap, Column):  # computed once a text
+        both = F.struct(*(F.lit(x).alias(n) if isinstance(x, int) else x.alias(n) for x, n in ((size, "size"), (overlap, "overlap"))))
+        return let(both, lambda v: _semantic(text, v["size"], v["overlap"], preserve_paragraphs, legacy_suffix))
+    return _semantic(text, F.lit(size), F.lit(overlap), preserve_paragraphs, legacy_suffix)
+
+
+def _semantic(text: Column, size: Column, overlap: Column, preserve_paragraphs: bool, legacy_suffix: bool) -> Column:
+    paragraphs = F.split(cleaned(text, preserve_paragraphs), rf"\n{WS}*\n")
+    parts = F.filter(F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(F.split(p, SENTENCE_END)))), lambda p: p != "")
+
+    def chunk(parts: Column, r: Column) -> Column:
+        cut = windows(F.get(parts, r["a"]), size, overlap, legacy_suffix)
+        return F.when(r["over"], cut).otherwise(F.array(strip(F.array_join(F.slice(parts, r["a"] + 1, r["b"] - r["a"] + 1), " "))))
+
+    ranges = lambda parts: let(F.transform(parts, F.length), lambda lengths: packed(lengths, size, overlap))
+    return F.filter(let(parts, lambda p: F.flatten(F.transform(ranges(p), lambda r: chunk(p, r)))), lambda x: x != "")
+
+
+def break_chunks(text: Column, size: int = 4000) -> Column:
+    """Cuts after the last blank line, else the last sentence end, else hard, within each window; the last piece keeps its blanks."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(.{{1,{size}}}\z|.{{1,{size - 2}}}\n\n|.{{1,{size - 2}}}\. |.{{{size}}})"), F.lit(1))
+    return F.filter(let(pieces, lambda p: F.transform(p, lambda x, i: F.when(i == F.size(p) - 1, x).otherwise(strip(x)))), lambda x: x != "")
+
+
+def chunk_rows(docs: DataFrame, chunks: Column, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, chunk_id, chunk_index, total_chunks, chunk_size, chunk_hash, text of every chunk of an array of chunks; whole texts, no shuffle.
+
+    Null and empty texts have no chunk.
+    """
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), chunks.alias("_chunks"))
+    rows = rows.select("doc_id", F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_index", "text"))
     return rows.select("doc_id", F.concat("doc_id", F.lit("-chunk-"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", "total_chunks", F.length("text").alias("chunk_size"), F.sha2(F.trim(F.lower(F.regexp_replace("text", r"\s+", " "))), 256).alias("chunk_hash"), "text")
 
 
@@ -134,10 +148,15 @@ def window_rows(docs: DataFrame, windows: Column, id_col: str = "doc_id") -> Dat
     return docs.select(id_col, F.posexplode(windows).alias("chunk_index", "text"))
 
 
-def rechunk(chunks: DataFrame, chunker: Callable[[str], list[str]]) -> DataFrame:
+def rechunk(chunks: DataFrame, chunker: Callable[[Column], Column]) -> DataFrame:
     """Chunks joined by their source in index order and cut anew."""
     whole = chunks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), " ").alias("text"))
-    return chunk_rows(whole, chunker)
+    return chunk_rows(whole, chunker(F.col("text")))
+
+
+def half(overlap: int) -> Column:
+    """The overlap, half of a row's ``_size`` at most."""
+    return F.least(F.lit(overlap), F.floor(F.col("_size") / 2).cast("int"))
 
 
 def document_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -150,14 +169,14 @@ def document_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> Da
     lists = {c for c, kind in docs.dtypes if kind == "array<string>"}
     sized = docs.withColumn("_size", X.adaptive_chunk_size(F.col("text"), size))
     about = X.lower_fields(X.with_hashes(docs.withColumns({c: X.metadata_text(F.col(c)) for c in lists}))).drop("text")
-    chunks = chunk_rows(sized, lambda t, n: semantic_chunks(t, n, min(overlap, n // 2)), size="_size")
+    chunks = chunk_rows(sized, semantic_chunks(F.col("text"), F.col("_size"), half(overlap)))
     return chunks.join(about.withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id")
 
 
 def extraction_chunks(docs: DataFrame, size: int = 2500, overlap: int = 300) -> DataFrame:
     """Chunk rows for a model that extracts concepts: sized by the text, then semantic."""
     sized = docs.select("doc_id", "text", X.adaptive_chunk_size(F.col("text"), size).alias("_size"))
-    return chunk_rows(sized, lambda t, n: semantic_chunks(t, n, min(overlap, n // 2)), size="_size")
+    return chunk_rows(sized, semantic_chunks(F.col("text"), F.col("_size"), half(overlap)))
 
 
 def batches(df: DataFrame, order: str, size: int = 100, ranges: int = 64) -> DataFrame:

@@ -110,43 +110,41 @@ CLEANED = r"trim(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr
 
 
 def semantic_sql(docs: str = "(SELECT doc_id, text, 1000 AS size, 200 AS lap FROM documents)") -> str:
-    """The chunks part by part: ``cur`` is the chunk so far with a blank after each part, ``held`` its parts."""
-    kept = "(SELECT max(n) FROM (SELECT unnest(range(len(r.held) + 1)) AS n) WHERE coalesce(list_sum(list_transform(list_slice(r.held, len(r.held) - n + 1, len(r.held)), lambda x: length(x))), 0) <= p.lap)"
-    return f"""WITH RECURSIVE docs AS {docs},
-paragraphs AS (SELECT doc_id, size, lap, unnest(string_split({CLEANED}, chr(10) || chr(10))) AS g, unnest(range(len(string_split({CLEANED}, chr(10) || chr(10))))) AS gi FROM docs WHERE text <> ''),
-pieces AS (SELECT doc_id, size, lap, gi, unnest(x) AS part, unnest(range(len(x))) AS pi FROM (SELECT *, CASE WHEN length(g) <= size THEN [g] ELSE string_split(regexp_replace(g, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) END AS x FROM paragraphs)),
-parts AS (SELECT doc_id, size, lap, part, row_number() OVER (PARTITION BY doc_id ORDER BY gi, pi) AS i FROM pieces WHERE part <> ''),
-r(doc_id, i, cur, held, emitted) AS (
-  SELECT doc_id, 0::BIGINT, '', []::VARCHAR[], NULL::VARCHAR[] FROM docs
-  UNION ALL
-  SELECT p.doc_id, p.i,
-    CASE WHEN length(p.part) > p.size THEN '' WHEN r.cur <> '' AND length(r.cur) + length(p.part) > p.size THEN
-      CASE WHEN length(r.cur) > p.lap THEN array_to_string(list_slice(r.held, len(r.held) - {kept} + 1, len(r.held)), ' ') || ' ' ELSE '' END || p.part || ' ' ELSE r.cur || p.part || ' ' END,
-    CASE WHEN length(p.part) > p.size THEN [] WHEN r.cur <> '' AND length(r.cur) + length(p.part) > p.size THEN
-      CASE WHEN length(r.cur) > p.lap THEN list_slice(r.held, len(r.held) - {kept} + 1, len(r.held)) ELSE [] END || [p.part] ELSE r.held || [p.part] END,
-    CASE WHEN length(p.part) > p.size THEN [trim(r.cur)] || list_transform(range(greatest(0, ceil((length(p.part) - p.size) / (p.size - p.lap)::DOUBLE))::BIGINT + 1), lambda k: trim(substr(p.part, k * (p.size - p.lap) + 1, p.size)))
-      WHEN r.cur <> '' AND length(r.cur) + length(p.part) > p.size THEN [trim(r.cur)] END
-  FROM r JOIN parts p ON p.doc_id = r.doc_id AND p.i = r.i + 1),
-chunks AS (
-  SELECT doc_id, i, unnest(emitted) AS c, unnest(range(len(emitted))) AS j FROM r
-  UNION ALL SELECT doc_id, i + 1, trim(cur), 0 FROM (SELECT doc_id, arg_max(cur, i) AS cur, max(i) AS i FROM r GROUP BY 1))
+    """A fold over the lengths of a text's parts: f and n are the first part and the length of the chunk so far, out the ranges of the closed ones."""
+    state = lambda i, f, n, out: f"{{'x': 0::BIGINT, 'i': ({i})::BIGINT, 'f': ({f})::BIGINT, 'n': ({n})::BIGINT, 'out': {out}}}"
+    close = "CASE WHEN r.n > 0 THEN r.out || [{'a': r.f, 'b': r.i - 1, 'o': false}] ELSE r.out END"
+    last = "list_slice(l, r.i - k + 1, r.i)"
+    kept = f"list_max(list_filter(range(0, r.i - r.f + 1), lambda k: coalesce(list_sum({last}), 0) <= lap))"
+    total = f"coalesce(list_sum({last.replace('- k', f'- {kept}')}), 0)"
+    # DuckDB evaluates all branches of a CASE: the trailing parts are sought in an empty list unless a chunk is closed
+    step = f"""CASE WHEN p.x > size THEN {state('r.i + 1', 'r.i + 1', '0', f"({close}) || [{{'a': r.i, 'b': r.i, 'o': true}}]")}
+      WHEN r.n > 0 AND r.n + p.x > size AND r.n > lap THEN {state('r.i + 1', f'r.i - {kept}', f'greatest(1, {total} + {kept}) + p.x + 1', close)}
+      WHEN r.n > 0 AND r.n + p.x > size THEN {state('r.i + 1', 'r.i', 'p.x + 1', close)}
+      ELSE {state('r.i + 1', 'CASE WHEN r.n = 0 THEN r.i ELSE r.f END', 'r.n + p.x + 1', 'r.out')} END"""
+    none = "[]::STRUCT(a BIGINT, b BIGINT, o BOOLEAN)[]"
+    return f"""WITH docs AS {docs},
+paragraphs AS (SELECT doc_id, size, lap, string_split({CLEANED}, chr(10) || chr(10)) AS g FROM docs WHERE text <> ''),
+parts AS (SELECT doc_id, size, lap, list_filter(flatten(list_transform(g, lambda p: CASE WHEN length(p) <= size THEN [p] ELSE string_split(regexp_replace(p, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) END)), lambda p: p <> '') AS q FROM paragraphs),
+lengths AS (SELECT *, list_transform(q, lambda p: length(p)) AS l FROM parts WHERE len(q) > 0),
+folded AS (SELECT *, list_reduce(list_transform(l, lambda x: {{'x': x::BIGINT, 'i': 0::BIGINT, 'f': 0::BIGINT, 'n': 0::BIGINT, 'out': {none}}}), lambda r, p: {step}, {state('0', '0', '0', none)}) AS r FROM lengths),
+ranges AS (SELECT doc_id, size, lap, q, {close} AS out FROM folded),
+each AS (SELECT doc_id, size, lap, q, unnest(out) AS x, unnest(range(len(out))) AS i FROM ranges),
+cuts AS (SELECT doc_id, i, CASE WHEN x.o THEN list_transform(range(greatest(0, ceil((length(q[x.a + 1]) - size) / (size - lap)::DOUBLE))::BIGINT + 1), lambda k: trim(substr(q[x.a + 1], k * (size - lap) + 1, size)))
+  ELSE [trim(array_to_string(list_slice(q, x.a + 1, x.b + 1), ' '))] END AS c FROM each),
+chunks AS (SELECT doc_id, i, unnest(c) AS c, unnest(range(len(c))) AS j FROM cuts)
 """ + CHUNK_ROWS.format(chunks="chunks WHERE c <> ''")
 
 
 @query(semantic_sql())
 def semantic_chunks(s, d):
-    return C.chunk_rows(read(s, d, "documents"), C.semantic_chunks)
-
-
-# Texts with paragraphs, repeated ones and long words, which the tables lack.
-PROSE = ["P" * 904 + "\n\n" + "P" * 904, "One. End.\n\n\nTwo  a  b", "x" * 1700 + " y. " + "z" * 30, " ".join(f"Sentence {i} has a few words!" for i in range(120)), "short", " \n\n ", "A.\r\nB.\r\n\r\n" + "C" * 190 + "\n\n" + "D" * 700 + "\n\n" + "E" * 300]
-PROSE_DOCS = "(SELECT i::BIGINT AS doc_id, t AS text, 1000 AS size, 200 AS lap FROM (SELECT unnest(range(0, " + str(len(PROSE)) + ")) AS i, unnest([" + ", ".join("'" + t.replace("\r", "\\r").replace("\n", "\\n") + "'" for t in PROSE) + "]) AS t))"
-PROSE_DOCS = PROSE_DOCS.replace("t AS text", "replace(replace(t, '\\n', chr(10)), '\\r', chr(13)) AS text")
+    return C.chunk_rows(read(s, d, "documents"), C.semantic_chunks(F.col("text")))
 
 
-@query(semantic_sql(PROSE_DOCS))
-def semantic_chunks_prose(s, d):
-    return C.chunk_rows(s.createDataFrame(list(enumerate(PROSE)), "doc_id long, text string"), C.semantic_chunks)
+@query(semantic_sql("(SELECT page_id AS doc_id, replace(html, '<p>', chr(10) || chr(10)) AS text, 400 AS size, 150 AS lap FROM pages)"))
+def semantic_chunks_paragraphs(s, d):
+    """Texts with blank lines, and small chunks, so that parts are kept, cut and packed."""
+    pages = read(s, d, "pages").select("page_id", F.replace("html", F.lit("<p>"), F.lit("\n\n")).alias("text"))
+    return C.chunk_rows(pages, C.semantic_chunks(F.col("text"), 400, 150), "page_id")
 
 
 @query(r"""WITH RECURSIVE sentences AS (SELECT doc_id, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS i FROM (
@@ -161,7 +159,7 @@ r(doc_id, i, cur, c) AS (
 chunks AS (SELECT doc_id, i, c, 0 AS j FROM r WHERE c IS NOT NULL UNION ALL SELECT doc_id, max(i) + 1, trim(arg_max(cur, i)), 0 FROM r GROUP BY 1)
 """ + CHUNK_ROWS.format(chunks="chunks"))
 def sentence_chunks(s, d):
-    return C.chunk_rows(read(s, d, "documents"), C.pack_sentences)
+    return C.chunk_rows(read(s, d, "documents"), C.pack_sentences(F.col("text")))
 
 
 @query(r"""WITH RECURSIVE r(doc_id, text, i, pos, c) AS (
@@ -173,14 +171,20 @@ def sentence_chunks(s, d):
 chunks AS (SELECT doc_id, i, c, 0 AS j FROM r WHERE c <> '')
 """ + CHUNK_ROWS.format(chunks="chunks"))
 def break_chunks(s, d):
-    return C.chunk_rows(read(s, d, "documents"), C.break_chunks)
+    return C.chunk_rows(read(s, d, "documents"), C.break_chunks(F.col("text")))
+
+
+def document_chunks_sql() -> str:
+    size = SQL["adaptive_chunk_size"].replace("SELECT doc_id,", "SELECT doc_id, text,")
+    about = "sha256(trim(lower(regexp_replace(d.text, '\\s+', ' ', 'g')))) AS content_hash, sha256('author:' || lower(trim(source)) || '|title:' || lower(trim(lang))) AS metadata_hash, lower(source) AS author_lower"
+    return f"SELECT c.doc_id, c.chunk_id, c.chunk_index, c.total_chunks, c.chunk_size, c.chunk_hash, c.text, {about} FROM ({semantic_sql(f'(SELECT doc_id, text, size, least(200, size // 2) AS lap FROM ({size}))')}) c JOIN documents d ON d.doc_id::VARCHAR = c.doc_id"
 
 
-@query("SELECT doc_id || '-chunk-' || i AS chunk_id, sha256(trim(lower(regexp_replace(text, '\\s+', ' ', 'g')))) AS content_hash, sha256('author:' || lower(trim(source)) || '|title:' || lower(trim(lang))) AS metadata_hash, lower(source) AS author_lower FROM (SELECT *, unnest(range(least(n_chars, 1))) AS i FROM documents)")
+@query(document_chunks_sql())
 def document_chunks(s, d):
-    """The document's hashes and metadata on its first chunk."""
+    """Every chunk with its text and the document's hashes and metadata."""
     docs = read(s, d, "documents").withColumnsRenamed({"lang": "title", "source": "author"})
-    return C.document_chunks(docs).where("chunk_index = 0").select("chunk_id", "content_hash", "metadata_hash", "author_lower")
+    return C.document_chunks(docs).select("doc_id", "chunk_id", "chunk_index", "total_chunks", "chunk_size", "chunk_hash", "text", "content_hash", "metadata_hash", "author_lower")
 
 
 @query("SELECT batch, count(*) AS n, min(event_id) AS lo, max(event_id) AS hi FROM (SELECT event_id, ((row_number() OVER (ORDER BY event_id) - 1) // 100)::BIGINT AS batch FROM events) GROUP BY 1")

@@ -212,7 +212,7 @@ def test_chunk_rows(spark):
     docs = spark.createDataFrame([("1", "T", "A. " * 700, ["x", "y"]), ("2", "U", None, None), ("3", "U", "", None)], "doc_id string, title string, text string, tags array<string>")
     rows = C.document_chunks(docs).orderBy("chunk_index").collect()
     assert {r.doc_id for r in rows} == {"1"} and rows[0].total_chunks == len(rows) and rows[0].tags == "x,y" and rows[0].title_lower == "t" and rows[0].metadata_hash and rows[0].content_hash
-    again = C.rechunk(C.chunk_rows(docs, lambda t: C.semantic_chunks(t, 300, 0)), lambda t: C.semantic_chunks(t, 1000, 0)).collect()
+    again = C.rechunk(C.chunk_rows(docs, C.semantic_chunks(F.col("text"), 300, 0)), lambda t: C.semantic_chunks(t, 1000, 0)).collect()
     assert sum(r.text.count("A.") for r in again) == 700
     assert C.extraction_chunks(docs).count() == 2
 

@@ -14,6 +14,8 @@ from conceptlake.operators import graph as G
 from conceptlake.operators import lexicon as L
 from conceptlake.sources import sinks
 
+from . import chunk_model as M
+
 
 def test_hash_ignores_case_and_space(spark):
     rows = spark.createDataFrame([("A  b",), ("a b",), ("ab",)], ["t"])
@@ -27,13 +29,33 @@ def test_title_ratio():
     assert D.title_ratio("Introduction to Machine Learning", "Something Completely Different") < 50
 
 
-def test_chunkers():
-    text = " ".join(f"This is sentence number {i}." for i in range(60))
-    assert all(len(c) <= 200 for c in C.semantic_chunks(text, 200, 50))
-    assert C.semantic_chunks("x" * 1700, 1000, 200) == ["x" * 1000, "x" * 900]
-    assert len(C.semantic_chunks("x" * 1700, 1000, 200, legacy_suffix=True)) == 3
-    assert "".join(C.break_chunks("ab. " * 50, 40)).replace(" ", "") == "ab." * 50
-    assert all(len(c) <= 230 for c in C.pack_sentences(text, 200, 20))
+def test_chunkers(spark):
+    """The expressions against the same rules on one text, step by step."""
+    rnd = random.Random(8)
+    texts = [" ".join(f"This is sentence number {i}." for i in range(60)), "x" * 1700, "ab. " * 50, "", "   ", None, "P" * 904 + "\n\n" + "P" * 904, "One. End.\n\n\nTwo  a  b", "x" * 1700 + " y. " + "z" * 30]
+    texts += [" \n\n ", "A.\r\nB.\r\n\r\n" + "C" * 190 + "\n\n" + "D" * 700 + "\n\n" + "E" * 300, "caf\u00e9\u00a0\u00a0bar.\u2003Next\x1c\x1cone \U0001f600\U0001f600! " * 40]
+    for _ in range(60):
+        texts.append("".join(rnd.choice(["a", "bc ", ". ", "\n", "\n\n", "  ", "word ", "! ", "?\t", "\r\n", "long" * 9]) for _ in range(rnd.randint(1, 150))))
+    docs = spark.createDataFrame([(str(i), t, 40 + 20 * (i % 5)) for i, t in enumerate(texts)], "doc_id string, text string, size int")
+    text = F.col("text")
+    forms = {
+        (40, 15): (C.semantic_chunks(text, 40, 15), lambda t: M.semantic_chunks(t, 40, 15)),
+        (200, 50): (C.semantic_chunks(text, 200, 50), lambda t: M.semantic_chunks(t, 200, 50)),
+        (1000, 200): (C.semantic_chunks(text), M.semantic_chunks),
+        "legacy": (C.semantic_chunks(text, 60, 20, legacy_suffix=True), lambda t: M.semantic_chunks(t, 60, 20, legacy_suffix=True)),
+        "joined": (C.semantic_chunks(text, 60, 20, preserve_paragraphs=False), lambda t: M.semantic_chunks(t, 60, 20, preserve_paragraphs=False)),
+        "breaks": (C.break_chunks(text, 40), lambda t: M.break_chunks(t, 40)),
+        "sentences": (C.pack_sentences(text, 60, 25), lambda t: M.pack_sentences(t, 60, 25)),
+        "no tail": (C.pack_sentences(text, 60, 0), lambda t: M.pack_sentences(t, 60, 0)),
+    }
+    for name, (column, model) in forms.items():
+        got = {}
+        for r in C.chunk_rows(docs, column).collect():
+            got.setdefault(r.doc_id, {})[r.chunk_index] = r.text
+        want = {str(i): dict(enumerate(model(t))) for i, t in enumerate(texts) if t and model(t)}
+        assert got == want, name
+    sized = {(r.doc_id, r.chunk_index): r.text for r in C.chunk_rows(docs, C.semantic_chunks(text, F.col("size"), 10)).collect()}
+    assert sized == {(str(i), k): c for i, t in enumerate(texts) if t for k, c in enumerate(M.semantic_chunks(t, 40 + 20 * (i % 5), 10))}
 
 
 def test_plural_and_validity(spark):
