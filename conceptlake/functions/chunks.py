@@ -32,7 +32,10 @@ def sentences(text: Column) -> Column:
 #: White space of any script, and without the line end.
 WS = r"[\s\x0B\x1c-\x1f\x85\p{Z}]"
 BLANK = r"[\t\x0B\f\r\x1c-\x1f\x85\p{Z}]"
-SENTENCE_END = f"(?<=[.!?]){WS}+"
+#: White space after a sentence's end; the class comes first, since it fails at most characters.
+SENTENCE_END = f"{WS}(?<=[.!?]{WS}){WS}*"
+#: White space that isn't one blank.
+RUNS = WS + r"{2,}|[\s\x0B\x1c-\x1f\x85\p{Z}&&[^ ]]"
 RANGES = "array<struct<a:int,b:int,over:boolean>>"
 
 
@@ -42,12 +45,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return let(text, lambda t: F.when(F.left(t, F.lit(1)).rlike(WS) | F.right(t, F.lit(1)).rlike(WS), F.regexp_replace(t, f"^{WS}+|{WS}+$", "")).otherwise(t))
 
 
 def pack_sentences(text: Column, size: int = 4000, overlap: int = 400) -> Column:
     """Greedy packing of sentences; a new chunk begins with the tail of the last one: what follows its last sentence end, else all of the tail."""
-    parts = F.filter(F.split(F.trim(F.regexp_replace(text, f"{WS}+", " ")), SENTENCE_END), lambda s: s != "")
+    parts = F.filter(F.split(F.trim(F.regexp_replace(text, RUNS, " ")), SENTENCE_END), lambda s: s != "")
 
     def tail(now: Column) -> Column:
         end = F.right(now, F.lit(overlap))
@@ -66,7 +69,8 @@ def pack_sentences(text: Column, size: int = 4000, overlap: int = 400) -> Column
 def cleaned(text: Column, preserve_paragraphs: bool = True) -> Column:
     """Line ends as \\n, runs of blanks as one, blank lines as one; without ``preserve_paragraphs`` blank lines between texts are blanks too."""
     text = F.regexp_replace(text, r"\r\n?", "\n")
-    text = F.regexp_replace(text, rf"([^\n]){BLANK if preserve_paragraphs else WS}+([^\n])", "$1 $2")
+    # most texts have single blanks alone, which stay
+    text = let(text, lambda t: F.when(t.rlike(RUNS), F.regexp_replace(t, rf"([^\n]){BLANK if preserve_paragraphs else WS}+([^\n])", "$1 $2")).otherwise(t))
     return strip(F.regexp_replace(text, rf"\n{WS}*\n{WS}*", "\n\n"))
 
 

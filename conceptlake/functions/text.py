@@ -121,6 +121,16 @@ def json_in_text(text: Column, schema: str) -> Column:
     return F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast(f"array<{schema}>"))
 
 
+def open_json(text: Column) -> Column:
+    """Any JSON as a variant, whose fields need not be known; null for what isn't JSON."""
+    return F.try_parse_json(text)
+
+
+def open_fields(text: Column) -> Column:
+    """An object's fields as a map; a value that is no string is JSON, a null is null; what isn't an object has none."""
+    return F.when(F.schema_of_variant(open_json(text)).startswith("OBJECT"), F.from_json(text, "map<string,string>"))
+
+
 def sentiment_label(reply: Column) -> Column:
     up, out = F.upper(reply), F.lit("UNKNOWN")
     for label in ("MIXED", "NEUTRAL", "NEGATIVE", "POSITIVE"):

@@ -92,10 +92,14 @@ def singular(phrase: Column) -> Column:
 
 def is_valid(concept: Column, least: int = 2, most: int = 5, domain: str = "general", stop: list[str] | None = None) -> Column:
     """Number of words, no stop word, no number, 3 characters, letters or digits at both ends, few odd characters."""
-    words = F.split(F.trim(concept), r"\s+")
-    odd = F.length(F.regexp_replace(concept, r"[\p{L}\p{N} '-]", ""))
-    stopped = F.array(*map(F.lit, stopwords(domain) if stop is None else stop))
-    return F.size(words).between(least, most) & ~F.arrays_overlap(F.transform(words, F.lower), stopped) & ~concept.rlike(r"^\p{N}+$") & (F.length(concept) >= 3) & concept.rlike(r"(?s)^[\p{L}\p{N}].*[\p{L}\p{N}]$") & (odd <= F.size(words) - 1)
+    stopped = stopwords(domain) if stop is None else stop
+
+    def checked(words: Column) -> Column:
+        odd = concept.rlike(r"[^\p{L}\p{N} '-]") & (F.length(F.regexp_replace(concept, r"[\p{L}\p{N} '-]", "")) > F.size(words) - 1)
+        return F.size(words).between(least, most) & ~F.exists(words, lambda w: F.lower(w).isin(stopped)) & ~odd
+
+    shape = (F.length(concept) >= 3) & concept.rlike(r"(?s)^[\p{L}\p{N}].*[\p{L}\p{N}]$") & ~concept.rlike(r"^\p{N}+$")
+    return F.transform(F.array(F.split(F.trim(concept), r"\s+")), checked)[0] & shape
 
 
 def acronyms(text: Column) -> Column:
@@ -107,9 +111,15 @@ def hyphen_terms(text: Column) -> Column:
 
 
 def phrases(text: Column, domain: str = "general") -> Column:
-    """Terms of the patterns, capitalised runs, hyphenated terms, acronyms and runs of up to four words."""
-    found = [_all(text, p, True) for p in PATTERNS + DOMAIN_PATTERNS.get(domain, [])]
-    return F.array_distinct(F.concat(*found, *(_all(text, p) for p in (CAPITALISED, HYPHENATED, ACRONYM, RUN))))
+    """Terms of the patterns, capitalised runs, hyphenated terms, acronyms and runs of up to four words.
+
+    The patterns are tried one by one only on texts that one of them is in.
+    """
+    patterns = PATTERNS + DOMAIN_PATTERNS.get(domain, [])
+    named = F.concat(*(_all(text, p, True) for p in patterns))
+    some = text.rlike("(?i)" + BEFORE + "(?:" + "|".join(patterns) + ")" + AFTER)
+    found = F.when(some, named).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(found, *(_all(text, p) for p in (CAPITALISED, HYPHENATED, ACRONYM, RUN))))
 
 
 def rule_concepts(docs: DataFrame, domain: str = "general", most: int | None = 20) -> DataFrame:

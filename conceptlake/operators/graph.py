@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,9 +18,61 @@ def undirected(edges: DataFrame, types: list[str] | None = None) -> DataFrame:
     return rows.select("edge_id", "src", "dst", "strength").union(rows.select("edge_id", F.col("dst"), F.col("src"), "strength"))
 
 
-def neighbours(edges: DataFrame, node, types: list[str] | None = None) -> DataFrame:
+#: Edges of a node from which on they lie in several buckets, edges of a bucket, and hubs that are sent to every task.
+HUB, IN_BUCKET, SENT_HUBS = 100_000, 2_000_000, 100_000
+#: Nodes whose edges are looked up by their buckets; more are joined.
+LOOKED_UP = 2000
+
+
+class Adjacency:
+    """Edges in both directions, written once as a table that is bucketed and sorted by the node they start from.
+
+    ``place`` is a hash of the node and, for hubs, of one of several salts, so that a hub's edges lie in several buckets.
+    Few nodes read their buckets alone; many are shuffled to the buckets, and the edges stay where they are. The table
+    lies in the session's warehouse, which all executors share.
+    """
+
+    def __init__(self, edges: DataFrame, types: list[str] | None = None, hub: int = HUB):
+        self.spark = edges.sparkSession
+        sym = undirected(edges, types).where("src is not null and dst is not null")
+        degrees = sym.groupBy("src").agg(F.count("*").alias("n")).cache()
+        total = degrees.agg(F.sum("n")).first()[0] or 0
+        self.hubs = cut(degrees.where(F.col("n") > hub).select(F.col("src").alias("hub"), F.ceil(F.col("n") / hub).cast("int").alias("salts")))
+        degrees.unpersist()
+        self.few_hubs = self.hubs.count()
+        buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // IN_BUCKET))
+        salted = self._with_hubs(sym, "src").withColumn("place", self._place("src", F.pmod(F.xxhash64("dst"), F.col("salts")))).drop("salts")
+        self.name = f"adjacency_{uuid.uuid4().hex}"
+        salted.repartition(buckets, "place").write.bucketBy(buckets, "place").sortBy("place").saveAsTable(self.name)
+
+    @staticmethod
+    def _place(node: str, salt: Column) -> Column:
+        return F.xxhash64(F.col(node).cast("string"), salt.cast("long"))
+
+    def _with_hubs(self, rows: DataFrame, node: str) -> DataFrame:
+        if not self.few_hubs:
+            return rows.withColumn("salts", F.lit(1))
+        hubs = F.broadcast(self.hubs) if self.few_hubs <= SENT_HUBS else self.hubs
+        return rows.join(hubs, F.col(node) == F.col("hub"), "left").withColumn("salts", F.coalesce("salts", F.lit(1))).drop("hub")
+
+    def step(self, rows: DataFrame, node: str = "at") -> DataFrame:
+        """The rows with each edge (edge_id, src, dst, strength) that leaves their node."""
+        placed = self._with_hubs(rows, node).withColumn("_place", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        placed = placed.withColumn("_place", self._place(node, F.col("_place"))).drop("salts")
+        found = [r[0] for r in placed.select("_place").distinct().limit(LOOKED_UP + 1).collect()]
+        table = self.spark.table(self.name)
+        if len(found) <= LOOKED_UP:
+            table = table.where(F.col("place").isin(found))
+        return placed.join(table, (F.col("_place") == F.col("place")) & (F.col(node) == F.col("src"))).drop("_place", "place")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def neighbours(edges: DataFrame | Adjacency, node, types: list[str] | None = None) -> DataFrame:
     """id, strength of the nodes one hop away; the strongest edge counts, and one without a strength is stronger than all (null)."""
-    near = undirected(edges, types).where(F.col("src") == node).groupBy(F.col("dst").alias("id"))
+    sym = edges.step(edges.spark.createDataFrame([(node,)], ["at"])) if isinstance(edges, Adjacency) else undirected(edges, types).where(F.col("src") == node)
+    near = sym.groupBy(F.col("dst").alias("id"))
     return near.agg(F.when(F.count_if(F.col("strength").isNull()) == 0, F.max("strength")).alias("strength"))
 
 
@@ -37,17 +90,23 @@ def shared_concepts(mentions: DataFrame, top: int = 10) -> DataFrame:
     return per.where("n > 0").select(F.col("dst").alias("concept"), "n").orderBy(F.desc("n"), "concept").limit(top)
 
 
-def _walk(edges: DataFrame, seeds: DataFrame, hops: int, types: list[str] | None = None) -> list[DataFrame]:
+def _step(edges: DataFrame | Adjacency, now: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """The paths ``now`` with each edge that leaves their end and that they haven't used."""
+    if isinstance(edges, Adjacency):
+        return edges.step(now).where(~F.array_contains("used", F.col("edge_id")))
+    return now.join(undirected(edges, types), (F.col("at") == F.col("src")) & ~F.array_contains("used", F.col("edge_id")))
+
+
+def _walk(edges: DataFrame | Adjacency, seeds: DataFrame, hops: int, types: list[str] | None = None) -> list[DataFrame]:
     """(start, at, used, total) by number of hops: paths that use no edge twice, ``used`` being the edges that a longer path must avoid.
 
     Of one hop's paths that end alike (in start, node and used edges) only the best sum goes on. Two hops know their last
     edge alone, so the paths that go on are as many as (start, edge) pairs and not as the paths.
     """
-    sym = undirected(edges, types).withColumn("strength", F.coalesce("strength", F.lit(0.5)))
     now = seeds.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array().cast("array<bigint>").alias("used"), F.lit(0.0).alias("total")).distinct()
     levels = []
     for h in range(1, hops + 1):
-        now = now.join(sym, (F.col("at") == F.col("src")) & ~F.array_contains("used", F.col("edge_id")))
+        now = _step(edges, now, types).withColumn("strength", F.coalesce("strength", F.lit(0.5)))
         used = F.array_sort(F.array_append("used", F.col("edge_id"))) if h < hops else F.array().cast("array<bigint>")
         now = now.select("start", F.col("dst").alias("at"), used.alias("used"), (F.col("total") + F.col("strength")).alias("total"))
         now = now.groupBy("start", "at", "used").agg(F.max("total").alias("total"))
@@ -55,7 +114,7 @@ def _walk(edges: DataFrame, seeds: DataFrame, hops: int, types: list[str] | None
     return levels
 
 
-def reach(edges: DataFrame, seeds: DataFrame, hops: int = 2, types: list[str] | None = None, exclude_start: bool = False) -> DataFrame:
+def reach(edges: DataFrame | Adjacency, seeds: DataFrame, hops: int = 2, types: list[str] | None = None, exclude_start: bool = False) -> DataFrame:
     """target, relevance (largest path sum of strengths), hops, distance (hops - 1), over paths that use no edge twice."""
     rows = reduce(DataFrame.unionByName, _walk(edges, seeds, hops, types))
     if exclude_start:
@@ -69,13 +128,12 @@ def by_distance(reached: DataFrame) -> DataFrame:
     return per.select("distance", "n", F.transform("t", lambda x: x["target"]).alias("targets"))
 
 
-def paths(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
+def paths(edges: DataFrame | Adjacency, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """start, at, hops, used: a row for each path."""
-    sym = undirected(edges)
     now = seeds.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array().cast("array<bigint>").alias("used"))
     levels = []
     for h in range(1, hops + 1):
-        now = now.join(sym, (F.col("at") == F.col("src")) & ~F.array_contains("used", F.col("edge_id"))).select("start", F.col("dst").alias("at"), F.array_append("used", F.col("edge_id")).alias("used"))
+        now = _step(edges, now).select("start", F.col("dst").alias("at"), F.array_append("used", F.col("edge_id")).alias("used"))
         levels.append(now.withColumn("hops", F.lit(h)))
     return reduce(DataFrame.unionByName, levels)
 
@@ -84,7 +142,7 @@ def contained(edges: DataFrame, root) -> DataFrame:
     """id of all that ``root`` contains, at any depth.
 
     Each step joins what the last one reached anew with the edges, and leaves out what was reached before, so a node
-    that many paths lead to counts once and a cycle ends. Many roots at once: ``closure``.
+    that many paths lead to counts once and a cycle ends. Deep chains or many roots: ``closure``.
     """
     links = edges.select("src", "dst").where("src is not null and dst is not null")
     new = cut(links.where(F.col("src") == root).select(F.col("dst").alias("id")).distinct())
@@ -95,6 +153,22 @@ def contained(edges: DataFrame, root) -> DataFrame:
     return found
 
 
+def closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(root, id): all that each node contains, at any depth, for all nodes or those of ``roots`` (id).
+
+    Paths double in each round, so that a chain of n nodes takes log n rounds; cycles end, since a pair counts once.
+    """
+    found = cut(edges.select(F.col("src").alias("root"), F.col("dst").alias("id")).where("root is not null and id is not null").distinct())
+    new = found
+    while not new.isEmpty():
+        # a longer path ends with a pair that the last round found, or begins with one
+        longer = new.join(found.select(F.col("root").alias("id"), F.col("id").alias("to")), "id").select("root", F.col("to").alias("id"))
+        before = found.join(new.select(F.col("root").alias("id"), F.col("id").alias("to")), "id").select("root", F.col("to").alias("id"))
+        new = cut(longer.union(before).distinct().join(found, ["root", "id"], "left_anti"))
+        found = cut(found.union(new))
+    return found if roots is None else found.join(roots.select(F.col("id").alias("root")).distinct(), "root", "left_semi")
+
+
 def search(nodes: DataFrame, part: str, top: int = 10, case_sensitive: bool = False) -> DataFrame:
     """id, name of the nodes whose name has ``part``; the shortest names first."""
     return nodes.where(X.contains_name(F.col("name"), part, case_sensitive)).orderBy(F.length("name"), "name", "id").limit(top).select("id", "name")

@@ -29,8 +29,8 @@ def link_chunks(nodes: DataFrame, edges: DataFrame, chunks: DataFrame) -> tuple[
 
 
 def upsert_nodes(nodes: DataFrame, made: DataFrame) -> DataFrame:
-    """Nodes with the new ones; of a repeated id one new row counts. Values that are not null win."""
-    return sinks.upsert(nodes, made.dropDuplicates(["id"]), ["id"])
+    """Nodes with the new ones; of a repeated id the least new row counts. Values that are not null win."""
+    return sinks.upsert(nodes, sinks.first_rows(made, ["id"]), ["id"])
 
 
 def link_entities(nodes: DataFrame, edges: DataFrame, found: DataFrame, targets: list[str], kind: str = "MENTIONS") -> tuple[DataFrame, DataFrame]:
@@ -49,7 +49,7 @@ def link_entities(nodes: DataFrame, edges: DataFrame, found: DataFrame, targets:
 
 
 def add_links(nodes: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
-    """Edges with the links both of whose nodes exist and that aren't there yet; their properties are those of the first."""
+    """Edges with the links both of whose nodes exist and that aren't there yet; of repeated ones the least in the order of their properties counts."""
     ids = nodes.select("id").distinct()
     known = links.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return sinks.insert_if_absent(edges, known, ["src", "dst", "type"])
@@ -98,5 +98,5 @@ def add_documents(docs: DataFrame, store: DataFrame, nodes: DataFrame, edges: Da
     nodes = upsert_nodes(nodes, own)
     nodes, edges = link_chunks(nodes, edges, chunks)
     nodes, edges = link_entities(nodes, edges, found.withColumn("doc_id", F.col("doc_id").cast("string")), ["doc_id"])
-    strongest = related.groupBy("src", "dst", "type").agg(F.max("strength").alias("strength"), F.first("description").alias("description"), F.max("method").alias("method"))
+    strongest = related.groupBy("src", "dst", "type").agg(F.max("strength").alias("strength"), F.min("description").alias("description"), F.max("method").alias("method"))
     return {"documents": added, "chunks": chunks, "mentions": found, "nodes": nodes, "edges": sinks.merge_relations(edges, strongest)}

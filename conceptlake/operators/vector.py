@@ -106,7 +106,7 @@ def hybrid_chunks(vectors: DataFrame, query: list[float], edges: DataFrame, node
     return shown, near
 
 
-def hybrid(vectors: DataFrame, query: list[float], edges: DataFrame, k: int = 5, hops: int = 2) -> DataFrame:
-    """id, relevance of the concepts reached from the concepts of the nearest vectors (vectors has concept_id): one lazy plan."""
+def hybrid(vectors: DataFrame, query: list[float], edges: DataFrame | graph.Adjacency, k: int = 5, hops: int = 2) -> DataFrame:
+    """id, relevance of the concepts reached from the concepts of the nearest vectors (vectors has concept_id); one lazy plan, if the edges are no adjacency table."""
     seeds = vectors.select("id", "concept_id").join(F.broadcast(knn(vectors, query, k)), "id").select(F.col("concept_id").alias("id")).where("id is not null").distinct()
     return graph.reach(edges, seeds, hops).select(F.col("target").alias("id"), "relevance")

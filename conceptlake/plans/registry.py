@@ -380,6 +380,14 @@ def edges(s, d):
     return rows.select((F.col("src") * 1_000_003 + F.col("dst")).alias("edge_id"), "src", "dst", F.lit("RELATED_TO").alias("type"), F.least(F.lit(1.0), 0.3 * F.col("n")).alias("strength"))
 
 
+def adjacency(s, d):
+    """RELATED_TO as a bucketed table, written once in a session for a folder."""
+    tables = s.__dict__.setdefault("_conceptlake_adjacency", {})
+    if d not in tables:
+        tables[d] = G.Adjacency(edges(s, d))
+    return tables[d]
+
+
 @query(f"SELECT label, count(*) AS n FROM {NODES} GROUP BY 1")
 def node_counts(s, d):
     return G.label_counts(nodes(s, d))
@@ -398,7 +406,7 @@ def strength_histogram(s, d):
 
 @query(f"SELECT dst AS id, round(max(strength), 6) AS strength FROM {SYM} WHERE src = 1 GROUP BY 1")
 def related_concepts(s, d):
-    return G.neighbours(edges(s, d), 1).select("id", F.round("strength", 6).alias("strength"))
+    return G.neighbours(adjacency(s, d), 1).select("id", F.round("strength", 6).alias("strength"))
 
 
 @query("SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_partkey = 7")
@@ -426,7 +434,7 @@ def concept_search(s, d):
   UNION ALL SELECT b.dst, a.strength + b.strength, 2 FROM {SYM} a JOIN {SYM} b ON a.dst = b.src AND NOT (b.dst = a.src) WHERE a.src IN (1, 2)) GROUP BY 1""")
 def two_hop_reach(s, d):
     seeds = s.createDataFrame([(1,), (2,)], "id long")
-    return G.reach(edges(s, d), seeds).select("target", F.round("relevance", 6).alias("relevance"), "hops", "distance")
+    return G.reach(adjacency(s, d), seeds).select("target", F.round("relevance", 6).alias("relevance"), "hops", "distance")
 
 
 @query("SELECT 'n' || n_nationkey AS id FROM nation WHERE n_regionkey = 1 UNION SELECT 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1")
@@ -436,6 +444,18 @@ def containment(s, d):
     return G.contained(a.union(b), "r1")
 
 
+@query("""WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier
+  UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
+r(root, id) AS (SELECT src, dst FROM e WHERE src LIKE 'r%' OR src LIKE 'n%' UNION SELECT r.root, e.dst FROM r JOIN e ON e.src = r.id) SELECT root, id FROM r""")
+def containment_closure(s, d):
+    """All that each region and nation contains."""
+    def pairs(name, src, dst):
+        return read(s, d, name).select(F.concat(F.lit(src[0]), src[1]).alias("src"), F.concat(F.lit(dst[0]), dst[1]).alias("dst"))
+
+    links = pairs("nation", ("r", "n_regionkey"), ("n", "n_nationkey")).union(pairs("customer", ("n", "c_nationkey"), ("c", "c_custkey"))).union(pairs("supplier", ("n", "s_nationkey"), ("s", "s_suppkey"))).union(pairs("orders", ("c", "o_custkey"), ("o", "o_orderkey")))
+    return G.closure(links, links.where("src like 'r%' or src like 'n%'").select(F.col("src").alias("id")))
+
+
 @query(f"SELECT p_partkey AS id, p_name AS name, coalesce(n, 0)::INT AS n FROM part LEFT JOIN (SELECT src, count(*) AS n FROM {SYM} GROUP BY 1) ON src = p_partkey")
 def concept_detail_left(s, d):
     part = read(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
@@ -480,7 +500,7 @@ SELECT id, round(max(total), 6) AS relevance FROM (
   UNION ALL SELECT b.dst, a.strength + b.strength FROM {SYM} a JOIN {SYM} b ON a.dst = b.src AND NOT (b.dst = a.src) WHERE a.src IN (SELECT id FROM seeds)) GROUP BY 1""")
 def hybrid_search(s, d):
     v = vectors(s, d).withColumn("concept_id", F.col("vec_id") + 1)
-    return V.hybrid(v, first_query(s, d), edges(s, d)).select("id", F.round("relevance", 6).alias("relevance"))
+    return V.hybrid(v, first_query(s, d), adjacency(s, d)).select("id", F.round("relevance", 6).alias("relevance"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -488,6 +508,19 @@ def json_props(s, d):
     return read(s, d, "events").select("event_id", F.get(X.json_in_text(F.col("props"), "struct<k:string>"), F.lit(0))["k"].alias("k"))
 
 
+@query("""SELECT event_id, key, CASE WHEN json_type(props, '$."' || key || '"') = 'VARCHAR' THEN json_extract_string(props, '$."' || key || '"') ELSE json_extract(props, '$."' || key || '"')::VARCHAR END AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)""")
+def open_metadata(s, d):
+    """Every field of open JSON, whatever its name."""
+    return read(s, d, "events").select("event_id", F.explode(X.open_fields(F.col("props"))).alias("key", "value"))
+
+
+@query("""SELECT key, type, count(*) AS n FROM (SELECT key, CASE json_type(props, '$."' || key || '"') WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'BIGINT' THEN 'BIGINT' ELSE json_type(props, '$."' || key || '"') END AS type FROM (SELECT props, unnest(json_keys(props)) AS key FROM events)) GROUP BY 1, 2""")
+def open_schema(s, d):
+    """Names and types of the fields that open JSON has."""
+    fields = read(s, d, "events").select(X.open_json(F.col("props")).alias("v")).lateralJoin(s.tvf.variant_explode(F.col("v").outer()))
+    return fields.groupBy("key", F.schema_of_variant("value").alias("type")).agg(F.count("*").alias("n"))
+
+
 JOBS = "(SELECT user_id AS job_id, event_type AS status, event_id AS seq FROM events)"
 
 
@@ -525,13 +558,13 @@ def concept_composed(s, d):
 @query(f"""SELECT distance, count(*) AS n FROM (SELECT target, (min(hops) - 1)::INT AS distance FROM (
   SELECT dst AS target, 1 AS hops FROM {SYM} WHERE src = 3 UNION ALL SELECT b.dst, 2 FROM {SYM} a JOIN {SYM} b ON a.dst = b.src AND NOT (b.dst = a.src) WHERE a.src = 3) GROUP BY 1) GROUP BY 1""")
 def reach_by_distance(s, d):
-    return G.by_distance(G.reach(edges(s, d), s.createDataFrame([(3,)], "id long"))).select("distance", "n")
+    return G.by_distance(G.reach(adjacency(s, d), s.createDataFrame([(3,)], "id long"))).select("distance", "n")
 
 
 @query(f"""SELECT pos, hops, count(*) AS n FROM (SELECT dst AS pos, 1 AS hops FROM {SYM} WHERE src = 3
   UNION ALL SELECT b.dst, 2 FROM {SYM} a JOIN {SYM} b ON a.dst = b.src AND NOT (b.dst = a.src) WHERE a.src = 3) GROUP BY 1, 2""")
 def path_rows(s, d):
-    return G.paths(edges(s, d), s.createDataFrame([(3,)], "id long")).groupBy(F.col("at").alias("pos"), "hops").agg(F.count("*").alias("n"))
+    return G.paths(adjacency(s, d), s.createDataFrame([(3,)], "id long")).groupBy(F.col("at").alias("pos"), "hops").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT a.l_partkey AS concept, b.l_partkey AS other FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey = 5) a

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conceptlake.functions import text as X
@@ -23,8 +23,17 @@ def text_files(spark: SparkSession, folder: str, pattern: str = "*.txt", recursi
     return _files(spark, folder, pattern, recursive).select(F.col("path").alias("file_path"), F.regexp_extract("path", STEM, 1).alias("title"), F.lit("Text File").alias("source"), text.alias("text"))
 
 
-def json_files(spark: SparkSession, folder: str, schema: str, recursive: bool = True) -> DataFrame:
-    """One object a file; ``text`` is the document, other fields its metadata; empty texts are left out."""
+def json_files(spark: SparkSession, folder: str, schema: str | None = None, recursive: bool = True) -> DataFrame:
+    """One object a file; ``text`` is the document, all other fields its metadata; empty texts and files without an object are left out.
+
+    Without a schema no field need be known: values that are no strings stand in the metadata as JSON. With one, its
+    fields alone are read.
+    """
+    if schema is None:
+        raw = text_files(spark, folder, "*.json", recursive).withColumn("v", X.open_json(F.col("text")))
+        meta = F.map_filter(X.open_fields(F.col("text")), lambda k, v: (k != "text") & v.isNotNull())
+        rows = raw.select("file_path", F.try_variant_get("v", "$.text", "string").alias("text"), F.lit("JSON File").alias("source"), meta.alias("metadata"))
+        return rows.where(F.length("text") > 0)
     rows = spark.read.schema(schema).option("multiLine", "true").option("pathGlobFilter", "*.json").option("recursiveFileLookup", str(recursive).lower()).json(folder)
     rest = [c for c in rows.columns if c != "text"]
     rows = rows.withColumn("file_path", F.col("_metadata.file_path"))
@@ -32,13 +41,38 @@ def json_files(spark: SparkSession, folder: str, schema: str, recursive: bool =
     return rows.where(F.length("text") > 0).select("file_path", "text", F.lit("JSON File").alias("source"), meta.alias("metadata"))
 
 
+FRONT_MATTER = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
+CODE = r"(```.*?```|`[^`\n]+`)"
+
+
+def _emphasis(mark: str, group: int) -> str:
+    """What stands between two equal runs of a mark, with code inside as it is; no letter or digit stands before or after."""
+    inner = rf"[^{mark}`]*+(?:`[^`\n]+`[^{mark}`]*+)*+"
+    return rf"(?<![\p{{L}}\p{{N}}{mark}])([{mark}]{{1,3}})(?=[^\s{mark}])({inner})(?<!\s)\{group}(?![\p{{L}}\p{{N}}{mark}])"
+
+
+def markdown_text(text: Column) -> Column:
+    """Markdown without its marks: headings, emphasis at word borders, links and images as their text; code stays as it is written."""
+    # code comes first in each pattern and is put back, so that no mark within it is touched
+    text = F.regexp_replace(text, rf"(?sm){CODE}|^[ ]{{0,3}}#{{1,6}}[ \t]+", "$1")
+    text = F.regexp_replace(text, rf"(?s){CODE}|!?\[([^\]\n]*)\]\([^)\n]*\)", "$1$2")
+    for _ in range(2):  # emphasis within emphasis
+        text = F.regexp_replace(text, f"(?s){CODE}|{_emphasis('*', 2)}|{_emphasis('_', 4)}", "$1$3$5")
+    # code that looks like tags or references is no HTML
+    escaped = lambda code: F.replace(F.replace(code, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    fence = lambda x: F.regexp_replace(x, r"(?s)\A```[^\n]*\n?(.*?)```\z", "$1")
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s)({CODE}|[^`]+|`)"), F.lit(1))
+    plain = F.transform(parts, lambda x: F.when(x.startswith("```") & (F.length(x) > 5), escaped(fence(x))).when(x.startswith("`") & (F.length(x) > 2), escaped(F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(x))
+    return X.strip_html(F.array_join(plain, ""))
+
+
 def markdown_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """Front matter as a metadata map; the body without marks."""
     rows = text_files(spark, folder, "*.md", recursive)
-    front = F.regexp_extract("text", r"(?s)^---\n(.*?)\n---", 1)
-    body = F.regexp_replace(F.regexp_replace("text", r"(?s)^---\n.*?\n---", ""), r"(?m)^#+\s*|[*_`]{1,3}", "")
-    meta = F.when(front != "", F.transform_values(F.str_to_map(front, F.lit("\n"), F.lit(":")), lambda k, v: F.trim(v)))
-    return rows.select("file_path", "title", F.lit("Markdown File").alias("source"), X.strip_html(body).alias("text"), meta.alias("metadata"))
+    front = F.regexp_extract("text", FRONT_MATTER, 1)
+    meta = F.when(front != "", F.transform_values(F.str_to_map(front, F.lit("\r?\n"), F.lit(":")), lambda k, v: F.trim(v)))
+    body = F.regexp_replace("text", FRONT_MATTER, "")
+    return rows.select("file_path", "title", F.lit("Markdown File").alias("source"), markdown_text(body).alias("text"), meta.alias("metadata"))
 
 
 def html_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
@@ -58,10 +92,9 @@ def pdf_files(spark: SparkSession, folder: str, parse: Callable[[bytes], tuple[s
 
 #: Reader by file ending; JSON and PDF files take what they need from the arguments of ``folder``.
 READERS = {".txt": text_files, ".md": markdown_files, ".html": html_files}
-JSON_SCHEMA = "text string, title string, author string, category string, date string"
 
 
-def folder(spark: SparkSession, path: str, endings: tuple[str, ...] = (".txt", ".md"), recursive: bool = True, json_schema: str = JSON_SCHEMA, parse_pdf: Callable | None = None) -> DataFrame:
+def folder(spark: SparkSession, path: str, endings: tuple[str, ...] = (".txt", ".md"), recursive: bool = True, json_schema: str | None = None, parse_pdf: Callable | None = None) -> DataFrame:
     """file_path, title, source, text of all files of the endings, a file once; an ending without a reader is an error."""
     out = None
     for e in dict.fromkeys(endings):

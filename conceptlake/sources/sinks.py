@@ -9,15 +9,23 @@ from conceptlake.functions import text as X
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of both; where a key is in both, values of ``delta`` that are not null win."""
+    """Rows of both; where a key is in both, values of ``delta`` that are not null win. A null in a key equals a null."""
     a, b = base.alias("a"), delta.alias("b")
     cols = [c for c in base.columns if c not in key]
-    joined = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key], "full_outer")
+    joined = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key], "full_outer")
     return joined.select(*(F.coalesce(F.col(f"b.{k}"), F.col(f"a.{k}")).alias(k) for k in key), *((F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")) if c in delta.columns else F.col(f"a.{c}")).alias(c) for c in cols))
 
 
+def first_rows(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row a key: the least in the order of its other columns (nulls first), whatever the partitioning."""
+    rest = [c for c in rows.columns if c not in key]
+    if not rest:
+        return rows.distinct()
+    return rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*(F.col(c) if c in key else F.col(f"_r.{c}").alias(c) for c in rows.columns))
+
+
 def insert_if_absent(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
-    return base.unionByName(delta.dropDuplicates(key).join(base.select(*key), key, "left_anti"), allowMissingColumns=True)
+    return base.unionByName(first_rows(delta, key).join(base.select(*key), key, "left_anti"), allowMissingColumns=True)
 
 
 def get_or_create(nodes: DataFrame, names: DataFrame) -> DataFrame:
@@ -64,24 +72,6 @@ def document_nodes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("id"), F.lit("Document").alias("label"), F.coalesce("title", F.lit("Untitled")).alias("name"), *kept)
 
 
-def rewrite(spark: SparkSession, path: str, files: int | None = None) -> int:
-    """Writes a table anew beside its place and puts it there, so that small or damaged files go; the number of rows.
-
-    A damaged file ends the work before anything is replaced.
-    """
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    old, new = fs_path(path), fs_path(f"{path}.rewritten")
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    rows = spark.read.parquet(path)
-    (rows.coalesce(files) if files else rows).write.mode("overwrite").parquet(f"{path}.rewritten")
-    n = spark.read.parquet(f"{path}.rewritten").count()
-    if n != rows.count():
-        raise RuntimeError("the table changed while it was rewritten")
-    fs.delete(old, True)
-    fs.rename(new, old)
-    return n
-
-
 def clear(spark: SparkSession, path: str) -> bool:
     """Deletes a table; whether there was one."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

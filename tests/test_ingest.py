@@ -42,6 +42,41 @@ def test_readers(spark, folder):
         readers.folder(spark, folder, (".doc",))
 
 
+def test_markdown_keeps_its_text(spark, tmp_path):
+    cases = {
+        "snake_case_name and a__init__b, __strong__.": "snake_case_name and a__init__b, strong.",
+        "2*3*4 = 24, a * b * c": "2*3*4 = 24, a * b * c",
+        "```python\n# comment\nx = a_b * c\nif a < b > c & d:\n```\nend": "# comment x = a_b * c if a < b > c & d: end",
+        "see [the *link*](http://x.y \"t\") and ![pic](p.png)": "see the link and pic",
+        "**bold `a_b*c` text** and _it_ and ***both***": "bold a_b*c text and it and both",
+        "# Head\n\n#hash ## no\n### Three": "Head #hash ## no Three",
+        "<b>tag</b> &amp; `<i>` and a lone ` tick": "tag & <i> and a lone ` tick",
+    }
+    for i, text in enumerate(cases):
+        (tmp_path / f"{i}.md").write_text(text)
+    got = {r.title: r.text for r in readers.markdown_files(spark, str(tmp_path)).collect()}
+    assert [got[str(i)] for i in range(len(cases))] == list(cases.values())
+    (tmp_path / "crlf").mkdir()
+    (tmp_path / "crlf/a.md").write_bytes(b"---\r\ntitle: A: B\r\ndate: 1\r\n---\r\nBody")
+    row = readers.markdown_files(spark, str(tmp_path / "crlf")).first()
+    assert row.metadata == {"title": "A: B", "date": "1"} and row.text == "Body"
+
+
+def test_open_metadata(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"text": "t", "title": "T", "year": 1999, "tags": ["x", "y"], "deep": {"k": null}, "none": null}')
+    (tmp_path / "b.json").write_text("no json"), (tmp_path / "c.json").write_text('["text"]'), (tmp_path / "d.json").write_text('{"title": "no text"}')
+    rows = readers.json_files(spark, str(tmp_path)).collect()
+    assert [(r.text, r.metadata) for r in rows] == [("t", {"title": "T", "year": "1999", "tags": '["x","y"]', "deep": '{"k":null}'})]
+
+
+def test_null_keys_and_repeated_rows(spark):
+    a = spark.createDataFrame([(None, "x"), (1, "y")], "id int, n string")
+    b = spark.createDataFrame([(None, "z"), (2, "w")], "id int, n string")
+    assert sorted(map(str, (tuple(r) for r in sinks.upsert(a, b, ["id"]).collect()))) == ["(1, 'y')", "(2, 'w')", "(None, 'z')"]
+    many = spark.createDataFrame([(1, "q"), (1, "p"), (3, None)], "id int, n string").repartition(3)
+    assert {tuple(r) for r in sinks.first_rows(many, ["id"]).collect()} == {(1, "p"), (3, None)}
+
+
 def test_names(spark):
     name = "A Book (Ann Lee) (2nd) (Z-Library).pdf"
     row = spark.createDataFrame([(name, "/x/deep_learning-texts/f.pdf", "few-shot LEARNING's")], ["n", "p", "k"])
@@ -57,7 +92,7 @@ def test_vectors_and_nodes(spark, tmp_path):
     assert [r.name for r in nodes.orderBy("name").collect()] == ["T", "Untitled"]
     path = f"file://{tmp_path}/t"
     sinks.write_table(docs, path), sinks.write_table(docs, path)
-    assert sinks.rewrite(spark, path, 1) == 4 and spark.read.parquet(path).count() == 4
+    assert spark.read.parquet(path).count() == 4
     assert sinks.clear(spark, path) and not sinks.clear(spark, path)
 
 

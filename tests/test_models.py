@@ -122,3 +122,37 @@ def test_every_relation_type(spark):
             if a != b:
                 assert got.get((a, b), {}) == {i: k for i, t in enumerate(texts) if (k := kind(t, a, b))}
     assert set(got["alpha", "Beta"].values()) == set(E.PHRASES)
+
+
+def test_adjacency_equals_the_edges(spark):
+    """Buckets, hubs over several of them, look-up and join give the paths of the plain edges."""
+    rnd = random.Random(2)
+    pairs = {tuple(sorted(rnd.sample(range(40), 2))) for _ in range(120)} | {(0, i) for i in range(1, 40)}
+    edges = spark.createDataFrame([(i, a, b, "RELATED_TO", None if i % 9 == 0 else i / 100) for i, (a, b) in enumerate(sorted(pairs))], "edge_id long, src long, dst long, type string, strength double")
+    table = G.Adjacency(edges, hub=7)
+    assert table.few_hubs > 0
+    seeds = spark.createDataFrame([(0,), (5,), (99,)], "id long")
+    rows = lambda df: sorted(map(str, df.collect()))
+    for most in (2000, 0):
+        G.LOOKED_UP = most
+        for hops in (1, 2, 3):
+            assert rows(G.reach(table, seeds, hops).withColumn("relevance", F.round("relevance", 9))) == rows(G.reach(edges, seeds, hops).withColumn("relevance", F.round("relevance", 9)))
+        assert rows(G.neighbours(table, 0)) == rows(G.neighbours(edges, 0)) and G.neighbours(table, 99).count() == 0
+        assert G.paths(table, seeds).count() == G.paths(edges, seeds).count()
+    G.LOOKED_UP = 2000
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # only then does the plan say so
+    plan = spark.table(table.name).where(F.col("place") == 1)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert "SelectedBucketsCount: 1 out of" in plan
+    table.drop()
+    assert G.Adjacency(edges.limit(0)).step(seeds, "id").count() == 0
+
+
+def test_containment_at_any_depth(spark):
+    chain = spark.range(300).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    every = G.closure(chain)
+    assert every.count() == 300 * 301 // 2
+    assert G.closure(chain, spark.createDataFrame([(100,)], "id long")).count() == 200
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (None, 5)], "src long, dst long")
+    assert {tuple(r) for r in G.closure(ring).collect()} == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3, 4)}
+    assert {r.id for r in G.contained(spark.range(30).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), 0).collect()} == set(range(1, 31))
