@@ -126,15 +126,55 @@ def texts_of(spark, rows):
     return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
 
-def test_html_differences_marked_articles(spark):
-    page = "<body><article><p>All rights reserved by us</p><p>{}</p>{}</article></body>"
+def test_html_keeps_marked_articles(spark):
+    """Headings, summaries and passages that articles share stay; class names that only sound like a menu's keep their text."""
+    page = "<body><nav>menu</nav><article><h1>Title</h1><p>Summary.</p><p>{}</p><p>a passage that articles quote</p></article></body>"
     story = [f"story {k} " + " ".join(f"w{k}x{j}" for j in range(20)) for k in range(4)]
-    quote = "<p>a passage that two articles quote</p>"
-    rows = [(k, f"http://a/{k}", page.format(story[k], quote if k < 2 else "")) for k in range(4)]
-    two = [(k + 10, f"http://b/{k}", page.format(story[k], quote)) for k in range(2)]
-    got = texts_of(spark, rows + two)
-    assert [got[k] for k in range(4)] == [story[k] + (" a passage that two articles quote" if k < 2 else "") for k in range(4)]
-    assert got[10] == f"All rights reserved by us {story[0]} a passage that two articles quote"
+    got = texts_of(spark, [(k, f"http://a/{k}", page.format(story[k])) for k in range(4)])
+    assert got == {k: f"Title Summary. {story[k]} a passage that articles quote" for k in range(4)}
+    own = "<article><p class='ad-hoc'>one</p><p class='social-history'>two</p><table><tr><td class='table-header'>three</td></tr></table><p><math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><div class='usercomments'>reader</div></article>"
+    assert texts_of(spark, [(1, "http://a/1", own)]) == {1: "one two three x=1"}
+
+
+def test_html_articles_of_the_tables(spark):
+    """All pages against an independent reader: in the tables an article holds nothing but its text."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.texts = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.texts += [" "] * (tag not in html_text.INLINE)
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            self.texts += [" "] * (tag not in html_text.INLINE)
+
+        def handle_data(self, data):
+            self.texts += [data] * (self.inside > 0)
+
+    pages = "/root/testdata/sf0.1/pages.parquet"
+    got = {r.page_id: r.text for r in html_text.extract(spark.read.parquet(pages)).collect()}
+    rows = spark.read.parquet(pages).select("page_id", "html").collect()
+    for r in rows:
+        reader = Article()
+        reader.feed(r.html), reader.close()
+        assert got[r.page_id] == " ".join("".join(reader.texts).split())
+    assert len(rows) == len(got) == 2500
+
+
+def test_alignment_halves_long_pages(monkeypatch):
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        a, b = rng.integers(0, 6, rng.integers(0, 40)).tolist(), rng.integers(0, 6, rng.integers(0, 40)).tolist()
+        monkeypatch.setattr(html_text, "ALIGNED", 1 << 22)
+        want = len(html_text.common(a, b))
+        monkeypatch.setattr(html_text, "ALIGNED", 20)
+        got = html_text.common(a, b)
+        assert len(got) == want and all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(got))
 
 
 def test_html_steps_over_copies(spark):
