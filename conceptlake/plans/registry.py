@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from conceptlake.functions import chunks as C
 from conceptlake.functions import text as X
+from conceptlake.operators import cells as N
 from conceptlake.operators import concepts as K
 from conceptlake.operators import dedup as D
 from conceptlake.operators import entities as E
@@ -483,6 +484,12 @@ def knn_filtered(s, d):
     return V.knn(vectors(s, d), first_query(s, d), 10, F.col("label") == 3).select("id", F.round("distance", 6).alias("distance"))
 
 
+@query(f"SELECT v.vec_id AS id, round({DIST}, 6) + 0.0::DOUBLE AS distance FROM embeddings v, embeddings q WHERE q.vec_id = 0 ORDER BY {DIST}, v.vec_id LIMIT 10")
+def knn_cells(s, d):
+    """The index of cells, all of them probed; tests measure what few find."""
+    return N.CellIndex(vectors(s, d), rounds=2).knn(first_query(s, d), 10, probes=N.CELLS_MOST).select("id", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
 @query(f"SELECT query_id, rank, id FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, (row_number() OVER (PARTITION BY q.vec_id ORDER BY {DIST}, v.vec_id))::INT AS rank FROM embeddings v, embeddings q WHERE q.vec_id < 5) WHERE rank <= 5")
 def knn_multi(s, d):
     q = vectors(s, d).where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
+
+def shared_path(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or where a session names none, its warehouse; driver and executors share both."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df`` in spark.checkpoint.dir; a folder of its own only where a local session names none (tests)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """A reliable checkpoint of ``df`` in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and not (sc.master + "[").startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="conceptlake-"))
+        sc.setCheckpointDir(shared_path(df.sparkSession))
     return df.checkpoint()

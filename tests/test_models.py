@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from conceptlake.functions import chunks as C
 from conceptlake.functions import text as X
+from conceptlake.operators import cells as N
 from conceptlake.operators import concepts as K
 from conceptlake.operators import dedup as D
 from conceptlake.operators import entities as E
 from conceptlake.operators import graph as G
 from conceptlake.operators import lexicon as L
+from conceptlake.operators import vector as V
 from conceptlake.sources import sinks
 
 from . import chunk_model as M
@@ -156,3 +158,21 @@ def test_containment_at_any_depth(spark):
     ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (None, 5)], "src long, dst long")
     assert {tuple(r) for r in G.closure(ring).collect()} == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3, 4)}
     assert {r.id for r in G.contained(spark.range(30).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), 0).collect()} == set(range(1, 31))
+
+
+def test_cells_find_the_nearest(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").withColumnRenamed("vec_id", "id")
+    odd = spark.createDataFrame([(-1, None, 0), (-2, [0.0] * 64, 0), (-3, [1.0], 0)], vectors.schema)
+    index = N.CellIndex(vectors.union(odd), cells=20)
+    queries = [r.embedding for r in vectors.where("id % 25 = 0").orderBy("id").collect()]
+    found = asked = 0
+    for q in queries:
+        want = [r.id for r in V.knn(vectors, q, 10).collect()]
+        found += len(set(want) & {r.id for r in index.knn(q, 10, probes=12).collect()})
+        asked += 10
+    assert found / asked >= 0.9
+    exact = [tuple(r) for r in V.knn(vectors, queries[0], 30).collect()]
+    assert [tuple(r) for r in index.knn(queries[0], 30, probes=20).collect()] == exact
+    assert {r.id for r in index.knn(queries[0], 999, probes=20).where("distance is null").collect()} >= {-1, -2}
+    assert index.near(queries[0], 3).select("cell").distinct().count() <= 4
+    assert N.CellIndex(vectors.limit(0)).knn(queries[0]).count() == 0
