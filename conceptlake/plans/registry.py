@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from conceptlake.functions import chunks as C
 from conceptlake.functions import text as X
+from conceptlake.operators import bm25 as R
 from conceptlake.operators import cells as N
 from conceptlake.operators import concepts as K
 from conceptlake.operators import dedup as D
@@ -501,6 +502,49 @@ def rerank(s, d):
     return V.search(vectors(s, d), first_query(s, d), F.col("label").cast("double")).select("id")
 
 
+def bm25_sql(queries: str) -> str:
+    words = lambda t: f"unnest(regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}]+'))"
+    return f"""t AS (SELECT doc_id AS id, {words("text")} AS word FROM documents), l AS (SELECT id, count(*) AS length FROM t GROUP BY 1), p AS (SELECT id, word, count(*) AS tf FROM t GROUP BY 1, 2),
+f AS (SELECT word, ln(1 + ((SELECT count(*) FROM l) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM p GROUP BY 1), q AS (SELECT DISTINCT query_id, {words("text")} AS word FROM {queries}),
+s AS (SELECT query_id, id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / (SELECT avg(length) FROM l)))), 6) AS score FROM q JOIN p USING (word) JOIN f USING (word) JOIN l USING (id) GROUP BY 1, 2)"""
+
+
+def texts_index(s, d):
+    return R.Index(read(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query(f"""WITH {bm25_sql("(SELECT item_id AS query_id, text FROM benchmark)")}
+SELECT query_id, rank, id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM s) WHERE rank <= 5""")
+def bm25_search(s, d):
+    """The best texts for each item of the benchmark."""
+    return texts_index(s, d).search(read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
+
+HITS = f"(SELECT query_id, id, distance FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, {DIST} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {DIST}, v.vec_id) AS r FROM embeddings v, embeddings q WHERE q.vec_id < 5) WHERE r <= 15)"
+
+
+def hits_of_five(s, d):
+    q = vectors(s, d).where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return V.knn_many(vectors(s, d), q, 15).select("query_id", "id", "distance"), read(s, d, "documents").where("doc_id < 5").select(F.col("doc_id").alias("query_id"), "text")
+
+
+@query(f"""WITH {bm25_sql("(SELECT doc_id AS query_id, text FROM documents WHERE doc_id < 5)")}
+SELECT query_id, rank, id, score FROM (SELECT query_id, id, coalesce(score, 0) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, distance, id))::INT AS rank FROM {HITS} LEFT JOIN s USING (query_id, id)) WHERE rank <= 5""")
+def rerank_bm25(s, d):
+    """Hits of a vector search ranked again by what their texts share with the query's."""
+    hits, asked = hits_of_five(s, d)
+    return texts_index(s, d).rerank(hits, asked)
+
+
+@query(f"""WITH {bm25_sql("(SELECT doc_id AS query_id, text FROM documents WHERE doc_id < 5)")},
+n AS (SELECT id, min(distance) AS distance FROM {HITS} GROUP BY 1), b AS (SELECT id, max(score) AS score FROM s GROUP BY 1)
+SELECT id, coalesce(score, 0) AS score FROM n LEFT JOIN b USING (id) ORDER BY coalesce(score, 0) DESC, distance, id LIMIT 5""")
+def rerank_pooled(s, d):
+    """The hits of several queries as one list."""
+    hits, asked = hits_of_five(s, d)
+    return texts_index(s, d).pooled(hits, asked)
+
+
 @query(f"""WITH seeds AS (SELECT v.vec_id + 1 AS id FROM embeddings v, embeddings q WHERE q.vec_id = 0 ORDER BY {DIST}, v.vec_id LIMIT 5)
 SELECT id, round(max(total), 6) AS relevance FROM (
   SELECT dst AS id, strength AS total FROM {SYM} WHERE src IN (SELECT id FROM seeds)
