@@ -7,6 +7,8 @@ which contain customers and suppliers.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from conceptlake.operators import ingest as I
 from conceptlake.operators import jobs as J
 from conceptlake.operators import vector as V
 from conceptlake.sources import sinks as W
+from conceptlake.tables import shared_path
 
 WORDS = ["the", "go", "rest", "thing", "idiot", "license", "token"]
 QUERIES = {}
@@ -640,6 +643,22 @@ def upsert_documents(s, d):
     return W.upsert(base, old.union(new), ["id"])
 
 
+def keyed(s, key, buckets):
+    return W.KeyedTable(s, f"{shared_path(s)}/keyed-{uuid.uuid4().hex}", key, buckets)
+
+
+@query("""SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey < 40 THEN 'changed' ELSE o_orderstatus END AS name, o_orderpriority AS note FROM orders
+UNION ALL SELECT 'new' || o_orderkey, 'added', NULL FROM orders WHERE o_orderkey < 9""")
+def merge_documents(s, d):
+    """An upsert that rewrites the touched buckets of a table alone."""
+    rows = read(s, d, "orders")
+    base = rows.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("name"), F.col("o_orderpriority").alias("note"))
+    made = keyed(s, ["id"], 64).create(base)
+    made.merge(rows.where("o_orderkey < 40").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("changed").alias("name")))
+    made.merge(rows.where("o_orderkey < 9").select(F.concat(F.lit("new"), "o_orderkey").alias("id"), F.lit("added").alias("name")))
+    return made.read()
+
+
 @query("""SELECT src, dst, 'MENTIONS' AS type, round(max(strength), 6) AS strength, arg_max(description, seq) AS description, arg_max(method, seq) AS method FROM (
   SELECT l_orderkey AS src, l_partkey AS dst, max(l_tax) AS strength, 'old' AS description, 'a' AS method, 0 AS seq FROM lineitem GROUP BY 1, 2
   UNION ALL SELECT l_orderkey, l_partkey, max(l_discount), 'new', 'b', 1 FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1, 2) GROUP BY 1, 2""")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conceptlake.functions import text as X
+from conceptlake.tables import cut
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
@@ -24,6 +28,47 @@ def first_rows(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*(F.col(c) if c in key else F.col(f"_r.{c}").alias(c) for c in rows.columns))
 
 
+class KeyedTable:
+    """A table whose rows lie in ``buckets`` partitions by a hash of their key, so that a merge reads and writes the touched ones alone.
+
+    A merge computes the touched buckets' next state, keeps it in the shared folder, and then puts it in their place
+    (dynamic partition overwrite); the files of other buckets stay as they are. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], buckets: int = 64):
+        self.spark, self.path, self.key, self.buckets, self.schema = spark, path, key, buckets, None
+
+    def _placed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_bucket", F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in self.key)), F.lit(self.buckets)).cast("int"))
+
+    def _write(self, placed: DataFrame) -> None:
+        placed.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path)
+
+    def create(self, df: DataFrame) -> KeyedTable:
+        self.schema = df.schema
+        self._write(self._placed(df))
+        return self
+
+    def _all(self) -> DataFrame:
+        return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("_bucket", T.IntegerType())])).parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self._all().select(*self.schema.names)
+
+    def touched(self, delta: DataFrame) -> list[int]:
+        """The buckets that a delta's keys lie in: ``buckets`` numbers at most."""
+        return sorted(r[0] for r in self._placed(delta).select("_bucket").distinct().collect())
+
+    def merge(self, delta: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> list[int]:
+        """Puts ``change(rows of the touched buckets, delta)`` in their place (an upsert, if none is given); the touched buckets."""
+        buckets = self.touched(delta)
+        if buckets:
+            old = self._all().where(F.col("_bucket").isin(buckets)).select(*self.schema.names)
+            new = change(old, delta) if change else upsert(old, delta, self.key)
+            self._write(cut(self._placed(new.select(*self.schema.names))))
+        return buckets
+
+
 def insert_if_absent(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
     return base.unionByName(first_rows(delta, key).join(base.select(*key), key, "left_anti"), allowMissingColumns=True)
 

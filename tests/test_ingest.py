@@ -272,3 +272,19 @@ def test_scalars(spark):
     assert base.count() == 2 and readers.sample(spark.range(100), 5).collect() == readers.sample(spark.range(100), 5).collect()
     noisy = spark.createDataFrame([('x [{"k": "1"}, {"k": null}] y',), ('so {"k": "2"} it',), ("none",)], ["t"]).select(X.json_in_text(F.col("t"), "struct<k:string>").alias("j")).collect()
     assert [[x.k for x in r.j] for r in noisy] == [["1", None], ["2"], []]
+
+
+def test_a_merge_leaves_other_buckets(spark, tmp_path):
+    base = spark.range(500).select("id", F.concat(F.lit("n"), "id").alias("n"), F.lit(None).cast("string").alias("m"))
+    table = sinks.KeyedTable(spark, f"file://{tmp_path}/t", ["id"], 16).create(base)
+    files = lambda: {p.name: p.parent.name for p in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    delta = spark.createDataFrame([(3, "x", "y"), (1000, "new", None)], "id long, n string, m string")
+    buckets = table.merge(delta)
+    after = files()
+    assert len(buckets) <= 2 and {f for f, b in before.items() if b not in {f"_bucket={k}" for k in buckets}} <= set(after)
+    assert not {f for f, b in before.items() if b in {f"_bucket={k}" for k in buckets}} & set(after)
+    assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, sinks.upsert(base, delta, ["id"]).collect()))
+    kept = table.merge(delta.where("id = 3"), lambda old, new: old.join(new, "id", "left_anti"))
+    assert kept and table.read().where("id = 3").count() == 0 and table.read().count() == 500
+    assert table.merge(delta.limit(0)) == []
