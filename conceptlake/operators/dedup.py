@@ -2,33 +2,50 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from conceptlake.functions import text as X
 
 
-def title_ratio(a: str, b: str) -> int:
-    """0 to 100: twice the longest common subsequence over the lengths, by bit-parallel rows."""
-    a, b = a.lower().strip(), b.lower().strip()
-    if not a and not b:
-        return 100
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places[ch] = places.get(ch, 0) | 1 << i
-    row = (1 << len(a)) - 1
-    full = row
-    for ch in b:
-        u = row & places.get(ch, 0)
-        row = ((row + u) | (row - u)) & full
-    return round(200 * (len(a) - row.bit_count()) / (len(a) + len(b)))
-
-
-@F.pandas_udf(IntegerType())
-def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([title_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
+#: Characters of a title that one long holds; the sum of two such numbers stays in a long.
+LIMB = 62
+FULL = (1 << LIMB) - 1
+
+
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence, by bit-parallel rows: bit i of a row is clear where a's character i adds one.
+
+    A row is as many longs as ``a`` needs; each character of ``b`` takes one step over them, with the carry of one long's sum
+    going on into the next.
+    """
+    limbs = F.transform(F.sequence(F.lit(0), F.floor((F.length(a) - 1) / LIMB).cast("int")), lambda k: F.split(F.substring(a, k * LIMB + 1, F.lit(LIMB)), ""))
+    #: for each limb, a map from a character to the bits of its places
+    places = F.transform(limbs, lambda chars: F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c.alias("c"), F.aggregate(F.transform(chars, lambda x, i: F.when(x == c, F.expr("1L")).otherwise(F.lit(0).cast("long"))), F.struct(F.lit(0).cast("long").alias("bits"), F.lit(1).cast("long").alias("at")), lambda s, x: F.struct((s["bits"] + x * s["at"]).alias("bits"), (s["at"] * 2).alias("at")), lambda s: s["bits"]).alias("bits")))))
+
+    def step(places: Column, row: Column, c: Column) -> Column:
+        def limb(state: Column, pair: Column) -> Column:
+            v = pair["row"]
+            u = v.bitwiseAND(F.coalesce(pair["places"][c], F.lit(0).cast("long")))
+            total = v + u + state["carry"]
+            return F.struct(F.shiftrightunsigned(total, LIMB).alias("carry"), F.array_append(state["out"], total.bitwiseAND(F.lit(FULL)).bitwiseOR(v - u)).alias("out"))
+
+        begin = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(F.arrays_zip(row.alias("row"), places.alias("places")), begin, limb, lambda s: s["out"])
+
+    def length(places: Column) -> Column:
+        full = F.transform(places, lambda _: F.lit(FULL))
+        last = F.aggregate(F.split(b, ""), full, lambda row, c: step(places, row, c))
+        return F.aggregate(F.transform(last, lambda v: LIMB - F.bit_count(v)), F.lit(0), lambda s, x: s + x)
+
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(F.transform(F.array(places), length)[0])
+
+
+def title_similarity(a: Column | str, b: Column | str) -> Column:
+    """0 to 100: twice the longest common subsequence over the lengths, in any case and without blanks around; null titles are empty, and two empty ones equal."""
+    x, y = (F.lower(F.trim(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))) for c in (a, b))
+    both = F.length(x) + F.length(y)
+    return F.when(both == 0, 100).otherwise(F.bround(200 * common_length(x, y) / both).cast("int"))
 
 
 def duplicate_sets(docs: DataFrame, key=X.compact_hash) -> DataFrame:

@@ -724,6 +724,29 @@ def duplicate_cascade(s, d):
     return D.cascade(rows, rows.where("doc_id < 50")).withColumn("existing_id", F.coalesce(F.col("existing_id").cast("string"), F.lit("new")))
 
 
+# Longest common subsequence row by row: m has for a character of a where b has it too, and a row never falls.
+RATIO = """round_even(200 * (CASE WHEN a = '' OR b = '' THEN 0 ELSE list_max(list_reduce(list_transform(string_split(a, ''), lambda c: list_transform(string_split(b, ''), lambda d: (c = d)::INT)),
+  lambda r, m: list_transform(range(1, length(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: CASE WHEN m[i] = 1 THEN 1 + CASE WHEN i > 1 THEN r[i - 1] ELSE 0 END ELSE r[i] END))), list_transform(range(length(b)), lambda j: 0))) END) / (length(a) + length(b)), 0)::INT"""
+TITLES = "(SELECT p_name AS title, min(p_partkey) AS id FROM part GROUP BY 1)"
+
+
+@query(f"SELECT * FROM (SELECT a_id, b_id, {RATIO} AS similarity FROM (SELECT x.id AS a_id, y.id AS b_id, lower(trim(x.title)) AS a, lower(trim(y.title)) AS b FROM {TITLES} x, {TITLES} y)) WHERE similarity >= 75")
+def similar_titles(s, d):
+    titles = read(s, d, "part").groupBy(F.col("p_name").alias("title")).agg(F.min("p_partkey").alias("doc_id"))
+    return D.similar_titles(titles, titles, 75)
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_name AS title FROM part), o AS (SELECT p_name || ' ' || (p_partkey % 7) AS title, p_partkey AS id FROM part WHERE p_partkey < 50),
+r AS (SELECT title, min(id) AS id FROM (SELECT x.title, y.id, {RATIO} AS similarity FROM (SELECT title, lower(trim(title)) AS a FROM n) x, (SELECT id, lower(trim(title)) AS b FROM o) y) WHERE similarity >= 90 GROUP BY 1)
+SELECT p_partkey AS doc_id, coalesce(CASE WHEN p_partkey % 10 = 0 AND p_partkey < 50 THEN p_partkey ELSE r.id END::VARCHAR, 'new') AS existing_id, CASE WHEN p_partkey % 10 = 0 AND p_partkey < 50 THEN 'content_hash' WHEN r.id IS NOT NULL THEN 'title' END AS method FROM part LEFT JOIN r ON r.title = p_name""")
+def duplicate_cascade_titles(s, d):
+    """The stage of similar titles decides, where no hash does."""
+    none = F.lit(None).cast("string")
+    rows = read(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 10 == 0, F.col("p_partkey").cast("string")).alias("content_hash"), none.alias("metadata_hash"), none.alias("file_path"))
+    store = rows.where("doc_id < 50").withColumn("title", F.concat("title", F.lit(" "), F.col("doc_id") % 7))
+    return D.cascade(rows, store).withColumn("existing_id", F.coalesce(F.col("existing_id").cast("string"), F.lit("new")))
+
+
 @query("SELECT event_id, CASE WHEN value / 100 < 0.4 THEN 'weak' WHEN value / 100 < 0.7 THEN 'moderate' WHEN value / 100 < 1.0 THEN 'strong' ELSE 'essential' END AS category, upper(replace(event_type, ' ', '_')) AS type, user_id || ' is ' || replace(lower(event_type), '_', ' ') || ' x' AS description FROM events")
 def strength_categories(s, d):
     rows = read(s, d, "events")

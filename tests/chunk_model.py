@@ -1,4 +1,4 @@
-"""The chunkers on one text, step by step: what the expressions must return."""
+"""Chunkers and the similarity of titles on single values, step by step: what the expressions must return."""
 
 import re
 
@@ -84,3 +84,19 @@ def break_chunks(text: str, size: int = 4000) -> list[str]:
         out.append(text[at:end].strip())
         at = end
     return [x for x in (*out, text[at:]) if x]
+
+
+def title_ratio(a: str, b: str) -> int:
+    """0 to 100: twice the longest common subsequence over the lengths, by bit-parallel rows."""
+    a, b = a.lower().strip(), b.lower().strip()
+    if not a and not b:
+        return 100
+    places: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | 1 << i
+    row = (1 << len(a)) - 1
+    full = row
+    for ch in b:
+        u = row & places.get(ch, 0)
+        row = ((row + u) | (row - u)) & full
+    return round(200 * (len(a) - row.bit_count()) / (len(a) + len(b)))

@@ -15,6 +15,8 @@ from conceptlake.operators import ingest, jobs
 from conceptlake.operators import vector as V
 from conceptlake.sources import readers, sinks
 
+from . import chunk_model as M
+
 NODES = "id string, label string, name string, normalized_name string, type string, description string, source string"
 
 
@@ -152,7 +154,7 @@ def test_similar_titles_brute_force(spark):
     rows = spark.createDataFrame(list(enumerate(titles)), "doc_id long, title string")
     for least in (80, 90):
         got = {(r.a_id, r.b_id) for r in D.similar_titles(rows, rows, least).collect()}
-        assert got == {(i, j) for i, x in enumerate(titles) for j, y in enumerate(titles) if D.title_ratio(x, y) >= least}
+        assert got == {(i, j) for i, x in enumerate(titles) for j, y in enumerate(titles) if M.title_ratio(x, y) >= least}
 
 
 def test_graph(spark):

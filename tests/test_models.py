@@ -25,10 +25,29 @@ def test_hash_ignores_case_and_space(spark):
     assert got[0].c == got[1].c != got[2].c and len({r.k for r in got}) == 1
 
 
-def test_title_ratio():
-    assert D.title_ratio("Machine Learning", "machine learning ") == 100
-    assert D.title_ratio("Introduction to Machine Learning", "Introduction to Machine Learning!") > 80
-    assert D.title_ratio("Introduction to Machine Learning", "Something Completely Different") < 50
+def test_title_similarity(spark):
+    """Against a table of prefixes; titles of over one and two longs."""
+    rnd = random.Random(6)
+    titles = [("Machine Learning", "machine learning "), ("Introduction to Machine Learning", "Introduction to Machine Learning!"), ("Introduction to Machine Learning", "Something Completely Different"), ("", ""), ("", "a"), (None, None), (None, "x"), ("\u00c9t\u00e9 \U0001f600", "\u00e9t\u00e9 \U0001f600!")]
+    for n in (5, 61, 62, 63, 64, 124, 125, 200):
+        for k in (2, 5, 26):
+            make = lambda m: "".join(chr(97 + rnd.randrange(k)) for _ in range(m))  # noqa: B023, E731
+            titles += [(make(n), make(rnd.randint(0, n + 9))), (make(n), make(n))]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(titles)], "i int, a string, b string")
+    got = {r.i: r.s for r in rows.select("i", D.title_similarity("a", "b").alias("s")).collect()}
+
+    def ratio(a, b):
+        a, b = (a or "").strip().lower(), (b or "").strip().lower()
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return round(200 * row[-1] / (len(a) + len(b))) if a or b else 100
+
+    assert got == {i: ratio(a, b) for i, (a, b) in enumerate(titles)}
+    assert got[0] == 100 and got[1] > 80 and got[2] < 50
 
 
 def test_chunkers(spark):
