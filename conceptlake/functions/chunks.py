@@ -183,14 +183,15 @@ def extraction_chunks(docs: DataFrame, size: int = 2500, overlap: int = 300) ->
     return chunk_rows(sized, semantic_chunks(F.col("text"), F.col("_size"), half(overlap)))
 
 
-def batches(df: DataFrame, order: str, size: int = 100, ranges: int = 64) -> DataFrame:
+def batches(df: DataFrame, order: str, size: int = 100, ranges: int | None = None) -> DataFrame:
     """Rows with the number of their batch in the order of a numeric or time column, for writers that need one.
 
     Each range of the column is numbered on its own and shifted by the rows of those before it, so no single task sorts
     all. Nulls come first; rows of equal values are ordered by a hash of all columns.
     """
     value = F.col(order).cast("double")
-    cuts = df.select(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
+    ranges = ranges or max(64, df.count() // 1_000_000)  # a million rows each
+    cuts = df.select(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], max(10_000, 10 * ranges))).first()[0] or []
     of = sum((F.when(value > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
     rows = df.withColumn("_range", of)
     sums = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

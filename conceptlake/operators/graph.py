@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from conceptlake.functions import text as X
-from conceptlake.tables import cut
+from conceptlake.tables import cut, shared_path
 
 
 def undirected(edges: DataFrame, types: list[str] | None = None) -> DataFrame:
@@ -29,7 +29,7 @@ class Adjacency:
 
     ``place`` is a hash of the node and, for hubs, of one of several salts, so that a hub's edges lie in several buckets.
     Few nodes read their buckets alone; many are shuffled to the buckets, and the edges stay where they are. The table
-    lies in the session's warehouse, which all executors share.
+    lies in the folder that all executors share.
     """
 
     def __init__(self, edges: DataFrame, types: list[str] | None = None, hub: int = HUB):
@@ -43,7 +43,7 @@ class Adjacency:
         buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // IN_BUCKET))
         salted = self._with_hubs(sym, "src").withColumn("place", self._place("src", F.pmod(F.xxhash64("dst"), F.col("salts")))).drop("salts")
         self.name = f"adjacency_{uuid.uuid4().hex}"
-        salted.repartition(buckets, "place").write.bucketBy(buckets, "place").sortBy("place").saveAsTable(self.name)
+        salted.repartition(buckets, "place").write.bucketBy(buckets, "place").sortBy("place").option("path", f"{shared_path(self.spark)}/{self.name}").saveAsTable(self.name)
 
     @staticmethod
     def _place(node: str, salt: Column) -> Column:

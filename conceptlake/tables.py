@@ -1,13 +1,29 @@
-"""Cuts of lineage in the folder that driver and executors share."""
+"""Tables that outlive a query: in the folder that driver and executors share, deleted when the driver ends."""
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where a session names none, its warehouse; driver and executors share both."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    """The session's own folder in spark.checkpoint.dir, or where a session names none, in its warehouse; driver and executors share both."""
+    path = getattr(spark, "_conceptlake_shared", None)
+    if path is None:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        path = spark._conceptlake_shared = f"{base.rstrip('/')}/conceptlake-{uuid.uuid4().hex}"
+        atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may be gone
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:

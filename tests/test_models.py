@@ -156,7 +156,7 @@ def test_adjacency_equals_the_edges(spark):
     rows = lambda df: sorted(map(str, df.collect()))
     for most in (2000, 0):
         G.LOOKED_UP = most
-        for hops in (1, 2, 3):
+        for hops in (2, 3) if most else (2,):
             assert rows(G.reach(table, seeds, hops).withColumn("relevance", F.round("relevance", 9))) == rows(G.reach(edges, seeds, hops).withColumn("relevance", F.round("relevance", 9)))
         assert rows(G.neighbours(table, 0)) == rows(G.neighbours(edges, 0)) and G.neighbours(table, 99).count() == 0
         assert G.paths(table, seeds).count() == G.paths(edges, seeds).count()
