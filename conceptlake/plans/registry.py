@@ -23,6 +23,7 @@ from conceptlake.operators import graph as G
 from conceptlake.operators import ingest as I
 from conceptlake.operators import jobs as J
 from conceptlake.operators import vector as V
+from conceptlake.operators import word_vectors as B
 from conceptlake.sources import sinks as W
 from conceptlake.tables import shared_path
 
@@ -764,3 +765,22 @@ def job_cancellations(s, d):
     status = F.when(F.col("status") == "click", "queued").when(F.col("status") == "view", "running").otherwise("completed")
     rows = J.latest(job_log(s, d)).withColumns({"status": status, "created_by": (F.col("job_id") % 2).cast("string")})
     return J.cancellations(rows, list(range(500)), "1").select("job_id", "status")
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents)),
+p AS (SELECT a.x AS a, b.x AS b FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i + 1 AND a.i + 2),
+c AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM p UNION ALL SELECT b, a FROM p) GROUP BY 1, 2),
+o AS (SELECT a, sum(n) AS n FROM c GROUP BY 1 HAVING sum(n) >= 200)
+SELECT c.a, c.b, round(ln(c.n * (SELECT sum(n) FROM o)::DOUBLE / (x.n::DOUBLE * y.n)), 6) AS weight FROM c JOIN o x ON x.a = c.a JOIN o y ON y.a = c.b
+WHERE ln(c.n * (SELECT sum(n) FROM o)::DOUBLE / (x.n::DOUBLE * y.n)) > 1e-9""")
+def word_information(s, d):
+    """How much more often than by chance words stand near each other."""
+    found = B.information(B.pair_counts(read(s, d, "documents"), window=2), 200)
+    return found.where("weight > 1e-9").select("a", "b", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def text_vectors(s, d):
+    """Every text's vector from word vectors that are learned from all texts."""
+    docs = read(s, d, "documents")
+    return B.WordVectors(docs).embed(docs, "doc_id").withColumnRenamed("id", "doc_id")
