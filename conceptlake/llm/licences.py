@@ -2,24 +2,27 @@
 
 Paragraphs are lines; a line that ends without punctuation goes on in the next one if
 that begins in lower case, so hard-wrapped notices are one paragraph. Their features are
-the words and word pairs of the notices below, and how many of their words no notice has;
-a multinomial logistic regression over families and an unknown class is fitted to the
-notices, their sentences and sentences without a licence of these families (a fixed,
-small set; fitted on the driver). The temperature that calibrates its probabilities is
-fitted to notices with words left out. A prediction is confirmed by comparison with the
-family's notices: one of them, or one of its sentences, must have at least ``CONFIRM`` of
-its features in the paragraph.
+the words and word pairs of the training rows, the paragraph's start and end counted as
+words, and how many of their words no such row has. A multinomial logistic regression over
+families and an unknown class is fitted, on the driver, to a fixed set: the notices below
+and their sentences, the names of licences in frames that say that one holds, and, as
+unknown, sentences without a licence and the names in frames that only speak of them. The
+temperature that calibrates its probabilities is fitted to notices with words left out. A
+prediction is confirmed by comparison: a notice of the family, one of its sentences or one
+of its names with a word such as "licensed" must have at least ``CONFIRM`` of its features
+in the paragraph. A paragraph that names two licences has the likelier one.
 
 Words are runs of a-z and 0-9 after lowering A-Z; words of STOP alone are no feature,
-so paragraphs without a feature are unknown and make no rows. Null and empty texts
-have no paragraph. Null ids are carried. Repeated rows count once; rows that share an id
-but not the text each have theirs. Of families with equal scores the last by name is
-taken. Other columns are ignored.
+so paragraphs without a pair that is one are unknown and make no rows. Null and empty
+texts have no paragraph. Null ids are carried. Repeated rows count once; rows that share
+an id but not the text each have theirs. Of families with equal scores the last by name
+is taken. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +54,39 @@ NOTICES = {
 }
 # Sentences that share words with notices and are none.
 OTHER = ["The driver lost his license after the accident.", "The software was released in version 2 last year.", "You need a permission slip from the school.", "The general public is welcome at the library.", "They work under difficult conditions.", "A copy of the book is in the source room.", "The apache helicopter flew over the valley.", "She studied at MIT and works on software.", "The warranty of the car covers all parts.", "Please distribute the notes to any person in the class.", "The files are in binary form.", "Copyright law is taught in the second year.", "The terms of the contract were published.", "Free software foundation members met in Boston.", "The international creative commons summit was held in Lisbon.", "Use the following list of names.", "The public domain of the function is the real line.", "Version 3 of the form is used for any purpose.", "All rights of the workers are reserved in law.", "The notice appears on page 4 of the file.", "Our MIT license review is released under embargo.", "The license was released last week.", "He has a license to fish.", "An apache license plate is red.", "The creative work is licensed under a secret contract.", "The software license of the vendor costs more in version 2.", "The public license office is closed.", "All rights were granted to the publisher of the work.", "The general terms of the license are under review.", "The commons is open to the public under the terms of the city."]
-STOP = frozenset("a all an and any any appear are as at be by can for form forms from has have he her his if in into is it its may more need needs new no not of on one or other part she such than that the their they this to under up used use was were which who will with you your 0 1 2 3 4 5 v".split())
+# What licences are called in short, SPDX ids included.
+NAMES = {
+    "agpl": ["AGPL", "AGPLv3", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "GNU AGPL v3", "GNU Affero General Public License v3.0", "GNU Affero GPL"],
+    "apache": ["Apache", "Apache 2", "Apache 2.0", "Apache-2.0", "Apache License 2.0", "Apache License, Version 2.0", "ASL 2.0", "Apache v2"],
+    "bsd": ["BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD 3-Clause", "3-clause BSD", "2-clause BSD", "New BSD", "modified BSD", "simplified BSD", "BSD-style"],
+    "bsl": ["BSL-1.0", "Boost Software License", "Boost Software License 1.0"],
+    "cc-by": ["CC BY", "CC-BY", "CC-BY-4.0", "CC BY 4.0", "CC BY 3.0", "Creative Commons Attribution", "Creative Commons Attribution 4.0", "Creative Commons Attribution 4.0 International", "Creative Commons BY"],
+    "cc-by-nc": ["CC BY-NC", "CC-BY-NC-4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial", "Creative Commons Attribution-NonCommercial 4.0 International", "Creative Commons BY-NC"],
+    "cc-by-sa": ["CC BY-SA", "CC-BY-SA-4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike", "Creative Commons Attribution-ShareAlike 4.0 International", "Creative Commons BY-SA"],
+    "cc0": ["CC0", "CC0-1.0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero", "Creative Commons Zero v1.0"],
+    "epl": ["EPL", "EPL-2.0", "EPL 1.0", "Eclipse Public License", "Eclipse Public License 2.0", "Eclipse Public License v1.0"],
+    "eupl": ["EUPL", "EUPL-1.2", "EUPL 1.2", "European Union Public Licence", "European Union Public License 1.2"],
+    "gpl": ["GPL", "GPLv2", "GPLv3", "GPL v3", "GPL-2.0", "GPL-2.0-only", "GPL-3.0", "GPL-3.0-or-later", "GPL version 2", "GPL version 3", "GNU GPL", "GNU GPL v3", "GNU General Public License", "GNU General Public License v2.0", "GNU General Public License v3.0", "GNU General Public License version 3"],
+    "isc": ["ISC"],
+    "lgpl": ["LGPL", "LGPLv2", "LGPLv3", "LGPL-2.1", "LGPL-2.1-or-later", "LGPL-3.0", "GNU LGPL", "GNU Lesser General Public License", "GNU Lesser General Public License v2.1", "GNU Library General Public License"],
+    "mit": ["MIT", "MIT/X11", "MIT (Expat)", "Expat MIT", "MIT-style"],
+    "mit-0": ["MIT-0", "MIT No Attribution"],
+    "mpl": ["MPL", "MPL-2.0", "MPL 2.0", "MPL 1.1", "Mozilla Public License", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0"],
+    "unlicense": ["Unlicense", "The Unlicense"],
+    "zlib": ["zlib", "zlib/libpng"],
+}
+# How a paragraph says which licence holds, and how one speaks of a name without saying so.
+FRAMES = ["{}", "{} license", "The {} license", "{} licensed", "License: {}", "Licence: {}", "license {}", "SPDX-License-Identifier: {}", "Licensed under {}.", "Licensed under the {}.", "Licensed under the {} license.", "Released under {}.", "Released under the {} license.", "Distributed under the terms of the {} license.", "This project is {} licensed.", "This project is licensed under the {} license.", "This software is licensed under {}.", "See the LICENSE file for the {} license text.", "The code is available under the {}.", "The data are made available under {}.", "This is free software under the {}.", "This work is licensed under a {} license.", "Published under {}.", "{} or later", "Copyright 2020 the authors. {} license.", "You may use it under the terms of the {}.", "Ce document est mis à disposition sous licence {}.", "Lizenziert unter der {}.", "Publicado bajo la licencia {}.", "Code: {}", "Documentation: {}.", "Everything here is {}.", "The package is distributed under the {}.", "It is free to use under {}.", "Released into the world under {}."]
+OTHER_FRAMES = ["She studied {} for a year.", "Our {} license review is late.", "This is part of a {} project.", "We compared {} with three others in the survey.", "The {} team met in the morning.", "He gave a talk on {} and its history.", "What does {} mean?", "The article on the {} license was released last week.", "Lawyers argue about {} in court.", "They left {} years ago.", "{} announced a new product.", "{} is a company in the city.", "The {} license was changed after a long debate.", "In the survey the {} license came first."]
+OTHER += ["All rights reserved by the tenants of the house.", "All rights of the owner are reserved by the court.", "All human rights are reserved for people.", "A fishing license is available under the terms of the city.", "The license of the public was general.", "The terms of use were published.", "License", "The license", "See the license file.", "The project is licensed.", "Copyright 2020 the authors.", "The code is available.", "The data are made available on request.", "The text is available in the library.", "You may use it in the morning.", "The attribution of the painting is contested.", "The commons voted on the bill.", "Public", "Version 2.0", "Free software is a matter of liberty.", "The house is released under bail.", "The ship was licensed in 1920.", "A license number is needed.", "The software is distributed to schools.", "Boost your sales with a new version.", "The eclipse was seen in public.", "The modified file was copied."]
+NOTICES["proprietary"] += ["All rights reserved.", "Copyright 2020 the company. All rights reserved.", "Proprietary and confidential.", "This is proprietary software. All rights reserved."]
+# Names of one word that mean nothing else.
+PLAIN = frozenset("agpl agplv3 cc0 eupl gpl gplv2 gplv3 lgpl lgplv2 lgplv3".split())
+#: A German word that is no licence's name.
+WITH = r"(?<![A-Za-z0-9])Mit(?![A-Za-z0-9]|[ -]?[Ll]icen[sc])"
+#: A paragraph's start and end.
+START, END = "^", "$"
+STOP = frozenset("a all an and any any appear are as at be by can for form forms from has have he her his if in into is it its may more need needs new no not of on one or other part she such than that the their they this to under up used use was were which who will with you your 0 1 2 3 4 5 v".split()) | {START, END}
 
 #: Least probability of a family, and least share of a notice's features that the paragraph has.
 LEAST, CONFIRM = 0.5, 0.75
@@ -60,13 +95,14 @@ FEW, MANY, SHARE = "#few", "#many", 0.34
 
 
 def words_of(text: str) -> list[str]:
-    return [x for x in re.split(r"[^a-z0-9]+", text.lower()) if x]
+    return [x for x in re.split(r"[^a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), re.sub(WITH, " ", text))) if x]
 
 
 def grams(text: str, known: frozenset[str] | None = None) -> list[str]:
     """Features of a text, with repetition; ``known`` are the notices' words."""
     w = words_of(text)
-    pairs = [f"{a} {b}" for a, b in zip(w[:-1], w[1:], strict=True) if not (a in STOP and b in STOP)]
+    bounded = [START, *w, END]
+    pairs = [f"{a} {b}" for a, b in zip(bounded[:-1], bounded[1:], strict=True) if not (a in STOP and b in STOP)]
     foreign = len(set(w) - known) / len(set(w)) if w and known is not None else 0
     return [x for x in w if x not in STOP] + pairs + ([MANY if foreign > SHARE else FEW] if foreign else [])
 
@@ -76,57 +112,86 @@ def sentences(notice: str) -> list[str]:
     return list(dict.fromkeys([notice, *re.split(r"(?<=[.;])\s+", notice)]))
 
 
-KNOWN = frozenset(w for ts in NOTICES.values() for t in ts for w in words_of(t)) | STOP
+KNOWN = frozenset(w for ts in [*NOTICES.values(), *NAMES.values(), FRAMES] for t in ts for w in words_of(t)) | STOP
 
 
-def _rows() -> tuple[list[list[str]], list[str], list[list[str]], list[str]]:
+def _rows() -> tuple[list[list[str]], list[str], list[list[str]], list[str], int]:
+    """Rows to fit and their labels, rows with words left out and theirs, and how many of the first, at the end, are about names."""
     fit, label, held, held_label = [], [], [], []
-    for family, notices in [*NOTICES.items(), ("unknown", OTHER)]:
-        for t in notices:
-            for part in sentences(t):
-                g = grams(part, KNOWN)
-                for row in [g] if family == "unknown" else [g, [*g, FEW], [*g, MANY]]:  # a notice with a name or a file around it is one too
+    parts = [(c, part) for c, ts in [*NOTICES.items(), ("unknown", OTHER)] for t in ts for part in sentences(t)]
+    for family, part in parts:
+        g = grams(part, KNOWN)
+        bare = [x for x in g if x not in (FEW, MANY)]
+        for row in [g, bare] if family == "unknown" else [g, [*g, FEW], [*g, MANY]]:  # a notice with a name or a file around it is one too
+            fit.append(row), label.append(family)
+        for k in range(3):
+            if len(rest := [x for i, x in enumerate(g) if (i + k) % 3]) > 1:
+                held.append(rest), held_label.append(family)
+    first = len(fit)
+    for family, names in NAMES.items():
+        for i, name in enumerate(names):
+            for j, frame in enumerate(FRAMES):
+                g = grams(frame.format(name), KNOWN)
+                inside = [x for x in g if START not in x and END not in x]
+                for row in ([*g, FEW] if (i + j) % 2 else g, [*inside, MANY]):  # alone, and within more text
                     fit.append(row), label.append(family)
-                for k in range(3):
-                    if len(rest := [x for i, x in enumerate(g) if (i + k) % 3]) > 1:
-                        held.append(rest), held_label.append(family)
-    return fit, label, held, held_label
+            for frame in OTHER_FRAMES:
+                fit.append(grams(frame.format(name), KNOWN)), label.append("unknown")
+    return fit, label, held, held_label, len(fit) - first
 
 
 def templates() -> list[tuple[str, int, frozenset[str]]]:
-    """Family, number and features of every notice and of its sentences of three features or more."""
-    parts = [(c, frozenset(grams(t))) for c, ts in sorted(NOTICES.items()) for whole in ts for t in sentences(whole) if t == whole or len(grams(t)) >= 3]
-    return [(c, i, g) for i, (c, g) in enumerate(parts)]
+    """Family, number and features of every notice, of its sentences of three features or more, and of the names with the words that make them a licence's."""
+    inner = lambda t: frozenset(g for g in grams(t) if START not in g and END not in g)
+    parts = [(c, inner(t)) for c, ts in sorted(NOTICES.items()) for whole in ts for t in sentences(whole) if t == whole or len(inner(t)) >= 3]
+    parts += [(c, inner(cue.format(n))) for c, ns in sorted(NAMES.items()) for n in ns for cue in ("{} license", "{} licensed", "license {}", "under {}", "licensed under the {}", "released under the {}", "terms of the {}", "licence {}")]
+    # a name that is an ordinary word as well must stand alone, or with such words
+    parts += [(c, inner(n) if len(inner(n)) > 1 or n.lower() in PLAIN else frozenset(grams(n))) for c, ns in sorted(NAMES.items()) for n in ns]
+    return [(c, i, g) for i, (c, g) in enumerate(dict.fromkeys(parts))]
 
 
 class Classifier:
     """Weights of a multinomial logistic regression; ``unknown`` is the last class."""
 
-    def __init__(self, rounds: int = 400, rate: float = 0.5, decay: float = 2e-3):
-        fit, label, held, held_label = _rows()
+    def __init__(self, rounds: int = 300, rate: float = 0.6, decay: float = 1e-3):
+        fit, label, held, held_label, about = _rows()
         self.classes = [*sorted(NOTICES), "unknown"]
         self.vocabulary = sorted({g for f, y in zip(fit, label, strict=True) if y != "unknown" for g in f})
-        x, y = self._matrix(fit), np.array([self.classes.index(c) for c in label])
+        y = np.array([self.classes.index(c) for c in label])
+        row, gram = self._entries(fit)
+        by_gram = np.argsort(gram, kind="stable")
+        used, starts = np.unique(gram[by_gram], return_index=True)
         w, b = np.zeros((len(self.vocabulary), len(self.classes))), np.zeros(len(self.classes))
         b[-1] = 2.0  # no feature: unknown
         one = np.eye(len(self.classes))[y]
-        share = (1 / np.bincount(y, minlength=len(self.classes)))[y][:, None]
+        # families weigh the same; sentences without a name weigh as much as two families, those about a name as half of one
+        named = np.array([c == "unknown" and k >= len(fit) - about for k, c in enumerate(label)])
+        group = np.where(named, len(self.classes), y)
+        share = (np.array([1.0] * (len(self.classes) - 1) + [2.0, 0.5]) / np.maximum(np.bincount(group, minlength=len(self.classes) + 1), 1))[group][:, None]
         for _ in range(rounds):
-            d = (one - self._softmax(x @ w + b)) * share
-            w += rate * (x.T @ d - decay * w)
+            d = (one - self._softmax(self._sums(w, row, gram, len(fit)) + b)) * share
+            w *= 1 - rate * decay
+            w[used] += rate * np.add.reduceat(d[row[by_gram]], starts)
             b[:-1] += rate * 0.05 * (d.sum(0)[:-1] - d.sum(0)[-1])
-        hx, hy = self._matrix(held), np.array([self.classes.index(c) for c in held_label])
-        loss = lambda t: -np.log(self._softmax((hx @ w + b) * t)[np.arange(len(hy)), hy] + 1e-12).mean()
+        hz, hy = self._sums(w, *self._entries(held), len(held)) + b, np.array([self.classes.index(c) for c in held_label])
+        loss = lambda t: -np.log(self._softmax(hz * t)[np.arange(len(hy)), hy] + 1e-12).mean()
         self.scale = float(min(np.geomspace(0.25, 4, 33), key=loss))
         self.w, self.b = w * self.scale, b * self.scale
 
-    def _matrix(self, rows: list[list[str]]) -> np.ndarray:
+    def _entries(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Row and feature number of each feature that a row has, by row."""
         at = {g: i for i, g in enumerate(self.vocabulary)}
-        out = np.zeros((len(rows), len(self.vocabulary)))
-        for r, row in enumerate(rows):
-            for g in row:
-                if g in at:
-                    out[r, at[g]] = 1
+        found = [(r, at[g]) for r, row in enumerate(rows) for g in dict.fromkeys(row) if g in at]
+        both = np.array(found, np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+    @staticmethod
+    def _sums(w: np.ndarray, row: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
+        """The sum of its features' weights for each row."""
+        out = np.zeros((n, w.shape[1]))
+        if len(row):
+            some, starts = np.unique(row, return_index=True)
+            out[some] = np.add.reduceat(w[gram], starts)
         return out
 
     @staticmethod
@@ -135,7 +200,7 @@ class Classifier:
         return e / e.sum(1, keepdims=True)
 
     def predict(self, text: str) -> tuple[str, float]:
-        p = self._softmax(self._matrix([grams(text, KNOWN)]) @ self.w + self.b)[0]
+        p = self._softmax(self._sums(self.w, *self._entries([grams(text, KNOWN)]), 1) + self.b)[0]
         return self.classes[int(p.argmax())], float(p.max())
 
     def weights(self, spark: SparkSession) -> DataFrame:
@@ -146,18 +211,18 @@ class Classifier:
 
 def paragraph_grams(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """doc_id, t (the text's hash), paragraph (number from 0), gram: the distinct features of each paragraph that has any."""
-    words = F.array(*(F.lit(g) for g in vocabulary if " " not in g))
-    pairs = F.array(*(F.lit(g) for g in vocabulary if " " in g))
-    known = F.array(*(F.lit(g) for g in sorted(KNOWN)))
+    words = [g for g in vocabulary if " " not in g and g not in (FEW, MANY)]
+    pairs = [g for g in vocabulary if " " in g]
+    known = sorted(KNOWN)
     joined = F.regexp_replace("text", r"([^.!?:;\s])[ \t]*\r?\n[ \t]*(?=[a-z(])", "$1 ")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.posexplode(F.split(joined, "\n")).alias("paragraph", "line"))
     key = ["doc_id", "t", "paragraph"]
-    rows = rows.select(*key, F.array_remove(F.split(F.lower("line"), "[^a-z0-9]+"), "").alias("w"))
-    rows = rows.select(*key, "w", F.array_intersect(F.col("w"), words).alias("one"))
+    rows = rows.select(*key, F.array_remove(F.split(F.translate(F.regexp_replace("line", WITH, " "), ascii_uppercase, ascii_lowercase), "[^a-z0-9]+"), "").alias("w"))
+    rows = rows.select(*key, "w", F.array_distinct(F.filter("w", lambda x: x.isin(words))).alias("one"))
     # every pair has a word that is a feature itself, so a paragraph without one has none
-    both = F.transform("w", lambda x, i: F.concat_ws(" ", x, F.get(F.col("w"), i + 1)))
-    rows = rows.select(*key, "w", "one", F.when(F.size("one") > 0, F.array_intersect(both, pairs)).alias("two"))
-    foreign = F.size(F.array_except("w", known)) / F.size(F.array_distinct("w"))
+    both = F.zip_with(F.concat(F.array(F.lit(START)), "w"), F.concat("w", F.array(F.lit(END))), lambda x, y: F.concat_ws(" ", x, y))
+    rows = rows.select(*key, "w", "one", F.when(F.size("one") > 0, F.array_distinct(F.filter(both, lambda x: x.isin(pairs)))).alias("two"))
+    foreign = F.size(F.array_distinct(F.filter("w", lambda x: ~x.isin(known)))) / F.size(F.array_distinct("w"))
     mark = F.when(foreign == 0, F.array().cast("array<string>")).otherwise(F.array(F.when(foreign > SHARE, MANY).otherwise(FEW)))
     # explode_outer: a filter before it would be pushed down and evaluate the word array once an element
     rows = rows.select(*key, F.explode_outer(F.when(F.size("two") > 0, F.concat("one", "two", mark))).alias("gram"))
