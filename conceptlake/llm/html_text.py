@@ -17,8 +17,9 @@ side where a side has none), their blocks are aligned by longest common subseque
 blocks that a pair shares are deleted.
 
 Pages are copies if their shared blocks are more than four fifths of the longer one's
-text. Copies are stepped over within a bucket of BUCKET pages and REACH pages beyond its
-ends.
+text. They are stepped over however many they are: first within a bucket of BUCKET pages
+and REACH pages beyond its ends; pages whose search leaves these go on from bucket to
+bucket until a partner or the host's end is found.
 
 Rows: null or empty html gives an empty text; a null or unreadable url is a host of
 its own kind and is paired by page_id only. Repeated rows are paired like others (as
@@ -252,57 +253,130 @@ def open_lines(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", "t").mapInArrow(run, "t long, host string, key string, hashes array<long>, lengths array<long>, marked boolean, whole long")
 
 
-def _gone(pages: list[tuple], k: int) -> list[int]:
-    """Indexes of the blocks of page k that differencing deletes; pages are (host, marked, blocks) in order."""
+def _gone(pages: list[tuple], k: int, first: bool = True, last: bool = True) -> list[int] | None:
+    """Indexes of the blocks of page k that differencing deletes; pages are (host, marked, blocks) in order.
+
+    None if that depends on pages beyond the list, which begins (ends) where the table does if ``first`` (``last``).
+    """
     host, marked, own = pages[k]
     if marked:
         return []
+    left = False
 
     def nearest(step: int) -> Iterator[list[tuple[int, int]]]:
+        nonlocal left
         j = k + step
         while 0 <= j < len(pages) and pages[j][0] == host:
             if (pairs := shared_lines(own, pages[j][2])) is not None:
                 yield pairs
             j += step
+        left |= j < 0 and not first or j >= len(pages) and not last
 
     before, after = nearest(-1), nearest(1)
     a, b = next(before, None), next(after, None)
     a, b = (next(after, None) if a is None else a), (next(before, None) if b is None else b)
-    return sorted({i for pairs in (a, b) for i, _ in pairs or ()})
+    return None if left else sorted({i for pairs in (a, b) for i, _ in pairs or ()})
+
 
+def _differenced(last: int):
+    """Rows ordered by bucket and rank (up to ``last``): the blocks to delete of every page, from its neighbours on the same host; null if the bucket doesn't decide."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pages, names = None, [], []
+
+        def found() -> pa.RecordBatch:
+            ends = names[0][0] == 0, names[-1][0] == last
+            out = [(*name, gone) for k, (_, real, *name) in enumerate(names) if real and (gone := _gone(pages, k, *ends)) != []]
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["host", "whole", "gone"])
+
+        for batch in batches:
+            for bucket, rank, real, host, whole, marked, hashes, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    if pages:
+                        yield found()
+                    now, pages, names = bucket, [], []
+                pages.append((host, marked, list(zip(hashes, lengths, strict=True))))
+                names.append((rank, real, host, whole))
+        if pages:
+            yield found()
 
-def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by bucket and rank: the blocks to delete of every page, from its neighbours on the same host."""
-    now, pages, names = None, [], []
+    return run
 
-    def found() -> pa.RecordBatch:
-        out = [(*name, gone) for k, (real, *name) in enumerate(names) if real and (gone := _gone(pages, k))]
-        kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["host", "whole", "gone"])
 
-    for batch in batches:
-        for bucket, _, real, host, whole, marked, hashes, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket != now:
-                if pages:
-                    yield found()
-                now, pages, names = bucket, [], []
-            pages.append((host, marked, list(zip(hashes, lengths, strict=True))))
-            names.append((real, host, whole))
-    if pages:
-        yield found()
+#: A page's search for a partner: the page, the direction, and the rank to look at next.
+SEARCH = "rank long, host string, hashes array<long>, lengths array<long>, step int, at long"
+
+
+def _looked_up(size: int):
+    """Rows ordered by bucket (of ``size`` pages), its pages before its searches: the searches as far as the bucket takes them.
+
+    ``found`` holds the blocks shared with the page at ``at``; it is null while the search goes on, and where it is over without a partner ``at`` is null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pages = None, {}
+        kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+        for batch in batches:
+            out = []
+            for bucket, search, rank, host, hashes, lengths, step, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    now, pages = bucket, {}
+                own = list(zip(hashes, lengths, strict=True))
+                if not search:
+                    pages[rank] = host, own
+                    continue
+                pairs = None
+                while at in pages and pages[at][0] == host and (pairs := shared_lines(own, pages[at][1])) is None:
+                    at += step
+                if pairs is None and at // size == bucket:
+                    at = None
+                out.append((rank, host, hashes, lengths, step, at, None if pairs is None else [i for i, _ in pairs]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["rank", "host", "hashes", "lengths", "step", "at", "found"])
+
+    return run
+
+
+def _partners(pages: DataFrame, searches: DataFrame) -> DataFrame:
+    """The searches with their partners; a round takes each through one bucket."""
+    place = pages.select(F.floor(F.col("rank") / BUCKET).alias("bucket"), F.lit(False).alias("search"), "rank", "host", "hashes", "lengths", F.lit(0).alias("step"), F.lit(0).cast("long").alias("at"))
+    over, going = None, searches
+    while True:
+        rows = going.select(F.floor(F.col("at") / BUCKET).alias("bucket"), F.lit(True).alias("search"), "rank", "host", "hashes", "lengths", "step", "at")
+        rows = place.join(rows.select("bucket").distinct(), "bucket", "left_semi").union(rows)
+        now = materialize(rows.repartition("bucket").sortWithinPartitions("bucket", "search").mapInArrow(_looked_up(BUCKET), SEARCH + ", found array<long>"))
+        ended = now.where("found is not null or at is null").select("rank", "step", "at", "found")
+        over = ended if over is None else over.union(ended)
+        going = now.where("found is null and at is not null").drop("found")
+        if going.isEmpty():
+            return over
+
+
+def _far(pages: DataFrame, open_pages: DataFrame) -> DataFrame:
+    """host, whole, gone of the pages whose partners their buckets don't hold: the nearest on either side, or the next of one side where the other has none."""
+    own = materialize(open_pages.select("rank", "host", "whole", "hashes", "lengths"))
+    each = own.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn("at", F.col("rank") + F.col("step"))
+    near = materialize(_partners(pages, each.drop("whole")))
+    single = near.groupBy("rank").agg(F.count("at").alias("n"), F.max(F.when(F.col("at").isNotNull(), F.struct("step", "at"))).alias("one")).where("n = 1")
+    again = own.drop("whole").join(single.select("rank", "one.step", (F.col("one.at") + F.col("one.step")).alias("at")), "rank")
+    found = near.union(_partners(pages, materialize(again))).select("rank", F.explode("found").alias("i")).groupBy("rank").agg(F.sort_array(F.collect_set("i")).alias("gone"))
+    return materialize(own.join(found, "rank").select("host", "whole", "gone"))
 
 
 def deletions(pages: DataFrame) -> DataFrame:
     """t (hash of the row) and the indexes of the blocks that differencing deletes."""
     lines = materialize(open_lines(pages))
     first = materialize(lines.groupBy("host", "whole").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("marked", "hashes", "lengths"))))
-    ranked = first.join(with_rank(first, "key", "rank"), "key")
-    ranked = ranked.withColumn("bucket", F.floor(F.col("rank") / BUCKET))
+    first = first.withColumn("key", F.concat_ws("\n", "key", "whole"))  # rows may share url and page_id
+    pages = materialize(first.join(with_rank(first, "key", "rank"), "key").drop("key"))
+    ranked = pages.withColumn("bucket", F.floor(F.col("rank") / BUCKET))
     place = F.col("rank") % BUCKET
     edge = F.when(place < REACH, F.array(F.lit(0), F.lit(-1))).when(place >= BUCKET - REACH, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     rows = ranked.withColumn("by", F.explode(edge)).withColumn("bucket", F.col("bucket") + F.col("by"))
     rows = rows.select("bucket", "rank", (F.col("by") == 0).alias("real"), "host", "whole", "marked", "hashes", "lengths")
-    gone = materialize(rows.repartition("bucket").sortWithinPartitions("bucket", "rank").mapInArrow(_differenced, "host string, whole long, gone array<long>"))
+    gone = materialize(rows.repartition("bucket").sortWithinPartitions("bucket", "rank").mapInArrow(_differenced(pages.count() - 1), "host string, whole long, gone array<long>"))
+    if not (left := gone.where("gone is null")).isEmpty():
+        gone = materialize(gone.where("gone is not null").union(_far(pages, pages.join(left.select("host", "whole"), ["host", "whole"]))))
     return lines.select("t", "host", "whole").join(F.broadcast(gone) if gone.count() <= 50_000 else gone, ["host", "whole"]).select("t", "gone")
 
 

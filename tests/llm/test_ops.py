@@ -184,6 +184,32 @@ def test_html_steps_over_copies(spark):
     assert texts_of(spark, rows) == {**{k: "one story that stands at four neighbouring URLs" for k in range(4)}, 4: "short"}
 
 
+def test_html_partners_beyond_any_run_of_copies(spark, monkeypatch):
+    """Small buckets, runs of near copies longer than several of them, hosts of one page and of copies alone: as with the whole host at hand."""
+    rng = np.random.default_rng(8)
+    body = [f"line {k} of a story that many pages of the site repeat word for word" for k in range(12)]
+    rows = []
+    for host, runs in (("a", (1, 40, 2)), ("b", (30, 1)), ("c", (25,)), ("d", (1,)), ("e", (3, 1, 33, 1, 1))):
+        for n, size in enumerate(runs):
+            for _ in range(size):
+                own = [f"{x} {host}{n}" for x in body]
+                own[int(rng.integers(12))] = f"only {len(rows)}"
+                lines = [f"Menu of {host}", *own[:6], f"Notice of {host}" * (n % 2), *own[6:], f"Contact {host}"]
+                rows.append((len(rows), f"http://{host}/{len(rows):04d}", "".join(f"<p>{x}</p>" for x in lines if x)))
+    want = texts_of(spark, rows)
+    whole = {}
+    for i, url, page in rows:
+        whole.setdefault(url[7], []).append((url[7], False, [(x, len(x)) for x in html_text.blocks(page)[0]]))
+    at = [(host, k) for host in whole for k in range(len(whole[host]))]
+    for (i, _, _), (host, k) in zip(rows, at, strict=True):
+        gone = html_text._gone(whole[host], k)
+        assert want[i] == " ".join(x for j, (x, _) in enumerate(whole[host][k][2]) if j not in gone)
+    assert "Menu" not in want[20] and "Menu" in want[80] and sum("Menu" in x for x in want.values()) == 26
+    monkeypatch.setattr(html_text, "BUCKET", 4)
+    monkeypatch.setattr(html_text, "REACH", 1)
+    assert texts_of(spark, rows) == want
+
+
 def test_lines_brute_force(spark):
     base = "this line is long enough to be compared with other lines of the corpus"
     rows = spark.createDataFrame([(1, base), (2, base.replace("long", "lung") + "\nshort"), (3, base[3:]), (4, base + "!!")], "doc_id long, text string")
