@@ -10,7 +10,8 @@ multi-match-aware rule leaves for each length. Lines that share a key are verifi
 banded bit-parallel edit distance: a bit for each diagonal of the band and number of
 edits, all of them in one long that is folded over the line's code points.
 
-Before that, bags of code points (as parity bits) must be as close as the edits allow.
+Before that, bags of code points and of pairs of neighbours (as parity bits) must be as
+close as the edits allow: near copies with other words in other places fail there.
 First each line is compared with the smallest of its keys (a star), then all pairs
 of a key whose lines are still in different classes, each pair once. A class is all lines reachable
 by links; its first line (smallest doc_id, then line number) stays, the others go.
@@ -28,11 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import components, drop, materialize, table
+from .shared import components, drop, materialize, release, table
 
 THRESHOLD = 2
 #: Code points of the shorter line for every edit.
 EACH = 24
+#: Parity of how often each pair of neighbours occurs among code points u, by 64 residues.
+DUO = "aggregate(u, struct(0L as duo, 0 as b), (s, c) -> struct(s.duo ^ shiftleft(1L, (s.b * 31 + c) % 64) as duo, c % 65536 as b), s -> s.duo)"
 #: Hashes or document ids (8 bytes each) that are sent to every task.
 SENT = 1_000_000
 
@@ -51,8 +54,8 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return base * i + F.greatest(F.lit(i) - plain, F.lit(0)), base + (F.lit(i) >= plain).cast("int")
 
 
-def keys(line: Column, length: Column, threshold: int = THRESHOLD) -> tuple[Column, Column]:
-    """The line's index keys, and the keys that it probes: hashes of (index length, segment, substring)."""
+def keys(line: Column, length: Column, threshold: int = THRESHOLD) -> Column:
+    """The keys that the line probes, hashes of (index length, segment, substring); the first threshold + 1 are its index keys."""
     parts = threshold + 1
     index, probe = [], []
     for delta in range(threshold + 1):
@@ -61,16 +64,14 @@ def keys(line: Column, length: Column, threshold: int = THRESHOLD) -> tuple[Colu
             start, size = _segment(short, i, parts)
             low, high = max(-i, delta - (threshold - i)), min(i, delta + (threshold - i))
             for shift in range(low, high + 1):
-                probe.append(F.xxhash64(short, F.lit(i), F.substring(line, start + shift + 1, size)))
-            if delta == 0:
-                index.append(F.xxhash64(short, F.lit(i), F.substring(line, start + 1, size)))
-    return F.array(*index), F.array(*probe)
+                (probe if delta or shift else index).append(F.xxhash64(short, F.lit(i), F.substring(line, start + shift + 1, size)))
+    return F.array(*index, *probe)
 
 
 def distinct_lines(rows: DataFrame) -> DataFrame:
-    """h, c, n, first (doc_id, t, line_no) and line of each distinct line."""
+    """h, c, n, first (doc_id, t, line_no), line and length (code points) of each distinct line."""
     keyed = rows.select("h", "c", F.struct("doc_id", "t", "line_no").alias("at"), "line")
-    return keyed.groupBy("h").agg(F.min("c").alias("c"), F.count("*").alias("n"), F.min("at").alias("first"), F.first("line").alias("line"))
+    return keyed.groupBy("h").agg(F.min("c").alias("c"), F.count("*").alias("n"), F.min("at").alias("first"), F.first("line").alias("line")).withColumn("length", F.length("line"))
 
 
 def _texts(distinct: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -93,6 +94,11 @@ def possible(threshold: int) -> Column:
     return F.expr(f"abs(nx - ny) <= {_edits(threshold)} and bit_count(bagx ^ bagy) <= 2 * {_edits(threshold)}")
 
 
+def alike(threshold: int) -> Column:
+    """What they must meet too: an edit takes two pairs of neighbours at most and brings two, so it changes four bits of duox at most."""
+    return F.expr(f"bit_count(duox ^ duoy) <= 4 * {_edits(threshold)}")
+
+
 def within(threshold: int = THRESHOLD) -> Column:
     """Whether two lines (code points x and y, their numbers nx and ny) match, by a banded bit-parallel edit distance.
 
@@ -126,9 +132,8 @@ def _verified(texts: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
 
 def line_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links (u, v) between distinct lines that connect all lines within the threshold, directly or by others."""
-    long = distinct.where(F.length("line") >= EACH)
-    index, probe = keys(F.col("line"), F.length("line"), threshold)
-    sides = long.select("h", F.explode(index).alias("k"), F.lit(True).alias("indexed")).union(long.select("h", F.explode(probe), F.lit(False)))
+    long = distinct.where(F.col("length") >= EACH)
+    sides = long.select("h", F.posexplode(keys(F.col("line"), F.col("length"), threshold)).alias("i", "k")).select("h", "k", (F.col("i") <= threshold).alias("indexed"))
     by = Window.partitionBy("k")
     shared = sides.withColumns({"lo": F.min("h").over(by), "hi": F.max("h").over(by)}).where("lo <> hi")
     shared = materialize(shared.select("k", "h", "indexed", "lo"))
@@ -139,9 +144,11 @@ def line_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     split = rooted.groupBy("k").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("k")
     rooted = materialize(rooted.join(split, "k").select("k", "h", "indexed", "root"))
     # lengths and bags come along, so that the join makes rows for possible pairs only
-    bags = rooted.join(texts.select("h", "n", "bag"), "h")
-    left, right = (bags.where(F.col("indexed") == indexed).select("k", F.col("h").alias(h), F.col("root").alias(f"r{h}"), F.col("n").alias(f"n{x}"), F.col("bag").alias(f"bag{x}")) for indexed, h, x in ((True, "a", "x"), (False, "b", "y")))
-    pairs = left.join(right, "k").where(F.col("ra") != F.col("rb")).where(possible(threshold))
+    apart = texts.join(rooted.select("h").distinct(), "h", "left_semi").select("h", "n", "bag", F.expr(DUO).alias("duo"))
+    bags = rooted.join(materialize(apart), "h")
+    left, right = (rows.select("k", F.col("h").alias(h), F.col("root").alias(f"r{h}"), *(F.col(c).alias(c + x) for c in ("n", "bag", "duo"))) for rows, h, x in ((bags.where("indexed"), "a", "x"), (bags, "b", "y")))
+    # lines of one length probe each other: one direction is enough
+    pairs = left.join(right, "k").where(F.col("ra") != F.col("rb")).where("nx < ny or a < b").where(possible(threshold)).where(alike(threshold))
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
     found = materialize(first.union(_verified(texts, pairs, threshold)))
     drop(shared, star, first, rooted, texts, pairs)
@@ -153,6 +160,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     rows = lines(docs)
     distinct = materialize(distinct_lines(rows))
+    release(docs.sparkSession)
     links = line_links(distinct, threshold)
     roots = components(links).select(F.col("id").alias("h"), "root")
     classes = distinct.select("h", "c", "n", "first").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))

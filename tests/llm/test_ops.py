@@ -252,6 +252,41 @@ def test_short_lines_brute_force(spark):
     assert got == dedup_by_hand(docs) and 3 not in got and got[6] == "ab\nac"
 
 
+def test_near_copies_of_a_line_are_told_apart_before_pairs(spark, monkeypatch):
+    """Lines of one length and the same letters with other words in other places aren't paired; those within the edits are all found."""
+    rng = np.random.default_rng(3)
+    base = " ".join("".join(rng.choice(list("aeinorst"), rng.integers(2, 9))) for _ in range(40))
+    lines = []
+    for _ in range(60):
+        at, word = int(rng.integers(60, len(base))), "".join(rng.permutation(list("bcdfgh")))
+        lines.append(base[:at] + word + base[at:])
+    for k in range(0, 60, 10):
+        at = int(rng.integers(10, 50))
+        lines += [lines[k][:at] + "z" + lines[k][at + 1 :], lines[k][:at] + lines[k][at + 2 :]]
+    pairs, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda texts, found, most: [pairs.append(found.count()), verified(texts, found, most)][1])
+    got = line_dedup.deduplicated(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == dedup_by_hand(dict(enumerate(lines)))
+    assert pairs[1] < 300  # 1500 and more pairs share a key, a bag and a length
+
+
+def test_pairs_of_neighbours_never_part_a_match(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for _ in range(400):
+        x = list(rng.choice(list("abé😀z "), rng.integers(24, 80)))
+        y = list(x)
+        for _ in range(min(2, len(x) // 24)):
+            k, kind = int(rng.integers(0, len(y))), rng.integers(0, 3)
+            y[k : k + (kind != 1)] = [] if kind == 0 else [str(rng.choice(list("qab😀")))]
+        rows.append(("".join(x), "".join(y)))
+    codes = lambda c: f"transform(split({c}, ''), c -> ascii(c))"
+    both = spark.createDataFrame(rows, "p string, q string").selectExpr("*", f"{codes('p')} as x", f"{codes('q')} as y").selectExpr("*", "size(x) as nx", "size(y) as ny")
+    both = both.selectExpr("*", f"{line_dedup.DUO.replace('(u', '(x')} as duox", f"{line_dedup.DUO.replace('(u', '(y')} as duoy")
+    got = both.select("p", "q", line_dedup.within().alias("w"), line_dedup.alike(2).alias("alike")).collect()
+    assert all(r.alike for r in got if r.w) and sum(r.w for r in got) > 300
+
+
 def lm_vocabulary():
     """Counts of words that are tokens, and of others by ending."""
     rng = np.random.default_rng(1)
