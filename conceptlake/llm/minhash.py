@@ -15,8 +15,9 @@ Texts with equal sets are one class. First each class is verified against one ot
 one that most of its keys in the tables of the diagonal name as their smallest; this links
 groups of near copies. A key within one component has nothing more to link; of the
 others, all pairs that aren't in one component yet are verified, unless their sizes or
-parity bitmaps show that they can't be similar enough. So every pair that meets in a
-table is verified or already connected, whatever a key's size.
+parity bitmaps show that they can't be similar enough. A pair is taken at the first table
+where it meets, as the keys before it tell, and not again at the others (up to 196). So
+every pair that meets in a table is verified or already connected, whatever a key's size.
 
 Classes are joined by 64 bits of hash; a row joins its class only if 64 other bits
 agree too, else it stays on its own.
@@ -104,8 +105,9 @@ class MinHashJoin(NgramJoin):
         return votes.groupBy("k").agg(F.max(F.struct("c", "least")).alias("v")).select("k", F.col("v.least").alias("least"))
 
     def met(self, rooted: DataFrame) -> DataFrame:
-        """(x, k, root): the classes of each table key that classes of different components have. rooted: k, root, first, second.
+        """(x, k, root, before): the classes of each table key that classes of different components have. rooted: k, root, first, second.
 
+        ``before`` holds the keys before the table's own: i of the first collection, j of the second.
         A first key within one component is left out before it is paired with second keys.
         """
         each = rooted.select("k", "root", F.posexplode("first").alias("i", "a"), "second").select("k", "root", F.xxhash64("i", "a").alias("a"), "second")
@@ -117,11 +119,20 @@ class MinHashJoin(NgramJoin):
         hot = paired(each.join(sent(alive.where(F.col("g") > MANY).select("a")), "a", "left_semi")).groupBy("a", "x").agg(*apart)
         split = materialize(few.union(hot).where("lo <> hi").select("a", "x"))
         firsts = materialize(split.select("a").distinct())
-        rows = paired(each.join(F.broadcast(firsts) if firsts.count() <= SENT_HOT else firsts, "a", "left_semi"))
-        found = materialize(rows.join(split.select("x"), "x", "left_semi").select("x", "k", "root"))
+        whole = rooted.select("k", "root", F.posexplode("first").alias("i", "a"), "first", "second").select("k", "root", "i", F.xxhash64("i", "a").alias("a"), "first", "second")
+        rows = whole.join(F.broadcast(firsts) if firsts.count() <= SENT_HOT else firsts, "a", "left_semi").select("*", F.posexplode("second").alias("j", "b"))
+        rows = rows.select("k", "root", F.xxhash64("a", "j", "b").alias("x"), F.expr("concat(slice(first, 1, i), slice(second, 1, j))").alias("before"))
+        found = materialize(rows.join(split.select("x"), "x", "left_semi").select("x", "k", "root", "before"))
         drop(alive, split, firsts)
         return found
 
+    def pairs(self, met: DataFrame, info: DataFrame, close: str) -> DataFrame:
+        """The pairs (a, b) of classes of different components that meet and may be close, each once. info: k, n, w."""
+        rows = met.join(info, "k")
+        again = " or ".join(f"coalesce(get(a.before, {i}) = get(b.before, {i}), false)" for i in range(2 * TABLES - 2))
+        both = rows.alias("a").join(rows.alias("b"), F.expr(f"a.x = b.x and a.k < b.k and a.root <> b.root and not ({again}) and {close}"))
+        return both.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"))
+
     def links(self, groups: DataFrame) -> DataFrame:
         """Links (u, v) between classes that connect every pair that meets and reaches the threshold, directly or by others."""
         num, den = self.num, self.den
@@ -135,10 +146,7 @@ class MinHashJoin(NgramJoin):
         roots = components(linked).select(F.col("id").alias("k"), "root")
         rooted = materialize(groups.select("k", "first", "second").join(roots, "k", "left").select("k", F.coalesce("root", "k").alias("root"), "first", "second"))
         met = self.met(rooted)
-        rows = met.join(info, "k")
-        both = rows.alias("a").join(rows.alias("b"), F.expr(f"a.x = b.x and a.k < b.k and a.root <> b.root and {close}"))
-        rest = both.select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
-        rest = materialize(rest.join(tried, ["a", "b"], "left_anti"))
+        rest = materialize(self.pairs(met, info, close).join(tried, ["a", "b"], "left_anti"))
         found = materialize(linked.union(self.verify(groups, rest)))
         drop(tried, linked, rooted, met, rest)
         return found

@@ -176,6 +176,21 @@ def test_a_group_of_copies_is_dealt_out(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, n=2).collect()} == want == {i: 0 for i in range(80)} | {100: 100}
 
 
+def test_a_pair_is_taken_at_one_table(spark, monkeypatch):
+    """Pairs meet in up to 196 tables: each is taken once, and none that meets is left out."""
+    rng = np.random.default_rng(9)
+    w = [f"w{i}" for i in range(80)]
+    texts = [" ".join(v if rng.random() > 0.04 else f"n{rng.integers(1 << 30)}" for v in w) for _ in range(40)] + [" ".join(w[:40] + [f"u{i}v{j}" for j in range(40)]) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    join = minhash.MinHashJoin(docs, n=2)
+    groups = join.groups(join.keyed()).cache()
+    rooted = groups.selectExpr("k", "k as root", "first", "second")
+    got = [(r.a, r.b) for r in join.pairs(join.met(rooted), groups.select("k", "n", "w"), "true").collect()]
+    rows = [(r.k, set(enumerate(r["first"])), set(enumerate(r["second"]))) for r in groups.collect()]
+    want = {tuple(sorted((p[0], q[0]))) for p, q in itertools.combinations(rows, 2) if p[1] & q[1] and p[2] & q[2]}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+
+
 def test_minhash_keys_estimate_similarity():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
