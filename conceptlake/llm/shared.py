@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -45,12 +44,6 @@ def drop(*tables: DataFrame) -> None:
     _delete({t._table for t in tables})
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what has been written: its cleaner acts when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _delete(paths: set[str]) -> None:
     for spark, path in [x for x in _tables if x[1] in paths]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
