@@ -13,11 +13,17 @@ isn't one task's.
 
 Texts with equal sets are one class. First each class is verified against one other, the
 one that most of its keys in the tables of the diagonal name as their smallest; this links
-groups of near copies. A key within one component has nothing more to link; of the
-others, all pairs that aren't in one component yet are verified, unless their sizes or
-parity bitmaps show that they can't be similar enough. A pair is taken at the first table
-where it meets, as the keys before it tell, and not again at the others (up to 196). So
-every pair that meets in a table is verified or already connected, whatever a key's size.
+groups of near copies. A key within one component has nothing more to link. Of the
+others, all pairs that aren't in one component yet would be verified; those are the square
+of a group's size if a share of its classes is still outside. So while there are many,
+rounds come before: each class outside the component that has most classes at its key is
+verified against up to CENTRES classes of that component. Each round's links join
+components and so leave fewer pairs. When there are few, or a round no longer helps, all
+that are left are verified, unless their sizes or parity bitmaps show that they can't be
+similar enough. A pair is taken at the first table where it meets, as the keys before it
+tell, and not again at the others (up to 196). So every pair that meets in a table is
+verified or already connected, whatever a key's size. Classes that meet and aren't similar
+enough still cost the square of their number, as far as the bounds don't part them.
 
 Classes are joined by 64 bits of hash; a row joins its class only if 64 other bits
 agree too, else it stays on its own.
@@ -34,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import kernel
 from .ngram_join import SENT_HOT, NgramJoin, ordered_sets, parity, set_check, set_key
@@ -42,6 +49,10 @@ from .shared import components, drop, materialize, table
 TABLES, ROWS_OF_KEY = 14, 3
 #: Sets of a first key from which on it is dealt out pair by pair. Only the work depends on it.
 MANY = 1024
+#: Classes that a class outside its keys' main components is compared with in a round. Only the work depends on it, never the result.
+CENTRES = 8
+#: Rounds go on while there are more pairs to look at than ENOUGH times the rows of ``met``, each round saves as many and leaves at most SLOWEST of them. Only the work depends on them.
+ENOUGH, SLOWEST = 4, 0.9
 
 
 def multipliers(n: int) -> np.ndarray:
@@ -65,6 +76,24 @@ def keys(sets: list[np.ndarray], tables: int = TABLES, rows: int = ROWS_OF_KEY)
     return out.reshape(len(sets), 2, tables)
 
 
+def several(counts: DataFrame, *key: str) -> DataFrame:
+    """The keys that several components have, with the root of the one with most classes (most) and the key's classes (g). counts: key, root, c."""
+    each = counts.groupBy(*key).agg(F.count("*").alias("parts"), F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("g"))
+    return each.where("parts > 1").select(*key, F.col("m.root").alias("most"), "g")
+
+
+def marked(rows: DataFrame, split: DataFrame) -> DataFrame:
+    """The rows of the keys x in split, with main and g."""
+    keys = split.select("x", "most", "g")
+    return rows.join(F.broadcast(keys) if keys.count() <= SENT_HOT else keys, "x").select("x", "k", "root", "before", F.expr("root = most").alias("main"), "g")
+
+
+def moved(rows: DataFrame, over: DataFrame) -> DataFrame:
+    """rows, with the roots in over (id, root) replaced."""
+    rows = rows.withColumnRenamed("root", "id").join(F.broadcast(over) if over.count() <= SENT_HOT else over, "id", "left")
+    return rows.withColumn("root", F.coalesce("root", "id")).drop("id")
+
+
 class MinHashJoin(NgramJoin):
     """The join of ``docs`` with itself at ``num / den``; ``classes()`` has the result."""
 
@@ -105,33 +134,47 @@ class MinHashJoin(NgramJoin):
         return votes.groupBy("k").agg(F.max(F.struct("c", "least")).alias("v")).select("k", F.col("v.least").alias("least"))
 
     def met(self, rooted: DataFrame) -> DataFrame:
-        """(x, k, root, before): the classes of each table key that classes of different components have. rooted: k, root, first, second.
+        """(x, k, root, before, main, g): the classes of each table key that classes of different components have. rooted: k, root, first, second.
 
-        ``before`` holds the keys before the table's own: i of the first collection, j of the second.
+        ``before`` holds the keys before the table's own: i of the first collection, j of the second. main: the row's component has most classes at the key; g: the key's classes.
         A first key within one component is left out before it is paired with second keys.
         """
         each = rooted.select("k", "root", F.posexplode("first").alias("i", "a"), "second").select("k", "root", F.xxhash64("i", "a").alias("a"), "second")
-        apart = (F.min("root").alias("lo"), F.max("root").alias("hi"))
-        alive = materialize(each.groupBy("a").agg(F.count("*").alias("g"), *apart).where("lo <> hi").select("a", "g"))
+        alive = materialize(each.groupBy("a").agg(F.count("*").alias("g"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("a", "g"))
         sent = F.broadcast if alive.count() <= SENT_HOT else lambda df: df
-        paired = lambda df: df.select("k", "root", "a", F.posexplode("second").alias("j", "b")).select("k", "root", "a", F.xxhash64("a", "j", "b").alias("x"))
-        few = paired(each.join(sent(alive.where(F.col("g") <= MANY).select("a")), "a", "left_semi").repartition("a")).groupBy("a", "x").agg(*apart)
-        hot = paired(each.join(sent(alive.where(F.col("g") > MANY).select("a")), "a", "left_semi")).groupBy("a", "x").agg(*apart)
-        split = materialize(few.union(hot).where("lo <> hi").select("a", "x"))
+        paired = lambda df: df.select("k", "root", "a", F.posexplode("second").alias("j", "b")).select("root", "a", F.xxhash64("a", "j", "b").alias("x")).groupBy("a", "x", "root").agg(F.count("*").alias("c"))
+        few = several(paired(each.join(sent(alive.where(F.col("g") <= MANY).select("a")), "a", "left_semi").repartition("a")), "a", "x")
+        hot = several(paired(each.join(sent(alive.where(F.col("g") > MANY).select("a")), "a", "left_semi")), "a", "x")
+        split = materialize(few.union(hot))
         firsts = materialize(split.select("a").distinct())
         whole = rooted.select("k", "root", F.posexplode("first").alias("i", "a"), "first", "second").select("k", "root", "i", F.xxhash64("i", "a").alias("a"), "first", "second")
         rows = whole.join(F.broadcast(firsts) if firsts.count() <= SENT_HOT else firsts, "a", "left_semi").select("*", F.posexplode("second").alias("j", "b"))
         rows = rows.select("k", "root", F.xxhash64("a", "j", "b").alias("x"), F.expr("concat(slice(first, 1, i), slice(second, 1, j))").alias("before"))
-        found = materialize(rows.join(split.select("x"), "x", "left_semi").select("x", "k", "root", "before"))
+        found = materialize(marked(rows, split))
         drop(alive, split, firsts)
         return found
 
+    def nearest(self, met: DataFrame, info: DataFrame, close: str, tried: DataFrame, turn: int) -> DataFrame:
+        """Pairs (a, b) that aren't tried: each class outside its keys' main components with the CENTRES of them that most of its keys name.
+
+        A key names one class of its main component; with another ``turn``, another one.
+        """
+        named = met.where("main").groupBy("x").agg(F.min(F.struct(F.xxhash64("k", F.lit(turn)), "k")).alias("c")).select("x", F.col("c.k").alias("c"))
+        votes = met.where("not main").join(named, "x").groupBy("k", "c").agg(F.count("*").alias("votes")).alias("s")
+        both = votes.join(info.alias("a"), F.expr("s.k = a.k")).join(info.alias("b"), F.expr("s.c = b.k")).where(close)
+        both = both.select(F.least("a.k", "b.k").alias("a"), F.greatest("a.k", "b.k").alias("b"), F.col("s.k").alias("k"), "votes").join(tried, ["a", "b"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("votes"), "a", "b"))
+        return both.withColumn("rank", rank).where(F.col("rank") <= CENTRES).select("a", "b").distinct()
+
     def pairs(self, met: DataFrame, info: DataFrame, close: str) -> DataFrame:
-        """The pairs (a, b) of classes of different components that meet and may be close, each once. info: k, n, w."""
+        """The pairs (a, b) of classes of different components that meet and may be close, each once. info: k, n, w.
+
+        One of a pair is outside the key's main component, so that only these rows are looked at with all others.
+        """
         rows = met.join(info, "k")
         again = " or ".join(f"coalesce(get(a.before, {i}) = get(b.before, {i}), false)" for i in range(2 * TABLES - 2))
-        both = rows.alias("a").join(rows.alias("b"), F.expr(f"a.x = b.x and a.k < b.k and a.root <> b.root and not ({again}) and {close}"))
-        return both.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"))
+        both = rows.where("not main").alias("a").join(rows.alias("b"), F.expr(f"a.x = b.x and a.root <> b.root and (b.main or a.k < b.k) and not ({again}) and {close}"))
+        return both.select(F.least("a.k", "b.k").alias("a"), F.greatest("a.k", "b.k").alias("b"))
 
     def links(self, groups: DataFrame) -> DataFrame:
         """Links (u, v) between classes that connect every pair that meets and reaches the threshold, directly or by others."""
@@ -145,10 +188,27 @@ class MinHashJoin(NgramJoin):
         linked = self.verify(groups, tried)
         roots = components(linked).select(F.col("id").alias("k"), "root")
         rooted = materialize(groups.select("k", "first", "second").join(roots, "k", "left").select("k", F.coalesce("root", "k").alias("root"), "first", "second"))
-        met = self.met(rooted)
-        rest = materialize(self.pairs(met, info, close).join(tried, ["a", "b"], "left_anti"))
-        found = materialize(linked.union(self.verify(groups, rest)))
-        drop(tried, linked, rooted, met, rest)
+        met, now, links, pairs, last = self.met(rooted), materialize(rooted.select("k", "root")), [linked], [tried], None
+        drop(rooted)
+        while True:
+            rows, work = met.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("main"), 0).otherwise(F.col("g"))), F.lit(0))).first()
+            if work <= ENOUGH * rows or last is not None and last - work < max(ENOUGH * rows, (1 - SLOWEST) * last):
+                break
+            pairs.append(materialize(self.nearest(met, info, close, tried, len(pairs))))
+            links.append(self.verify(groups, pairs[-1]))
+            tried, linked, last = tried.union(pairs[-1]), linked.union(links[-1]), work
+            roots = now.withColumnsRenamed({"k": "u", "root": "ru"}), now.withColumnsRenamed({"k": "v", "root": "rv"})
+            over = links[-1].join(roots[0], "u").join(roots[1], "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct()
+            over = materialize(components(over).where("id <> root"))
+            old, now, met = (now, met), materialize(moved(now, over)), materialize(moved(met.drop("main", "g"), over))
+            drop(over, *old)
+            split = materialize(several(met.groupBy("x", "root").agg(F.count("*").alias("c")), "x"))
+            old, met = met, materialize(marked(met, split))
+            drop(split, old)
+        pairs.append(materialize(self.pairs(met, info, close).join(tried, ["a", "b"], "left_anti")))
+        links.append(self.verify(groups, pairs[-1]))
+        found = materialize(linked.union(links[-1]))
+        drop(now, met, *pairs, *links)
         return found
 
 

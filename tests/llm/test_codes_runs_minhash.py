@@ -191,6 +191,36 @@ def test_a_pair_is_taken_at_one_table(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
 
 
+def test_a_group_of_near_copies_takes_few_pairs(spark, monkeypatch):
+    """Half of a group's pairs reach the threshold: what the first stars leave outside isn't verified against the whole group."""
+    rng = np.random.default_rng(3)
+    w = [f"w{i}" for i in range(120)]
+    texts = [" ".join(v if rng.random() > 0.03 else f"n{rng.integers(1 << 30)}" for v in w) for _ in range(400)]
+    sets = [set(zip(t.split(), t.split()[1:])) for t in texts]
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    root, todo = {}, []
+    for i in range(len(sets)):
+        if i not in root:
+            root[i], todo = i, [i]
+            while todo:
+                u = todo.pop()
+                new = [v for v in range(len(sets)) if v not in root and near(sets[u], sets[v])]
+                root |= dict.fromkeys(new, i)
+                todo += new
+    taken, verify = [], minhash.MinHashJoin.verify
+    monkeypatch.setattr(minhash.MinHashJoin, "verify", lambda self, groups, pairs: taken.append(pairs.count()) or verify(self, groups, pairs))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, n=2).collect()} == root
+    assert sum(taken) < 8 * len(texts)
+
+
+def test_rounds_lose_no_link(spark, monkeypatch):
+    """The brute force test's copies, with rounds as long as they help."""
+    monkeypatch.setattr(minhash, "ENOUGH", 0)
+    monkeypatch.setattr(minhash, "CENTRES", 1)
+    test_near_duplicates_brute_force(spark)
+
+
 def test_minhash_keys_estimate_similarity():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
