@@ -52,7 +52,7 @@ MANY = 1024
 #: Classes that a class outside its keys' main components is compared with in a round. Only the work depends on it, never the result.
 CENTRES = 8
 #: Rounds go on while there are more pairs to look at than ENOUGH times the rows of ``met``, each round saves as many and leaves at most SLOWEST of them. Only the work depends on them.
-ENOUGH, SLOWEST = 4, 0.9
+ENOUGH, SLOWEST = 4, 0.75
 
 
 def multipliers(n: int) -> np.ndarray:
@@ -88,6 +88,17 @@ def marked(rows: DataFrame, split: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= SENT_HOT else keys, "x").select("x", "k", "root", "before", F.expr("root = most").alias("main"), "g")
 
 
+def hubs(edges: DataFrame) -> DataFrame:
+    """(id, root): vertices of edges (u, v) with a neighbour of more neighbours (ties: larger id), and that neighbour.
+
+    One step instead of the whole search: vertices of one root are connected, not all that are connected have one root.
+    """
+    both = materialize(edges.union(edges.select("v", "u")).where("u <> v").distinct())
+    degree = both.groupBy("u").agg(F.count("*").alias("d"))
+    best = both.join(degree.select(F.col("u").alias("v"), "d"), "v").groupBy("u").agg(F.max(F.struct("d", "v")).alias("m"))
+    return best.join(degree, "u").where("m.d > d or m.d = d and m.v > u").select(F.col("u").alias("id"), F.col("m.v").alias("root"))
+
+
 def moved(rows: DataFrame, over: DataFrame) -> DataFrame:
     """rows, with the roots in over (id, root) replaced."""
     rows = rows.withColumnRenamed("root", "id").join(F.broadcast(over) if over.count() <= SENT_HOT else over, "id", "left")
@@ -198,8 +209,7 @@ class MinHashJoin(NgramJoin):
             links.append(self.verify(groups, pairs[-1]))
             tried, linked, last = tried.union(pairs[-1]), linked.union(links[-1]), work
             roots = now.withColumnsRenamed({"k": "u", "root": "ru"}), now.withColumnsRenamed({"k": "v", "root": "rv"})
-            over = links[-1].join(roots[0], "u").join(roots[1], "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct()
-            over = materialize(components(over).where("id <> root"))
+            over = materialize(hubs(links[-1].join(roots[0], "u").join(roots[1], "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))))
             old, now, met = (now, met), materialize(moved(now, over)), materialize(moved(met.drop("main", "g"), over))
             drop(over, *old)
             split = materialize(several(met.groupBy("x", "root").agg(F.count("*").alias("c")), "x"))
