@@ -18,9 +18,10 @@ others, all pairs that aren't in one component yet would be verified; those are
 of a group's size if a share of its classes is still outside. So while there are many,
 rounds come before: each class outside the component that has most classes at its key is
 verified against up to CENTRES classes of that component. Each round's links join
-components and so leave fewer pairs. When there are few, or a round no longer helps, all
-that are left are verified, unless their sizes or parity bitmaps show that they can't be
-similar enough. A pair is taken at the first table where it meets, as the keys before it
+components and so leave fewer pairs. A round moves roots by class and joins with their keys
+only the rows outside; of the main components it takes a count and one class a key. When
+there are few pairs, or a round no longer helps, all that are left are verified, unless
+their sizes or parity bitmaps show that they can't be similar enough. A pair is taken at the first table where it meets, as the keys before it
 tell, and not again at the others (up to 196). So every pair that meets in a table is
 verified or already connected, whatever a key's size. Classes that meet and aren't similar
 enough still cost the square of their number, as far as the bounds don't part them.
@@ -51,7 +52,7 @@ TABLES, ROWS_OF_KEY = 14, 3
 MANY = 1024
 #: Classes that a class outside its keys' main components is compared with in a round. Only the work depends on it, never the result.
 CENTRES = 8
-#: Rounds go on while there are more pairs to look at than ENOUGH times the rows of ``met``, each round saves as many and leaves at most SLOWEST of them. Only the work depends on them.
+#: Rounds go on while there are more pairs to look at than ENOUGH times the classes of all split keys, each round saves as many and leaves at most SLOWEST of them. Only the work depends on them.
 ENOUGH, SLOWEST = 4, 0.75
 
 
@@ -77,15 +78,14 @@ def keys(sets: list[np.ndarray], tables: int = TABLES, rows: int = ROWS_OF_KEY)
 
 
 def several(counts: DataFrame, *key: str) -> DataFrame:
-    """The keys that several components have, with the root of the one with most classes (most) and the key's classes (g). counts: key, root, c."""
-    each = counts.groupBy(*key).agg(F.count("*").alias("parts"), F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("g"))
-    return each.where("parts > 1").select(*key, F.col("m.root").alias("most"), "g")
+    """The keys that several components have, with the root of the one with most classes (most), a class of it (named), the key's classes (g) and those outside (out). counts: key, root, c, named."""
+    each = counts.groupBy(*key).agg(F.count("*").alias("parts"), F.max(F.struct("c", "root", "named")).alias("m"), F.sum("c").alias("g"))
+    return each.where("parts > 1").select(*key, F.col("m.root").alias("most"), F.col("m.named").alias("named"), "g", F.expr("g - m.c").alias("out"))
 
 
-def marked(rows: DataFrame, split: DataFrame) -> DataFrame:
-    """The rows of the keys x in split, with main and g."""
-    keys = split.select("x", "most", "g")
-    return rows.join(F.broadcast(keys) if keys.count() <= SENT_HOT else keys, "x").select("x", "k", "root", "before", F.expr("root = most").alias("main"), "g")
+def sent(small: DataFrame) -> DataFrame:
+    """A table in the shared folder, broadcast if it has at most SENT_HOT rows."""
+    return F.broadcast(small) if small.count() <= SENT_HOT else small
 
 
 def hubs(edges: DataFrame) -> DataFrame:
@@ -99,10 +99,10 @@ def hubs(edges: DataFrame) -> DataFrame:
     return best.join(degree, "u").where("m.d > d or m.d = d and m.v > u").select(F.col("u").alias("id"), F.col("m.v").alias("root"))
 
 
-def moved(rows: DataFrame, over: DataFrame) -> DataFrame:
-    """rows, with the roots in over (id, root) replaced."""
-    rows = rows.withColumnRenamed("root", "id").join(F.broadcast(over) if over.count() <= SENT_HOT else over, "id", "left")
-    return rows.withColumn("root", F.coalesce("root", "id")).drop("id")
+def moved(rooted: DataFrame, over: DataFrame) -> DataFrame:
+    """rooted, a row a class, with the roots in over (id, root) replaced."""
+    found = rooted.withColumnRenamed("root", "id").join(sent(over), "id", "left")
+    return found.withColumn("root", F.coalesce("root", "id")).drop("id")
 
 
 class MinHashJoin(NgramJoin):
@@ -144,34 +144,42 @@ class MinHashJoin(NgramJoin):
         votes = diagonal.join(shared, "x").where("k <> least").groupBy("k", "least").agg(F.count("*").alias("c"))
         return votes.groupBy("k").agg(F.max(F.struct("c", "least")).alias("v")).select("k", F.col("v.least").alias("least"))
 
-    def met(self, rooted: DataFrame) -> DataFrame:
-        """(x, k, root, before, main, g): the classes of each table key that classes of different components have. rooted: k, root, first, second.
+    def split(self, rooted: DataFrame, turn: int = 0) -> tuple[DataFrame, DataFrame]:
+        """(a, x, most, named, g, out), the table keys x that classes of different components have (``several``), and their first keys (a). rooted: k, root, first, second.
 
-        ``before`` holds the keys before the table's own: i of the first collection, j of the second. main: the row's component has most classes at the key; g: the key's classes.
-        A first key within one component is left out before it is paired with second keys.
+        A first key within one component is left out before it is paired with second keys. With another ``turn``, another class is named.
         """
         each = rooted.select("k", "root", F.posexplode("first").alias("i", "a"), "second").select("k", "root", F.xxhash64("i", "a").alias("a"), "second")
         alive = materialize(each.groupBy("a").agg(F.count("*").alias("g"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("a", "g"))
-        sent = F.broadcast if alive.count() <= SENT_HOT else lambda df: df
-        paired = lambda df: df.select("k", "root", "a", F.posexplode("second").alias("j", "b")).select("root", "a", F.xxhash64("a", "j", "b").alias("x")).groupBy("a", "x", "root").agg(F.count("*").alias("c"))
-        few = several(paired(each.join(sent(alive.where(F.col("g") <= MANY).select("a")), "a", "left_semi").repartition("a")), "a", "x")
-        hot = several(paired(each.join(sent(alive.where(F.col("g") > MANY).select("a")), "a", "left_semi")), "a", "x")
-        split = materialize(few.union(hot))
-        firsts = materialize(split.select("a").distinct())
+        send = F.broadcast if alive.count() <= SENT_HOT else lambda df: df
+        named = F.min_by("k", F.xxhash64("k", F.lit(turn))).alias("named")
+        paired = lambda df: df.select("k", "root", "a", F.posexplode("second").alias("j", "b")).select("k", "root", "a", F.xxhash64("a", "j", "b").alias("x")).groupBy("a", "x", "root").agg(F.count("*").alias("c"), named)
+        few = several(paired(each.join(send(alive.where(F.col("g") <= MANY).select("a")), "a", "left_semi").repartition("a")), "a", "x")
+        hot = several(paired(each.join(send(alive.where(F.col("g") > MANY).select("a")), "a", "left_semi")), "a", "x")
+        found = materialize(few.union(hot))
+        drop(alive)
+        return found, materialize(found.select("a").distinct())
+
+    def placed(self, rooted: DataFrame, firsts: DataFrame) -> DataFrame:
+        """(k, root, x, before): the classes at each table key of the first keys. ``before`` holds the keys before the table's own: i of the first collection, j of the second."""
         whole = rooted.select("k", "root", F.posexplode("first").alias("i", "a"), "first", "second").select("k", "root", "i", F.xxhash64("i", "a").alias("a"), "first", "second")
-        rows = whole.join(F.broadcast(firsts) if firsts.count() <= SENT_HOT else firsts, "a", "left_semi").select("*", F.posexplode("second").alias("j", "b"))
-        rows = rows.select("k", "root", F.xxhash64("a", "j", "b").alias("x"), F.expr("concat(slice(first, 1, i), slice(second, 1, j))").alias("before"))
-        found = materialize(marked(rows, split))
-        drop(alive, split, firsts)
+        rows = whole.join(sent(firsts), "a", "left_semi").select("*", F.posexplode("second").alias("j", "b"))
+        return rows.select("k", "root", F.xxhash64("a", "j", "b").alias("x"), F.expr("concat(slice(first, 1, i), slice(second, 1, j))").alias("before"))
+
+    def met(self, rooted: DataFrame, split: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+        """(x, k, root, before, main, g): the classes of each key in ``split``. main: the row's component has most classes at the key; g: the key's classes."""
+        keys, firsts = split or self.split(rooted)
+        found = materialize(self.placed(rooted, firsts).join(sent(keys.select("x", "most", "g")), "x").select("x", "k", "root", "before", F.expr("root = most").alias("main"), "g"))
+        drop(keys, firsts)
         return found
 
-    def nearest(self, met: DataFrame, info: DataFrame, close: str, tried: DataFrame, turn: int) -> DataFrame:
+    def nearest(self, rooted: DataFrame, split: tuple[DataFrame, DataFrame], info: DataFrame, close: str, tried: DataFrame) -> DataFrame:
         """Pairs (a, b) that aren't tried: each class outside its keys' main components with the CENTRES of them that most of its keys name.
 
-        A key names one class of its main component; with another ``turn``, another one.
+        A key names one class of its main component; the main components' rows aren't joined.
         """
-        named = met.where("main").groupBy("x").agg(F.min(F.struct(F.xxhash64("k", F.lit(turn)), "k")).alias("c")).select("x", F.col("c.k").alias("c"))
-        votes = met.where("not main").join(named, "x").groupBy("k", "c").agg(F.count("*").alias("votes")).alias("s")
+        rows, keys = self.placed(rooted, split[1]).alias("r"), sent(split[0].select("x", "most", "named")).alias("s")
+        votes = rows.join(keys, F.expr("r.x = s.x and r.root <> s.most")).groupBy("k", F.col("named").alias("c")).agg(F.count("*").alias("votes")).alias("s")
         both = votes.join(info.alias("a"), F.expr("s.k = a.k")).join(info.alias("b"), F.expr("s.c = b.k")).where(close)
         both = both.select(F.least("a.k", "b.k").alias("a"), F.greatest("a.k", "b.k").alias("b"), F.col("s.k").alias("k"), "votes").join(tried, ["a", "b"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("votes"), "a", "b"))
@@ -199,26 +207,27 @@ class MinHashJoin(NgramJoin):
         linked = self.verify(groups, tried)
         roots = components(linked).select(F.col("id").alias("k"), "root")
         rooted = materialize(groups.select("k", "first", "second").join(roots, "k", "left").select("k", F.coalesce("root", "k").alias("root"), "first", "second"))
-        met, now, links, pairs, last = self.met(rooted), materialize(rooted.select("k", "root")), [linked], [tried], None
-        drop(rooted)
+        links, pairs, last, split = [linked], [tried], None, self.split(rooted, 1)
+        some = rooted.select("k", F.posexplode("first").alias("i", "a")).select("k", F.xxhash64("i", "a").alias("a")).join(sent(split[1]), "a", "left_semi")
+        old, rooted = rooted, materialize(rooted.join(some, "k", "left_semi"))
+        drop(old)
         while True:
-            rows, work = met.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("main"), 0).otherwise(F.col("g"))), F.lit(0))).first()
+            rows, work = split[0].agg(F.coalesce(F.sum("g"), F.lit(0)), F.coalesce(F.sum(F.col("g") * F.col("out")), F.lit(0))).first()
             if work <= ENOUGH * rows or last is not None and last - work < max(ENOUGH * rows, (1 - SLOWEST) * last):
                 break
-            pairs.append(materialize(self.nearest(met, info, close, tried, len(pairs))))
+            pairs.append(materialize(self.nearest(rooted, split, info, close, tried)))
             links.append(self.verify(groups, pairs[-1]))
             tried, linked, last = tried.union(pairs[-1]), linked.union(links[-1]), work
-            roots = now.withColumnsRenamed({"k": "u", "root": "ru"}), now.withColumnsRenamed({"k": "v", "root": "rv"})
+            roots = rooted.select(F.col("k").alias("u"), F.col("root").alias("ru")), rooted.select(F.col("k").alias("v"), F.col("root").alias("rv"))
             over = materialize(hubs(links[-1].join(roots[0], "u").join(roots[1], "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))))
-            old, now, met = (now, met), materialize(moved(now, over)), materialize(moved(met.drop("main", "g"), over))
-            drop(over, *old)
-            split = materialize(several(met.groupBy("x", "root").agg(F.count("*").alias("c")), "x"))
-            old, met = met, materialize(marked(met, split))
-            drop(split, old)
+            old, rooted = rooted, materialize(moved(rooted, over))
+            drop(over, old, *split)
+            split = self.split(rooted, len(pairs))
+        met = self.met(rooted, split)
         pairs.append(materialize(self.pairs(met, info, close).join(tried, ["a", "b"], "left_anti")))
         links.append(self.verify(groups, pairs[-1]))
         found = materialize(linked.union(links[-1]))
-        drop(now, met, *pairs, *links)
+        drop(rooted, met, *pairs, *links)
         return found
 
 

@@ -214,6 +214,22 @@ def test_a_group_of_near_copies_takes_few_pairs(spark, monkeypatch):
     assert sum(taken) < 8 * len(texts)
 
 
+def test_rounds_move_classes(spark, monkeypatch):
+    """A round gives a new root to each class once, not at each of its up to 196 keys; the result is that of no rounds."""
+    rng = np.random.default_rng(5)
+    w = [f"w{i}" for i in range(100)]
+    texts = [" ".join(v if rng.random() > 0.03 else f"n{rng.integers(1 << 30)}" for v in w) for _ in range(150)] + [f"other text {i} of few words" for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, moved = [], minhash.moved
+    monkeypatch.setattr(minhash, "moved", lambda rows, over: seen.append(rows.count()) or moved(rows, over))
+    monkeypatch.setattr(minhash, "ENOUGH", 1 << 40)
+    want = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, n=2).collect()}
+    assert not seen
+    monkeypatch.setattr(minhash, "ENOUGH", 0)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, n=2).collect()} == want
+    assert seen and max(seen) <= len(texts)
+
+
 def test_rounds_lose_no_link(spark, monkeypatch):
     """The brute force test's copies, with rounds as long as they help."""
     monkeypatch.setattr(minhash, "ENOUGH", 0)
