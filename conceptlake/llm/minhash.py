@@ -88,15 +88,20 @@ def sent(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= SENT_HOT else small
 
 
+def firsts(split: DataFrame) -> DataFrame:
+    """The first keys (a) of split; distinct unless they are few."""
+    return F.broadcast(split.select("a")) if split.count() <= SENT_HOT else split.select("a").distinct()
+
+
 def hubs(edges: DataFrame) -> DataFrame:
-    """(id, root): vertices of edges (u, v) with a neighbour of more neighbours (ties: larger id), and that neighbour.
+    """(id, root): vertices of edges (u, v) with a neighbour of more edges (ties: larger id), and that neighbour.
 
     One step instead of the whole search: vertices of one root are connected, not all that are connected have one root.
     """
-    both = materialize(edges.union(edges.select("v", "u")).where("u <> v").distinct())
-    degree = both.groupBy("u").agg(F.count("*").alias("d"))
-    best = both.join(degree.select(F.col("u").alias("v"), "d"), "v").groupBy("u").agg(F.max(F.struct("d", "v")).alias("m"))
-    return best.join(degree, "u").where("m.d > d or m.d = d and m.v > u").select(F.col("u").alias("id"), F.col("m.v").alias("root"))
+    both = edges.union(edges.select("v", "u")).where("u <> v")
+    degree = both.groupBy(F.col("u").alias("v")).agg(F.count("*").alias("d"))
+    best = both.join(degree, "v").groupBy("u").agg(F.count("*").alias("d"), F.max(F.struct("d", "v")).alias("m"))
+    return best.where("m.d > d or m.d = d and m.v > u").select(F.col("u").alias("id"), F.col("m.v").alias("root"))
 
 
 def moved(rooted: DataFrame, over: DataFrame) -> DataFrame:
@@ -141,11 +146,11 @@ class MinHashJoin(NgramJoin):
         """(k, least): the class that most of a class's keys of the diagonal tables name as their smallest."""
         diagonal = groups.select("k", F.explode(F.expr("transform(first, (a, i) -> xxhash64(i, a, get(second, i)))")).alias("x"))
         shared = diagonal.groupBy("x").agg(F.count("*").alias("g"), F.min("k").alias("least")).where("g > 1").drop("g")
-        votes = diagonal.join(shared, "x").where("k <> least").groupBy("k", "least").agg(F.count("*").alias("c"))
+        votes = diagonal.join(shared, "x").where("k <> least").repartition("k").groupBy("k", "least").agg(F.count("*").alias("c"))
         return votes.groupBy("k").agg(F.max(F.struct("c", "least")).alias("v")).select("k", F.col("v.least").alias("least"))
 
-    def split(self, rooted: DataFrame, turn: int = 0) -> tuple[DataFrame, DataFrame]:
-        """(a, x, most, named, g, out), the table keys x that classes of different components have (``several``), and their first keys (a). rooted: k, root, first, second.
+    def split(self, rooted: DataFrame, turn: int = 0) -> DataFrame:
+        """(a, x, most, named, g, out), the table keys x that classes of different components have (``several``), with their first keys a. rooted: k, root, first, second.
 
         A first key within one component is left out before it is paired with second keys. With another ``turn``, another class is named.
         """
@@ -156,29 +161,29 @@ class MinHashJoin(NgramJoin):
         paired = lambda df: df.select("k", "root", "a", F.posexplode("second").alias("j", "b")).select("k", "root", "a", F.xxhash64("a", "j", "b").alias("x")).groupBy("a", "x", "root").agg(F.count("*").alias("c"), named)
         few = several(paired(each.join(send(alive.where(F.col("g") <= MANY).select("a")), "a", "left_semi").repartition("a")), "a", "x")
         hot = several(paired(each.join(send(alive.where(F.col("g") > MANY).select("a")), "a", "left_semi")), "a", "x")
-        found = materialize(few.union(hot))
+        found = materialize(few.union(hot) if alive.where(F.col("g") > MANY).count() else few)
         drop(alive)
-        return found, materialize(found.select("a").distinct())
+        return found
 
-    def placed(self, rooted: DataFrame, firsts: DataFrame) -> DataFrame:
-        """(k, root, x, before): the classes at each table key of the first keys. ``before`` holds the keys before the table's own: i of the first collection, j of the second."""
+    def placed(self, rooted: DataFrame, split: DataFrame) -> DataFrame:
+        """(k, root, x, before): the classes at each table key with a first key of ``split``. ``before`` holds the keys before the table's own: i of the first collection, j of the second."""
         whole = rooted.select("k", "root", F.posexplode("first").alias("i", "a"), "first", "second").select("k", "root", "i", F.xxhash64("i", "a").alias("a"), "first", "second")
-        rows = whole.join(sent(firsts), "a", "left_semi").select("*", F.posexplode("second").alias("j", "b"))
+        rows = whole.join(firsts(split), "a", "left_semi").select("*", F.posexplode("second").alias("j", "b"))
         return rows.select("k", "root", F.xxhash64("a", "j", "b").alias("x"), F.expr("concat(slice(first, 1, i), slice(second, 1, j))").alias("before"))
 
-    def met(self, rooted: DataFrame, split: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    def met(self, rooted: DataFrame, split: DataFrame | None = None) -> DataFrame:
         """(x, k, root, before, main, g): the classes of each key in ``split``. main: the row's component has most classes at the key; g: the key's classes."""
-        keys, firsts = split or self.split(rooted)
-        found = materialize(self.placed(rooted, firsts).join(sent(keys.select("x", "most", "g")), "x").select("x", "k", "root", "before", F.expr("root = most").alias("main"), "g"))
-        drop(keys, firsts)
+        keys = self.split(rooted) if split is None else split
+        found = materialize(self.placed(rooted, keys).join(sent(keys.select("x", "most", "g")), "x").select("x", "k", "root", "before", F.expr("root = most").alias("main"), "g"))
+        drop(keys)
         return found
 
-    def nearest(self, rooted: DataFrame, split: tuple[DataFrame, DataFrame], info: DataFrame, close: str, tried: DataFrame) -> DataFrame:
+    def nearest(self, rooted: DataFrame, split: DataFrame, info: DataFrame, close: str, tried: DataFrame) -> DataFrame:
         """Pairs (a, b) that aren't tried: each class outside its keys' main components with the CENTRES of them that most of its keys name.
 
         A key names one class of its main component; the main components' rows aren't joined.
         """
-        rows, keys = self.placed(rooted, split[1]).alias("r"), sent(split[0].select("x", "most", "named")).alias("s")
+        rows, keys = self.placed(rooted, split).alias("r"), sent(split.select("x", "most", "named")).alias("s")
         votes = rows.join(keys, F.expr("r.x = s.x and r.root <> s.most")).groupBy("k", F.col("named").alias("c")).agg(F.count("*").alias("votes")).alias("s")
         both = votes.join(info.alias("a"), F.expr("s.k = a.k")).join(info.alias("b"), F.expr("s.c = b.k")).where(close)
         both = both.select(F.least("a.k", "b.k").alias("a"), F.greatest("a.k", "b.k").alias("b"), F.col("s.k").alias("k"), "votes").join(tried, ["a", "b"], "left_anti")
@@ -203,16 +208,16 @@ class MinHashJoin(NgramJoin):
         close = f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n) and aggregate(zip_with(a.w, b.w, (x, y) -> bit_count(x ^ y)), 0, (sum, x) -> sum + x) <= a.n + b.n - 2 * {overlap}"
         star = self.stars(groups).alias("s").join(info.alias("a"), F.expr("s.k = a.k")).join(info.alias("b"), F.expr("s.least = b.k")).where(close)
         star = star.select(F.least("a.k", "b.k").alias("a"), F.greatest("a.k", "b.k").alias("b"))
-        tried = materialize(star.distinct())
+        tried = materialize(star)  # a row a class, b
         linked = self.verify(groups, tried)
         roots = components(linked).select(F.col("id").alias("k"), "root")
         rooted = materialize(groups.select("k", "first", "second").join(roots, "k", "left").select("k", F.coalesce("root", "k").alias("root"), "first", "second"))
         links, pairs, last, split = [linked], [tried], None, self.split(rooted, 1)
-        some = rooted.select("k", F.posexplode("first").alias("i", "a")).select("k", F.xxhash64("i", "a").alias("a")).join(sent(split[1]), "a", "left_semi")
+        some = rooted.select("k", F.posexplode("first").alias("i", "a")).select("k", F.xxhash64("i", "a").alias("a")).join(firsts(split), "a", "left_semi")
         old, rooted = rooted, materialize(rooted.join(some, "k", "left_semi"))
         drop(old)
         while True:
-            rows, work = split[0].agg(F.coalesce(F.sum("g"), F.lit(0)), F.coalesce(F.sum(F.col("g") * F.col("out")), F.lit(0))).first()
+            rows, work = split.agg(F.coalesce(F.sum("g"), F.lit(0)), F.coalesce(F.sum(F.col("g") * F.col("out")), F.lit(0))).first()
             if work <= ENOUGH * rows or last is not None and last - work < max(ENOUGH * rows, (1 - SLOWEST) * last):
                 break
             pairs.append(materialize(self.nearest(rooted, split, info, close, tried)))
@@ -221,7 +226,7 @@ class MinHashJoin(NgramJoin):
             roots = rooted.select(F.col("k").alias("u"), F.col("root").alias("ru")), rooted.select(F.col("k").alias("v"), F.col("root").alias("rv"))
             over = materialize(hubs(links[-1].join(roots[0], "u").join(roots[1], "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))))
             old, rooted = rooted, materialize(moved(rooted, over))
-            drop(over, old, *split)
+            drop(over, old, split)
             split = self.split(rooted, len(pairs))
         met = self.met(rooted, split)
         pairs.append(materialize(self.pairs(met, info, close).join(tried, ["a", "b"], "left_anti")))
