@@ -57,8 +57,10 @@ KEPT_ES = "series species clothes mathematics physics news goes does".split()
 
 #: Boundaries of words of letters, digits and underscores of any script, spelled out: \b differs by engine and version.
 BEFORE, AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-CAPITALISED = r"([A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)+)"
-HYPHENATED = r"([a-zA-Z0-9]+(?:-[a-zA-Z0-9]+)+)"
+# Java's repeated groups recurse, once a word, and a run of some thousand words overflows the stack, which ends the executor;
+# possessive ones loop. A word that goes on in another script ends the run before it, as AFTER would by going back.
+CAPITALISED = rf"([A-Z][a-zA-Z]*+(?:\s++[A-Z][a-zA-Z]*+{AFTER})++)"
+HYPHENATED = rf"([a-zA-Z0-9]++(?:-[a-zA-Z0-9]++{AFTER})++)"
 ACRONYM = r"([A-Z]{2,})"
 RUN = r"([a-zA-Z][a-zA-Z0-9]*(?:\s+[a-zA-Z][a-zA-Z0-9]*){0,3})"
 
